@@ -17,6 +17,18 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import BASE, joined, scan_history
 
@@ -32,5 +44,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op8_secret_scans, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op4_quality, op8_secret_scans, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
