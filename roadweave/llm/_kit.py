@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.plans.scratch import Scratch  # noqa: F401
+
 #: Rows of a text table per Arrow batch; bounds a Python worker's memory with long texts.
 TEXT_BATCH = 256
 #: Words are maximal runs of anything but space and \x09-\x0D (the bytes that bytes.split() splits on).
@@ -19,29 +19,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Scratch:
-    """Tables written under the shared folder of spark.checkpoint.dir: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only where no cluster names one: a local session
-            base = "file://" + tempfile.gettempdir() + "/roadweave"
-        self.base = f"{base}/{name}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Frees tables that nothing returned depends on any more."""
-        jvm = self.spark.sparkContext._jvm
-        for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
