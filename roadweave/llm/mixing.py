@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from ._kit import WORD, Scratch
 
+#: Sources up to which their quotas are broadcast; more are joined by a shuffle.
+MOST_SENT = 20_000
+
 
 def water_level(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """Adds rank, weight and target to rows (source, source_size), one for each source."""
@@ -67,12 +70,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     spark = docs.sparkSession
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), draw.alias("draw"))
-    sized = Scratch(spark, "mix").table(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "sizes")
+    scratch = Scratch(spark, "mix")
+    sized = scratch.table(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "sizes")
     sources = water_level(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")), weights, most)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     sources = sources.withColumn("_total", total)
     quotas = sainte_lague(sources, [], "rank", F.col("target"), F.round(F.col("_total") / block_words))
     quotas = quotas.select("key", "source_size", "target", F.col("quota").alias("source_quota"), F.least(F.lit(most_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("n_shards"))
+    quotas = scratch.table(quotas, "quotas")
+    if quotas.count() <= MOST_SENT:  # rows of a few numbers and a name
+        quotas = F.broadcast(quotas)
     placed = sized.join(quotas, "key").withColumn("shard", F.col("draw") % F.col("n_shards"))
     shards = placed.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     shards = sainte_lague(shards, ["key"], "shard", F.col("shard_size"), F.col("source_quota"))
