@@ -47,6 +47,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), window=20)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import BASE, joined, scan_history
 
@@ -62,5 +68,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op3_embedding_dedup, op4_quality, op5_suffix_dedup, op6_substring_dedup, op8_secret_scans, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op3_embedding_dedup, op4_quality, op5_suffix_dedup, op6_substring_dedup, op7_minhash_dedup, op8_secret_scans, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
