@@ -68,5 +68,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op3_embedding_dedup, op4_quality, op5_suffix_dedup, op6_substring_dedup, op7_minhash_dedup, op8_secret_scans, op9_token_counts)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op3_embedding_dedup, op4_quality, op5_suffix_dedup, op6_substring_dedup, op7_minhash_dedup, op8_secret_scans, op9_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
