@@ -1,4 +1,154 @@
-"""The library's registered queries and their DuckDB twins."""
+"""The library's registered queries over the derived road tables, and their DuckDB twins where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadweave.functions import geometry as G
+from roadweave.operators import pairs, resolve, spatial
+from roadweave.operators import points as snap
+from roadweave.sources import derived, edges
+
+RADIUS = 8.0
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = "WITH RECURSIVE " + derived.SQL.strip() + sql
+        return f
+
+    return register
+
+
+#: Distance from a point to a segment, and where its foot lies, as DuckDB expressions.
+FOOT = "CASE WHEN ({x2}-{x1})*({x2}-{x1})+({y2}-{y1})*({y2}-{y1}) > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (({x}-{x1})*({x2}-{x1})+({y}-{y1})*({y2}-{y1}))/(({x2}-{x1})*({x2}-{x1})+({y2}-{y1})*({y2}-{y1})))) ELSE 0.0 END"
+
+
+def sql_distance(x: str, y: str, x1: str, y1: str, x2: str, y2: str) -> str:
+    t = FOOT.format(x=x, y=y, x1=x1, y1=y1, x2=x2, y2=y2)
+    return f"(({x1}+({t})*({x2}-{x1})-{x})*({x1}+({t})*({x2}-{x1})-{x})+({y1}+({t})*({y2}-{y1})-{y})*({y1}+({t})*({y2}-{y1})-{y}))"
+
+
+SNAP = f""", near AS (
+  SELECT p.id AS source_id, b.id AS dest_id, b.x1, b.y1, b.x2, b.y2, {FOOT.format(x="p.x", y="p.y", x1="b.x1", y1="b.y1", x2="b.x2", y2="b.y2")} AS t,
+         sqrt({sql_distance("p.x", "p.y", "b.x1", "b.y1", "b.x2", "b.y2")}) AS d
+  FROM pt p JOIN bp b ON b.o BETWEEN floor((p.y - 40) / 60) * 40 AND floor((p.y + 60) / 60) * 40 + 79 AND least(b.x1, b.x2) <= p.x + 8 AND greatest(b.x1, b.x2) >= p.x - 8 AND least(b.y1, b.y2) <= p.y + 8 AND greatest(b.y1, b.y2) >= p.y - 8
+), ranked AS (
+  SELECT source_id, dest_id, round(d, 6) AS distance_m, round(100.0 * t, 6) AS position_pct FROM near WHERE d <= {RADIUS}
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY distance_m, dest_id) AS rank, CASE WHEN count(*) OVER (PARTITION BY source_id) > 1 THEN '1:N_CANDIDATES' ELSE '1:1' END AS match_type FROM ranked
+), matched AS (
+  SELECT * FROM placed UNION ALL SELECT id, NULL, NULL, NULL, NULL, 'NO_MATCH' FROM pt WHERE id NOT IN (SELECT source_id FROM placed)
+)"""
+SHOWN = ("source_id", "dest_id", "distance_m", "position_pct", "rank", "match_type")
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return snap.match_points(derived.points(spark, d), derived.b_edges(spark, d), RADIUS)
+
+
+@query(" SELECT id, oneway, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM ae")
+def source_edges(spark: SparkSession, d: str) -> DataFrame:
+    p, q = F.col("pts")[0], F.col("pts")[1]
+    return derived.a_edges(spark, d).select("id", "oneway", *(F.round(v, 6).alias(n) for v, n in ((p["x"], "x1"), (p["y"], "y1"), (q["x"], "x2"), (q["y"], "y2"))))
+
+
+@query(" SELECT id, round(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)), 6) AS length_m, round((degrees(atan2(x2-x1, y2-y1)) + 360.0::DOUBLE) % 360.0::DOUBLE, 6) AS bearing FROM bp")
+def edge_geometry(spark: SparkSession, d: str) -> DataFrame:
+    return derived.b_edges(spark, d).select("id", F.round(G.length(F.col("pts")), 6).alias("length_m"), F.round(G.line_bearing(F.col("pts")), 6).alias("bearing"))
+
+
+@query("""
+SELECT id || ':f' AS directed_id, id AS original_edge_id, false AS is_reverse, x1 AS first_x FROM ae WHERE oneway <> '-1'
+UNION ALL SELECT id || ':r', id, true, x2 FROM ae WHERE oneway IN ('no', '-1')""")
+def directed_expansion(spark: SparkSession, d: str) -> DataFrame:
+    return edges.directed(derived.a_edges(spark, d)).select("directed_id", "original_edge_id", "is_reverse", F.col("pts")[0]["x"].alias("first_x"))
+
+
+#: A-edges run level from (x1, y) to (x2, y); a crossing has B's ends on both sides and its cut within A.
+PAIRS = f""", cand AS (
+  SELECT a.id AS id_a, b.id AS id_b, a.x1 AS ax1, a.y1 AS ay, a.x2 AS ax2, b.x1, b.y1, b.x2, b.y2,
+    CASE WHEN (b.y1 - a.y1) * (b.y2 - a.y1) < 0 AND b.x1 + (a.y1 - b.y1) / nullif(b.y2 - b.y1, 0) * (b.x2 - b.x1) > a.x1 AND b.x1 + (a.y1 - b.y1) / nullif(b.y2 - b.y1, 0) * (b.x2 - b.x1) < a.x2 THEN 0.0
+    ELSE sqrt(least({sql_distance("a.x1", "a.y1", "b.x1", "b.y1", "b.x2", "b.y2")}, {sql_distance("a.x2", "a.y1", "b.x1", "b.y1", "b.x2", "b.y2")}, {sql_distance("b.x1", "b.y1", "a.x1", "a.y1", "a.x2", "a.y1")}, {sql_distance("b.x2", "b.y2", "a.x1", "a.y1", "a.x2", "a.y1")})) END AS d
+  FROM ae a JOIN bp b ON b.o BETWEEN a.id - 41 AND a.id + 41 AND least(b.y1, b.y2) <= a.y1 + 8 AND greatest(b.y1, b.y2) >= a.y1 - 8 AND least(b.x1, b.x2) <= a.x2 + 8 AND greatest(b.x1, b.x2) >= a.x1 - 8
+), pairs AS (SELECT id_a, id_b FROM cand WHERE d <= {RADIUS})"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.within_join(derived.a_edges(spark, d), derived.b_edges(spark, d), RADIUS)
+
+
+@query(PAIRS + " SELECT id_a, id_b FROM pairs")
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select("id_a", "id_b")
+
+
+@query(SNAP + f" SELECT {', '.join(SHOWN)} FROM matched")
+def match_points(spark: SparkSession, d: str) -> DataFrame:
+    return _points(spark, d).select(*SHOWN)
+
+
+@query(SNAP + f" SELECT {', '.join(SHOWN)} FROM matched WHERE rank = 1 OR rank IS NULL")
+def match_points_best(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve(_points(spark, d), "best_per_source").select(*SHOWN)
+
+
+@query(SNAP + f""", per AS (SELECT *, row_number() OVER (PARTITION BY dest_id ORDER BY distance_m, source_id) AS k FROM placed)
+SELECT {', '.join(SHOWN)} FROM per WHERE k = 1
+UNION ALL SELECT DISTINCT source_id, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, 'NO_MATCH' FROM matched WHERE source_id NOT IN (SELECT source_id FROM per WHERE k = 1)""")
+def match_points_best_per_dest(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve(_points(spark, d), "best_per_dest").select(*SHOWN)
+
+
+@query()
+def match_points_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve(_points(spark, d), "one_to_one").select(*SHOWN)
+
+
+@query(SNAP + " SELECT match_type, count(*) AS n, round(quantile_cont(distance_m, 0.5), 6) AS median_m, round(quantile_cont(distance_m, 0.9), 6) AS p90_m FROM matched GROUP BY match_type")
+def match_points_report(spark: SparkSession, d: str) -> DataFrame:
+    m = _points(spark, d).groupBy("match_type")
+    return m.agg(F.count("*").alias("n"), F.round(F.percentile("distance_m", 0.5), 6).alias("median_m"), F.round(F.percentile("distance_m", 0.9), 6).alias("p90_m"))
+
+
+@query(SNAP + " SELECT id AS dest_id FROM bp WHERE id NOT IN (SELECT dest_id FROM placed)")
+def unused_edges(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.unmatched_destinations(_points(spark, d), derived.b_edges(spark, d))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.match(derived.a_edges(spark, d), derived.b_edges(spark, d), RADIUS, max_angle=60.0)
+
+
+@query()
+def match_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d)
+
+
+@query()
+def match_edges_best(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve(_pairs(spark, d), "best_per_source")
+
+
+@query()
+def match_edges_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve(_pairs(spark, d), "one_to_one")
+
+
+@query()
+def match_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.match_symmetric(derived.a_edges(spark, d), derived.b_edges(spark, d), RADIUS)
+
+
+@query(PAIRS + """, edge AS (SELECT id_a AS a, id_b AS b FROM pairs), node AS (SELECT 'a' || a AS n, a AS o FROM edge UNION SELECT 'b' || b, NULL FROM edge),
+reach AS (SELECT a AS root, a FROM (SELECT DISTINCT a FROM edge) UNION SELECT r.root, e2.a FROM reach r JOIN edge e1 ON e1.a = r.a JOIN edge e2 ON e2.b = e1.b),
+comp AS (SELECT a, min(root) AS c FROM reach GROUP BY a), size AS (SELECT c, count(DISTINCT e.a) AS na, count(DISTINCT e.b) AS nb FROM edge e JOIN comp USING (a) GROUP BY c)
+SELECT e.a AS a_id, e.b AS b_id, CASE WHEN na = 1 AND nb = 1 THEN '1:1' WHEN na = 1 THEN '1:N_SPLIT' WHEN nb = 1 THEN 'N:1_MERGE' ELSE 'N:M_COMPLEX' END AS cardinality FROM edge e JOIN comp USING (a) JOIN size USING (c)""")
+def pair_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.cardinality(_candidates(spark, d).select(F.col("id_a").alias("a_id"), F.col("id_b").alias("b_id")))
