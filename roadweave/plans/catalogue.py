@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
-from roadweave.operators import pairs, resolve, spatial
+from roadweave.operators import dag, pairs, perturb, quality, resolve, routes, spatial
 from roadweave.operators import points as snap
 from roadweave.sources import derived, edges
 
@@ -152,3 +152,94 @@ comp AS (SELECT a, min(root) AS c FROM reach GROUP BY a), size AS (SELECT c, cou
 SELECT e.a AS a_id, e.b AS b_id, CASE WHEN na = 1 AND nb = 1 THEN '1:1' WHEN na = 1 THEN '1:N_SPLIT' WHEN nb = 1 THEN 'N:1_MERGE' ELSE 'N:M_COMPLEX' END AS cardinality FROM edge e JOIN comp USING (a) JOIN size USING (c)""")
 def pair_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return pairs.cardinality(_candidates(spark, d).select(F.col("id_a").alias("a_id"), F.col("id_b").alias("b_id")))
+
+
+def _routes(spark: SparkSession, d: str, **more) -> tuple[DataFrame, DataFrame]:
+    return routes.match_routes(derived.a_edges(spark, d), derived.b_edges(spark, d), max_distance=RADIUS, step=10.0, **more)
+
+
+@query()
+def match_routes_long(spark: SparkSession, d: str) -> DataFrame:
+    return _routes(spark, d)[0]
+
+
+@query()
+def match_routes_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _routes(spark, d)[1]
+
+
+@query()
+def match_routes_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _routes(spark, d, emission="segment", bearing_weight=0.2)[1]
+
+
+@query()
+def match_routes_resolved(spark: SparkSession, d: str) -> DataFrame:
+    long, summary = _routes(spark, d)
+    return routes.resolve_routes(summary, long, max_match_dist=4.0, min_overlap_pct=80)[0]
+
+
+@query()
+def route_edge_usage(spark: SparkSession, d: str) -> DataFrame:
+    return routes.edge_usage(_routes(spark, d)[0])
+
+
+@query()
+def route_validation(spark: SparkSession, d: str) -> DataFrame:
+    long, summary = _routes(spark, d)
+    return routes.validation_report(summary, long)
+
+
+def _dag(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return dag.match_dag(derived.a_edges(spark, d), derived.b_edges(spark, d), max_distance=12.0, step=15.0, bearing_weight=0.1)
+
+
+@query()
+def match_dag_long(spark: SparkSession, d: str) -> DataFrame:
+    return _dag(spark, d)["long"]
+
+
+@query()
+def match_dag_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _dag(spark, d)["summary"]
+
+
+@query()
+def match_dag_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _dag(spark, d)["parts"]
+
+
+@query(""", ends AS (SELECT id, 0 AS k, x1 AS x, y1 AS y FROM bp UNION ALL SELECT id, 1, x2, y2 FROM bp),
+here AS (SELECT x, y, count(*) AS n FROM ends GROUP BY x, y)
+SELECT (SELECT count(*) FROM ends) AS n_endpoints, (SELECT sum(n) FROM here WHERE n > 1)::BIGINT AS exact_shared""")
+def network_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    return quality.check_network(derived.b_edges(spark, d), reach=1.0)[0].select("n_endpoints", "exact_shared")
+
+
+@query(SNAP + """, s AS (SELECT quantile_cont(distance_m, 0.25) AS q1, quantile_cont(distance_m, 0.5) AS med, quantile_cont(distance_m, 0.75) AS q3, quantile_cont(distance_m, 0.95) AS p95 FROM placed),
+m AS (SELECT quantile_cont(abs(distance_m - med), 0.5) AS mad FROM placed, s)
+SELECT round(q3 + 1.5 * (q3 - q1), 5) AS iqr_fence, round(med + 3 * 1.4826 * mad, 5) AS mad_fence, round(p95, 5) AS p95 FROM s, m""")
+def distance_fences(spark: SparkSession, d: str) -> DataFrame:
+    s = quality.spread(quality.sound(_points(spark, d), "distance_m"))
+    return spark.createDataFrame([(round(quality.iqr_fence(s), 5), round(quality.mad_fence(s), 5), round(s["p95"], 5))], "iqr_fence double, mad_fence double, p95 double")
+
+
+@query()
+def distance_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    got = quality.suggest_thresholds(_points(spark, d), {"distance_m": False, "position_pct": True})
+    rows = [(m, v["n"], v["recommended"], v["direction"], v["rationale"]) for m, v in got["metrics"].items()]
+    return spark.createDataFrame(rows, "metric string, n long, recommended double, direction string, rationale string")
+
+
+@query("""
+SELECT id, 'shift' AS family, m::DOUBLE AS magnitude, round(x1, 6) AS first_x, round(y1 + m, 6) AS first_y FROM ae, (VALUES (2), (4), (8)) t(m)
+UNION ALL SELECT id, 'longitudinal', m::DOUBLE, round(x1 + m, 6), round(y1, 6) FROM ae, (VALUES (5), (10)) t(m)
+UNION ALL SELECT id, 'crop', m, round(x1 + 45 * m, 6), round(y1, 6) FROM ae, (VALUES (0.2::DOUBLE), (0.8::DOUBLE)) t(m)""")
+def perturbed_edges(spark: SparkSession, d: str) -> DataFrame:
+    p = perturb.sweep(derived.a_edges(spark, d), {"shift": [2, 4, 8], "longitudinal": [5, 10], "crop": [0.2, 0.8]})
+    return p.select("id", "family", "magnitude", F.round(F.col("pts")[0]["x"], 6).alias("first_x"), F.round(F.col("pts")[0]["y"], 6).alias("first_y"))
+
+
+@query(PAIRS + """, deg AS (SELECT id_a, count(*) AS n FROM pairs GROUP BY id_a) SELECT n, count(*) AS sources FROM deg GROUP BY n""")
+def candidates_per_source(spark: SparkSession, d: str) -> DataFrame:
+    return quality.pair_figures(spark, derived.a_edges(spark, d), derived.b_edges(spark, d), RADIUS)
