@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, Scratch, batches, small_batches
+from ._kit import Batches, Scratch, batches, mixed, small_batches
 
 #: Bytes of text that a worker gathers before it sends packets.
 STRETCH = 12 << 20
 #: A null doc_id, last in order.
 LAST = 2**63 - 1
-MARKS = "doc_id long, h long, at binary"
-MARKS_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.binary())])
+MARKS = "dest int, keys binary, counts binary, at binary"
+MARKS_ARROW = pa.schema([("dest", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
 
 
 def parts_of(spark) -> int:
@@ -77,20 +77,76 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def marks_of(doc: np.ndarray, at: np.ndarray, ids: list, hs: list) -> dict:
-    """Rows of MARKS: the marked places of each document of a stretch."""
-    order = np.argsort(doc, kind="stable")
-    doc, at = doc[order], at[order].astype(np.int32)
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-    ends = np.append(first[1:], len(doc))
-    return {"doc_id": [ids[d] for d in doc[first]], "h": [hs[d] for d in doc[first]], "at": [at[a:b].tobytes() for a, b in zip(first, ends, strict=True)]}
+def marks_of(doc: np.ndarray, at: np.ndarray, keys: np.ndarray, n: int) -> dict[str, list]:
+    """Rows of MARKS: marked places, those of a document together, documents dealt to n parts by key.
+
+    doc: each place's document, a row of keys (doc_id, h); at: int32, or more than one for each place.
+    """
+    out: dict[str, list] = {f.name: [] for f in MARKS_ARROW}
+    if not len(doc):
+        return out
+    used, doc = np.unique(doc, return_inverse=True)
+    key = keys[used]
+    dest = (mixed(key[:, 0].astype(np.uint64) ^ mixed(key[:, 1].astype(np.uint64))) % np.uint64(n)).astype(np.int64)
+    rank = np.empty(len(key), np.int64)
+    rank[np.argsort(dest, kind="stable")] = np.arange(len(key))
+    order = np.argsort(rank[doc], kind="stable")
+    at = at.astype(np.int32)[order]
+    by_rank = np.argsort(rank)
+    counts = np.bincount(rank[doc], minlength=len(key)).astype(np.int32)
+    bound = np.searchsorted(dest[by_rank], np.arange(n + 1))
+    first = np.concatenate(([0], np.cumsum(counts)))
+    for d in np.unique(dest).tolist():
+        lo, hi = bound[d], bound[d + 1]
+        for name, v in zip(out, (d, key[by_rank[lo:hi]].tobytes(), counts[lo:hi].tobytes(), at[first[lo] : first[hi]].tobytes()), strict=True):
+            out[name].append(v)
+    return out
+
+
+def gathered(marks: DataFrame, n: int, width: int = 1) -> DataFrame:
+    """(doc_id, h, marks): all places of each document; width: numbers for each place."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("marks", pa.binary())])
+        held: dict[tuple[int, int], list[bytes]] = {}
+        dest = None
+
+        def flush() -> pa.RecordBatch:
+            return batches({"doc_id": [k[0] for k in held], "h": [k[1] for k in held], "marks": [b"".join(v) for v in held.values()]}, schema)
+
+        for b in parts:
+            for r in b.to_pylist():
+                if r["dest"] != dest and held:
+                    yield flush()
+                    held.clear()
+                dest = r["dest"]
+                ends = np.cumsum(np.frombuffer(r["counts"], np.int32)) * 4 * width
+                start = 0
+                for key, end in zip(np.frombuffer(r["keys"], np.int64).reshape(-1, 2).tolist(), ends.tolist(), strict=True):
+                    held.setdefault(tuple(key), []).append(r["at"][start:end])
+                    start = end
+        if held:
+            yield flush()
+
+    return marks.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(run, "doc_id long, h long, marks binary")
+
+
+#: kind 0: entries of a bucket of hashes; kind 1: places that are settled already, bucket being their part.
+PACKET = "bucket int, kind int, at binary, docs binary, hashes binary, checks binary, own binary"
+PACKET_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("at", "docs", "hashes", "checks", "own"))])
+
+
+def add(rows: dict[str, list], *cells) -> None:
+    for name, v in zip(rows, cells, strict=True):
+        rows[name].append(v)
 
 
-PACKET = "bucket int, kind int, doc_id long, h long, at binary, docs binary, hashes binary, checks binary, own binary"
-PACKET_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), *((c, pa.binary()) for c in ("at", "docs", "hashes", "checks", "own"))])
+def add_settled(rows: dict[str, list], marks: dict[str, list]) -> None:
+    for d, keys, counts, at in zip(*marks.values(), strict=True):
+        add(rows, d, 1, at, keys, None, None, counts)
 
 
-def packets(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, ids: list, hs: list, n: int, settled: dict) -> pa.RecordBatch:
+def packets(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, keys: np.ndarray, n: int, settled: dict) -> pa.RecordBatch:
     """Entries (document, place, hash, check, whether the stretch holds it twice), and places that are settled already."""
     rows: dict[str, list] = {f.name: [] for f in PACKET_ARROW}
     order, bound = by_bucket(bucket_of(hashes, n), n)
@@ -98,24 +154,18 @@ def packets(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, checks: np.ndar
         k = order[bound[b] : bound[b + 1]]
         if len(k):
             used, local = np.unique(doc[k], return_inverse=True)
-            key = np.array([(ids[d], hs[d]) for d in used], np.int64)
-            cells = (b, 0, None, None, at[k].astype(np.int32).tobytes(), key.tobytes(), hashes[k].tobytes(), checks[k].tobytes() if checks is not None else b"", (local.astype(np.int32) << 1 | multi[k]).astype(np.int32).tobytes())
-            for name, v in zip(rows, cells, strict=True):
-                rows[name].append(v)
-    for d, h, a in zip(settled["doc_id"], settled["h"], settled["at"], strict=True):
-        cells = ((d ^ h) % n, 1, d, h, a, None, None, None, None)
-        for name, v in zip(rows, cells, strict=True):
-            rows[name].append(v)
+            add(rows, b, 0, at[k].astype(np.int32).tobytes(), keys[used].tobytes(), hashes[k].tobytes(), checks[k].tobytes() if checks is not None else b"", (local.astype(np.int32) << 1 | multi[k]).astype(np.int32).tobytes())
+    add_settled(rows, settled)
     return batches(rows, PACKET_ARROW)
 
 
 def grouped_packets(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], pa.RecordBatch | None]]:
-    """The packets of each bucket of a partition sorted by bucket, and the settled rows as they come."""
+    """The packets of each bucket of a partition sorted by bucket, and settled rows, as rows of MARKS, as they come."""
     held, bucket = [], None
     for b in parts:
         done = b.filter(pa.compute.equal(b.column("kind"), 1)) if b.num_rows else b
         if done.num_rows:
-            yield [], done.select(["doc_id", "h", "at"])
+            yield [], pa.RecordBatch.from_arrays([done.column(c) for c in ("bucket", "docs", "own", "at")], schema=MARKS_ARROW)
         for r in b.filter(pa.compute.equal(b.column("kind"), 0)).to_pylist():
             if r["bucket"] != bucket and held:
                 yield held, None
@@ -132,7 +182,7 @@ def unpacked(held: list[dict]) -> dict[str, np.ndarray]:
     start = np.cumsum([0, *map(len, keys)])
     own = np.concatenate([o.astype(np.int64) + (2 * s) for o, s in zip(own, start, strict=False)])
     key = np.concatenate(keys)
-    out = {"at": np.concatenate([np.frombuffer(r["at"], np.int32) for r in held]), "hash": np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in held]), "doc": own >> 1, "multi": (own & 1).astype(bool), "id": key[:, 0], "h": key[:, 1]}
+    out = {"at": np.concatenate([np.frombuffer(r["at"], np.int32) for r in held]), "hash": np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in held]), "doc": own >> 1, "multi": (own & 1).astype(bool), "key": key}
     if held[0]["checks"]:
         out["check"] = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in held])
     return out
@@ -149,7 +199,9 @@ def exchange(rows: DataFrame, n: int, resolve: Callable[[dict[str, np.ndarray]],
             e = unpacked(held)
             hit = resolve(e)
             if hit.any():
-                yield batches(marks_of(e["doc"][hit], e["at"][hit], e["id"].tolist(), e["h"].tolist()), MARKS_ARROW)
+                # copies of a key in several packets are one document
+                keys, doc = np.unique(e["key"], axis=0, return_inverse=True)
+                yield batches(marks_of(doc.ravel()[e["doc"][hit]], e["at"][hit], keys, n), MARKS_ARROW)
 
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS)
 
@@ -184,17 +236,16 @@ def repeated_anchors(texts: DataFrame, n: int, anchors: Callable[[bytes], tuple[
             new = np.append(True, s[1:] != s[:-1]) if len(s) else np.empty(0, bool)
             size = np.diff(np.append(np.flatnonzero(new), len(s)))
             many = np.repeat(size > 1, size)
-            settled = marks_of(doc[order[many]], at[order[many]], ids, hs)
+            keys = np.array([ids, hs], np.int64).T
+            settled = marks_of(doc[order[many]], at[order[many]], keys, n)
             k = order[new]
-            yield packets(doc[k], at[k], hashes[k], None, many[new].astype(np.int32), ids, hs, n, settled)
+            yield packets(doc[k], at[k], hashes[k], None, many[new].astype(np.int32), keys, n, settled)
 
-    marks = exchange(texts.mapInArrow(run, PACKET), n, twice)
-    return marks.groupBy("doc_id", "h").agg(F.collect_list("at").alias("marks"))
+    return gathered(exchange(texts.mapInArrow(run, PACKET), n, twice), n)
 
 
-def marked(cells: list[bytes] | None, size: int) -> np.ndarray:
+def marked(places: bytes, size: int) -> np.ndarray:
     """Mask of the marked places."""
     out = np.zeros(size, bool)
-    for c in cells or ():
-        out[np.frombuffer(c, np.int32)] = True
+    out[np.frombuffer(places, np.int32)] = True
     return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kit import Batches, Scratch, WordHashes, batches, covered, mixed, window_hashes
-from ._repeats import LAST, PACKET, TextTable, exchange, marked, marks_of, packets, repeated_anchors, stretches
+from ._repeats import LAST, PACKET, TextTable, exchange, gathered, marked, marks_of, packets, repeated_anchors, stretches
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ON_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -49,7 +49,8 @@ def cover_anchors(window: int):
 
 def later(e: dict[str, np.ndarray]) -> np.ndarray:
     """Entries that aren't the first of their sequence."""
-    order = np.lexsort((e["at"], e["h"][e["doc"]], e["id"][e["doc"]], e["check"], e["hash"]))
+    doc_id, text = e["key"][e["doc"]].T
+    order = np.lexsort((e["at"], text, doc_id, e["check"], e["hash"]))
     h, c = e["hash"][order], e["check"][order]
     out = np.zeros(len(h), bool)
     out[order[1:]] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
@@ -82,7 +83,8 @@ def candidate_windows(texts: DataFrame, n: int, window: int) -> DataFrame:
             first = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])) if len(s) else np.empty(0, bool)
             again = order[~first]
             k = order[first]
-            yield packets(doc[k], at[k], hashes[k], checks[k], np.zeros(len(k), np.int32), ids, hs, n, marks_of(doc[again], at[again], ids, hs))
+            keys = np.array([ids, hs], np.int64).T
+            yield packets(doc[k], at[k], hashes[k], checks[k], np.zeros(len(k), np.int32), keys, n, marks_of(doc[again], at[again], keys, n))
 
     return texts.mapInArrow(run, PACKET)
 
@@ -109,8 +111,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     anchors = scratch.table(repeated_anchors(reps, t.n, cover_anchors(window)), "anchors")
     t.free()
     windows = candidate_windows(t.table.join(anchors, ["doc_id", "h"]), t.n, window)
-    marks = exchange(windows, t.n, later).groupBy("doc_id", "h").agg(F.collect_list("at").alias("marks"))
-    marks = scratch.table(marks, "marks")
+    marks = scratch.table(gathered(exchange(windows, t.n, later), t.n), "marks")
     t.free()
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Batches:
