@@ -48,12 +48,18 @@ def cover_anchors(window: int):
 
 
 def later(e: dict[str, np.ndarray]) -> np.ndarray:
-    """Entries that aren't the first of their sequence."""
+    """Entries that aren't the first of their sequence; a row that is there twice is the same entry."""
     doc_id, text = e["key"][e["doc"]].T
-    order = np.lexsort((e["at"], text, doc_id, e["check"], e["hash"]))
-    h, c = e["hash"][order], e["check"][order]
+    return not_first(e["hash"], e["check"], doc_id, text, e["at"])
+
+
+def not_first(hashes: np.ndarray, checks: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    order = np.lexsort((*places[::-1], checks, hashes))
+    h, c = hashes[order], checks[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.empty(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.empty(0, np.int64)
     out = np.zeros(len(h), bool)
-    out[order[1:]] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    out[order] = np.logical_or.reduce([p[order] != p[order][first] for p in places])
     return out
 
 
@@ -76,14 +82,9 @@ def candidate_windows(texts: DataFrame, n: int, window: int) -> DataFrame:
                 hashes.append(mixed(window_hashes(h, window)[p]))
                 checks.append((mixed(window_hashes(h, window, 0xC2B2AE3D27D4EB4F)[p]) >> np.uint64(32)).astype(np.uint32))
             doc, at, hashes, checks = map(np.concatenate, (doc, at, hashes, checks))
-            rank = np.empty(len(ids), np.int64)
-            rank[sorted(range(len(ids)), key=lambda d: (ids[d], hs[d]))] = np.arange(len(ids))
-            order = np.lexsort((at, rank[doc], checks, hashes))
-            s, c = hashes[order], checks[order]
-            first = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])) if len(s) else np.empty(0, bool)
-            again = order[~first]
-            k = order[first]
             keys = np.array([ids, hs], np.int64).T
+            again = not_first(hashes, checks, keys[doc, 0], keys[doc, 1], at)
+            k = np.flatnonzero(~again)
             yield packets(doc[k], at[k], hashes[k], checks[k], np.zeros(len(k), np.int32), keys, n, marks_of(doc[again], at[again], keys, n))
 
     return texts.mapInArrow(run, PACKET)
