@@ -13,8 +13,9 @@ similarity on the shingles, and make components. Then classes of a bucket that a
 paired and verified too. So a bucket of thousands of near copies costs a pair for each member, and no link that would join
 two components is left out.
 
-Scale: no list of pairs within a group of near copies, no cap on buckets. The only quadratic case is a bucket with many
-documents that are pairwise not similar though ROWS coordinates agree.
+Scale: no list of pairs within a group of near copies, no cap on buckets; a bucket above TILE members is dealt as pairs of
+tiles, and sketches of a byte for each coordinate are compared where they lie. The only quadratic case is a bucket with
+many documents that are pairwise not similar though ROWS coordinates agree.
 
 Defined results: null, empty and blank texts have no shingles and are classes of their own; repeated rows and copies share
 a class; a null doc_id is kept with a null class; extra columns are ignored; an empty table gives an empty result.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.operators.components import connected_components
@@ -37,8 +38,10 @@ from ._kit import Batches, Scratch, WordHashes, batches, id_text, mixed, small_b
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
-#: Share of agreeing coordinates below which a pair isn't verified: over four standard errors below 0.8.
-ESTIMATE = 0.62
+#: Members of a bucket that a task holds of each side.
+TILE = 2048
+#: Share of agreeing coordinates below which a pair isn't verified: over three standard errors below 0.8.
+ESTIMATE = 0.68
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,11 +106,11 @@ def signature(h: np.ndarray, weight: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def signed_rows(weights: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary()), ("size", pa.int64()), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary()), ("bands", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         cache = WordHashes()
-        last: dict[bytes, bytes] = {}
+        last: dict[bytes, tuple[bytes, bytes]] = {}
         for b in parts:
             sets, sizes, out = [], [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
@@ -117,19 +120,77 @@ def signed_rows(weights: str):
                 if name and name not in last:
                     if len(last) > 20_000:
                         last.clear()
-                    last[name] = signature(h, n.astype(float)).tobytes()
+                    last[name] = sketch_and_bands(signature(h, n.astype(float)))
                 sets.append(name)
                 sizes.append(int(n.sum()))
-                out.append(last[name] if name else None)
-            yield batches({"doc_id": b.column("doc_id"), "set": sets, "size": sizes, "signature": out}, schema)
+                out.append(last[name] if name else (None, None))
+            yield batches({"doc_id": b.column("doc_id"), "set": sets, "size": sizes, "sketch": [x for x, _ in out], "bands": [y for _, y in out]}, schema)
 
     return run
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Share of equal coordinates of two signatures, a byte of each (hex digits)."""
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(K - 1)), F.lit(0), lambda n, i: n + (F.substring(a, i * 2 + 1, 2) == F.substring(b, i * 2 + 1, 2)).cast("int"))
-    return same / K
+def sketch_and_bands(sign: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte of each coordinate; a 64-bit hash of each band."""
+    rows = sign.reshape(BANDS, ROWS)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ROWS):
+            h = mixed(h * GOLD + rows[:, k].astype(np.uint64))
+    return sign.astype(np.uint8).tobytes(), h.tobytes()
+
+
+def matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+def agreeing(parts: Iterator[pa.RecordBatch]) -> Batches:
+    """Pairs whose sketches agree in ESTIMATE of the coordinates."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for b in parts:
+        if b.num_rows:
+            ok = pa.array((matrix(b.column("sa"), np.uint8, K) == matrix(b.column("sb"), np.uint8, K)).mean(1) >= ESTIMATE)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], schema=schema)
+
+
+def across(least: float):
+    """Pairs of different parts within blocks (bucket, i, j) whose sketches agree, each in the first band that it shares."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def block(t: pa.Table, key: tuple) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        col = lambda c: t.column(c).to_numpy()
+        bucket, i, j = key
+        sketch, bands = (matrix(t.column(c).combine_chunks(), d, w) for c, d, w in (("sketch", np.uint8, K), ("bands", np.int64, BANDS)))
+        cls, part, size, tile = col("class"), col("part"), col("size"), col("tile")
+        first = int(np.flatnonzero((bands == bucket).all(0))[0]) if len(bands) else 0
+        a, b = [], []
+        for x in np.flatnonzero((part != col("main")) & (cls != col("head"))):
+            y = np.flatnonzero((tile == (j if tile[x] == i else i)) & (part != part[x]) & (cls != col("head")))
+            y = y[(part[y] == col("main")[y]) | (cls[y] > cls[x])]  # both outside the largest part: once
+            y = y[np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x])]
+            y = y[(sketch[y] == sketch[x]).mean(1) >= ESTIMATE]
+            y = y[~(bands[y, :first] == bands[x, :first]).any(1)]
+            a.append(np.minimum(cls[x], cls[y]))
+            b.append(np.maximum(cls[x], cls[y]))
+        return batches({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        held, key = [], None
+        for r in parts:
+            keys = np.stack([r.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                if key != tuple(keys[lo]):
+                    if held:
+                        yield block(pa.Table.from_batches(held), key)
+                    held, key = [], tuple(keys[lo])
+                held.append(r.slice(lo, hi - lo))
+        if held:
+            yield block(pa.Table.from_batches(held), key)
+
+    return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str, scratch: Scratch, name: str) -> DataFrame:
@@ -161,7 +222,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str, scr
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], schema=schema)
 
     used = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    known = scratch.table(texts.join(used, "class").mapInArrow(sets, "class long, hashes binary, counts binary"), f"sets-{name}")
+    known = scratch.table(texts.join(used.hint("merge"), "class").mapInArrow(sets, "class long, hashes binary, counts binary"), f"sets-{name}")
     left = known.select(F.col("class").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = known.select(F.col("class").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
     found = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
@@ -176,16 +237,19 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = id_text(docs)
-    rows = scratch.table(texts.mapInArrow(signed_rows(weights), "doc_id long, set binary, size long, signature binary"), "rows")
+    rows = scratch.table(texts.mapInArrow(signed_rows(weights), "doc_id long, set binary, size long, sketch binary, bands binary"), "rows")
     named = rows.where("set is not null and doc_id is not null")
     classes = scratch.table(named.groupBy("set").agg(F.min("doc_id").alias("class")), "classes")
     own = named.join(classes.select("set", F.col("class").alias("doc_id")), ["set", "doc_id"]).dropDuplicates(["doc_id"])
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (ROWS * 4) + 1, ROWS * 4)))
-    sketch = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: F.hex(F.substring(F.col("signature"), i * 4 + 1, 1))), "")
-    own = scratch.table(own.select(F.col("doc_id").alias("class"), "size", bands.alias("bands"), sketch.alias("sketch")), "own")
-    buckets = own.select(F.explode("bands").alias("bucket"), "class")
+    own = scratch.table(own.select(F.col("doc_id").alias("class"), "size", "sketch", "bands"), "own")
+
+    def listed(parts: Iterator[pa.RecordBatch]) -> Batches:
+        for b in parts:
+            yield batches({"bucket": matrix(b.column("bands"), np.int64, BANDS).ravel(), "class": np.repeat(b.column("class").to_numpy(), BANDS)}, pa.schema([("bucket", pa.int64()), ("class", pa.int64())]))
+
+    buckets = own.select("class", "bands").mapInArrow(listed, "bucket long, class long")
     heads = scratch.table(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("head")).where("n > 1"), "heads")
-    crowded = scratch.table(buckets.join(heads.drop("n"), "bucket"), "crowded")
+    crowded = scratch.table(buckets.join(heads, "bucket"), "crowded")
     class_texts = texts.withColumnRenamed("doc_id", "class")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -193,22 +257,23 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
         info = own.select("class", "size", "sketch")
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         p = p.join(info.toDF("a", "na", "sa"), "a").where("na > 0").join(info.toDF("b", "nb", "sb"), "b")
-        return p.where((F.least("na", "nb") >= least * F.greatest("na", "nb")) & (agreement(F.col("sa"), F.col("sb")) >= ESTIMATE)).select("a", "b")
+        return p.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(agreeing, "a long, b long")
 
     first = scratch.table(similar(crowded.select(F.col("head").alias("a"), F.col("class").alias("b"))), "first")
     links = verified(first, class_texts, least, weights, scratch, "first")
     parts = connected_components(links, "a", "b")
     # A head's pairs were tried. What else shares a bucket and is still apart is tried now; the largest part of a bucket
     # meets the others, never itself.
-    placed = crowded.join(parts.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "head", F.coalesce("component", "class").alias("part"))
+    placed = crowded.join(parts.withColumnRenamed("node", "class"), "class", "left").select("bucket", "n", "class", "head", F.coalesce("component", "class").alias("part"))
     placed = scratch.table(placed, "placed")
-    counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    open_ = scratch.table(counts.groupBy("bucket").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "open")
-    placed = placed.join(open_, "bucket").where("class <> head")
-    x = placed.where("part <> main").select("bucket", F.col("class").alias("a"), F.col("part").alias("pa"), "main")
-    y = placed.select("bucket", F.col("class").alias("b"), F.col("part").alias("pb"))
-    second = x.join(y, "bucket").where("pa <> pb and (a < b or pb = main)").select("a", "b")
-    second = scratch.table(similar(second).join(first, ["a", "b"], "left_anti"), "second")
+    counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("m"))
+    open_ = scratch.table(counts.groupBy("bucket").agg(F.max_by("part", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "open")
+    placed = placed.join(open_, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("class", "bucket"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
+    full = placed.join(own, "class").select("bucket", "i", "j", "tile", "class", "head", "part", "main", "size", "sketch", "bands")
+    second = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInArrow(across(least), "a long, b long")
+    second = scratch.table(second.join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         parts = connected_components(links.union(verified(second, class_texts, least, weights, scratch, "second")), "a", "b")
     group = scratch.table(own.select("class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("class_id")), "groups")
