@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE_SQL  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,4 +77,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op3_embedding_dedup, op4_quality, op5_suffix_dedup, op6_substring_dedup, op7_minhash_dedup, op8_secret_scans, op9_token_counts, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+
