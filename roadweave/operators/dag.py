@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadweave.functions import dag
 from roadweave.operators.components import connected_components
 from roadweave.operators.spatial import within_join
-from roadweave.plans.scratch import Scratch
+from roadweave.plans.scratch import Scratch, kernel_parts
 
 PART = "source_id {a}, part int, part_type string, dest_id {b}, a_from_m double, a_to_m double, a_len_m double, a_pct double, n_pairs int, n_a_arcs int, n_b_arcs int, drift_m double, drift_max_m double, bearing_diff_deg double, b_from_m double, b_to_m double, b_len_m double, b_head_m double, b_tail_m double"
 PAIR = "source_id {a}, dest_id {b}, a_seq int, b_seq int, dist_m double, turn double"
@@ -38,7 +38,7 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     near = near.select(F.col("id_a.component").alias("component"), F.col("id_b").alias("id"), F.col("pts_b").alias("pts")).dropDuplicates(["component", "id", "pts"])
     edge = F.struct("id", "pts")
     own = placed.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("a"))
-    met = own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left")
+    met = own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left").repartition(kernel_parts(a.sparkSession))
     short = lambda s: s.format(**kinds).replace(", ", ",").replace(" ", ":")
     schema = f"component string, cost double, error string, sources array<{kinds['a']}>, pairs array<struct<{short(PAIR)}>>, parts array<struct<{short(PART)}>>"
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
 from roadweave.operators.spatial import nearest_other, within_join
+from roadweave.plans.scratch import Scratch
 
 #: Metrics, and whether more of one is better.
 DEFAULT_METRICS = {"dtw_distance": False, "bearing_diff": False, "overlap_pct": True}
@@ -94,36 +96,35 @@ def valley(curve: list[tuple[float, float]], ratio: float = VALLEY) -> float | N
 
 
 def two_normals(values: DataFrame, s: dict[str, float], rounds: int = 200, least_gain: float = 1e-6) -> dict[str, float]:
-    """Two normal distributions by expectation and maximisation; each round is one pass that returns six sums."""
-    v = values.select(F.least("v", F.lit(s["p995"])).alias("v")).persist()
-    half = v.agg(*(f(F.when(c, F.col("v"))).alias(n) for n, f, c in (("a", F.avg, F.col("v") <= s["p50"]), ("b", F.avg, F.col("v") > s["p50"]), ("va", F.var_pop, F.col("v") <= s["p50"]), ("vb", F.var_pop, F.col("v") > s["p50"])))).first()
-    if half.b is None:
-        v.unpersist()
+    """Two normal distributions by expectation and maximisation over a fine histogram (8 x GRID counts) of the capped values."""
+    lo = values.agg(F.min("v")).first()[0]
+    if not s["p995"] > lo:
+        return {"converged": 0.0}
+    v, n = np.array(sorted((r.mid, r.n) for r in histogram(values, lo, s["p995"], 8 * GRID).collect()), float).T
+    upper = v > s["p50"]
+    if not upper.any() or upper.all():
         return {"converged": 0.0}
     floor = max(1e-6, 1e-4 * s["std"] ** 2)
-    m, var, w, last, ok = [half.a, half.b], [max(half.va, floor), max(half.vb, floor)], [0.5, 0.5], None, 0.0
+    r, last, ok = upper.astype(float), None, 0.0
     for _ in range(rounds):
-        part = [F.log(F.lit(w[k])) - 0.5 * math.log(2 * math.pi * var[k]) - F.pow(F.col("v") - m[k], 2) / (2 * var[k]) for k in (0, 1)]
-        top = F.greatest(*part)
-        both = top + F.log(F.exp(part[0] - top) + F.exp(part[1] - top))
-        r = F.exp(part[1] - both)
-        t = v.select("v", r.alias("r"), both.alias("l")).agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("v")).alias("rv"), F.sum("v").alias("v"), F.sum(F.col("r") * F.col("v") * F.col("v")).alias("rvv"), F.sum(F.col("v") * F.col("v")).alias("vv"), F.avg("l").alias("l")).first()
-        n = [t.n - t.r, t.r]
-        if min(n) < 1e-9:
+        w = np.array([(n * (1 - r)).sum(), (n * r).sum()])
+        if w.min() < 1e-9:
             break
-        m = [(t.v - t.rv) / n[0], t.rv / n[1]]
-        var = [max((t.vv - t.rvv) / n[0] - m[0] ** 2, floor), max(t.rvv / n[1] - m[1] ** 2, floor)]
-        w = [n[0] / t.n, n[1] / t.n]
-        if last is not None and abs(t.l - last) < least_gain:
+        m = np.array([(n * (1 - r) * v).sum(), (n * r * v).sum()]) / w
+        var = np.maximum(np.array([(n * (1 - r) * (v - m[0]) ** 2).sum(), (n * r * (v - m[1]) ** 2).sum()]) / w, floor)
+        part = np.log(w / w.sum())[:, None] - 0.5 * np.log(2 * np.pi * var)[:, None] - (v - m[:, None]) ** 2 / (2 * var[:, None])
+        both = np.logaddexp(*part)
+        r, now = np.exp(part[1] - both), float((n * both).sum() / n.sum())
+        if last is not None and abs(now - last) < least_gain:
             ok = 1.0
             break
-        last = t.l
-    v.unpersist()
+        last = now
+    w = w / w.sum()
     lo, hi = (0, 1) if m[0] <= m[1] else (1, 0)
-    apart = abs(m[hi] - m[lo]) / math.sqrt((var[0] + var[1]) / 2)
-    pdf = lambda x, k: w[k] * math.exp(-((x - m[k]) ** 2) / (2 * var[k])) / math.sqrt(var[k])
-    cut = next((x for x in (m[lo] + (m[hi] - m[lo]) * k / 1000 for k in range(1001)) if pdf(x, hi) >= pdf(x, lo)), m[hi])
-    return {"converged": ok, "separation": apart, "share": w[hi], "threshold": cut}
+    pdf = lambda x, k: w[k] * np.exp(-((x - m[k]) ** 2) / (2 * var[k])) / np.sqrt(var[k])
+    x = np.linspace(m[lo], m[hi], 1001)
+    bad = np.flatnonzero(pdf(x, hi) >= pdf(x, lo))
+    return {"converged": ok, "separation": float(abs(m[hi] - m[lo]) / np.sqrt(var.mean())), "share": float(w[hi]), "threshold": float(x[bad[0]] if len(bad) else m[hi])}
 
 
 def kneedle(values: DataFrame) -> float | None:
@@ -159,7 +160,7 @@ def suggest_thresholds(summary: DataFrame, metrics: dict[str, bool] | None = Non
     metrics = metrics or {k: v for k, v in DEFAULT_METRICS.items() if k in summary.columns}
     out = {}
     for m, more in metrics.items():
-        values = sound(summary, m)
+        values = Scratch(summary.sparkSession, "values").table(sound(summary, m), m)
         got = suggest_one(values.select((100.0 - F.col("v")).alias("v")) if more else values)
         if more and got["recommended"] is not None:
             got["recommended"] = round(100.0 - got["recommended"], 3)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import dtw, route
 from roadweave.operators.spatial import within_join
-from roadweave.plans.scratch import Scratch
+from roadweave.plans.scratch import Scratch, kernel_parts
 
 EDGE = "dest_id {id}, seq int, direction string, edge_match_dist_avg double, edge_match_dist_max double, edge_match_dist_min double, edge_a_len double, edge_cover_pct double, edge_matched_len double, edge_b_len double, edge_b_used_pct double, edge_bearing_diff double, n_points int"
 WHOLE = ("dtw_distance", "max_dtw_distance", "min_dtw_distance", "bearing_diff", "part_drift", "part_bearing_diff", "overlap_pct", "matched_len", "route_geom_wkt")
@@ -46,7 +46,7 @@ def match_routes(a: DataFrame, b: DataFrame, parameters: RouteParameters | None
     q = parameters or RouteParameters(**more)
     kinds = {"a": dict(a.dtypes)["id"], "b": dict(b.dtypes)["id"]}
     near = within_join(a, b, q.max_distance)
-    met = near.groupBy("id_a").agg(F.min("pts_a").alias("pts_a"), F.collect_list(F.struct("id_b", "pts_b")).alias("near"))
+    met = near.repartition(kernel_parts(a.sparkSession), "id_a").groupBy("id_a").agg(F.min("pts_a").alias("pts_a"), F.collect_list(F.struct("id_b", "pts_b")).alias("near"))
     schema = f"source_id {kinds['a']}, edges array<struct<{EDGE.format(id=kinds['b']).replace(' ', ':').replace(',:', ',')}>>, dtw_distance double, max_dtw_distance double, min_dtw_distance double, bearing_diff double, part_drift double, part_bearing_diff double, overlap_pct long, matched_len double, route_geom_wkt string"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadweave.functions import geometry as G
 from roadweave.operators import dag, pairs, perturb, quality, resolve, routes, spatial
 from roadweave.operators import points as snap
+from roadweave.plans.scratch import Scratch
 from roadweave.sources import derived, edges
 
 RADIUS = 8.0
@@ -226,7 +227,7 @@ def distance_fences(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def distance_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    got = quality.suggest_thresholds(_points(spark, d), {"distance_m": False, "position_pct": True})
+    got = quality.suggest_thresholds(Scratch(spark, "points").table(_points(spark, d), "points"), {"distance_m": False, "position_pct": True})
     rows = [(m, v["n"], v["recommended"], v["direction"], v["rationale"]) for m, v in got["metrics"].items()]
     return spark.createDataFrame(rows, "metric string, n long, recommended double, direction string, rationale string")
 

@@ -29,3 +29,8 @@ class Scratch:
         for n in names:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kernel_parts(spark: SparkSession) -> int:
+    """Partitions for work whose cost is in Python, not in bytes, which adaptive execution would gather in a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
