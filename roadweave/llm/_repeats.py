@@ -39,11 +39,16 @@ class TextTable:
         self.spark, self.scratch, self.n = spark, scratch, parts_of(spark)
         text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-        name = f"roadweave_texts_{uuid.uuid4().hex}"
+        self.name = name = f"roadweave_texts_{uuid.uuid4().hex}"
         dealt = self.rows.repartition(self.n, "doc_id", "h")
         dealt.write.option("path", f"{scratch.base}/texts").option("compression", "zstd").bucketBy(self.n, "doc_id", "h").sortBy("doc_id", "h").saveAsTable(name)
         self.table = spark.table(name)
 
+    def close(self) -> None:
+        """Once all that needs the texts is written."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.scratch.drop("texts")
+
     def free(self) -> None:
         """Lets Spark drop the shuffle files of tables that were written."""
         self.spark.sparkContext._jvm.System.gc()

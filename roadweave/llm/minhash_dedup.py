@@ -278,5 +278,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
         parts = connected_components(links.union(verified(second, class_texts, least, weights, scratch, "second")), "a", "b")
     group = scratch.table(own.select("class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("class_id")), "groups")
     by_set = scratch.table(classes.join(group, "class").select("set", "class_id"), "sets")
+    scratch.drop("classes", "own", "heads", "crowded", "first", "links-first", "placed", "open", "second", "links-second", "groups")
     out = rows.join(by_set, "set", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

@@ -126,6 +126,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
             yield batches({"doc_id": b.column("doc_id"), "h": b.column("h"), "cut": [n for n, _ in out], "cut_sha": [s for _, s in out]}, schema)
 
     trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, cut_sha string").distinct(), "trimmed")
+    t.close()
+    scratch.drop("anchors", "marks")
     copy = known.join(firsts.withColumn("is_first", F.lit(True)), ["doc_id", "h"], "left").join(trimmed, ["doc_id", "h"], "left")
     lost = (F.col("n_words") >= window) & F.col("is_first").isNull()  # a copy of an earlier text
     nothing = hashlib.sha256(b"").hexdigest()

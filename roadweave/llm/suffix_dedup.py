@@ -316,6 +316,8 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
             yield batches({"doc_id": b.column("doc_id"), "h": b.column("h"), "cut": [x[0] for x in out], "spans": [x[1] for x in out], "cut_sha": [x[2] for x in out]}, schema)
 
     trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, spans long, cut_sha string").distinct(), "trimmed")
+    t.close()
+    scratch.drop("anchors", "marks")
     whole = known.join(single, ["doc_id", "h"], "left").join(trimmed, ["doc_id", "h"], "left")
     gone = (F.col("n_bytes") >= width) & F.col("single").isNull()  # another text equals it
     return whole.select(
