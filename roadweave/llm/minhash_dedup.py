@@ -152,49 +152,83 @@ def agreeing(parts: Iterator[pa.RecordBatch]) -> Batches:
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], schema=schema)
 
 
-def across(least: float):
-    """Pairs of different parts within blocks (bucket, i, j) whose sketches agree, each in the first band that it shares."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+BLOCK = "bucket long, i int, j int, tile int, class long, part long, main long, size long, sketch binary, bands binary"
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def by_block(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each block (bucket, i, j) of a partition sorted by block."""
+    held, key = [], None
+    for r in parts:
+        keys = np.stack([r.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *ends], [*ends, len(keys)], strict=True):
+            if lo == hi:
+                continue
+            if key != tuple(keys[lo]):
+                if held:
+                    yield key, pa.Table.from_batches(held).combine_chunks()
+                held, key = [], tuple(keys[lo])
+            held.append(r.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
+
+
+def open_pairs(key: tuple, t: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows): who may link across parts in a block, by sizes and sketches, each pair in the first band that it shares."""
+    bucket, i, j = key
+    col = lambda c: t.column(c).to_numpy()
+    sketch, bands = (matrix(t.column(c), d, w) for c, d, w in (("sketch", np.uint8, K), ("bands", np.int64, BANDS)))
+    cls, part, size, tile, main = map(col, ("class", "part", "size", "tile", "main"))
+    first = int(np.flatnonzero((bands == bucket).all(0))[0])
+    for x in np.flatnonzero(part != main):
+        y = np.flatnonzero((tile == (j if tile[x] == i else i)) & (part != part[x]) & ((part == main) | (cls > cls[x])))
+        y = y[np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x])]
+        y = y[(sketch[y] == sketch[x]).mean(1) >= ESTIMATE]
+        y = y[~(bands[y, :first] == bands[x, :first]).any(1)]
+        if len(y):
+            yield int(x), y
+
+
+def involved(least: float):
+    """The rows of blocks that some open pair needs."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        for key, t in by_block(parts):
+            used = np.zeros(t.num_rows, bool)
+            for x, y in open_pairs(key, t, least):
+                used[x] = used[y] = True
+            if used.any():
+                yield from t.filter(pa.array(used)).to_batches()
+
+    return run
+
 
-    def block(t: pa.Table, key: tuple) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        col = lambda c: t.column(c).to_numpy()
-        bucket, i, j = key
-        sketch, bands = (matrix(t.column(c).combine_chunks(), d, w) for c, d, w in (("sketch", np.uint8, K), ("bands", np.int64, BANDS)))
-        cls, part, size, tile = col("class"), col("part"), col("size"), col("tile")
-        first = int(np.flatnonzero((bands == bucket).all(0))[0]) if len(bands) else 0
-        a, b = [], []
-        for x in np.flatnonzero((part != col("main")) & (cls != col("head"))):
-            y = np.flatnonzero((tile == (j if tile[x] == i else i)) & (part != part[x]) & (cls != col("head")))
-            y = y[(part[y] == col("main")[y]) | (cls[y] > cls[x])]  # both outside the largest part: once
-            y = y[np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x])]
-            y = y[(sketch[y] == sketch[x]).mean(1) >= ESTIMATE]
-            y = y[~(bands[y, :first] == bands[x, :first]).any(1)]
-            a.append(np.minimum(cls[x], cls[y]))
-            b.append(np.maximum(cls[x], cls[y]))
-        return batches({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, schema)
+def linked(least: float):
+    """The open pairs of blocks whose exact similarity is at least `least`; rows carry their shingles."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
-        held, key = [], None
-        for r in parts:
-            keys = np.stack([r.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
-            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for lo, hi in zip([0, *ends], [*ends, len(keys)], strict=True):
-                if lo == hi:
-                    continue
-                if key != tuple(keys[lo]):
-                    if held:
-                        yield block(pa.Table.from_batches(held), key)
-                    held, key = [], tuple(keys[lo])
-                held.append(r.slice(lo, hi - lo))
-        if held:
-            yield block(pa.Table.from_batches(held), key)
+        for key, t in by_block(parts):
+            cls, hashes, counts = t.column("class").to_numpy(), t.column("hashes").to_pylist(), t.column("counts").to_pylist()
+            pairs = [(int(cls[x]), int(cls[k])) for x, y in open_pairs(key, t, least) for k in y if alike(hashes[x], counts[x], hashes[k], counts[k], least)]
+            yield batches({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, LINK)
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of classes whose exact similarity is at least `least`; texts: class, text."""
+def alike(ha: bytes, ca: bytes, hb: bytes, cb: bytes, least: float) -> bool:
+    x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
+    if not ca and not cb:
+        both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+        return both >= least * (len(x) + len(y) - both)
+    n, m = (np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(h), np.int64) for c, h in ((ca, x), (cb, y)))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(n[i], m[j]).sum())
+    return both >= least * (int(n.sum()) + int(m.sum()) - both)
+
+
+def shingle_sets(classes: DataFrame, texts: DataFrame, weights: str) -> DataFrame:
+    """(class, hashes, counts) of the classes; counts is empty where every one is 1. texts: class, text."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Batches:
         schema = pa.schema([("class", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -204,30 +238,22 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str, scr
             plain = [n if weights == "counts" else np.ones_like(n) for _, n in got]
             yield batches({"class": b.column("class"), "hashes": [h.tobytes() for h, _ in got], "counts": [b"" if (n == 1).all() else n.astype(np.uint32).tobytes() for n in plain]}, schema)
 
-    def compare(parts: Iterator[pa.RecordBatch]) -> Batches:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return texts.join(classes.distinct().hint("merge"), "class").mapInArrow(sets, "class long, hashes binary, counts binary")
 
-        def counts(c: bytes, h: np.ndarray) -> np.ndarray:
-            return np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(h), np.int64)
 
+def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of classes whose exact similarity is at least `least`."""
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Batches:
         for b in parts:
-            keep = []
-            for ha, ca, hb, cb in zip(*(b.column(c).to_pylist() for c in ("ha", "ca", "hb", "cb")), strict=True):
-                x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
-                n, m = counts(ca, x), counts(cb, y)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = int(np.minimum(n[i], m[j]).sum())
-                keep.append(both >= least * (int(n.sum()) + int(m.sum()) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], schema=schema)
-
-    used = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    known = scratch.table(texts.join(used.hint("merge"), "class").mapInArrow(sets, "class long, hashes binary, counts binary"), f"sets-{name}")
-    left = known.select(F.col("class").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
-    right = known.select(F.col("class").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
+            keep = pa.array([alike(*x, least) for x in zip(*(b.column(c).to_pylist() for c in ("ha", "ca", "hb", "cb")), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=LINK)
+
+    known = scratch.table(shingle_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), texts, weights), "sets-first")
+    left, right = known.toDF("a", "ha", "ca"), known.toDF("b", "hb", "cb")
     found = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
-    found = scratch.table(found.distinct(), f"links-{name}")
-    scratch.drop(f"sets-{name}")
+    found = scratch.table(found.distinct(), "links-first")
+    scratch.drop("sets-first")
     return found
 
 
@@ -260,24 +286,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
         return p.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(agreeing, "a long, b long")
 
     first = scratch.table(similar(crowded.select(F.col("head").alias("a"), F.col("class").alias("b"))), "first")
-    links = verified(first, class_texts, least, weights, scratch, "first")
+    links = verified(first, class_texts, least, weights, scratch)
     parts = connected_components(links, "a", "b")
     # A head's pairs were tried. What else shares a bucket and is still apart is tried now; the largest part of a bucket
-    # meets the others, never itself.
-    placed = crowded.join(parts.withColumnRenamed("node", "class"), "class", "left").select("bucket", "n", "class", "head", F.coalesce("component", "class").alias("part"))
+    # meets the others, never itself. No row is made for a pair, only for a member of a block and for a link.
+    placed = crowded.where("class <> head").join(parts.withColumnRenamed("node", "class"), "class", "left").select("bucket", "n", "class", F.coalesce("component", "class").alias("part"))
     placed = scratch.table(placed, "placed")
     counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("m"))
     open_ = scratch.table(counts.groupBy("bucket").agg(F.max_by("part", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "open")
     placed = placed.join(open_, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("class", "bucket"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
-    full = placed.join(own, "class").select("bucket", "i", "j", "tile", "class", "head", "part", "main", "size", "sketch", "bands")
-    second = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInArrow(across(least), "a long, b long")
-    second = scratch.table(second.join(first, ["a", "b"], "left_anti"), "second")
+    full = placed.join(own, "class").select("bucket", "i", "j", "tile", "class", "part", "main", "size", "sketch", "bands")
+    dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class")
+    second = scratch.table(dealt(full).mapInArrow(involved(least), BLOCK), "second")
     if not second.isEmpty():
-        parts = connected_components(links.union(verified(second, class_texts, least, weights, scratch, "second")), "a", "b")
+        known = scratch.table(shingle_sets(second.select("class"), class_texts, weights), "sets-second")
+        more = dealt(second.join(known, "class").select(*second.columns, "hashes", "counts")).mapInArrow(linked(least), "a long, b long")
+        parts = connected_components(links.union(scratch.table(more.distinct(), "links-second")), "a", "b")
     group = scratch.table(own.select("class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("class_id")), "groups")
     by_set = scratch.table(classes.join(group, "class").select("set", "class_id"), "sets")
-    scratch.drop("classes", "own", "heads", "crowded", "first", "links-first", "placed", "open", "second", "links-second", "groups")
+    scratch.drop("classes", "own", "heads", "crowded", "first", "links-first", "placed", "open", "second", "sets-second", "links-second", "groups")
     out = rows.join(by_set, "set", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
