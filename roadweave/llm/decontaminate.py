@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +36,35 @@ FOUND = "doc_id long, item_id long, score double, start_word int, end_word int"
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 
 
+#: Stands for every word that no item has.
+OTHER = (0,)
+
+
 class Normal(dict):
-    """Raw word -> hashes of its normalised words (none, one or several); emptied when full."""
+    """Raw word -> hashes of its normalised words (none, one or several); emptied when full.
+
+    With the vocabulary of a test set all other words are one, OTHER: they match nothing anyhow.
+    """
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, vocabulary: dict[str, tuple[int]] | None = None, most: int = 800_000):
         super().__init__()
-        self.most, self.hash = most, WordHashes()
+        self.most, self.vocabulary, self.hash = most, vocabulary, WordHashes()
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        out = self[raw] = tuple(self.hash[w.encode()] for w in TOKEN.findall(raw.lower()))
+        low = raw.lower()
+        if self.vocabulary is None:
+            out = tuple(self.hash[w.encode()] for w in TOKEN.findall(low))
+        elif low.isalnum():
+            out = self.vocabulary.get(low, OTHER)
+        else:
+            out = tuple(h for w in TOKEN.findall(low) for h in self.vocabulary.get(w, OTHER))
+        self[raw] = out
         return out
 
     def of(self, text: str) -> np.ndarray:
-        return np.fromiter((h for t in map(self.__getitem__, text.split()) for h in t), np.uint64)
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.uint64)
 
 
 def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -84,14 +99,16 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class TestSet:
     """A block of items: word hashes, and the sorted n-grams with the items that hold them."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray]):
-        self.ids, self.words = ids, words
+    def __init__(self, ids: list[int], words: list[np.ndarray], vocabulary: dict[str, tuple[int]]):
+        self.ids, self.words, self.vocabulary = ids, words, vocabulary
         own = [np.unique(grams(w)) for w in words]
         flat = np.concatenate(own) if own else np.empty(0, np.uint64)
         self.grams, place = np.unique(flat, return_inverse=True)
         item = np.repeat(np.arange(len(own)), list(map(len, own)))
         order = np.argsort(place, kind="stable")
         self.items = item[order]
+        self.maybe = np.zeros(1 << 22, bool)  # by leading bits: most n-grams of a text end here
+        self.maybe[self.grams >> np.uint64(42)] = True
         self.bounds = np.searchsorted(place[order], np.arange(len(self.grams) + 1))
         self.own = [np.searchsorted(self.grams, g) for g in own]
         # a short item has n-grams of its own length
@@ -103,9 +120,10 @@ class TestSet:
         for n in self.sizes:
             if len(words) >= n:
                 g = grams(words, n)
-                k = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-                hit = np.flatnonzero(self.grams[k] == g)
-                at.append(hit)
+                near = np.flatnonzero(self.maybe[g >> np.uint64(42)])
+                k = np.minimum(np.searchsorted(self.grams, g[near]), len(self.grams) - 1)
+                hit = self.grams[k] == g[near]
+                at.append(near[hit])
                 number.append(k[hit])
         return (np.concatenate(at), np.concatenate(number)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
 
@@ -124,24 +142,26 @@ class TestSet:
 
 def blocks(items: DataFrame, normal: Normal) -> Iterator[TestSet]:
     """The test set in blocks of at most BLOCK words."""
-    ids, words, size = [], [], 0
+    ids, words, vocabulary, size = [], [], {}, 0
     for r in items.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).orderBy("i", "t").toLocalIterator():
         w = normal.of(r.t)
         if ids and size + len(w) > BLOCK:
-            yield TestSet(ids, words)
-            ids, words, size = [], [], 0
+            yield TestSet(ids, words, vocabulary)
+            ids, words, vocabulary, size = [], [], {}, 0
         ids.append(r.i)
         words.append(w)
+        vocabulary |= {x: (normal.hash[x.encode()],) for x in TOKEN.findall(r.t.lower())}
         size += len(w)
     if size:
-        yield TestSet(ids, words)
+        yield TestSet(ids, words, vocabulary)
 
 
 def document_counts(texts: DataFrame, test) -> np.ndarray:
     """Documents that hold each n-gram of the block."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
-        t, normal = test.value, Normal()
+        t = test.value
+        normal = Normal(t.vocabulary)
         total = np.zeros(len(t.grams), np.int64)
         for b in parts:
             for text in b.column("text").to_pylist():
@@ -201,7 +221,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataF
         rare = spark.sparkContext.broadcast(block.seeds(document_counts(texts, test)))
 
         def run(parts: Iterator[pa.RecordBatch], test=test, rare=rare) -> Batches:
-            t, r, normal = test.value, rare.value, Normal()
+            t, r, normal = test.value, rare.value, Normal(test.value.vocabulary)
             for b in parts:
                 rows = [(d, *x) for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in found_in(normal.of(text), t, r, least)]
                 yield batches({f.name: [x[k] for x in rows] for k, f in enumerate(FOUND_ARROW)}, FOUND_ARROW)
