@@ -6,8 +6,9 @@ classes are kept; linear weights and FACTORS-dimensional factors are fitted to t
 have a weight of their own. The model is a table of at most KEEP rows, whatever the size of the corpus; every whole text
 of the corpus is scored in one pass without a shuffle.
 
-The sample: at most `fit_rows` labelled documents of each class, those with the smallest hash of doc_id; near copies in it
-count once. Only hashed terms of the sample reach the driver, at most BUCKETS numbers of 4 bytes a document.
+The sample: at most `fit_rows` labelled documents of each class, those with the smallest hash of doc_id. Rows of one label
+whose whole term sets are equal count once; everything else stays: near copies, and equal texts of different labels. Only
+hashed terms of the sample reach the driver, at most BUCKETS numbers of 4 bytes a document.
 
 Defined results: null and empty texts have no terms and get the score of the intercept; repeated rows give repeated rows;
 a null doc_id is kept and is not held out; without labelled rows of both classes every score is 0 and predicted 0; extra
@@ -71,14 +72,17 @@ class FactorisationMachine:
         return float(self.bias + self.w[k].sum() + 0.5 * (v.sum(0) ** 2 - (v * v).sum(0)).sum())
 
 
+def distinct_rows(terms: list[np.ndarray], label: np.ndarray) -> list[int]:
+    """The first of each group of rows with the same label and the same whole set of terms."""
+    first = {}
+    for k, t in enumerate(terms):
+        first.setdefault((int(label[k]), t.tobytes()), k)
+    return list(first.values())
+
+
 def fit_machine(terms: list[np.ndarray], label: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> FactorisationMachine | None:
     """Of rows of distinct hashed terms; None unless both classes occur."""
-    seen, own = set(), []
-    for k, t in enumerate(terms):  # near copies share their smallest mixed terms
-        m = np.sort((t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))[:3].tobytes()
-        if m not in seen:
-            seen.add(m)
-            own.append(k)
+    own = distinct_rows(terms, label)
     terms, y = [terms[k] for k in own], label[own].astype(float)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
@@ -133,7 +137,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[
 
     rows = id_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "label int, terms array<int>")  # at most 2 x fit_rows rows are sent
     got = rows.toArrow()
-    terms = [np.asarray(t, np.int64) for t in got.column("terms").to_pylist()]
+    terms = [np.asarray(t.values.to_numpy(), np.int64) for t in got.column("terms")]
     label = np.array(got.column("label").to_pylist(), np.int64)
     order = sorted(range(len(terms)), key=lambda k: (int(label[k]), terms[k].tobytes()))  # the same model whatever order the rows come in
     return [terms[k] for k in order], label[order]

@@ -113,6 +113,24 @@ def test_pairs_of_terms_are_learnt():
     assert np.abs(m.v[place[1]] @ m.v[place[2]]) > 0.05
 
 
+def test_copies_in_the_labelled_sample():
+    """Only equal term sets of one label count once; rows that share a few terms, near copies and other labels stay."""
+    from roadweave.llm import toxicity
+
+    draw = np.random.default_rng(1)
+    mix = lambda t: (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    pool = np.arange(1, 100_000)
+    pool = pool[np.argsort(mix(pool))]
+    row = lambda *more: np.unique(np.concatenate((pool[:3], draw.choice(pool[3:], 60, replace=False), np.array(more, np.int64))))
+    toxic, clean = [row(100_001) for _ in range(30)], [row() for _ in range(30)]
+    label = np.array([0] * 31 + [1] * 32)
+    near = np.append(toxic[0][:-2], 100_002)
+    terms = clean + [toxic[5]] + toxic + [toxic[3], np.unique(near)]
+    assert 100_001 in getattr(toxicity.fit_machine(terms, label), "buckets", ())
+    assert toxicity.distinct_rows(terms, label) == [*range(61), 62]
+    assert toxicity.distinct_rows([np.empty(0, np.int64)] * 3, np.array([0, 0, 1])) == [0, 2]
+
+
 def test_vectors(spark, tmp_path):
     draw = np.random.default_rng(4)
     base = draw.normal(size=(12, 16))
