@@ -1,18 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: a lossless count of shared word pairs, then Smith-Waterman alignment.
 
-Test items are cut into n-grams of normalised words. The corpus counts, for every n-gram of the test, the documents that
-hold it. An item's seeds are its rarer n-grams: those in no more documents than the item's median n-gram, so that every
-item has seeds however widely it leaked. Documents that hold a seed are joined to the seed's items, and the stretch around
-the seeds is aligned with the item by local alignment over words (match 2, mismatch -1, gap -1); a pair counts if the score
-is at least `least` of a full match's. Edited and paraphrased copies lose a little score for each changed word.
+Texts and test items are normalised words; a document is aligned with an item by local alignment over words (match 2,
+mismatch -1, gap -1), and the pair counts if the score is at least `least` of a full match's. Edited and paraphrased copies
+lose a little score for each changed word.
 
-Scale: texts are read in place, twice, and never shuffled. The test set is sent to the workers in blocks of at most
-BLOCK n-grams, one pass for each block; counts come back as one number for each n-gram of the block. Every document yields
-at most a row for each item that it holds.
+Which stretches are aligned follows from the score. An alignment of score S is a first match and steps from each match to
+the next; a step to the next word on both sides adds 2, one that passes a single word on one or both sides adds 1, any other
+adds nothing or less. So the weights of its steps of the first two kinds, word pairs at distance 1 or 2 on both sides, sum to
+S - 2 at least, within 3 words for each word of the item less S. Every stretch whose pairs with an item reach that sum is
+aligned, however many documents or items share them. No pair of a document and an item that scores `least` is left out,
+except where `least` asks for no more than one matching word.
 
-Defined results: null and empty texts and items hold nothing; items shorter than an n-gram are one n-gram of all their
-words; repeated rows give repeated results; null ids are kept; extra columns are ignored; an empty table on either side
-gives an empty result.
+Scale: texts are read in place, once for each block of the test set, and never shuffled. The test set is sent to the workers
+in blocks of at most BLOCK words. Every document yields at most a row for each item that it holds.
+
+Defined results: null and empty texts and items hold nothing; items shorter than SHORT words count only where they occur
+whole; repeated rows give repeated results; null ids are kept; extra columns are ignored; an empty table on either side gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, WordHashes, batches, id_text, mixed, small_batches, window_hashes
+from ._kit import MIX, Batches, batches, id_text, small_batches
 
-GRAM = 4
+SHORT = 4
 BLOCK = 1 << 20
+#: Bounds of what is looked at together: words of texts, cells of documents by items, links of word pairs to items.
+WORDS, CELLS, LINKS = 100_000, 1 << 22, 1 << 21
 MATCH, OFF = 2, 1
 TOKEN = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, score double, start_word int, end_word int"
@@ -41,22 +47,20 @@ OTHER = (0,)
 
 
 class Normal(dict):
-    """Raw word -> hashes of its normalised words (none, one or several); emptied when full.
+    """Raw word -> numbers of its normalised words (none, one or several); emptied when full.
 
-    With the vocabulary of a test set all other words are one, OTHER: they match nothing anyhow.
+    Words that no item has are one, OTHER: they match nothing anyhow.
     """
 
-    def __init__(self, vocabulary: dict[str, tuple[int]] | None = None, most: int = 800_000):
+    def __init__(self, vocabulary: dict[str, tuple[int]], most: int = 800_000):
         super().__init__()
-        self.most, self.vocabulary, self.hash = most, vocabulary, WordHashes()
+        self.most, self.vocabulary = most, vocabulary
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
         low = raw.lower()
-        if self.vocabulary is None:
-            out = tuple(self.hash[w.encode()] for w in TOKEN.findall(low))
-        elif low.isalnum():
+        if low.isalnum():
             out = self.vocabulary.get(low, OTHER)
         else:
             out = tuple(h for w in TOKEN.findall(low) for h in self.vocabulary.get(w, OTHER))
@@ -64,11 +68,7 @@ class Normal(dict):
         return out
 
     def of(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.uint64)
-
-
-def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
-    return mixed(window_hashes(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -97,117 +97,134 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class TestSet:
-    """A block of items: word hashes, and the sorted n-grams with the items that hold them."""
+    """A block of items: words as numbers from 1, and the sorted word pairs with the items that hold them."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], vocabulary: dict[str, tuple[int]]):
+    def __init__(self, ids: list[int], words: list[np.ndarray], vocabulary: dict[str, tuple[int]], least: float):
         self.ids, self.words, self.vocabulary = ids, words, vocabulary
-        own = [np.unique(grams(w)) for w in words]
-        flat = np.concatenate(own) if own else np.empty(0, np.uint64)
-        self.grams, place = np.unique(flat, return_inverse=True)
-        item = np.repeat(np.arange(len(own)), list(map(len, own)))
-        order = np.argsort(place, kind="stable")
-        self.items = item[order]
-        self.maybe = np.zeros(1 << 22, bool)  # by leading bits: most n-grams of a text end here
-        self.maybe[self.grams >> np.uint64(42)] = True
-        self.bounds = np.searchsorted(place[order], np.arange(len(self.grams) + 1))
-        self.own = [np.searchsorted(self.grams, g) for g in own]
-        # a short item has n-grams of its own length
-        self.sizes = sorted({min(GRAM, len(w)) for w in words if len(w)})
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the text, numbers of the n-grams there)."""
-        at, number = [], []
-        for n in self.sizes:
-            if len(words) >= n:
-                g = grams(words, n)
-                near = np.flatnonzero(self.maybe[g >> np.uint64(42)])
-                k = np.minimum(np.searchsorted(self.grams, g[near]), len(self.grams) - 1)
-                hit = self.grams[k] == g[near]
-                at.append(near[hit])
-                number.append(k[hit])
-        return (np.concatenate(at), np.concatenate(number)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def seeds(self, documents: np.ndarray) -> np.ndarray:
-        """Mask over (n-gram, item) links: the item's rarer n-grams."""
-        rare = np.zeros(len(self.items), bool)
-        for i, own in enumerate(self.own):
-            held = own[documents[own] > 0]
-            if len(held):
-                limit = np.median(documents[held])
-                for g in held[documents[held] <= limit]:
-                    a, b = self.bounds[g], self.bounds[g + 1]
-                    rare[a + np.flatnonzero(self.items[a:b] == i)] = True
-        return rare
-
-
-def blocks(items: DataFrame, normal: Normal) -> Iterator[TestSet]:
-    """The test set in blocks of at most BLOCK words."""
+        size = np.array(list(map(len, words)), np.int64)
+        self.least = np.where(size < SHORT, max(1.0, least), least)
+        score = np.ceil(self.least * MATCH * size - 1e-9).astype(np.int64)
+        self.need = np.maximum(score - MATCH, 1)
+        self.span = np.maximum(3 * size - score, 1)
+        key, item, weight = [], [], []  # weights by the pair's distance in a text: 0 (a lone word), 1, 2
+        for i, w in enumerate(words):
+            for distance, weights in ((1, (0, 2, 1)), (2, (0, 1, 1))) if len(w) > 1 else ((0, (1, 0, 0)),):
+                k = (w[: len(w) - distance] << 32) | (w[distance:] if distance else 0)
+                key.append(k)
+                item.append(np.full(len(k), i))
+                weight.append(np.tile(weights, (len(k), 1)))
+        key, item, weight = np.concatenate(key), np.concatenate(item), np.concatenate(weight)
+        self.keys, place = np.unique(key, return_inverse=True)
+        link, at = np.unique(place * len(words) + item, return_inverse=True)
+        self.items, pair = link % len(words), link // len(words)
+        self.weight = np.stack([np.bincount(at, weights=weight[:, d], minlength=len(link)) for d in range(3)]).astype(np.int64)
+        self.bounds = np.searchsorted(pair, np.arange(len(self.keys) + 1))
+        order = np.argsort(self.items, kind="stable")
+        ends = np.searchsorted(self.items[order], np.arange(len(words) + 1))
+        self.own = [(pair[o], self.weight[:, o]) for o in (order[a:b] for a, b in zip(ends, ends[1:], strict=False))]
+        self.distances = [d for d in range(3) if self.weight[d].any()]
+        self.maybe = np.zeros(1 << 22, bool)  # by hashed bits: most pairs of a text end here
+        self.maybe[bits(self.keys)] = True
+
+    def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in the text, numbers of the pairs that begin there, their distances), by place."""
+        at, number, far = [], [], []
+        for d in self.distances:
+            p = np.flatnonzero((flat[: len(flat) - d] > 0) & (flat[d:] > 0))
+            key = (flat[p] << 32) | (flat[p + d] if d else 0)
+            near = self.maybe[bits(key)]
+            p, key = p[near], key[near]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            at.append(p[hit])
+            number.append(k[hit])
+            far.append(np.full(len(at[-1]), d))
+        at, number, far = map(np.concatenate, (at, number, far))
+        order = np.argsort(at, kind="stable")
+        return at[order], number[order], far[order]
+
+    def reaching(self, text: np.ndarray, number: np.ndarray, far: np.ndarray, texts: int) -> np.ndarray:
+        """(text, item) whose pairs, each counted once, have the item's needed weight, as text * items + item."""
+        code = np.unique((text * len(self.keys) + number) * 3 + far)
+        far, code = code % 3, code // 3
+        text, number = code // len(self.keys), code % len(self.keys)
+        first, count = self.bounds[number], np.diff(self.bounds)[number]
+        total = np.zeros(texts * len(self.ids))
+        ends = np.cumsum(count)
+        lo = 0
+        while lo < len(count):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LINKS, "right")))
+            n = count[lo:hi]
+            link = np.repeat(first[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            total += np.bincount(np.repeat(text[lo:hi], n) * len(self.ids) + self.items[link], weights=self.weight[np.repeat(far[lo:hi], n), link], minlength=len(total))
+            lo = hi
+        return np.flatnonzero(total.reshape(texts, -1) >= self.need)
+
+    def found(self, texts: list[np.ndarray]) -> list[tuple]:
+        """(number of the text, item_id, share, start, end) of each text and item that it holds."""
+        flat = np.concatenate([x for t in texts for x in (t, np.zeros(2, np.int64))])  # no pair lies across texts
+        begins = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
+        at, number, far = self.hits(flat)
+        edge = np.searchsorted(at, begins)
+        text = np.repeat(np.arange(len(texts)), np.diff(edge))
+        out = []
+        for cell in self.reaching(text, number, far, len(texts)).tolist():
+            x, i = divmod(cell, len(self.ids))
+            part = slice(edge[x], edge[x + 1])
+            best = self.best(i, texts[x], at[part] - begins[x], number[part], far[part])
+            share = best[0] / (MATCH * len(self.words[i]))
+            if share >= self.least[i]:
+                out.append((x, self.ids[i], share, best[1], best[2]))
+        return out
+
+    def best(self, i: int, words: np.ndarray, at: np.ndarray, number: np.ndarray, far: np.ndarray) -> tuple[int, int, int]:
+        """The best alignment of an item in the stretches of a text that have the needed weight."""
+        pair, weight = self.own[i]
+        k = np.minimum(np.searchsorted(pair, number), len(pair) - 1)
+        mine = pair[k] == number
+        at, w, span = at[mine], weight[far[mine], k[mine]], int(self.span[i])
+        total = np.concatenate(([0], np.cumsum(w)))
+        starts = at[total[np.searchsorted(at, at + span)] - total[np.searchsorted(at, at)] >= self.need[i]]
+        best = (0, 0, 0)
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) >= 2 * span) + 1) if len(starts) else ():  # overlapping reaches are one stretch
+            lo = max(0, int(part[0]) - span + 1)
+            score, a, b = align(self.words[i], words[lo : int(part[-1]) + span])
+            if score > best[0]:
+                best = (score, lo + a, lo + b)
+        return best
+
+
+def bits(key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (key.astype(np.uint64) * MIX) >> np.uint64(42)
+
+
+def blocks(items: DataFrame, least: float) -> Iterator[TestSet]:
+    """The test set in blocks of at most BLOCK words; items without words hold nothing."""
     ids, words, vocabulary, size = [], [], {}, 0
     for r in items.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).orderBy("i", "t").toLocalIterator():
-        w = normal.of(r.t)
+        w = [x for raw in r.t.split() for x in TOKEN.findall(raw.lower())]
+        if not w:
+            continue
         if ids and size + len(w) > BLOCK:
-            yield TestSet(ids, words, vocabulary)
+            yield TestSet(ids, words, vocabulary, least)
             ids, words, vocabulary, size = [], [], {}, 0
         ids.append(r.i)
-        words.append(w)
-        vocabulary |= {x: (normal.hash[x.encode()],) for x in TOKEN.findall(r.t.lower())}
+        words.append(np.array([vocabulary.setdefault(x, (len(vocabulary) + 1,))[0] for x in w], np.int64))
         size += len(w)
-    if size:
-        yield TestSet(ids, words, vocabulary)
-
-
-def document_counts(texts: DataFrame, test) -> np.ndarray:
-    """Documents that hold each n-gram of the block."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
-        t = test.value
-        normal = Normal(t.vocabulary)
-        total = np.zeros(len(t.grams), np.int64)
-        for b in parts:
-            for text in b.column("text").to_pylist():
-                total[np.unique(t.hits(normal.of(text))[1])] += 1
-        some = np.flatnonzero(total)
-        yield batches({"gram": some, "documents": total[some]}, pa.schema([("gram", pa.int64()), ("documents", pa.int64())]))
-
-    out = np.zeros(len(test.value.grams), np.int64)
-    for r in texts.mapInArrow(run, "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("n")).toLocalIterator():
-        out[r.gram] = r.n
-    return out
-
-
-def found_in(words: np.ndarray, t: TestSet, rare: np.ndarray, least: float) -> list[tuple]:
-    at, number = t.hits(words)
-    if not len(at):
-        return []
-    near: dict[int, list[int]] = {}
-    for p, g in zip(at.tolist(), number.tolist(), strict=True):
-        for k in range(t.bounds[g], t.bounds[g + 1]):
-            if rare[k]:
-                near.setdefault(int(t.items[k]), []).append(p)
-    out = []
-    for i, places in near.items():
-        item = t.words[i]
-        reach, best = 2 * len(item) + 4, (0, 0, 0)
-        places.sort()
-        lo = hi = None
-        windows = []
-        for p in places:  # overlapping reaches are one stretch
-            if hi is not None and p - reach <= hi:
-                hi = p + reach
-            else:
-                if lo is not None:
-                    windows.append((lo, hi))
-                lo, hi = p - reach, p + reach
-        windows.append((lo, hi))
-        for lo, hi in windows:
-            lo = max(0, lo)
-            score, a, b = align(item, words[lo:hi])
-            if score > best[0]:
-                best = (score, lo + a, lo + b)
-        share = best[0] / (MATCH * len(item))
-        if share >= least:
-            out.append((t.ids[i], share, best[1], best[2]))
-    return out
+    if ids:
+        yield TestSet(ids, words, vocabulary, least)
+
+
+def held(t: TestSet, texts: list[str], normal: Normal) -> Iterator[tuple]:
+    """`found` of a batch's texts, some at a time."""
+    part, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        part.append(normal.of(text))
+        size += len(part[-1])
+        if size >= WORDS or (len(part) + 1) * len(t.ids) > CELLS or k == len(texts) - 1:
+            yield from ((first + x, *rest) for x, *rest in t.found(part))
+            part, first, size = [], k + 1, 0
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
@@ -216,14 +233,14 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataF
     small_batches(spark)
     texts = id_text(docs)
     out = None
-    for block in blocks(items, Normal()):
+    for block in blocks(items, least):
         test = spark.sparkContext.broadcast(block)
-        rare = spark.sparkContext.broadcast(block.seeds(document_counts(texts, test)))
 
-        def run(parts: Iterator[pa.RecordBatch], test=test, rare=rare) -> Batches:
-            t, r, normal = test.value, rare.value, Normal(test.value.vocabulary)
+        def run(parts: Iterator[pa.RecordBatch], test=test) -> Batches:
+            t, normal = test.value, Normal(test.value.vocabulary)
             for b in parts:
-                rows = [(d, *x) for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in found_in(normal.of(text), t, r, least)]
+                ids = b.column("doc_id").to_pylist()
+                rows = [(ids[x], *rest) for x, *rest in held(t, b.column("text").to_pylist(), normal)]
                 yield batches({f.name: [x[k] for x in rows] for k, f in enumerate(FOUND_ARROW)}, FOUND_ARROW)
 
         part = texts.mapInArrow(run, FOUND)

@@ -267,6 +267,24 @@ def test_contaminated(spark, sf):
     assert all(s == 1.0 for (_, i), s in out.items() if i == 0) and all(0.6 < s < 1 for (_, i), s in out.items() if i == 4)
 
 
+def leaks(spark, texts, items):
+    out = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r.score for r in out.collect()}
+
+
+def every(words, n, change=lambda w: ["edit"]):
+    return " ".join(x for k, w in enumerate(words.split()) for x in (change(w) if k % n == n - 1 else [w]))
+
+
+def test_edited_copies_beside_full_ones(spark):
+    """A copy is found by its own words, however many documents hold them."""
+    item = " ".join(f"i{k}" for k in range(42))
+    part = " ".join(item.split()[:22])
+    assert set(leaks(spark, [f"{prose(20)} {item} {prose(20)}", f"{prose(20)} {every(item, 6)} {prose(20)}", part.rsplit(" ", 3)[0]], [item])) == {(0, 0), (1, 0)}
+    assert set(leaks(spark, [item, every(item, 6)], [item])) == {(0, 0), (1, 0)}
+    assert set(leaks(spark, [item] * 4 + [part], [item])) == {(k, 0) for k in range(5)}
+
+
 def test_pipeline(spark, sf, none):
     import corpus_pipeline as p
 
