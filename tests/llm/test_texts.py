@@ -285,6 +285,29 @@ def test_edited_copies_beside_full_ones(spark):
     assert set(leaks(spark, [item] * 4 + [part], [item])) == {(k, 0) for k in range(5)}
 
 
+def test_copies_without_a_run_of_words(spark):
+    """Every third or fourth word replaced, or a word put in after each: no three or no two words lie together."""
+    item = " ".join(f"i{k}" for k in range(40))
+    texts = [every(item, 4), every(item, 3), every(item, 1, lambda w: [w, "more"]), every(item, 2)]
+    assert leaks(spark, texts, [item]) == {(0, 0): pytest.approx(0.64, abs=0.01), (1, 0): pytest.approx(0.51, abs=0.01), (2, 0): pytest.approx(41 / 80)}
+    assert leaks(spark, ["some two words here", "two more words"], ["two words", "here", "..."]).keys() == {(0, 0), (0, 1)}
+
+
+def test_all_pairs_that_score_are_found(spark):
+    """As by aligning every document with every item, with small vocabularies and words put in or left out."""
+    draw = random.Random(8)
+    some = lambda n: " ".join(f"v{int(draw.paretovariate(0.6)) % 60}" for _ in range(n))
+    items = [some(draw.randint(4, 45)) for _ in range(25)]
+    texts = []
+    for t in items * 6:
+        out = [x for w in t.split() for x in draw.choice([[w]] * 5 + [["z"], [w, "z"], [], [w, *some(1).split()]])]
+        texts.append(f"{some(draw.randint(0, 60))} {' '.join(out)} {some(draw.randint(0, 60))}")
+    number = {w: k for k, w in enumerate(sorted({w for t in items + texts for w in t.split()}))}
+    coded = lambda t: np.array([number[w] for w in t.split()])
+    share = {(d, i): decontaminate.align(coded(a), coded(t))[0] / 2 / len(a.split()) for d, t in enumerate(texts) for i, a in enumerate(items)}
+    assert leaks(spark, texts, items) == {k: v for k, v in share.items() if v >= 0.5}
+
+
 def test_pipeline(spark, sf, none):
     import corpus_pipeline as p
 
