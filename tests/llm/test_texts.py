@@ -246,6 +246,21 @@ def test_signatures_estimate_weighted_similarity():
         assert (sign(a) == sign(b)).mean() == pytest.approx(want, abs=0.03)
 
 
+def test_sketches_lose_less_than_bands():
+    """Pairs at similarity 0.8 that a sketch rules out are fewer than those that share no band."""
+    import math
+
+    import pyarrow as pa
+
+    k, p = minhash_dedup.K, 0.8 + 0.2 / 256
+    a = np.zeros((k + 1, k), np.uint8)
+    b = np.array([[0] * n + [1] * (k - n) for n in range(k + 1)], np.uint8)
+    batch = pa.RecordBatch.from_pydict({"a": range(k + 1), "b": range(k + 1), "sa": [x.tobytes() for x in a], "sb": [x.tobytes() for x in b]})
+    passed = {n for out in minhash_dedup.agreeing(iter([batch])) for n in out.column("a").to_pylist()}
+    lost = sum(math.comb(k, n) * p**n * (1 - p) ** (k - n) for n in range(k + 1) if n not in passed)
+    assert lost < (1 - 0.8**minhash_dedup.ROWS) ** minhash_dedup.BANDS
+
+
 def test_alignment():
     draw = np.random.default_rng(3)
 
