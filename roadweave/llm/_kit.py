@@ -6,21 +6,30 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.plans.scratch import Scratch  # noqa: F401
 
-#: Rows of a text table per Arrow batch; bounds a Python worker's memory with long texts.
-TEXT_BATCH = 256
+#: Rows and bytes of a table that a Python worker looks at together, however long an Arrow batch is; a longer row comes alone.
+ROWS, BYTES = 256, 4 << 20
 #: Words are maximal runs of anything but space and \x09-\x0D (the bytes that bytes.split() splits on).
 WORD = "[^\\x20\\x09-\\x0D]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(parts: Iterator[pa.RecordBatch], column: str = "text", rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most `rows` rows and about `size` bytes of a string or binary column."""
+    for b in parts:
+        at = 0
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < b.num_rows:
+            below = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = min(at + rows, max(at + 1, below))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def id_text(df: DataFrame, *more: str) -> DataFrame:
@@ -28,9 +37,24 @@ def id_text(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def blobs(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column."""
-    return column.cast(pa.binary()).to_pylist()
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(text: str = "text") -> Column:
+    """16 bytes that tell texts apart (null is the empty text): with doc_id they name a document, repeated rows being one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the documents (doc_id, key) of rows; a null doc_id equals a null one, other texts of an id stay."""
+    key, i, k = fresh(docs, "_key"), fresh(docs, "_other_id"), fresh(docs, "_other_key")
+    rows = rows.select(F.col("doc_id").alias(i), F.col("key").alias(k))
+    return docs.withColumn(key, text_key()).join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)), "left_anti").drop(key)
 
 
 class WordHashes(dict):
@@ -95,20 +119,6 @@ def sliding_min_index(h: np.ndarray, n: int) -> np.ndarray:
     return np.where(h[b] < h[a], b, a)
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64) if h.dtype == np.uint64 else h
-
-
-def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
-    return [batch.column(n).to_pylist() for n in names]
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal true runs."""
-    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
     """Mask of the positions that lie in a window of `width` beginning at one of `starts`."""
     delta = np.bincount(starts, minlength=size + 1)[: size + 1].astype(np.int64)
@@ -116,10 +126,6 @@ def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
     return np.cumsum(delta[:size]) > 0
 
 
-def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
-
-
 def batches(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, Scratch, batches, mixed, small_batches
+from ._kit import Batches, Scratch, batches, mixed, pieces
 
 #: Bytes of text that a worker gathers before it sends packets.
 STRETCH = 12 << 20
+#: Buckets of hashes for each partition, so that partitions come out alike.
+FINER = 8
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A null doc_id, last in order.
 LAST = 2**63 - 1
 MARKS = "dest int, keys binary, counts binary, at binary"
@@ -31,33 +34,39 @@ def parts_of(spark) -> int:
 
 
 class TextTable:
-    """Distinct (doc_id, text) rows, bucketed by (doc_id, h)."""
+    """Distinct (doc_id, text) rows, bucketed by (doc_id, h); the table goes with the block that it is made for.
+
+    Shuffle files of finished writes are freed as the work goes on (a setting of Spark's, which is put back at the end).
+    """
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
-        spark = docs.sparkSession
-        small_batches(spark)
-        self.spark, self.scratch, self.n = spark, scratch, parts_of(spark)
+        self.spark, self.scratch, self.n = docs.sparkSession, scratch, parts_of(docs.sparkSession)
         text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-        self.name = name = f"roadweave_texts_{uuid.uuid4().hex}"
-        dealt = self.rows.repartition(self.n, "doc_id", "h")
-        dealt.write.option("path", f"{scratch.base}/texts").option("compression", "zstd").bucketBy(self.n, "doc_id", "h").sortBy("doc_id", "h").saveAsTable(name)
-        self.table = spark.table(name)
-
-    def close(self) -> None:
-        """Once all that needs the texts is written."""
-        self.spark.sql(f"DROP TABLE {self.name}")
+        self.name = f"roadweave_texts_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> TextTable:
+        self.before = self.spark.conf.get(FREED)
+        self.spark.conf.set(FREED, "true")
+        try:
+            dealt = self.rows.repartition(self.n, "doc_id", "h")
+            dealt.write.option("path", f"{self.scratch.base}/texts").option("compression", "zstd").bucketBy(self.n, "doc_id", "h").sortBy("doc_id", "h").saveAsTable(self.name)
+            self.table = self.spark.table(self.name)
+        except BaseException:
+            self.__exit__()
+            raise
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.conf.set(FREED, self.before)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.scratch.drop("texts")
 
-    def free(self) -> None:
-        """Lets Spark drop the shuffle files of tables that were written."""
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def stretches(parts: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ()) -> Iterator[tuple[list, list, list[bytes], list]]:
     """doc_ids, hashes, texts and further columns of about STRETCH bytes at a time."""
     ids, hs, texts, more, size = [], [], [], [[] for _ in columns], 0
-    for b in parts:
+    for b in pieces(parts):
         ids += b.column("doc_id").to_pylist()
         hs += b.column("h").to_pylist()
         new = b.column("text").to_pylist()
@@ -76,10 +85,11 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by bucket and the bounds of each."""
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, and its entries in order."""
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+    used, first = np.unique(bucket[order], return_index=True)
+    yield from zip(used.tolist(), np.split(order, first[1:]) if len(used) else (), strict=True)
 
 
 def marks_of(doc: np.ndarray, at: np.ndarray, keys: np.ndarray, n: int) -> dict[str, list]:
@@ -99,10 +109,9 @@ def marks_of(doc: np.ndarray, at: np.ndarray, keys: np.ndarray, n: int) -> dict[
     at = at.astype(np.int32)[order]
     by_rank = np.argsort(rank)
     counts = np.bincount(rank[doc], minlength=len(key)).astype(np.int32)
-    bound = np.searchsorted(dest[by_rank], np.arange(n + 1))
+    parts, start = np.unique(dest[by_rank], return_index=True)
     first = np.concatenate(([0], np.cumsum(counts)))
-    for d in np.unique(dest).tolist():
-        lo, hi = bound[d], bound[d + 1]
+    for d, lo, hi in zip(parts.tolist(), start, np.append(start[1:], len(key)), strict=True):
         for name, v in zip(out, (d, key[by_rank[lo:hi]].tobytes(), counts[lo:hi].tobytes(), at[first[lo] : first[hi]].tobytes()), strict=True):
             out[name].append(v)
     return out
@@ -154,12 +163,9 @@ def add_settled(rows: dict[str, list], marks: dict[str, list]) -> None:
 def packets(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, keys: np.ndarray, n: int, settled: dict) -> pa.RecordBatch:
     """Entries (document, place, hash, check, whether the stretch holds it twice), and places that are settled already."""
     rows: dict[str, list] = {f.name: [] for f in PACKET_ARROW}
-    order, bound = by_bucket(bucket_of(hashes, n), n)
-    for b in range(n):
-        k = order[bound[b] : bound[b + 1]]
-        if len(k):
-            used, local = np.unique(doc[k], return_inverse=True)
-            add(rows, b, 0, at[k].astype(np.int32).tobytes(), keys[used].tobytes(), hashes[k].tobytes(), checks[k].tobytes() if checks is not None else b"", (local.astype(np.int32) << 1 | multi[k]).astype(np.int32).tobytes())
+    for b, k in by_bucket(bucket_of(hashes, FINER * n)):
+        used, local = np.unique(doc[k], return_inverse=True)
+        add(rows, b, 0, at[k].astype(np.int32).tobytes(), keys[used].tobytes(), hashes[k].tobytes(), checks[k].tobytes() if checks is not None else b"", (local.astype(np.int32) << 1 | multi[k]).astype(np.int32).tobytes())
     add_settled(rows, settled)
     return batches(rows, PACKET_ARROW)
 

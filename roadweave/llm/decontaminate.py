@@ -1,36 +1,42 @@
-"""Benchmark decontamination: a lossless count of shared word pairs, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word n-grams as seeds join documents to test items, then Smith-Waterman alignment.
 
 Texts and test items are normalised words; a document is aligned with an item by local alignment over words (match 2,
 mismatch -1, gap -1), and the pair counts if the score is at least `least` of a full match's. Edited and paraphrased copies
 lose a little score for each changed word.
 
-Which stretches are aligned follows from the score. An alignment of score S is a first match and steps from each match to
-the next; a step to the next word on both sides adds 2, one that passes a single word on one or both sides adds 1, any other
-adds nothing or less. So the weights of its steps of the first two kinds, word pairs at distance 1 or 2 on both sides, sum to
-S - 2 at least, within 3 words for each word of the item less S. Every stretch whose pairs with an item reach that sum is
-aligned, however many documents or items share them. No pair of a document and an item that scores `least` is left out,
-except where `least` asks for no more than one matching word.
-
-Scale: texts are read in place, once for each block of the test set, and never shuffled. The test set is sent to the workers
-in blocks of at most BLOCK words. Every document yields at most a row for each item that it holds.
-
-Defined results: null and empty texts and items hold nothing; items shorter than SHORT words count only where they occur
-whole; repeated rows give repeated results; null ids are kept; extra columns are ignored; an empty table on either side gives
-an empty result.
+Seeds are n-grams of two words, the next word or the one after, on either side. That they lose nothing follows from the
+score: an alignment of score S is a first match and steps from each match to the next; a step to the next word on both
+sides adds 2, one that passes a single word on one or both sides adds 1, any other adds nothing or less. So its steps of
+the first two kinds are word pairs at distance 1 or 2 on both sides whose weights sum to S - 2 at least, within 3 words for
+each word of the item less S, and begin at different places of the item. A first pass counts in how many documents each
+pair occurs. The commonest places of an item, as many as could not make up the sum together, are left out: what is left,
+its rare pairs, are the item's seeds, and every document that scores `least` holds one of them. Documents with a seed have
+all their pairs with the item summed, and the stretches that reach the sum are aligned, however many documents or items
+share a pair. No pair of a document and an item that scores `least` is left out.
+
+Scale: texts are read in place, twice for each block of the test set, and never shuffled; only counts are. The test set is
+sent to the workers in blocks of at most BLOCK words, with two counts a word. Every document yields at most a row for each
+item that it holds.
+
+Defined results: null and empty texts and items hold nothing; items shorter than SHORT words are no evidence inside other
+text, and count only for a document that has just their words; repeated rows give repeated results; null ids are kept;
+extra columns are ignored (decontaminated keeps them); an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import MIX, Batches, batches, id_text, small_batches
+from ._kit import MIX, Batches, Scratch, batches, id_text, pieces
 
 SHORT = 4
 BLOCK = 1 << 20
@@ -123,9 +129,30 @@ class TestSet:
         ends = np.searchsorted(self.items[order], np.arange(len(words) + 1))
         self.own = [(pair[o], self.weight[:, o]) for o in (order[a:b] for a, b in zip(ends, ends[1:], strict=False))]
         self.distances = [d for d in range(3) if self.weight[d].any()]
+        self.seeds = np.ones(3 * len(self.keys), bool)  # pair * 3 + distance
         self.maybe = np.zeros(1 << 22, bool)  # by hashed bits: most pairs of a text end here
         self.maybe[bits(self.keys)] = True
 
+    @cached_property
+    def normal(self) -> Normal:
+        """Kept by a worker for its later batches."""
+        return Normal(self.vocabulary)
+
+    def choose_seeds(self, documents: np.ndarray) -> None:
+        """Leaves out the commonest places of each item, as many as can't reach its need; documents: of each pair * 3 + distance."""
+        self.seeds[:] = False
+        for w, need in zip(self.words, self.need, strict=True):
+            n = len(w)
+            if n == 1:
+                self.seeds[3 * np.searchsorted(self.keys, w << 32)] = True
+                continue
+            first = 3 * np.searchsorted(self.keys, (w[:-1] << 32) | w[1:])
+            second = np.append(3 * np.searchsorted(self.keys, (w[:-2] << 32) | w[2:]), -1)  # the last place has none
+            codes = np.stack([first + 1, first + 2, np.where(second < 0, first + 1, second + 1), np.where(second < 0, first + 2, second + 2)])
+            common = documents[codes].sum(0)
+            rare = np.argsort(common, kind="stable")[: n - 1 - (int(need) - 1) // MATCH]
+            self.seeds[codes[:, rare].ravel()] = True
+
     def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places in the text, numbers of the pairs that begin there, their distances), by place."""
         at, number, far = [], [], []
@@ -144,8 +171,11 @@ class TestSet:
         return at[order], number[order], far[order]
 
     def reaching(self, text: np.ndarray, number: np.ndarray, far: np.ndarray, texts: int) -> np.ndarray:
-        """(text, item) whose pairs, each counted once, have the item's needed weight, as text * items + item."""
+        """(text, item) whose pairs, each counted once, have the item's needed weight, as text * items + item; a seed is one of them."""
         code = np.unique((text * len(self.keys) + number) * 3 + far)
+        seeded = np.zeros(texts, bool)
+        seeded[code[self.seeds[code % (3 * len(self.keys))]] // (3 * len(self.keys))] = True
+        code = code[seeded[code // (3 * len(self.keys))]]
         far, code = code % 3, code // 3
         text, number = code // len(self.keys), code % len(self.keys)
         first, count = self.bounds[number], np.diff(self.bounds)[number]
@@ -160,20 +190,30 @@ class TestSet:
             lo = hi
         return np.flatnonzero(total.reshape(texts, -1) >= self.need)
 
-    def found(self, texts: list[np.ndarray]) -> list[tuple]:
-        """(number of the text, item_id, share, start, end) of each text and item that it holds."""
+    def placed(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """The hits of several texts: (text, place, pair, distance), and where each text's begin."""
         flat = np.concatenate([x for t in texts for x in (t, np.zeros(2, np.int64))])  # no pair lies across texts
         begins = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
         at, number, far = self.hits(flat)
         edge = np.searchsorted(at, begins)
         text = np.repeat(np.arange(len(texts)), np.diff(edge))
+        return text, at - begins[text], number, far, edge
+
+    def counted(self, texts: list[np.ndarray]) -> np.ndarray:
+        """In how many of the texts each pair * 3 + distance occurs."""
+        text, _, number, far, _ = self.placed(texts)
+        return np.bincount(np.unique((text * len(self.keys) + number) * 3 + far) % (3 * len(self.keys)), minlength=3 * len(self.keys))
+
+    def found(self, texts: list[np.ndarray]) -> list[tuple]:
+        """(number of the text, item_id, share, start, end) of each text and item that it holds."""
+        text, at, number, far, edge = self.placed(texts)
         out = []
         for cell in self.reaching(text, number, far, len(texts)).tolist():
             x, i = divmod(cell, len(self.ids))
             part = slice(edge[x], edge[x + 1])
-            best = self.best(i, texts[x], at[part] - begins[x], number[part], far[part])
+            best = self.best(i, texts[x], at[part], number[part], far[part])
             share = best[0] / (MATCH * len(self.words[i]))
-            if share >= self.least[i]:
+            if share >= self.least[i] and (len(self.words[i]) >= SHORT or len(texts[x]) == len(self.words[i])):
                 out.append((x, self.ids[i], share, best[1], best[2]))
         return out
 
@@ -216,29 +256,56 @@ def blocks(items: DataFrame, least: float) -> Iterator[TestSet]:
         yield TestSet(ids, words, vocabulary, least)
 
 
-def held(t: TestSet, texts: list[str], normal: Normal) -> Iterator[tuple]:
-    """`found` of a batch's texts, some at a time."""
+def gathered(t: TestSet, texts: list[str], normal: Normal) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The normalised texts, some at a time, after the number of the first."""
     part, first, size = [], 0, 0
     for k, text in enumerate(texts):
-        part.append(normal.of(text))
+        part.append(normal.of(text or ""))
         size += len(part[-1])
         if size >= WORDS or (len(part) + 1) * len(t.ids) > CELLS or k == len(texts) - 1:
-            yield from ((first + x, *rest) for x, *rest in t.found(part))
+            yield first, part
             part, first, size = [], k + 1, 0
 
 
+def held(t: TestSet, texts: list[str], normal: Normal) -> Iterator[tuple]:
+    """`found` of a batch's texts."""
+    for first, part in gathered(t, texts, normal):
+        yield from ((first + x, *rest) for x, *rest in t.found(part))
+
+
+def with_seeds(docs: DataFrame, block: TestSet) -> TestSet:
+    """Counts the documents of each pair in the cluster; at most six counts for each word of a block come back."""
+    spark = docs.sparkSession
+    test = spark.sparkContext.broadcast(block)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        t, normal = test.value, test.value.normal
+        total = np.zeros(3 * len(t.keys), np.int64)
+        for b in pieces(parts):
+            for _, part in gathered(t, b.column("text").to_pylist(), normal):
+                total += t.counted(part)
+        code = np.flatnonzero(total)
+        yield batches({"code": code, "n": total[code]}, pa.schema([("code", pa.int64()), ("n", pa.int64())]))
+
+    counts = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    got = Scratch(spark, "seeds").table(counts, "counts").toArrow()
+    documents = np.zeros(3 * len(block.keys), np.int64)
+    documents[got.column("code").to_numpy()] = got.column("n").to_numpy()
+    block.choose_seeds(documents)
+    return block
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of each document and item that it holds."""
     spark = docs.sparkSession
-    small_batches(spark)
     texts = id_text(docs)
     out = None
     for block in blocks(items, least):
-        test = spark.sparkContext.broadcast(block)
+        test = spark.sparkContext.broadcast(with_seeds(texts, block))
 
         def run(parts: Iterator[pa.RecordBatch], test=test) -> Batches:
-            t, normal = test.value, Normal(test.value.vocabulary)
-            for b in parts:
+            t, normal = test.value, test.value.normal
+            for b in pieces(parts):
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[x], *rest) for x, *rest in held(t, b.column("text").to_pylist(), normal)]
                 yield batches({f.name: [x[k] for x in rows] for k, f in enumerate(FOUND_ARROW)}, FOUND_ARROW)
@@ -246,3 +313,24 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataF
         part = texts.mapInArrow(run, FOUND)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], FOUND)
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item; nothing is shuffled, and only texts go to Python."""
+    spark = docs.sparkSession
+    out = docs
+    for block in blocks(items, least):
+        holds = holding(spark.sparkContext.broadcast(with_seeds(docs, block)))
+        out = out.where(~F.arrow_udf(holds, "boolean")(F.col("text")))
+    return out
+
+
+def holding(test: Broadcast):
+    """Whether texts hold an item of a block."""
+
+    def holds(texts: pa.Array) -> pa.Array:
+        hit = np.zeros(len(texts), bool)
+        hit[[x for x, *_ in held(test.value, texts.to_pylist(), test.value.normal)]] = True
+        return pa.array(hit)
+
+    return holds

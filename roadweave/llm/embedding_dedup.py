@@ -180,7 +180,6 @@ def grouped(least: float):
 def link_vectors(vectors: DataFrame, least: float = 0.98, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     scratch = Scratch(spark, "embeddings")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("string").alias("label"))
     big = F.array_max(F.transform("x", F.abs))

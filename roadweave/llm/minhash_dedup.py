@@ -17,8 +17,13 @@ Scale: no list of pairs within a group of near copies, no cap on buckets; a buck
 tiles, and sketches of a byte for each coordinate are compared where they lie. The only quadratic case is a bucket with
 many documents that are pairwise not similar though ROWS coordinates agree.
 
+Classes are named by 128-bit hashes of their shingle sets until the end, so a doc_id that has several texts keeps the
+links of each.
+
 Defined results: null, empty and blank texts have no shingles and are classes of their own; repeated rows and copies share
-a class; a null doc_id is kept with a null class; extra columns are ignored; an empty table gives an empty result.
+a class; a null doc_id takes part, comes last in order, and names a class only if all its ids are null; one document of each
+group, the smallest by doc_id and then by its text's key, is kept with its repeated rows; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from roadweave.operators.components import connected_components
 
-from ._kit import Batches, Scratch, WordHashes, batches, id_text, mixed, small_batches, window_hashes
+from ._kit import Batches, Scratch, WordHashes, batches, fresh, id_text, mixed, pieces, text_key, window_hashes, without
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -42,6 +47,8 @@ K = BANDS * ROWS
 TILE = 2048
 #: Share of agreeing coordinates below which a pair isn't verified: loses fewer pairs at 0.8 (1.6e-5) than the bands (7.3e-5).
 ESTIMATE = 0.64
+#: Stands for a null doc_id where texts are looked up.
+NO_ID = -(2**63)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,12 +113,12 @@ def signature(h: np.ndarray, weight: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def signed_rows(weights: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary()), ("bands", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("set", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary()), ("bands", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         cache = WordHashes()
         last: dict[bytes, tuple[bytes, bytes]] = {}
-        for b in parts:
+        for b in pieces(parts):
             sets, sizes, out = [], [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 h, n = shingles(text, cache)
@@ -124,7 +131,7 @@ def signed_rows(weights: str):
                 sets.append(name)
                 sizes.append(int(n.sum()))
                 out.append(last[name] if name else (None, None))
-            yield batches({"doc_id": b.column("doc_id"), "set": sets, "size": sizes, "sketch": [x for x, _ in out], "bands": [y for _, y in out]}, schema)
+            yield batches({"doc_id": b.column("doc_id"), "key": b.column("key"), "set": sets, "size": sizes, "sketch": [x for x, _ in out], "bands": [y for _, y in out]}, schema)
 
     return run
 
@@ -145,15 +152,15 @@ def matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
 
 def agreeing(parts: Iterator[pa.RecordBatch]) -> Batches:
     """Pairs whose sketches agree in ESTIMATE of the coordinates."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for b in parts:
+    for b in pieces(parts, "sa", rows=8192):
         if b.num_rows:
             ok = pa.array((matrix(b.column("sa"), np.uint8, K) == matrix(b.column("sb"), np.uint8, K)).mean(1) >= ESTIMATE)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], schema=LINK)
 
 
-BLOCK = "bucket long, i int, j int, tile int, class long, part long, main long, size long, sketch binary, bands binary"
-LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+BLOCK = "bucket long, i int, j int, tile int, class binary, part binary, main binary, size long, sketch binary, bands binary"
+LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+PAIRS = "a binary, b binary"
 
 
 def by_block(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -179,7 +186,10 @@ def open_pairs(key: tuple, t: pa.Table, least: float) -> Iterator[tuple[int, np.
     bucket, i, j = key
     col = lambda c: t.column(c).to_numpy()
     sketch, bands = (matrix(t.column(c), d, w) for c, d, w in (("sketch", np.uint8, K), ("bands", np.int64, BANDS)))
-    cls, part, size, tile, main = map(col, ("class", "part", "size", "tile", "main"))
+    size, tile = map(col, ("size", "tile"))
+    names = [t.column(c).to_pylist() for c in ("class", "part", "main")]
+    number = {x: k for k, x in enumerate(sorted(set().union(*names)))}
+    cls, part, main = (np.array([number[x] for x in c]) for c in names)
     first = int(np.flatnonzero((bands == bucket).all(0))[0])
     for x in np.flatnonzero(part != main):
         y = np.flatnonzero((tile == (j if tile[x] == i else i)) & (part != part[x]) & ((part == main) | (cls > cls[x])))
@@ -209,8 +219,8 @@ def linked(least: float):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         for key, t in by_block(parts):
-            cls, hashes, counts = t.column("class").to_numpy(), t.column("hashes").to_pylist(), t.column("counts").to_pylist()
-            pairs = [(int(cls[x]), int(cls[k])) for x, y in open_pairs(key, t, least) for k in y if alike(hashes[x], counts[x], hashes[k], counts[k], least)]
+            cls, hashes, counts = (t.column(c).to_pylist() for c in ("class", "hashes", "counts"))
+            pairs = [(cls[x], cls[k]) for x, y in open_pairs(key, t, least) for k in y if alike(hashes[x], counts[x], hashes[k], counts[k], least)]
             yield batches({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, LINK)
 
     return run
@@ -227,21 +237,22 @@ def alike(ha: bytes, ca: bytes, hb: bytes, cb: bytes, least: float) -> bool:
     return both >= least * (int(n.sum()) + int(m.sum()) - both)
 
 
-def shingle_sets(classes: DataFrame, texts: DataFrame, weights: str) -> DataFrame:
-    """(class, hashes, counts) of the classes; counts is empty where every one is 1. texts: class, text."""
+def shingle_sets(classes: DataFrame, firsts: DataFrame, texts: DataFrame, weights: str) -> DataFrame:
+    """(class, hashes, counts) of the classes; counts is empty where every one is 1. firsts: class, doc_id, key; texts: doc_id, key, text."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Batches:
-        schema = pa.schema([("class", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+        schema = pa.schema([("class", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
         cache = WordHashes()
-        for b in parts:
+        for b in pieces(parts):
             got = [shingles(t, cache) for t in b.column("text").cast(pa.binary()).to_pylist()]
             plain = [n if weights == "counts" else np.ones_like(n) for _, n in got]
             yield batches({"class": b.column("class"), "hashes": [h.tobytes() for h, _ in got], "counts": [b"" if (n == 1).all() else n.astype(np.uint32).tobytes() for n in plain]}, schema)
 
-    return texts.join(classes.distinct().hint("merge"), "class").mapInArrow(sets, "class long, hashes binary, counts binary")
+    one = classes.distinct().join(firsts, "class")  # a row of the class: its text is read there
+    return texts.join(one.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("class", "text").mapInArrow(sets, "class binary, hashes binary, counts binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, least: float, weights: str, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of classes whose exact similarity is at least `least`."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Batches:
@@ -249,51 +260,51 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str, scr
             keep = pa.array([alike(*x, least) for x in zip(*(b.column(c).to_pylist() for c in ("ha", "ca", "hb", "cb")), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=LINK)
 
-    known = scratch.table(shingle_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), texts, weights), "sets-first")
+    known = scratch.table(shingle_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), firsts, texts, weights), "sets-first")
     left, right = known.toDF("a", "ha", "ca"), known.toDF("b", "hb", "cb")
-    found = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
+    found = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, PAIRS)
     found = scratch.table(found.distinct(), "links-first")
     scratch.drop("sets-first")
     return found
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its group), kept of each row; weights: "set" (1 each) or "counts"."""
+    """doc_id, class_id (the smallest doc_id of its group), kept and key (see _kit.text_key) of each row; weights: "set" (1 each) or "counts"."""
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "minhash")
-    texts = id_text(docs)
-    rows = scratch.table(texts.mapInArrow(signed_rows(weights), "doc_id long, set binary, size long, sketch binary, bands binary"), "rows")
-    named = rows.where("set is not null and doc_id is not null")
-    classes = scratch.table(named.groupBy("set").agg(F.min("doc_id").alias("class")), "classes")
-    own = named.join(classes.select("set", F.col("class").alias("doc_id")), ["set", "doc_id"]).dropDuplicates(["doc_id"])
-    own = scratch.table(own.select(F.col("doc_id").alias("class"), "size", "sketch", "bands"), "own")
+    texts = id_text(docs, text_key().alias("key"))
+    rows = scratch.table(texts.mapInArrow(signed_rows(weights), "doc_id long, key binary, set binary, size long, sketch binary, bands binary"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    own = rows.where("set is not null").groupBy(F.col("set").alias("class")).agg(*(F.first(c).alias(c) for c in ("size", "sketch", "bands")), F.min(order).alias("first"))
+    own = scratch.table(own, "own")
+    firsts = own.select("class", "first.doc_id", "first.key")
+    texts = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    firsts = firsts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
     def listed(parts: Iterator[pa.RecordBatch]) -> Batches:
         for b in parts:
-            yield batches({"bucket": matrix(b.column("bands"), np.int64, BANDS).ravel(), "class": np.repeat(b.column("class").to_numpy(), BANDS)}, pa.schema([("bucket", pa.int64()), ("class", pa.int64())]))
+            yield batches({"bucket": matrix(b.column("bands"), np.int64, BANDS).ravel(), "class": b.column("class").take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))}, pa.schema([("bucket", pa.int64()), ("class", pa.binary())]))
 
-    buckets = own.select("class", "bands").mapInArrow(listed, "bucket long, class long")
+    buckets = own.select("class", "bands").mapInArrow(listed, "bucket long, class binary")
     heads = scratch.table(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("head")).where("n > 1"), "heads")
     crowded = scratch.table(buckets.join(heads, "bucket"), "crowded")
-    class_texts = texts.withColumnRenamed("doc_id", "class")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and sketches don't rule out."""
         info = own.select("class", "size", "sketch")
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         p = p.join(info.toDF("a", "na", "sa"), "a").where("na > 0").join(info.toDF("b", "nb", "sb"), "b")
-        return p.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(agreeing, "a long, b long")
+        return p.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(agreeing, PAIRS)
 
     first = scratch.table(similar(crowded.select(F.col("head").alias("a"), F.col("class").alias("b"))), "first")
-    links = verified(first, class_texts, least, weights, scratch)
+    links = verified(first, firsts, texts, least, weights, scratch)
     parts = connected_components(links, "a", "b")
     # A head's pairs were tried. What else shares a bucket and is still apart is tried now; the largest part of a bucket
     # meets the others, never itself. No row is made for a pair, only for a member of a block and for a link.
     placed = crowded.where("class <> head").join(parts.withColumnRenamed("node", "class"), "class", "left").select("bucket", "n", "class", F.coalesce("component", "class").alias("part"))
     placed = scratch.table(placed, "placed")
     counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("m"))
-    open_ = scratch.table(counts.groupBy("bucket").agg(F.max_by("part", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "open")
+    open_ = scratch.table(counts.groupBy("bucket").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "open")
     placed = placed.join(open_, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("class", "bucket"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
@@ -301,11 +312,28 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
     dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class")
     second = scratch.table(dealt(full).mapInArrow(involved(least), BLOCK), "second")
     if not second.isEmpty():
-        known = scratch.table(shingle_sets(second.select("class"), class_texts, weights), "sets-second")
-        more = dealt(second.join(known, "class").select(*second.columns, "hashes", "counts")).mapInArrow(linked(least), "a long, b long")
+        known = scratch.table(shingle_sets(second.select("class"), firsts, texts, weights), "sets-second")
+        more = dealt(second.join(known, "class").select(*second.columns, "hashes", "counts")).mapInArrow(linked(least), PAIRS)
         parts = connected_components(links.union(scratch.table(more.distinct(), "links-second")), "a", "b")
-    group = scratch.table(own.select("class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("class_id")), "groups")
-    by_set = scratch.table(classes.join(group, "class").select("set", "class_id"), "sets")
-    scratch.drop("classes", "own", "heads", "crowded", "first", "links-first", "placed", "open", "second", "sets-second", "links-second", "groups")
-    out = rows.join(by_set, "set", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    group = own.select("class", "first").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "first", F.coalesce("component", "class").alias("component"))
+    group = scratch.table(group, "groups")
+    named = group.groupBy("component").agg(F.min("first").alias("name"))
+    by_set = scratch.table(group.join(named, "component").select(F.col("class").alias("set"), "name"), "sets")
+    scratch.drop("own", "heads", "crowded", "first", "links-first", "placed", "open", "second", "sets-second", "links-second", "groups")
+    out = rows.join(by_set, "set", "left")
+    class_id = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.doc_id"))
+    kept = F.col("name").isNull() | (F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("key") == F.col("name.key")))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce(kept, F.lit(True)).alias("kept"), "key")
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, weights: str = "set") -> DataFrame:
+    """The rows of docs, with all their columns, that are kept; of repeated rows (doc_id and text) the first by its other columns."""
+    scratch = Scratch(docs.sparkSession, "one")
+    seen = near_duplicates(docs, least, weights).groupBy("doc_id", "key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    seen = scratch.table(seen.where("not kept or n > 1"), "seen")
+    key, i, k = fresh(docs, "_key"), fresh(docs, "_one_id"), fresh(docs, "_one_key")
+    again = seen.where("kept").select(F.col("doc_id").alias(i), F.col("key").alias(k))
+    again = docs.withColumn(key, text_key()).join(again, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)))
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    again = again.groupBy(i, k).agg(F.min_by(whole, F.to_json(whole)).alias(key)).select(f"{key}.*")
+    return without(docs, seen).unionByName(again)

@@ -2,13 +2,14 @@
 
 Each whole text gives a short vector of statistics (sizes, character classes, repetition), transformed by logarithms and
 standardised. Each class has a mean and a covariance shrunk towards the pooled covariance and its mean variance; a score
-is the logistic of the difference of log-densities, from Mahalanobis distances with Cholesky factors that are computed
-once. All labelled rows outside the held-out fold count; their sums of products are added up in the cluster and only one
+is the logistic of the log-odds (difference of log-densities from Mahalanobis distances with Cholesky factors that are
+computed once, plus the log-ratio of class sizes), divided by a temperature: statistics of one text depend on each other in
+ways that two normals don't show, so plain log-odds are too sure. A temperature changes no order of scores. All labelled rows outside the held-out fold count; their sums of products are added up in the cluster and only one
 small matrix for each class reaches the driver.
 
 Defined results: null and empty texts are scored as texts of no words; repeated rows give repeated rows; a null doc_id is
-kept and is not held out; without labelled rows of both classes every score is 0.5; extra columns are ignored; an empty
-table gives an empty result.
+kept, is not held out and has no label; without two labelled rows of each class every score is 0.5; extra columns are
+ignored (of_quality keeps them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, Scratch, batches, id_text, small_batches
+from ._kit import Batches, Scratch, batches, fresh
 
 FOLDS = 5
 FEATURES = ("bytes", "words", "word_length", "upper", "marks", "bangs", "bars", "digits", "stops", "breaks", "distinct", "pairs", "stutter", "marked_words", "high_bytes", "line_repeats", "top_word")
@@ -50,16 +51,13 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of each row."""
-    small_batches(docs.sparkSession)
+def statistics_of(texts: pa.Array) -> pa.Array:
+    return pa.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts.cast(pa.large_binary())], pa.list_(pa.float64()))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
-        schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
-        for b in parts:
-            yield batches({"doc_id": b.column("doc_id"), "x": [statistics(t) for t in b.column("text").cast(pa.binary()).to_pylist()]}, schema)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, x array<double>")
+def with_statistics(docs: DataFrame, name: str) -> DataFrame:
+    """docs and the statistics of each text; only the texts go to Python."""
+    return docs.withColumn(name, F.arrow_udf(statistics_of, "array<double>")(F.col("text")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,16 +70,18 @@ class Discriminant:
     scale: np.ndarray
     means: np.ndarray  # class, statistic
     factors: np.ndarray  # class: the Cholesky factor of its covariance
-    prior: float
-    temper: float = 4.0
+    prior: float  # the log-ratio of class sizes
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
         out = []
         for mean, factor in zip(self.means, self.factors, strict=True):
             y = np.linalg.solve(factor, (z - mean).T)
             out.append(-0.5 * (y * y).sum(0) - np.log(np.diag(factor)).sum())
-        return 1 / (1 + np.exp(-np.clip((out[1] - out[0]) / self.temper + self.prior, -500, 500)))
+        return out[1] - out[0] + self.prior
+
+    def scores(self, x: np.ndarray, temperature: float) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(x) / temperature, -500, 500)))
 
 
 def fit_discriminant(moments: dict[int, np.ndarray], to_pooled: float = 0.3, to_identity: float = 0.05) -> Discriminant | None:
@@ -96,7 +96,7 @@ def fit_discriminant(moments: dict[int, np.ndarray], to_pooled: float = 0.3, to_
     centre = (raw * n[:, None]).sum(0) / n.sum()
     cov, pooled = cov / np.outer(scale, scale), pooled / np.outer(scale, scale)
     shrunk = [(1 - to_pooled - to_identity) * c + to_pooled * pooled + to_identity * np.eye(len(scale)) * max(np.trace(c) / len(scale), 0.05) for c in cov]
-    return Discriminant(centre, scale, (raw - centre) / scale, np.array([np.linalg.cholesky(c) for c in shrunk]), float(np.log(n[1] / n[0])) / 4)
+    return Discriminant(centre, scale, (raw - centre) / scale, np.array([np.linalg.cholesky(c) for c in shrunk]), float(np.log(n[1] / n[0])))
 
 
 def class_moments(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -120,18 +120,29 @@ def class_moments(rows: DataFrame) -> dict[int, np.ndarray]:
     return {c: m.reshape(D + 1, D + 1) for c, m in out.items()}
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row."""
-    x = Scratch(docs.sparkSession, "quality").table(document_statistics(docs), "statistics")
+def with_scores(docs: DataFrame, labels: DataFrame, keep: list[str], name: str, temperature: float) -> DataFrame:
+    """The columns `keep` of docs and each row's score: they are written once with the statistics, and never shuffled."""
+    at = fresh(docs, "statistics")
+    rows = Scratch(docs.sparkSession, "quality").table(with_statistics(docs, at).select(*keep, at), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
     known = known.where(~held_out(F.col("doc_id")))
+    x = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(at).alias("x"))
     model = fit_discriminant(class_moments(x.join(known, "doc_id").select("label", "x")))
 
-    def score(parts: Iterator[pa.RecordBatch]) -> Batches:
-        schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-        for b in parts:
-            v = np.array(b.column("x").to_pylist(), float).reshape(-1, D)
-            yield batches({"doc_id": b.column("doc_id"), "score": model.scores(v) if model else np.full(len(v), 0.5)}, schema)
+    def score(x: pa.Array) -> pa.Array:
+        v = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
+        return pa.array(model.scores(v, temperature) if model else np.full(len(v), 0.5))
+
+    return rows.withColumn(name, F.arrow_udf(score, "double")(F.col(at))).drop(at)
 
-    scored = x.mapInArrow(score, "doc_id long, score double")
+
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, temperature: float = 4.0) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row."""
+    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, ["doc_id"], "score", temperature)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, temperature: float = 4.0) -> DataFrame:
+    """The rows of docs, with all their columns, whose predicted quality is 1."""
+    name = fresh(docs, "score")
+    return with_scores(docs, labels, docs.columns, name, temperature).where(F.col(name) >= threshold).drop(name)

@@ -52,13 +52,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
+    return near_duplicates(table(spark, sf_dir, "documents"), least=0.8).drop("key")
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import BASE, joined, scan_history
+    from .secrets import BASE, joined, scan_and_keep
 
-    found, _ = scan_history(table(spark, sf_dir, "documents"))
+    found = scan_and_keep(table(spark, sf_dir, "documents"), path=None)  # every blob is new to a ledger of the query's own
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

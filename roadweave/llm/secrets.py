@@ -8,6 +8,8 @@ Rules: leftmost non-overlapping matches of each kind, then a least length; the b
 the further ones pem and hub only add spans. Offsets are code points, ends exclusive. A match's place comes from the
 lengths of the pieces between matches (split) and of the matches themselves.
 
+A ledger may be kept at a path between runs (scan_and_keep); one without a path starts empty.
+
 Scale: one pass addresses the blobs; the text of one row for each blob moves once, by the unique key of its row, so a blob
 that a third of all rows share is scanned once and no key gathers its copies. Only blobs with findings join back.
 
@@ -17,10 +19,10 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._kit import Scratch
+from ._kit import Scratch, fresh
 
 RULE_VERSION = "1"
 #: Fixed values, in the order that breaks ties between kinds: kind, pattern, group judged, least length, a cheap test.
@@ -66,8 +68,33 @@ def address(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
+LEDGER = f"blob binary, rule_version string, spans {SPAN}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at a path; an empty one where nothing was kept yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
+
+
+def scan_and_keep(docs: DataFrame, path: str | None, rules: tuple = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """The findings of scan_history, its ledger read from `path` and what it lacked added there; no path: a ledger of its own.
+
+    Rows are added after their scan; a run that is lost before adds nothing, and a blob that two runs add counts once.
+    """
+    spark = docs.sparkSession
+    found, new = scan_history(docs, read_ledger(spark, path) if path else None, rules, version)
+    if path:
+        new.write.mode("append").parquet(path)
+    return found
+
+
 def scan_history(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple = RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings: doc_id, blob, spans of every row; the rows that the ledger lacked: blob, rule_version, spans)."""
+    """(findings: doc_id, blob, spans of every row; the rows that the ledger lacked: blob, rule_version, spans).
+
+    The findings are read from tables that are written here, so a ledger may grow afterwards.
+    """
     scratch = Scratch(docs.sparkSession, "secrets")
     paths = scratch.table(address(docs).select("doc_id", "blob"), "paths")
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
@@ -75,8 +102,10 @@ def scan_history(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
         unseen = unseen.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
     here = address(docs).alias("d").join(unseen.alias("u"), (F.col("d.doc_id").eqNullSafe(F.col("u.doc_id"))) & (F.col("d.blob") == F.col("u.blob")), "left_semi")
     new = scratch.table(scan_blobs(here, rules).dropDuplicates(["blob"]).select("blob", F.lit(version).alias("rule_version"), "spans"), "new")
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == version).select(*new.columns))
-    hits = known.where(F.size("spans") > 0).select("blob", "spans")
+    hits = new.where(F.size("spans") > 0).select("blob", "spans")
+    if ledger is not None:
+        old = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).join(paths.select("blob").distinct(), "blob", "left_semi")
+        hits = hits.unionByName(scratch.table(old.dropDuplicates(["blob"]).select("blob", "spans"), "old"))
     found = paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return found, new
 
@@ -95,3 +124,17 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     ends = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.char_length(text)))
     kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(text, x["a"] + 1, x["b"] - x["a"]))
     return F.when(F.size(spans) > 0, F.array_join(kept, mark)).otherwise(text)
+
+
+def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """docs, with all their columns, after a scan: texts without their secrets, and n_chars, where there is one, counted anew."""
+    blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
+    hits = scan_and_keep(docs, ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    hits = Scratch(docs.sparkSession, "redact").table(hits.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "hits")
+    own = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    whole = docs.join(hits, own == F.col(blob), "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(spans), mark))
+    new = {"text": text}
+    if (kind := dict(docs.dtypes).get("n_chars")) is not None:
+        new["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(kind))
+    return whole.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

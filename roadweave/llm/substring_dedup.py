@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, Scratch, WordHashes, batches, covered, mixed, window_hashes
+from ._kit import Batches, Scratch, WordHashes, batches, covered, mixed, pieces, window_hashes
 from ._repeats import LAST, PACKET, TextTable, exchange, gathered, marked, marks_of, packets, repeated_anchors, stretches
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -92,7 +92,7 @@ def candidate_windows(texts: DataFrame, n: int, window: int) -> DataFrame:
 
 def facts(parts: Iterator[pa.RecordBatch]) -> Batches:
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("text_sha", pa.binary()), ("all_sha", pa.string())])
-    for b in parts:
+    for b in pieces(parts):
         texts = b.column("text").to_pylist()
         words = [t.split() for t in texts]
         yield batches({"doc_id": b.column("doc_id"), "h": b.column("h"), "n_words": list(map(len, words)), "text_sha": [hashlib.sha256(t).digest() for t in texts], "all_sha": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]}, schema)
@@ -102,22 +102,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
-    scratch = Scratch(docs.sparkSession, "windows")
-    t = TextTable(docs, scratch)
-    t.free()
-    known = scratch.table(t.table.mapInArrow(facts, "doc_id long, h long, n_words long, text_sha binary, all_sha string"), "facts")
-    first = known.groupBy("text_sha").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("text_sha", "f.doc_id", "f.h")
-    firsts = scratch.table(known.where(F.col("n_words") >= window).join(first, ["text_sha", "doc_id", "h"]).select("doc_id", "h").distinct(), "firsts")
-    reps = t.table.join(firsts, ["doc_id", "h"])
-    anchors = scratch.table(repeated_anchors(reps, t.n, cover_anchors(window)), "anchors")
-    t.free()
-    windows = candidate_windows(t.table.join(anchors, ["doc_id", "h"]), t.n, window)
-    marks = scratch.table(gathered(exchange(windows, t.n, later), t.n), "marks")
-    t.free()
-
     def cut(parts: Iterator[pa.RecordBatch]) -> Batches:
         schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("cut", pa.int64()), ("cut_sha", pa.string())])
-        for b in parts:
+        for b in pieces(parts):
             out = []
             for text, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
                 words = text.split()
@@ -125,8 +112,16 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 out.append((int(gone.sum()), hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()))
             yield batches({"doc_id": b.column("doc_id"), "h": b.column("h"), "cut": [n for n, _ in out], "cut_sha": [s for _, s in out]}, schema)
 
-    trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, cut_sha string").distinct(), "trimmed")
-    t.close()
+    scratch = Scratch(docs.sparkSession, "windows")
+    with TextTable(docs, scratch) as t:
+        known = scratch.table(t.table.mapInArrow(facts, "doc_id long, h long, n_words long, text_sha binary, all_sha string"), "facts")
+        first = known.groupBy("text_sha").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("text_sha", "f.doc_id", "f.h")
+        firsts = scratch.table(known.where(F.col("n_words") >= window).join(first, ["text_sha", "doc_id", "h"]).select("doc_id", "h").distinct(), "firsts")
+        reps = t.table.join(firsts, ["doc_id", "h"])
+        anchors = scratch.table(repeated_anchors(reps, t.n, cover_anchors(window)), "anchors")
+        windows = candidate_windows(t.table.join(anchors, ["doc_id", "h"]), t.n, window)
+        marks = scratch.table(gathered(exchange(windows, t.n, later), t.n), "marks")
+        trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, cut_sha string").distinct(), "trimmed")
     scratch.drop("anchors", "marks")
     copy = known.join(firsts.withColumn("is_first", F.lit(True)), ["doc_id", "h"], "left").join(trimmed, ["doc_id", "h"], "left")
     lost = (F.col("n_words") >= window) & F.col("is_first").isNull()  # a copy of an earlier text

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, Scratch, batches, mixed, sliding_min_index, window_hashes
-from ._repeats import LAST, MARKS, MARKS_ARROW, PACKET, PACKET_ARROW, TextTable, add, add_settled, by_bucket, gathered, grouped_packets, marked, marks_of, repeated_anchors, stretches
+from ._kit import Batches, Scratch, batches, mixed, pieces, sliding_min_index, window_hashes
+from ._repeats import FINER, LAST, MARKS, MARKS_ARROW, PACKET, PACKET_ARROW, TextTable, add, add_settled, bucket_of, by_bucket, gathered, grouped_packets, marked, marks_of, repeated_anchors, stretches
 
 #: Bytes of strings that are sorted together, and from which a single minimizer's segments are cut anew.
 TOGETHER = 48 << 10
@@ -215,12 +215,10 @@ def candidate_segments(texts: DataFrame, n: int, width: int) -> DataFrame:
             key_of = np.array([ids, hs], np.int64).T
             add_settled(rows, marks_of(*ranges([(d, a, a + len(s) - width + 1) for s, own in found.items() if len(own) > 1 for d, a in own]), key_of, n))
             h = np.array([bucket[s] for s in keys], np.uint64)
-            order, bound = by_bucket(((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64), n)
-            for b in range(n):
-                part = [keys[k] for k in order[bound[b] : bound[b + 1]]]
-                if part:
-                    own = np.array([(ids[d], hs[d], a, len(found[s]) > 1, v) for s, v in ((s, bucket[s] - 2**63) for s in part) for d, a in found[s][:1]], np.int64)
-                    add(rows, b, 0, None, None, b"".join(part), np.array(list(map(len, part)), np.int32).tobytes(), own.tobytes())
+            for b, k in by_bucket(bucket_of(h, FINER * n)):
+                part = [keys[x] for x in k]
+                own = np.array([(ids[d], hs[d], a, len(found[s]) > 1, v) for s, v in ((s, bucket[s] - 2**63) for s in part) for d, a in found[s][:1]], np.int64)
+                add(rows, b, 0, None, None, b"".join(part), np.array(list(map(len, part)), np.int32).tobytes(), own.tobytes())
             yield batches(rows, PACKET_ARROW)
 
     return texts.mapInArrow(run, PACKET)
@@ -278,7 +276,7 @@ def settle_segments(rows: DataFrame, n: int, width: int) -> DataFrame:
 
 def facts(parts: Iterator[pa.RecordBatch]) -> Batches:
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("text_sha", pa.binary())])
-    for b in parts:
+    for b in pieces(parts):
         texts = b.column("text").to_pylist()
         yield batches({"doc_id": b.column("doc_id"), "h": b.column("h"), "n_bytes": list(map(len, texts)), "text_sha": [hashlib.sha256(t).digest() for t in texts]}, schema)
 
@@ -287,23 +285,9 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     if width < 2:
         raise ValueError("a repeated string has at least 2 bytes")
-    scratch = Scratch(docs.sparkSession, "strings")
-    t = TextTable(docs, scratch)
-    t.free()
-    known = scratch.table(t.table.mapInArrow(facts, "doc_id long, h long, n_bytes long, text_sha binary"), "facts")
-    texts = known.groupBy("text_sha").agg(F.min(F.struct("doc_id", "h")).alias("f"), F.count("*").alias("copies")).select("text_sha", "f.doc_id", "f.h", "copies")
-    texts = scratch.table(texts, "distinct")
-    single = texts.where("copies = 1").select("doc_id", "h").withColumn("single", F.lit(True))
-    reps = t.table.join(texts.select("doc_id", "h"), ["doc_id", "h"])  # a copied text takes part once, for what others share with it
-    anchors = scratch.table(repeated_anchors(reps, t.n, minimizer_anchors(width)), "anchors")
-    t.free()
-    found = settle_segments(candidate_segments(t.table.join(anchors, ["doc_id", "h"]), t.n, width), t.n, width)
-    marks = scratch.table(gathered(found, t.n, 2).join(single.drop("single"), ["doc_id", "h"]), "marks")
-    t.free()
-
     def cut(parts: Iterator[pa.RecordBatch]) -> Batches:
         schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("cut", pa.int64()), ("spans", pa.int64()), ("cut_sha", pa.string())])
-        for b in parts:
+        for b in pieces(parts):
             out = []
             for text, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
                 delta = np.zeros(len(text) + 1, np.int64)
@@ -315,8 +299,17 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
                 out.append((int(gone.sum()), int(np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1)), hashlib.sha256(kept).hexdigest()))
             yield batches({"doc_id": b.column("doc_id"), "h": b.column("h"), "cut": [x[0] for x in out], "spans": [x[1] for x in out], "cut_sha": [x[2] for x in out]}, schema)
 
-    trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, spans long, cut_sha string").distinct(), "trimmed")
-    t.close()
+    scratch = Scratch(docs.sparkSession, "strings")
+    with TextTable(docs, scratch) as t:
+        known = scratch.table(t.table.mapInArrow(facts, "doc_id long, h long, n_bytes long, text_sha binary"), "facts")
+        texts = known.groupBy("text_sha").agg(F.min(F.struct("doc_id", "h")).alias("f"), F.count("*").alias("copies")).select("text_sha", "f.doc_id", "f.h", "copies")
+        texts = scratch.table(texts, "distinct")
+        single = texts.where("copies = 1").select("doc_id", "h").withColumn("single", F.lit(True))
+        reps = t.table.join(texts.select("doc_id", "h"), ["doc_id", "h"])  # a copied text takes part once, for what others share with it
+        anchors = scratch.table(repeated_anchors(reps, t.n, minimizer_anchors(width)), "anchors")
+        found = settle_segments(candidate_segments(t.table.join(anchors, ["doc_id", "h"]), t.n, width), t.n, width)
+        marks = scratch.table(gathered(found, t.n, 2).join(single.drop("single"), ["doc_id", "h"]), "marks")
+        trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, spans long, cut_sha string").distinct(), "trimmed")
     scratch.drop("anchors", "marks")
     whole = known.join(single, ["doc_id", "h"], "left").join(trimmed, ["doc_id", "h"], "left")
     gone = (F.col("n_bytes") >= width) & F.col("single").isNull()  # another text equals it

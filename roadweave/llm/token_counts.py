@@ -1,9 +1,11 @@
 """Token counts by rank-synchronous merging of ragged symbol arrays.
 
 A text is cut into pre-tokens at boundaries that no vocabulary piece crosses. The pre-tokens that a worker has not met
-yet are held as one ragged numpy array of symbols; in every round each sequence applies its own lowest-rank pair (the
-leftmost of equals) at the same time, until no pair is left; the surviving symbols are counted, unknown characters as
-their UTF-8 bytes.
+yet are held as one ragged numpy array of symbols; in every round each sequence applies its own lowest-rank pair
+wherever it occurs (from the left, without overlap), all sequences at the same time, until no pair is left; the surviving
+symbols are counted, unknown characters as their UTF-8 bytes. A round stops in a sequence after the first merge that makes
+a pair of the same or a lower rank, which comes next by rights. So a pre-token of any length takes a round for each rank
+that it meets, not one for each merge.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated rows; a null doc_id stays
 null; extra columns are ignored; an empty table gives an empty result. Texts are never cut.
@@ -11,7 +13,6 @@ null; extra columns are ignored; an empty table gives an empty result. Texts are
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -19,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._kit import Batches, batches, id_text, small_batches
+from ._kit import Batches, batches, id_text, pieces
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 #: Words kept with their count by a worker; the cache is emptied when full.
 CACHE = 600_000
-#: Symbols from which a pre-token is merged through a heap: a round for each merge would read it anew each time.
-LONG = 512
+#: Symbols of pre-tokens that are merged together; a longer one comes alone.
+SYMBOLS = 1 << 18
 NONE = np.int64(2**62)
 
 
@@ -93,26 +94,29 @@ class PieceTable:
         return rank, made
 
     def count_many(self, words: list[str]) -> list[int]:
-        out = np.zeros(len(words), np.int64)
-        short = []
-        for k, w in enumerate(words):
-            if len(w) > LONG:
-                out[k] = self.count_long(w)
-            else:
-                short.append(k)
-        if short:
-            get = self.single.get
-            size = np.array([len(words[k]) for k in short])
-            flat = "".join([words[k] for k in short])
-            sym = np.fromiter((get(c, -1) for c in flat), np.int64, len(flat))
-            seq = np.repeat(np.array(short), size)
-            width = np.ones(len(flat), np.int64)
-            lost = np.flatnonzero(sym < 0)
-            width[lost] = [len(flat[k].encode()) for k in lost]
+        out: list[int] = []
+        at = 0
+        while at < len(words):  # about SYMBOLS of them at a time
+            end, size = at, 0
+            while end < len(words) and (end == at or size + len(words[end]) <= SYMBOLS):
+                size += len(words[end])
+                end += 1
+            out += self._count(words[at:end])
+            at = end
+        return out
+
+    def _count(self, words: list[str]) -> list[int]:
+        get = self.single.get
+        flat = "".join(words)
+        sym = np.fromiter((get(c, -1) for c in flat), np.int64, len(flat))
+        seq = np.repeat(np.arange(len(words)), list(map(len, words)))
+        width = np.ones(len(flat), np.int64)
+        lost = np.flatnonzero(sym < 0)
+        width[lost] = [len(flat[k].encode()) for k in lost]
+        if len(self.known) < len(self.single):
             raw = np.flatnonzero(sym >= 0)
-            width[raw] = [self.known.get(flat[k]) or len(flat[k].encode()) for k in raw] if len(self.known) < len(self.single) else 1
-            out += self._rounds(sym, seq, width, len(words))
-        return out.tolist()
+            width[raw] = [self.known.get(flat[k]) or len(flat[k].encode()) for k in raw]
+        return self._rounds(sym, seq, width, len(words)).tolist()
 
     def _rounds(self, sym: np.ndarray, seq: np.ndarray, width: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n, np.int64)
@@ -126,15 +130,15 @@ class PieceTable:
         rank, made = ranked(np.arange(len(sym)))
         while len(sym):
             first = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
-            packed = np.where(rank == NONE, NONE, rank << 32 | np.arange(len(sym)))
-            best = np.minimum.reduceat(packed, first)
+            size = np.diff(np.append(first, len(sym)))
+            best = np.minimum.reduceat(rank, first)
             ended = best == NONE
             keep = np.ones(len(sym), bool)
             if ended.any():  # no pair is left in these sequences
-                gone = np.repeat(ended, np.diff(np.append(first, len(sym))))
+                gone = np.repeat(ended, size)
                 out += np.bincount(seq[gone], weights=width[gone], minlength=n).astype(np.int64)
                 keep = ~gone
-            at = best[~ended] & 0xFFFFFFFF
+            at = self._due(np.flatnonzero((rank == np.repeat(best, size)) & (rank != NONE)), sym, seq, rank, made)
             sym[at] = made[at]
             width[at] = 1
             keep[at + 1] = False
@@ -146,34 +150,26 @@ class PieceTable:
                 rank[again], made[again] = ranked(again)
         return out
 
-    def count_long(self, word: str) -> int:
-        """The same order of merges, lowest rank and leftmost first, with a heap of pairs and linked symbols."""
-        sym = [self.single.get(c, -1) for c in word]
-        width = [self.known.get(c) or len(c.encode()) for c in word]
-        n = len(sym)
-        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(a: int, b: int) -> None:
-            if a >= 0 and b < n and sym[a] >= 0 and sym[b] >= 0 and (x := self.pairs.get(sym[a] << 20 | sym[b])):
-                heap.append((x[0], a, b, x[1])) if not started else heapq.heappush(heap, (x[0], a, b, x[1]))
-
-        started = False
-        for k in range(n - 1):
-            push(k, k + 1)
-        heapq.heapify(heap)
-        started = True
-        while heap:
-            _, a, b, made = heapq.heappop(heap)
-            if not alive[a] or not alive[b] or after[a] != b or self.pairs.get(sym[a] << 20 | sym[b], (0, -1))[1] != made:
-                continue
-            sym[a], width[a], alive[b] = made, 1, False
-            after[a] = after[b]
-            if after[a] < n:
-                before[after[a]] = a
-            push(before[a], a)
-            push(a, after[a])
-        return sum(w for w, on in zip(width, alive, strict=True) if on)
+    def _due(self, hit: np.ndarray, sym: np.ndarray, seq: np.ndarray, rank: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Of the places of each sequence's lowest rank those that come before any other merge, in their order."""
+        if not len(hit):
+            return hit
+        run = np.cumsum(np.append(True, (hit[1:] != hit[:-1] + 1) | (seq[hit[1:]] != seq[hit[:-1]]))) - 1  # of adjacent places every other one
+        start = hit[np.flatnonzero(np.append(True, run[1:] != run[:-1]))]
+        at = hit[(hit - start[run]) % 2 == 0]
+        own = np.append(True, seq[at[1:]] != seq[at[:-1]])
+        if own.all():
+            return at
+        new, low = made[at], rank[at]
+        after = np.append(False, at[1:] == at[:-1] + 2)  # the symbol on the left is one that was just made
+        before = np.maximum(at - 1, 0)
+        left = np.where(after, np.append(-1, new[:-1]), sym[before])
+        left[(at == 0) | (seq[before] != seq[at])] = -1
+        nearest = np.minimum(at + 2, len(sym) - 1)
+        right = np.where((at + 2 < len(sym)) & (seq[nearest] == seq[at]), sym[nearest], -1)
+        stops = (self.look(left, new)[0] <= low) | (self.look(new, right)[0] <= low)
+        past = np.cumsum(stops) - stops
+        return at[past == past[np.flatnonzero(own)][np.cumsum(own) - 1]]
 
     def cuts(self, text: str) -> list[str]:
         if not text:
@@ -209,14 +205,12 @@ COUNTERS: dict[str, Counter] = {}
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row; `vocabulary` is the file name that public_tokenizers.path() resolves."""
-    small_batches(docs.sparkSession)
-
     def count(parts: Iterator[pa.RecordBatch]) -> Batches:
         import public_tokenizers
 
         path = public_tokenizers.path(vocabulary)
         counter = COUNTERS.get(path) or COUNTERS.setdefault(path, Counter(PieceTable(path)))
-        for b in parts:
+        for b in pieces(parts):
             texts = b.column("text").to_pylist()
             n = counter.totals(texts)
             yield batches({"doc_id": b.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}, ARROW)

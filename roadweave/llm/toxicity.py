@@ -1,17 +1,17 @@
 """Toxicity: a factorisation machine over hashed terms.
 
 Terms of a text are its lower-cased words, without marks at their ends, and the words' first 3 to 6 and last 4 letters,
-hashed into BUCKETS. From a bounded sample of labelled rows the buckets whose document frequencies differ between the
-classes are kept; linear weights and FACTORS-dimensional factors are fitted to them by AdaGrad, so that pairs of terms
+hashed into BUCKETS. In a bounded sample of labelled rows the documents of each class that hold a bucket are counted in the
+cluster, and the KEEP buckets whose frequencies differ most between the classes (z of 3 at least) are kept; linear weights and FACTORS-dimensional factors are fitted to them by AdaGrad, so that pairs of terms
 have a weight of their own. The model is a table of at most KEEP rows, whatever the size of the corpus; every whole text
 of the corpus is scored in one pass without a shuffle.
 
 The sample: at most `fit_rows` labelled documents of each class, those with the smallest hash of doc_id. Rows of one label
-whose whole term sets are equal count once; everything else stays: near copies, and equal texts of different labels. Only
-hashed terms of the sample reach the driver, at most BUCKETS numbers of 4 bytes a document.
+whose whole term sets are equal count once; everything else stays: near copies, and equal texts of different labels. What
+reaches the driver is bounded: KEEP buckets, and of each sampled document the kept buckets it holds, two bytes each.
 
 Defined results: null and empty texts have no terms and get the score of the intercept; repeated rows give repeated rows;
-a null doc_id is kept and is not held out; without labelled rows of both classes every score is 0 and predicted 0; extra
+a null doc_id is kept, is not held out and has no label; without labelled rows of both classes every score is 0 and predicted 0; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, batches, id_text, small_batches
+from ._kit import Batches, Scratch, batches, id_text, pieces
 from .quality import held_out
 
 BUCKETS = 1 << 20
@@ -72,30 +72,12 @@ class FactorisationMachine:
         return float(self.bias + self.w[k].sum() + 0.5 * (v.sum(0) ** 2 - (v * v).sum(0)).sum())
 
 
-def distinct_rows(terms: list[np.ndarray], label: np.ndarray) -> list[int]:
-    """The first of each group of rows with the same label and the same whole set of terms."""
-    first = {}
-    for k, t in enumerate(terms):
-        first.setdefault((int(label[k]), t.tobytes()), k)
-    return list(first.values())
-
-
-def fit_machine(terms: list[np.ndarray], label: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> FactorisationMachine | None:
-    """Of rows of distinct hashed terms; None unless both classes occur."""
-    own = distinct_rows(terms, label)
-    terms, y = [terms[k] for k in own], label[own].astype(float)
+def fit_machine(rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> FactorisationMachine | None:
+    """Of rows of places in `buckets`; None unless both classes occur."""
+    y = label.astype(float)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
         return None
-    df = [np.bincount(np.concatenate([t for t, a in zip(terms, y, strict=True) if a == c] or [np.empty(0, np.int64)]), minlength=BUCKETS) for c in (0, 1)]
-    p = (df[0] + df[1]) / (n0 + n1)
-    z = np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
-    z[df[0] + df[1] < 3] = 0
-    best = np.argsort(-z, kind="stable")[:KEEP]
-    buckets = np.sort(best[z[best] >= 3])
-    place = np.full(BUCKETS, -1)
-    place[buckets] = np.arange(len(buckets))
-    rows = [k[k >= 0] for k in (place[t] for t in terms)]
     draw = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(buckets)), draw.normal(0, 0.01, (len(buckets), FACTORS)), float(np.log(n1 / n0))
     gw, gv, gb = np.full(len(w), 1e-8), np.full(v.shape, 1e-8), 1e-8
@@ -124,36 +106,65 @@ def fit_machine(terms: list[np.ndarray], label: np.ndarray, epochs: int = 12, ra
     return FactorisationMachine(bias, buckets, w, v)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """(label, terms: sorted 4-byte buckets) of the sample; rows of one label with equal term sets once."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     chosen = known.where("label = 0").orderBy("h", "doc_id").limit(fit_rows).unionAll(known.where("label = 1").orderBy("h", "doc_id").limit(fit_rows)).drop("h")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         cache = Terms(tuple)
-        schema = pa.schema([("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
-        for b in parts:
-            yield batches({"label": b.column("label"), "terms": [sorted({t for w in set(x.lower().split()) for t in cache[w]}) for x in b.column("text").to_pylist()]}, schema)
+        schema = pa.schema([("label", pa.int32()), ("terms", pa.binary())])
+        for b in pieces(parts):
+            terms = [np.unique(np.fromiter({t for w in set(x.lower().split()) for t in cache[w]}, np.int32)).tobytes() for x in b.column("text").to_pylist()]
+            yield batches({"label": b.column("label"), "terms": terms}, schema)
+
+    return id_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "label int, terms binary").distinct()  # at most 2 x fit_rows rows are sent
+
+
+def chosen_buckets(sample: DataFrame, keep: int = KEEP, least: int = 3, z: float = 3.0) -> np.ndarray:
+    """Sorted buckets whose document frequencies differ between the classes, the `keep` with the largest z."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        schema = pa.schema([("label", pa.int32()), ("bucket", pa.int32())])
+        for b in pieces(parts, "terms"):
+            for label, terms in zip(b.column("label").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                t = np.frombuffer(terms, np.int32)
+                yield batches({"label": np.full(len(t), label, np.int32), "bucket": t}, schema)
+
+    n = sample.agg(F.count_if(F.expr("label = 0")).alias("n0"), F.count_if(F.expr("label = 1")).alias("n1")).first()
+    if not n.n0 or not n.n1:
+        return np.empty(0, np.int64)
+    df = sample.mapInArrow(run, "label int, bucket int").groupBy("bucket").agg(F.count_if(F.expr("label = 0")).alias("d0"), F.count_if(F.expr("label = 1")).alias("d1"))
+    p = (F.col("d0") + F.col("d1")) / (n.n0 + n.n1)
+    gap = F.abs(F.col("d1") / n.n1 - F.col("d0") / n.n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n.n0 + 1 / n.n1))
+    best = df.where(F.col("d0") + F.col("d1") >= least).withColumn("z", gap).where(F.col("z") >= z).orderBy(F.desc("z"), "bucket").limit(keep)
+    return np.sort(best.select("bucket").toArrow().column("bucket").to_numpy()).astype(np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int) -> FactorisationMachine | None:
+    sample = Scratch(docs.sparkSession, "toxicity").table(labelled_sample(docs, labels, fit_rows), "sample")
+    buckets = chosen_buckets(sample)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        for b in pieces(parts, "terms"):
+            found = [np.isin(buckets, np.frombuffer(t, np.int32)) for t in b.column("terms").to_pylist()]
+            yield batches({"label": b.column("label"), "places": [np.flatnonzero(f).astype(np.uint16).tobytes() for f in found]}, pa.schema([("label", pa.int32()), ("places", pa.binary())]))
 
-    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "label int, terms array<int>")  # at most 2 x fit_rows rows are sent
-    got = rows.toArrow()
-    terms = [np.asarray(t.values.to_numpy(), np.int64) for t in got.column("terms")]
-    label = np.array(got.column("label").to_pylist(), np.int64)
-    order = sorted(range(len(terms)), key=lambda k: (int(label[k]), terms[k].tobytes()))  # the same model whatever order the rows come in
-    return [terms[k] for k in order], label[order]
+    got = sample.mapInArrow(run, "label int, places binary").toArrow()
+    rows = sorted(zip(got.column("label").to_pylist(), got.column("places").to_pylist(), strict=True))  # the same model whatever order the rows come in
+    return fit_machine([np.frombuffer(p, np.uint16).astype(np.int64) for _, p in rows], np.array([y for y, _ in rows], np.int64), buckets)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 5000, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = fit_machine(*labelled_sample(docs, labels, fit_rows))
+    model = fit(docs, labels, fit_rows)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
         place = {int(b): k for k, b in enumerate(model.buckets)} if model else {}
         cache = Terms(lambda terms: tuple(place[t] for t in terms if t in place))
-        for b in parts:
+        for b in pieces(parts):
             out = []
             for text in b.column("text").to_pylist():
                 known = sorted(set().union(*set(map(cache.__getitem__, set(text.lower().split())))))

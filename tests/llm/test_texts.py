@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadweave.llm import decontaminate, embedding_dedup, minhash_dedup, suffix_dedup
 from roadweave.llm.queries import QUERIES
@@ -36,7 +38,7 @@ ROWS = (
     + [(80 + k, f"{prose(30)} {SHARED} {prose(30)}", "t") for k in range(6)]
     + [(100, None, "s"), (101, "", "s"), (102, " \t\n ", "s"), (103, PROSE, "s"), (104, PROSE, "s"), (3, None, "s"), (105, "short", "s"), (106, "short", None), (107, "ab " * 3000, "s"), (108, "é😀 ñ " * 80, "s")]
 )
-ROWS = [r for k, r in enumerate(ROWS) if r[0] != 3 or k < 60]
+ROWS = [r for k, r in enumerate(ROWS) if r[0] != 3 or k < 60]  # ids with several texts have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +81,9 @@ def test_tokens(spark, sf):
     for k in range(300):
         t = "".join(draw.choice("abc the▁ \n\t<s>é€😀AZ09") for _ in range(draw.randint(0, 2000 if k % 30 == 0 else 60)))
         assert c.totals([t]) == [len(sp.encode(t))]
+    for letters in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "etaoinshrdlu", "0123456789abcdef", "é😀"):  # pre-tokens without a cut
+        t = ["".join(draw.choice(letters) for _ in range(n)) for n in (1, 2, 513, 6000)]
+        assert c.totals(t) == [len(sp.encode(x)) for x in t]
 
 
 def test_scores(spark, sf):
@@ -106,29 +111,43 @@ def test_pairs_of_terms_are_learnt():
     x = draw.random((3000, 2)) < 0.5
     terms = [np.unique(np.concatenate((np.flatnonzero(r) + 1, draw.integers(100, 100_000, 4)))) for r in x]
     y = (x[:, 0] & x[:, 1]).astype(int)
-    m = fit_machine(terms, y, epochs=30)
-    place = {int(b): k for k, b in enumerate(m.buckets)}
-    score = lambda *t: m.logit([place[k] for k in t])
+    buckets = np.array([1, 2, *range(100, 400)])
+    m = fit_machine([np.flatnonzero(np.isin(buckets, t)) for t in terms], y, buckets, epochs=30)
+    score = lambda *t: m.logit([k - 1 for k in t])
     assert score(1, 2) > 0 > max(score(1), score(2), score())
-    assert np.abs(m.v[place[1]] @ m.v[place[2]]) > 0.05
+    assert np.abs(m.v[0] @ m.v[1]) > 0.05
+    for _ in range(50):  # the sum over all pairs of terms, one by one
+        known = sorted(draw.choice(len(buckets), draw.integers(0, 30), replace=False).tolist())
+        plain = m.bias + sum(m.w[k] for k in known) + sum(float(m.v[a] @ m.v[b]) for a, b in itertools.combinations(known, 2))
+        assert m.logit(known) == pytest.approx(plain)
 
 
-def test_copies_in_the_labelled_sample():
-    """Only equal term sets of one label count once; rows that share a few terms, near copies and other labels stay."""
+def test_copies_in_the_labelled_sample(spark):
+    """Only equal term sets of one label count once; near copies and copies under other labels stay. Buckets are chosen as by counting them one by one."""
     from roadweave.llm import toxicity
 
-    draw = np.random.default_rng(1)
-    mix = lambda t: (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    pool = np.arange(1, 100_000)
-    pool = pool[np.argsort(mix(pool))]
-    row = lambda *more: np.unique(np.concatenate((pool[:3], draw.choice(pool[3:], 60, replace=False), np.array(more, np.int64))))
-    toxic, clean = [row(100_001) for _ in range(30)], [row() for _ in range(30)]
-    label = np.array([0] * 31 + [1] * 32)
-    near = np.append(toxic[0][:-2], 100_002)
-    terms = clean + [toxic[5]] + toxic + [toxic[3], np.unique(near)]
-    assert 100_001 in getattr(toxicity.fit_machine(terms, label), "buckets", ())
-    assert toxicity.distinct_rows(terms, label) == [*range(61), 62]
-    assert toxicity.distinct_rows([np.empty(0, np.int64)] * 3, np.array([0, 0, 1])) == [0, 2]
+    draw = random.Random(1)
+    toxic = [f"{prose(30)} slur{k % 3}" for k in range(30)]
+    clean = [prose(30) for _ in range(30)]
+    texts = [*clean, toxic[5], *toxic, toxic[3], toxic[0].rsplit(" ", 2)[0]]
+    label = [0] * 31 + [1] * 32
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    rows = list(zip(ids, texts, ["s"] * len(texts), strict=True))
+    draw.shuffle(rows)
+    labels = spark.createDataFrame(list(zip(ids, label, strict=True)), "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs(spark, [*rows, (None, "no id", "s")]), labels, 5000)
+    terms = lambda t: frozenset(x for w in t.lower().split() for x in toxicity.word_terms(w))
+    want = {(y, terms(t)) for t, y in zip(texts, label, strict=True)}
+    got = [(r.label, frozenset(np.frombuffer(r.terms, np.int32).tolist())) for r in sample.collect()]
+    assert len(got) == len(want) == 62 and set(got) == want
+    n = [sum(y == c for y, _ in want) for c in (0, 1)]
+    df = {b: [sum(b in t for y, t in want if y == c) for c in (0, 1)] for b in set().union(*(t for _, t in want))}
+    z = {}
+    for b, (d0, d1) in df.items():
+        p = (d0 + d1) / sum(n)
+        z[b] = abs(d1 / n[1] - d0 / n[0]) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
+    assert toxicity.chosen_buckets(sample).tolist() == sorted(b for b, v in z.items() if v >= 3 and sum(df[b]) >= 3)
+    assert toxicity.chosen_buckets(sample.where("label = 0")).tolist() == []
 
 
 def test_vectors(spark, tmp_path):
@@ -255,8 +274,9 @@ def test_sketches_lose_less_than_bands():
     k, p = minhash_dedup.K, 0.8 + 0.2 / 256
     a = np.zeros((k + 1, k), np.uint8)
     b = np.array([[0] * n + [1] * (k - n) for n in range(k + 1)], np.uint8)
-    batch = pa.RecordBatch.from_pydict({"a": range(k + 1), "b": range(k + 1), "sa": [x.tobytes() for x in a], "sb": [x.tobytes() for x in b]})
-    passed = {n for out in minhash_dedup.agreeing(iter([batch])) for n in out.column("a").to_pylist()}
+    names = [str(n).encode() for n in range(k + 1)]
+    batch = pa.RecordBatch.from_pydict({"a": names, "b": names, "sa": [x.tobytes() for x in a], "sb": [x.tobytes() for x in b]})
+    passed = {int(n) for out in minhash_dedup.agreeing(iter([batch])) for n in out.column("a").to_pylist()}
     lost = sum(math.comb(k, n) * p**n * (1 - p) ** (k - n) for n in range(k + 1) if n not in passed)
     assert lost < (1 - 0.8**minhash_dedup.ROWS) ** minhash_dedup.BANDS
 
@@ -305,7 +325,7 @@ def test_copies_without_a_run_of_words(spark):
     item = " ".join(f"i{k}" for k in range(40))
     texts = [every(item, 4), every(item, 3), every(item, 1, lambda w: [w, "more"]), every(item, 2)]
     assert leaks(spark, texts, [item]) == {(0, 0): pytest.approx(0.64, abs=0.01), (1, 0): pytest.approx(0.51, abs=0.01), (2, 0): pytest.approx(41 / 80)}
-    assert leaks(spark, ["some two words here", "two more words"], ["two words", "here", "..."]).keys() == {(0, 0), (0, 1)}
+    assert leaks(spark, ["some two words here", "two more words", "Two words.", "two words two words", "here"], ["two words", "here", "..."]).keys() == {(2, 0), (4, 1)}
 
 
 def test_all_pairs_that_score_are_found(spark):
@@ -323,6 +343,135 @@ def test_all_pairs_that_score_are_found(spark):
     assert leaks(spark, texts, items) == {k: v for k, v in share.items() if v >= 0.5}
 
 
+def grouped(rows, alike):
+    """Classes of distinct (doc_id, text) rows by brute force: {(doc_id, text): (class_id, kept)}."""
+    nodes = sorted({(i is None, i, t) for i, t in rows}, key=lambda n: (n[0], n[1] or 0, hashlib.md5((n[2] or "").encode()).digest()))
+    root = list(range(len(nodes)))
+    pairs = [(x, y) for x, y in itertools.combinations(range(len(nodes)), 2) if alike(nodes[x][2], nodes[y][2])]
+    for _ in range(20):
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    return {(i, t): (nodes[root[k]][1], root[k] == k) for k, (_, i, t) in enumerate(nodes)}
+
+
+def similar(a, b, weights="set"):
+    count = lambda t: Counter(tuple(w[k : k + 5]) for w in [(t or "").split()] for k in range(max(1, len(w) - 4)) if w)
+    x, y = count(a), count(b)
+    if weights == "set":
+        x, y = Counter(set(x)), Counter(set(y))
+    return bool(x and y) and sum((x & y).values()) >= 0.8 * sum((x | y).values())
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Two texts of one id keep the links of each; null ids take part and come last; repeated rows are kept together."""
+    x, y, z = prose(60), prose(60), prose(60)
+    rows = [(1, x), (1, y), (2, edited(x, 1)), (3, edited(y, 1)), (None, edited(z, 1)), (None, z), (None, z), (7, edited(x, 1)), (8, None), (9, ""), (9, ""), (None, None), (10, prose(40))]
+    out = minhash_dedup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()
+    want = grouped(rows, similar)
+    key = lambda t: hashlib.md5((t or "").encode()).digest()
+    assert Counter((r.doc_id, bytes(r.key), r.class_id, r.kept) for r in out) == Counter((i, key(t), *want[i, t]) for i, t in rows)
+    assert {r.class_id for r in out if r.doc_id == 3} == {1} and want[3, rows[3][1]] == (1, False)
+
+
+def test_near_duplicates_by_counts(spark):
+    """Weighted signatures end to end: shingles that occur often count as often."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(40):
+        parts = [prose(6) for _ in range(4)]
+        weights = [draw.randint(1, 8) for _ in parts]
+        for j in range(3):
+            own = [max(1, w + draw.choice([-1, 0, 0, 1])) for w in weights]
+            rows.append((3 * k + j, " ".join(" ".join([p] * w) for p, w in zip(parts, own, strict=True))))
+    out = minhash_dedup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows]), weights="counts").collect()
+    want = {i: v for (i, _), v in grouped(rows, lambda a, b: similar(a, b, "counts")).items()}
+    plain = {i: v for (i, _), v in grouped(rows, similar).items()}
+    assert {r.doc_id: (r.class_id, r.kept) for r in out} == want != plain
+    assert 0 < sum(not k for _, k in want.values()) < len(rows)
+
+
+def test_recall_of_near_duplicates(spark):
+    """Pairs of similarity 0.8 to 0.9, each a group of its own; pairs just below 0.8 stay apart."""
+    draw, rows, near = random.Random(9), [], 0
+    for k in range(400):
+        t = [f"{k}.{j}" for j in range(draw.randint(60, 200))]
+        u = list(t)
+        for j in draw.sample(range(len(t)), max(1, len(t) // 40)):
+            u[j] = "edit"
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(u))]
+    links = {2 * k + 1 for k in range(400) if similar(rows[2 * k][1], rows[2 * k + 1][1])}
+    out = {r.doc_id for r in minhash_dedup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect() if not r.kept}
+    assert 100 < len(links) < 400 and out <= links and len(out) >= 0.99 * len(links)
+
+
+def test_quality_by_plain_densities(spark):
+    """Log-densities of shrunken normals, written out with inverses and determinants."""
+    from roadweave.llm import quality
+
+    draw = np.random.default_rng(7)
+    x = {c: draw.normal(size=(200, quality.D)) @ draw.normal(size=(quality.D, quality.D)) + c for c in (0, 1)}
+    one = {c: np.hstack((np.ones((len(v), 1)), v)) for c, v in x.items()}
+    model = quality.fit_discriminant({c: o.T @ o for c, o in one.items()})
+    cov = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = (cov[0] + cov[1]) / 2
+    scale = np.sqrt(np.diag(pooled))
+    want = []
+    for c in (0, 1):
+        own, both = (m / np.outer(scale, scale) for m in (cov[c], pooled))
+        s = 0.65 * own + 0.3 * both + 0.05 * np.eye(quality.D) * np.trace(own) / quality.D
+        d = (x[1][:20] - x[c].mean(0)) / scale
+        want.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1])
+    assert model.log_odds(x[1][:20]) == pytest.approx(want[1] - want[0], rel=1e-6)
+    assert model.scores(x[1][:20], 4.0) == pytest.approx(1 / (1 + np.exp(-(want[1] - want[0]) / 4)))
+
+
+def test_null_ids_and_odd_columns_in_scores(spark):
+    from roadweave.llm.quality import classify_quality, of_quality
+    from roadweave.llm.toxicity import score_toxicity
+
+    rows = docs(spark, [(k, prose(20) if k % 2 else "!!! $$$ ||| " * 9, "s") for k in range(40)] + [(None, prose(9), "s"), (None, None, "s"), (1, "", "s")])
+    rows = rows.withColumns({"statistics": F.lit("x"), "score": F.lit("y"), "label": F.lit("z"), "h": F.lit(1)})
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for out in (classify_quality(rows, labels).collect(), score_toxicity(rows, labels).collect()):
+        assert len(out) == 43 and sum(r.doc_id is None for r in out) == 2 and not any(r.held_out for r in out if r.doc_id is None)
+    kept = of_quality(rows, labels)
+    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} >= {k for k in range(1, 40, 2) if k != 1}
+
+
+def test_contaminated_rows_of_any_kind(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    rows = docs(spark, [(None, f"x {item}", "s"), (None, prose(30), "s"), (4, item, "s"), (4, item, "s"), (4, prose(9), "s"), (5, None, "s"), (6, "", "s"), (7, "v " * 200_000 + item, "s")])
+    items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "the")], "item_id long, text string")
+    out = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, items).collect()]
+    assert Counter(out) == {(None, 1): 2, (4, 1): 4, (7, 1): 2}
+    assert Counter(r.doc_id for r in decontaminate.decontaminated(rows, items).collect()) == {None: 1, 4: 1, 5: 1, 6: 1}
+    assert decontaminate.decontaminated(rows, items.limit(0)).count() == rows.count()
+
+
+def test_seeds_are_the_rare_half_and_lose_nothing(spark):
+    """Of an item that many documents hold in part, seeds lie where few do."""
+    item = [f"i{k}" for k in range(40)]
+    texts = [" ".join(item[:14])] * 30 + [" ".join(item)]
+    (block,) = decontaminate.blocks(spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"), 0.5)
+    t = decontaminate.with_seeds(spark.createDataFrame([(x,) for x in texts], "text string"), block)
+    starts = {int(t.keys[k // 3] >> 32) for k in np.flatnonzero(t.seeds)}
+    assert len(starts) == 39 - (38 - 1) // 2 and min(starts) > 13 - 1
+
+
+def test_recall_of_edited_items(spark):
+    """Copies with a fifth of their words changed, left out or put in, against aligning each."""
+    draw = random.Random(3)
+    items = [prose(draw.randint(20, 60)) for _ in range(30)]
+    texts = []
+    for t in items * 8:
+        w = [x for v in t.split() for x in ([v] if draw.random() > 0.2 else draw.choice([["edit"], [], [v, "more"]]))]
+        texts.append(f"{prose(50)} {' '.join(w)} {prose(50)}")
+    number = {w: k for k, w in enumerate(sorted({w for t in items + texts for w in t.split()}))}
+    coded = lambda t: np.array([number[w] for w in t.split()])
+    want = {(d, d % 30) for d, t in enumerate(texts) if decontaminate.align(coded(items[d % 30]), coded(t))[0] >= len(items[d % 30].split())}
+    assert len(want) > 200 and want <= leaks(spark, texts, items).keys()
+
+
 def test_pipeline(spark, sf, none):
     import corpus_pipeline as p
 
@@ -334,8 +483,76 @@ def test_pipeline(spark, sf, none):
     assert 60 in ids and not {61, 62, 103, 104, 106} & set(ids) and near.columns == frame.columns and len(ids) == len(set(ids))
     clean = {r.doc_id for r in p.test_items(spark, frame, sf).collect()}
     assert clean == {i for i, *_ in ROWS} - set(range(80, 86))
-    marked = docs(spark, [(1, "x token=abcdefghijklmnop", "s"), (2, None, "s"), (None, "AKIA" + "B" * 16, "s")])
-    assert sorted((r.text or "", r.n_chars) for r in p.secrets(spark, marked, sf).collect()) == [("", 0), ("[SECRET]", 8), ("x [SECRET]", 10)]
     out = p.run(spark, sf)
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and 0 < out.count() <= len(ROWS)
     assert p.run(spark, none).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage against plain Python, with null ids, ids with several texts, repeated rows and columns of clashing names."""
+    import corpus_pipeline as p
+
+    item = " ".join(f"i{k}" for k in range(30))
+    base = [(k, prose(DRAW.randint(1, 80)), "s") for k in range(30)]
+    rows = [*base, (1, edited(PROSE, 1), "s"), (40, edited(PROSE, 1), "s"), (None, PROSE, "t"), (None, prose(50), "t"), (None, f"{prose(9)} {item}", "t"), (2, f"{item} {prose(9)}", None), (2, prose(30), None), (2, prose(30), None)]
+    rows += [rows[3], (50, None, "s"), (51, "", "s"), (50, "x token=abcdefghijklmnop", "s"), (None, "AKIA" + "B" * 16, "s"), (None, None, "s")]
+    names = ("spans", "_id", "_b", "_blob", "_spans", "_key", "key", "class", "kept", "score", "set", "blob_")
+    frame = docs(spark, rows).withColumns({n: F.lit("mine") for n in names})
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item), (1, None), (2, "the")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf, texts = str(tmp_path), lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    every = Counter((i, t) for i, t, _ in rows)
+    from roadweave.llm.quality import classify_quality
+
+    scores = classify_quality(frame, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    kept = p.quality(spark, frame, sf)
+    assert kept.count() == sum(r.predicted for r in scores) and not texts(kept) - every
+    assert Counter(i for i, _ in texts(kept).elements()) == Counter(r.doc_id for r in scores if r.predicted)
+    groups = grouped([(i, t) for i, t, _ in rows], similar)
+    one = Counter({(i, t): 1 for (i, t), (_, k) in groups.items() if k})
+    assert texts(p.near_copies(spark, frame, sf)) == one
+    assert texts(p.test_items(spark, frame, sf)) == Counter({k: n for k, n in every.items() if item not in (k[1] or "")})
+    hidden = lambda t: t and t.replace("token=abcdefghijklmnop", "[SECRET]").replace("AKIA" + "B" * 16, "[SECRET]")
+    red = p.secrets(spark, frame, sf)
+    assert texts(red) == Counter((i, hidden(t)) for i, t, _ in rows)
+    assert all(r.n_chars == (len(r.text) if "[SECRET]" in (r.text or "") else 0) for r in red.collect())
+    assert sum(r.size for r in p.mixing(spark, frame, sf).collect()) == sum(len((t or "").split()) for _, t, _ in rows)
+    for stage in (p.quality, p.near_copies, p.test_items, p.secrets):
+        out = stage(spark, frame, sf)
+        assert out.columns == frame.columns and all(r[n] == "mine" for r in out.collect() for n in names)
+    out = p.run(spark, sf).collect()
+    good = set(texts(kept))
+    left = {n for n, (_, k) in grouped(sorted(good, key=str), similar).items() if k and item not in (n[1] or "")}
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((i, len((hidden(t) or "").split())) for i, t in left)
+
+
+def test_repeated_rows_with_other_columns(spark):
+    """One stays, whatever order rows come in."""
+    rows = docs(spark, [(1, PROSE, "b"), (1, PROSE, "a"), (2, PROSE, "c")])
+    assert [tuple(r) for r in minhash_dedup.one_of_each(rows).collect()] == [tuple(r) for r in minhash_dedup.one_of_each(rows.orderBy("source")).collect()] == [(1, PROSE, "en", "a", 0, 7, "b", "s", "k")]
+
+
+def test_ledger_is_kept_between_runs(spark, tmp_path):
+    import corpus_pipeline as p
+    from roadweave.llm import secrets
+
+    path = f"{tmp_path}/ledger"
+    spark.conf.set(p.LEDGER, path)
+    try:
+        for more, blobs in ((0, 2), (1, 3), (1, 3)):
+            rows = [(1, "token=abcdefghijklmnop", "s"), (2, "plain", "s"), (3, "AKIA" + "A" * 16, "s")][: 2 + more]
+            out = p.secrets(spark, docs(spark, rows), "")
+            assert [r.text for r in out.orderBy("doc_id").collect()] == ["[SECRET]", "plain", "[SECRET]"][: 2 + more]
+            assert secrets.read_ledger(spark, path).count() == blobs
+    finally:
+        spark.conf.unset(p.LEDGER)
+
+
+def test_settings_stay_as_they_were(spark, sf):
+    before = dict(spark.sparkContext.getConf().getAll()), {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    tables = {t.name for t in spark.catalog.listTables()}
+    for name in ("op5_suffix_dedup", "op6_substring_dedup", "op9_token_counts"):
+        QUERIES[name](spark, sf)
+    assert before == (dict(spark.sparkContext.getConf().getAll()), {k: spark.conf.get(k) for k in before[1]}) and tables == {t.name for t in spark.catalog.listTables()}
