@@ -3,57 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roadweave.llm._kit import Scratch
-from roadweave.llm.decontaminate import contaminated
-from roadweave.llm.minhash_dedup import near_duplicates
+from roadweave.llm.decontaminate import decontaminated
+from roadweave.llm.minhash_dedup import one_of_each
 from roadweave.llm.mixing import mix_sources
-from roadweave.llm.quality import classify_quality
-from roadweave.llm.secrets import redact, scan_history
+from roadweave.llm.quality import of_quality
+from roadweave.llm.secrets import redacted
+
+#: Where this setting names a path, secrets found by earlier runs are read from there and new ones added.
+LEDGER = "roadweave.secrets.ledger"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose quality is predicted as 1."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = classify_quality(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return matching(docs, good, "left_semi")
+    """Keeps the rows whose quality is predicted as 1, each by its own text; null and empty texts are scored as such."""
+    return of_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest doc_id, of each group of near copies."""
-    others = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return matching(docs, others, "left_anti").dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each group of near copies, the smallest doc_id, null last.
+
+    Two texts of one doc_id are two documents; of repeated rows (doc_id and text) one stays; null and empty texts are no
+    copies of each other.
+    """
+    return one_of_each(docs)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, whole or edited."""
-    leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return matching(docs, leaks, "left_anti")
+    """Drops the rows whose text holds a benchmark item, whole or edited; null and empty texts hold none."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by a mark; keeps every document."""
-    found, _ = scan_history(docs)
-    hits = Scratch(spark, "redact").table(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), "spans").dropDuplicates(["_id", "_blob"]), "hits")
-    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    whole = docs.withColumn("_b", blob).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_blob")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("spans")))
-    columns = {"text": text, **({"n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {})}
-    return whole.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """Replaces secrets in texts by a mark and counts n_chars anew; keeps every row."""
+    return redacted(docs, spark.conf.get(LEDGER, None))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes from each document."""
+    """How many words the mix takes from each row; a null text gives none, null sources are one source."""
     return mix_sources(docs, weights=(5, 2, 1), most=3, block_words=16).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows with (left_semi) or without (left_anti) their doc_id in ids; null equals null."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
-
-
 STAGES = [("quality classifier", quality), ("minhash near-dedup", near_copies), ("benchmark decontamination", test_items), ("secret scans", secrets), ("mixing sources", mixing)]
 
 #: A discriminant and signatures have no SQL form; tests hold the stages against brute force.
