@@ -14,8 +14,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only where no cluster names one: a local session
-            base = "file://" + tempfile.gettempdir() + "/roadweave"
+        if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.gettempdir() + "/roadweave"  # one machine, one process
         self.base = f"{base}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
