@@ -13,8 +13,9 @@ from roadweave.operators.components import connected_components
 from roadweave.operators.spatial import within_join
 from roadweave.plans.scratch import Scratch, kernel_parts
 
-PART = "source_id {a}, part int, part_type string, dest_id {b}, a_from_m double, a_to_m double, a_len_m double, a_pct double, n_pairs int, n_a_arcs int, n_b_arcs int, drift_m double, drift_max_m double, bearing_diff_deg double, b_from_m double, b_to_m double, b_len_m double, b_head_m double, b_tail_m double"
-PAIR = "source_id {a}, dest_id {b}, a_seq int, b_seq int, dist_m double, turn double"
+PAIR = "source_id {a}, dest_id {b}, a_seq int, place int, b_seq int, dist_m double, turn double, a_from double, a_to double, a_size double, b_from double, b_to double, b_size double"
+#: Names of the output columns.
+PARTS = ("source_id", "part", "part_type", "dest_id", "a_from_m", "a_to_m", "a_len_m", "a_pct", "n_pairs", "n_a_arcs", "n_b_arcs", "drift_m", "drift_max_m", "bearing_diff_deg", "b_from_m", "b_to_m", "b_len_m", "b_head_m", "b_tail_m")
 
 
 def components_of(a: DataFrame, decimals: int = 3) -> DataFrame:
@@ -25,11 +26,66 @@ def components_of(a: DataFrame, decimals: int = 3) -> DataFrame:
     return ends.join(parts, F.col("_u") == F.col("node")).drop("_u", "_e", "node")
 
 
-def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: float = 1.0, beta: float = 1.0, bearing_weight: float = 2.0, step: float = 5.0, decimals: int = 3, radii: tuple[float, ...] = (1.0,), most_rows: int = 2_000_000) -> dict[str, DataFrame]:
-    """{"long", "summary", "parts", "errors"}: matches by edge pair, by source, by stretch, and components that have none.
+def stretches(pairs: DataFrame) -> DataFrame:
+    """Rows of PARTS: stretches of each source edge by the target edge they follow, from rows of PAIR.
+
+    In the order of travel (segment, then place in its run) the rows before the first change of target segment lead, those
+    after the last one trail. Of these, source segments other than the one next to the rest overhang: they are the head and
+    the tail. What is left falls into islands of one target edge. Stretches lie end to end from the first matched segment on.
+    """
+    way = Window.partitionBy("source_id").orderBy("a_seq", "place")
+    back = Window.partitionBy("source_id").orderBy(F.desc("a_seq"), F.desc("place"))
+    whole = Window.partitionBy("source_id")
+    cell = F.struct("dest_id", "b_seq")
+    p = pairs.withColumn("cell", cell)
+    p = p.withColumn("lead", F.max((F.col("cell") != F.first("cell").over(way)).cast("int")).over(way) == 0)
+    p = p.withColumn("trail", F.max((F.col("cell") != F.first("cell").over(back)).cast("int")).over(back) == 0)
+    one = F.min(F.col("lead").cast("int")).over(whole) == 1  # a single target segment: nothing overhangs
+    p = p.withColumn("head", F.col("lead") & ~one & (F.col("a_seq") != F.max(F.when(F.col("lead"), F.col("a_seq"))).over(whole)))
+    p = p.withColumn("tail", F.col("trail") & ~one & (F.col("a_seq") != F.min(F.when(F.col("trail"), F.col("a_seq"))).over(whole)))
+    p = p.withColumn("part_type", F.when(F.col("head"), "head").when(F.col("tail"), "tail").otherwise("match"))
+    mine = F.struct("part_type", "dest_id")
+    p = p.withColumn("new", F.coalesce(mine != F.lag(mine).over(way), F.lit(True)).cast("int"))
+    p = p.withColumn("part", F.sum("new").over(way).cast("int")).withColumn("begins", F.first("a_from").over(way))
+    s = p.groupBy("source_id", "part").agg(
+        *(F.first(c).alias(c) for c in ("part_type", "dest_id", "begins", "a_size", "b_size")), F.max("a_to").alias("ends"), F.count("*").cast("int").alias("n_pairs"), F.countDistinct("a_seq").cast("int").alias("n_a_arcs"), F.countDistinct("b_seq").cast("int").alias("n_b_arcs"),
+        F.avg("dist_m").alias("drift_m"), F.max("dist_m").alias("drift_max_m"), F.avg("turn").alias("bearing_diff_deg"), F.min("b_from").alias("b_from_m"), F.max("b_to").alias("b_to_m"),
+    )
+    along = Window.partitionBy("source_id").orderBy("part")
+    s = s.withColumn("a_to_m", F.greatest("begins", F.max("ends").over(along))).withColumn("a_from_m", F.coalesce(F.lag("a_to_m").over(along), "begins"))
+    s = s.withColumn("a_len_m", F.col("a_to_m") - F.col("a_from_m")).withColumn("a_pct", F.when(F.col("a_size") > 0, 100.0 * F.col("a_len_m") / F.col("a_size")).otherwise(0.0))
+    return s.withColumns({"b_len_m": F.col("b_size"), "b_head_m": F.col("b_from_m"), "b_tail_m": F.col("b_size") - F.col("b_to_m")}).select(*PARTS)
+
+
+def check_rules(pairs: DataFrame, arcs_a: DataFrame, arcs_b: DataFrame) -> DataFrame:
+    """(u, v, rule) of pairs (u, v) that break a rule, as joins; arcs are (tail, head).
+
+    step_back: a predecessor of u lies ahead of v. unfed: v is no continuation of u's run, and some predecessor of u has
+    neither v nor a cell before it. stuck: the same for successors.
+    """
+    p = pairs.select("u", "v").distinct()
+    aa, bb = arcs_a.select(F.col("tail").alias("a0"), F.col("head").alias("a1")).distinct(), arcs_b.select(F.col("tail").alias("b0"), F.col("head").alias("b1")).distinct()
+    there = p.select(F.col("u").alias("p"), F.col("v").alias("w"))
+    back = p.join(aa, p["u"] == aa["a1"]).join(bb, F.col("v") == bb["b0"]).join(there, (F.col("a0") == F.col("p")) & (F.col("b1") == F.col("w")), "left_semi")
+
+    def lacking(u: str, near: str, v: str, cell: str) -> DataFrame:
+        steps = p.join(bb, p["v"] == bb[v]).select("u", "v", F.col(cell).alias("w"))  # cells next to v on that side
+        ends = p.join(steps.join(there, (F.col("u") == F.col("p")) & (steps["w"] == there["w"]), "left_semi"), ["u", "v"], "left_anti")
+        asked = ends.join(aa, ends["u"] == aa[u]).select("u", "v", F.col(near).alias("n"))
+        ways = asked.select("u", "v", "n", F.col("v").alias("w")).unionByName(asked.join(bb, asked["v"] == bb[v]).select("u", "v", "n", F.col(cell).alias("w")))
+        met = ways.join(there, (F.col("n") == F.col("p")) & (ways["w"] == there["w"]), "left_semi").select("u", "v", "n").distinct()
+        return asked.join(met, ["u", "v", "n"], "left_anti")
+
+    named = lambda df, rule: df.select("u", "v", F.lit(rule).alias("rule")).distinct()
+    return named(back, "step_back").unionByName(named(lacking("a1", "a0", "b1", "b0"), "unfed")).unionByName(named(lacking("a0", "a1", "b0", "b1"), "stuck"))
+
+
+def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: float = 1.0, beta: float = 1.0, bearing_weight: float = 2.0, step: float = 5.0, decimals: int = 3, radii: tuple[float, ...] = (1.0,), k_min: int = 1, most_rows: int = 2_000_000, max_seconds: float | None = None) -> dict[str, DataFrame]:
+    """{"long", "summary", "parts", "pairs", "costs", "errors"}: matches by edge pair, by source, by stretch and by segment, each component's cost, and components that have none.
 
     A component meets the B-edges near it in one row; a component without a valid matching at `max_distance` is tried at
     that times each of `radii`, then reported. Components are independent, so the total cost is that of the whole network.
+    `most_rows` bounds a task's memory, not what is matched; `max_seconds`, if given, ends a component with an error.
     """
     kinds = {"a": dict(a.dtypes)["id"], "b": dict(b.dtypes)["id"]}
     placed = Scratch(a.sparkSession, "dag").table(components_of(a.where(F.size("pts") > 1), decimals), "placed")
@@ -40,26 +96,29 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     own = placed.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("a"))
     met = own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left").repartition(kernel_parts(a.sparkSession))
     short = lambda s: s.format(**kinds).replace(", ", ",").replace(" ", ":")
-    schema = f"component string, cost double, error string, sources array<{kinds['a']}>, pairs array<struct<{short(PAIR)}>>, parts array<struct<{short(PART)}>>"
+    schema = f"component string, cost double, error string, sources array<{kinds['a']}>, pairs array<struct<{short(PAIR)}>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = lambda e: (e["id"], [(p["x"], p["y"]) for p in e["pts"]])
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                got = {"component": row["component"], "cost": None, "error": "no edge is near", "sources": [e["id"] for e in row["a"]], "pairs": [], "parts": []}
+                got = {"component": row["component"], "cost": None, "error": "no edge is near", "sources": [e["id"] for e in row["a"]], "pairs": []}
                 rows.append(got)
                 for grow in radii if row["b"] else ():
                     try:
                         x, y = dag.segment_net([line(e) for e in row["a"]], step, decimals), dag.segment_net([line(e) for e in row["b"]], step, decimals)
-                        cost, pairs = dag.match(x, y, max_distance * grow, alpha, beta, bearing_weight, most_rows=most_rows)
+                        cost, runs = dag.match_runs(x, y, max_distance * grow, alpha, beta, bearing_weight, k_min, most_rows, max_seconds)
                     except ValueError as e:
                         got["error"] = f"{type(e).__name__}: {e}"
                         continue
-                    turn = lambda u, v: abs(x.bearing[u] - y.bearing[v]) % 360.0  # noqa: B023, E731
-                    far = lambda u, v: float(((x.xy[u] - y.xy[v]) ** 2).sum() ** 0.5)  # noqa: B023, E731
-                    ordered = sorted(pairs)
-                    got |= {"cost": cost, "error": None, "parts": dag.parts(pairs, x, y), "pairs": [{"source_id": x.road[u], "dest_id": y.road[v], "a_seq": x.seq[u], "b_seq": y.seq[v], "dist_m": far(u, v), "turn": min(turn(u, v), 360.0 - turn(u, v))} for u, v in ordered]}
+                    (at_a, size_a), (at_b, size_b) = dag.spans(x), dag.spans(y)
+                    pairs = []
+                    for u, v, place in ((u, v, k) for u, cells in enumerate(runs) for k, v in enumerate(cells)):
+                        turn = abs(x.bearing[u] - y.bearing[v]) % 360.0
+                        (af, at), (bf, bt) = at_a[u], at_b[v]
+                        pairs.append({"source_id": x.road[u], "dest_id": y.road[v], "a_seq": x.seq[u], "place": place, "b_seq": y.seq[v], "dist_m": float(((x.xy[u] - y.xy[v]) ** 2).sum() ** 0.5), "turn": float(min(turn, 360.0 - turn)), "a_from": af, "a_to": at, "a_size": size_a[x.road[u]], "b_from": bf, "b_to": bt, "b_size": size_b[y.road[v]]})
+                    got |= {"cost": cost, "error": None, "pairs": pairs}
                     break
             yield pa.RecordBatch.from_pylist(rows, schema=target)
 
@@ -69,7 +128,7 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     target = to_arrow_schema(_parse_datatype_string(schema))
     found = Scratch(a.sparkSession, "dag").table(met.mapInArrow(run, schema), "found")
     pairs = found.select(F.explode("pairs").alias("p")).select("p.*")
-    parts = found.select(F.explode("parts").alias("p")).select("p.*")
+    parts = stretches(pairs)
     long = pairs.groupBy("source_id", "dest_id").agg(F.min("a_seq").alias("s"), F.count("*").alias("n_pairs"), F.avg("dist_m").alias("avg_dist_m"), F.avg("turn").alias("avg_bearing_diff"))
     long = long.withColumn("seq", F.row_number().over(Window.partitionBy("source_id").orderBy("s", "dest_id"))).drop("s").select("source_id", "dest_id", "seq", "n_pairs", "avg_dist_m", "avg_bearing_diff")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("dest_id").cast("string").alias("d")))), lambda x: x["d"]), ";")
@@ -78,4 +137,5 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     ends = parts.groupBy("source_id").agg(F.count_if(F.col("part_type") == "match").alias("n_parts"), over("head").alias("a_head_m"), over("tail").alias("a_tail_m"))
     whole = whole.join(ends, "source_id", "left").withColumn("match_type", F.when(F.col("n_dest") > 1, "1:N_ROUTE").otherwise("1:1"))
     whole = whole.select("source_id", "dest_ids", "n_dest", "n_parts", "n_pairs", "avg_dist_m", "avg_bearing_diff", "a_head_m", "a_tail_m", "match_type")
-    return {"long": long, "summary": whole, "parts": parts, "errors": found.where("error is not null").select("component", "sources", "error")}
+    ok = found.where("error is null")
+    return {"long": long, "summary": whole, "parts": parts, "pairs": pairs, "costs": ok.select("component", "cost", F.size("sources").alias("n_sources")), "errors": found.where("error is not null").select("component", "sources", "error")}

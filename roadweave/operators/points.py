@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadweave.functions import geometry as G
 from roadweave.operators.spatial import within_join
 
+#: Names of the output columns.
 COLUMNS = ("source_id", "dest_id", "distance_m", "position_pct", "edge_bearing_deg", "snap_wkt", "rank", "match_type")
 
 
@@ -20,16 +21,16 @@ def snap_candidates(points: DataFrame, edges: DataFrame, max_distance: float = 2
     on = on.withColumn("snap", G.interpolate(line, s))
     ahead = G.bearing(G.interpolate(line, F.greatest(s - 1.0, F.lit(0.0))), G.interpolate(line, F.least(s + 1.0, F.col("len"))))
     return on.select(
-        F.col("id_a").alias("source_id"), F.col("id_b").alias("dest_id"), F.round("at.d", 6).alias("distance_m"),
-        F.round(F.when(F.col("len") > 0, 100.0 * s / F.col("len")).otherwise(0.0), 6).alias("position_pct"), F.round(ahead, 6).alias("edge_bearing_deg"), G.to_wkt(F.array("snap")).alias("snap_wkt"),
+        F.col("id_a").alias("source_id"), F.col("id_b").alias("dest_id"), F.col("at.d").alias("distance_m"),
+        F.when(F.col("len") > 0, 100.0 * s / F.col("len")).otherwise(0.0).alias("position_pct"), ahead.alias("edge_bearing_deg"), G.to_wkt(F.array("snap")).alias("snap_wkt"),
     )
 
 
 def match_points(points: DataFrame, edges: DataFrame, max_distance: float = 25.0) -> DataFrame:
-    """Ranked candidates of each point, and a NO_MATCH row for each point without any."""
-    near = snap_candidates(points, edges, max_distance)
+    """Ranked candidates of each point, and a NO_MATCH row for each point without any; candidates are found once."""
+    near = points.select(F.col("id").alias("source_id")).distinct().join(snap_candidates(points, edges, max_distance), "source_id", "left")
     by = Window.partitionBy("source_id")
-    ranked = near.withColumn("rank", F.row_number().over(by.orderBy("distance_m", "dest_id")).cast("long"))
-    ranked = ranked.withColumn("match_type", F.when(F.count("*").over(by) > 1, "1:N_CANDIDATES").otherwise("1:1"))
-    lost = points.select(F.col("id").alias("source_id")).distinct().join(near.select("source_id").distinct(), "source_id", "left_anti")
-    return ranked.unionByName(lost.withColumn("match_type", F.lit("NO_MATCH")), allowMissingColumns=True).select(*COLUMNS)
+    lost = F.col("dest_id").isNull()
+    ranked = near.withColumn("rank", F.when(~lost, F.row_number().over(by.orderBy("distance_m", "dest_id"))).cast("long"))
+    kind = F.when(lost, "NO_MATCH").when(F.count("*").over(by) > 1, "1:N_CANDIDATES").otherwise("1:1")
+    return ranked.withColumn("match_type", kind).select(*COLUMNS)

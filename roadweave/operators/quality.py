@@ -1,191 +1,35 @@
-"""Thresholds from the data, checks of the target network, diagnosis of pairs, and issue records."""
+"""Checks of the target network, diagnosis of pairs, and issue records."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
 from roadweave.operators.spatial import nearest_other, within_join
 from roadweave.plans.scratch import Scratch
 
-#: Metrics, and whether more of one is better.
-DEFAULT_METRICS = {"dtw_distance": False, "bearing_diff": False, "overlap_pct": True}
-BINS, GRID, VALLEY = 256, 512, 1.3
-LIMIT_NAMES = {"dtw_distance": "max_match_dist", "bearing_diff": "max_bearing_diff", "overlap_pct": "min_overlap_pct"}
-
-
-def sound(df: DataFrame, metric: str) -> DataFrame:
-    """(v) of the finite values."""
-    return df.select(F.col(metric).cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
-
-
-def spread(values: DataFrame) -> dict[str, float]:
-    """Exact quantiles and moments of (v), in one row."""
-    q = lambda p: F.percentile("v", p)
-    r = values.agg(F.count("*").alias("n"), q(0.25).alias("q1"), q(0.5).alias("p50"), q(0.75).alias("q3"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.975).alias("p975"), q(0.99).alias("p99"), q(0.995).alias("p995"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).first()
-    out = r.asDict()
-    if out["n"]:
-        out["mad"] = values.agg(F.percentile(F.abs(F.col("v") - out["p50"]), 0.5)).first()[0]
-    return out
-
-
-def mad_fence(s: dict[str, float], k: float = 3.0) -> float:
-    width = 1.4826 * s["mad"] or s["std"]
-    return s["p50"] + k * width if width else s["p50"]
-
-
-def iqr_fence(s: dict[str, float], k: float = 1.5) -> float:
-    width = s["q3"] - s["q1"]
-    if width > 0:
-        return s["q3"] + k * width
-    fence = mad_fence(s)
-    return fence if fence > s["q3"] else s["p975"]
-
-
-def histogram(values: DataFrame, lo: float, hi: float, bins: int = BINS) -> DataFrame:
-    """(bin, n, mid): counts of values in equal bins; the last holds its upper end."""
-    width = (hi - lo) / bins
-    k = F.least(F.floor((F.least("v", F.lit(hi)) - lo) / width), F.lit(bins - 1)).cast("int")
-    return values.groupBy(k.alias("bin")).agg(F.count("*").alias("n")).withColumn("mid", lo + (F.col("bin") + 0.5) * width)
-
-
-def otsu(values: DataFrame, s: dict[str, float]) -> float | None:
-    """The upper end of the bin that splits the (capped) values with the largest variance between both sides."""
-    lo, hi = values.agg(F.min("v")).first()[0], s["p995"]
-    if not hi > lo:
-        return None
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    h = histogram(values, lo, hi).withColumn("w", F.sum("n").over(before)).withColumn("m", F.sum(F.col("n") * F.col("mid")).over(before))  # at most BINS rows
-    total = h.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mid")).alias("m")).first()
-    rest = F.lit(float(total["n"])) - F.col("w")
-    gain = F.col("w") * rest * F.pow(F.col("m") / F.col("w") - (F.lit(total["m"]) - F.col("m")) / rest, 2)
-    best = h.where(F.col("w") < total["n"]).orderBy(gain.desc(), "bin").first()
-    return best.mid + (hi - lo) / BINS / 2 if best else None
-
-
-def density(values: DataFrame, s: dict[str, float], grid: int = GRID) -> list[tuple[float, float]]:
-    """Gaussian density of the capped values on an even grid, from a histogram finer than the grid (a few thousand counts)."""
-    lo, hi = values.agg(F.min("v")).first()[0], s["p995"]
-    if not hi > lo:
-        return []
-    scale = min(x for x in (s["std"], (s["q3"] - s["q1"]) / 1.349) if x > 0) if s["std"] > 0 else 0.0
-    band = 0.9 * scale * s["n"] ** -0.2
-    if band <= 0:
-        return []
-    counts = [(r.mid, r.n) for r in histogram(values, lo, hi, 8 * grid).collect()]
-    xs = [lo + (hi - lo) * k / (grid - 1) for k in range(grid)]
-    return [(x, sum(n * math.exp(-0.5 * ((x - m) / band) ** 2) for m, n in counts if abs(x - m) < 6 * band) / (s["n"] * band * math.sqrt(2 * math.pi))) for x in xs]
-
-
-def valley(curve: list[tuple[float, float]], ratio: float = VALLEY) -> float | None:
-    """The first dip right of the mode that a later peak exceeds by `ratio`."""
-    if not curve:
-        return None
-    y = [d for _, d in curve]
-    later = y[:]
-    for k in range(len(y) - 2, -1, -1):
-        later[k] = max(later[k], later[k + 1])
-    for k in range(y.index(max(y)) + 1, len(y) - 1):
-        if y[k] <= y[k - 1] and y[k] < y[k + 1] and later[k + 1] >= ratio * y[k] and later[k + 1] > 1e-12:
-            return curve[k][0]
-    return None
-
-
-def two_normals(values: DataFrame, s: dict[str, float], rounds: int = 200, least_gain: float = 1e-6) -> dict[str, float]:
-    """Two normal distributions by expectation and maximisation over a fine histogram (8 x GRID counts) of the capped values."""
-    lo = values.agg(F.min("v")).first()[0]
-    if not s["p995"] > lo:
-        return {"converged": 0.0}
-    v, n = np.array(sorted((r.mid, r.n) for r in histogram(values, lo, s["p995"], 8 * GRID).collect()), float).T
-    upper = v > s["p50"]
-    if not upper.any() or upper.all():
-        return {"converged": 0.0}
-    floor = max(1e-6, 1e-4 * s["std"] ** 2)
-    r, last, ok = upper.astype(float), None, 0.0
-    for _ in range(rounds):
-        w = np.array([(n * (1 - r)).sum(), (n * r).sum()])
-        if w.min() < 1e-9:
-            break
-        m = np.array([(n * (1 - r) * v).sum(), (n * r * v).sum()]) / w
-        var = np.maximum(np.array([(n * (1 - r) * (v - m[0]) ** 2).sum(), (n * r * (v - m[1]) ** 2).sum()]) / w, floor)
-        part = np.log(w / w.sum())[:, None] - 0.5 * np.log(2 * np.pi * var)[:, None] - (v - m[:, None]) ** 2 / (2 * var[:, None])
-        both = np.logaddexp(*part)
-        r, now = np.exp(part[1] - both), float((n * both).sum() / n.sum())
-        if last is not None and abs(now - last) < least_gain:
-            ok = 1.0
-            break
-        last = now
-    w = w / w.sum()
-    lo, hi = (0, 1) if m[0] <= m[1] else (1, 0)
-    pdf = lambda x, k: w[k] * np.exp(-((x - m[k]) ** 2) / (2 * var[k])) / np.sqrt(var[k])
-    x = np.linspace(m[lo], m[hi], 1001)
-    bad = np.flatnonzero(pdf(x, hi) >= pdf(x, lo))
-    return {"converged": ok, "separation": float(abs(m[hi] - m[lo]) / np.sqrt(var.mean())), "share": float(w[hi]), "threshold": float(x[bad[0]] if len(bad) else m[hi])}
-
-
-def kneedle(values: DataFrame) -> float | None:
-    """The value farthest below the chord of the sorted values, on their quantiles (a thousand numbers)."""
-    got = values.agg(F.percentile("v", [k / 1000 for k in range(1001)]).alias("q")).first().q
-    if not got or got[-1] <= got[0]:
-        return None
-    return max(zip(got, range(1001), strict=True), key=lambda x: x[1] / 1000 - (x[0] - got[0]) / (got[-1] - got[0]))[0]
-
-
-def suggest_one(values: DataFrame) -> dict:
-    """Methods' cuts and a recommended upper limit for values where less is better."""
-    s = spread(values)
-    if not s["n"]:
-        return {"n": 0, "summary": s, "methods": {}, "gmm": {}, "recommended": None, "rationale": "no finite values"}
-    if s["n"] < 20:
-        return {"n": s["n"], "summary": s, "methods": {}, "gmm": {}, "recommended": round(s["p95"], 3), "rationale": "few values: 95th percentile"}
-    flat = not s["std"] > 0
-    gmm = {"converged": 0.0} if flat else two_normals(values, s)
-    dip = None if flat else valley(density(values, s))
-    cuts = {"iqr": iqr_fence(s), "mad": mad_fence(s), "p95": s["p95"], "otsu": None if flat else otsu(values, s), "kde": dip, "knee": kneedle(values)}
-    two = bool(gmm["converged"]) and gmm["separation"] >= 2 and 0.01 <= gmm["share"] <= 0.45
-    if two or dip is not None:
-        found = sorted(x for x in ((gmm["threshold"] if two else None), dip) if x is not None)
-        cut, why = (found[0] + found[-1]) / 2, "bimodal: median of the cuts between both groups"
-    else:
-        cut, why = min(max(cuts["mad"], cuts["iqr"]), s["p99"]), "unimodal: outlier fence"
-    return {"n": s["n"], "summary": s, "methods": cuts, "gmm": gmm, "recommended": round(min(max(cut, s["p50"]), s["max"]), 3), "rationale": why}
-
-
-def suggest_thresholds(summary: DataFrame, metrics: dict[str, bool] | None = None) -> dict:
-    """{"metrics", "recommended", "params", "n_total", "n_nomatch"}; params go to resolve_routes."""
-    metrics = metrics or {k: v for k, v in DEFAULT_METRICS.items() if k in summary.columns}
-    out = {}
-    for m, more in metrics.items():
-        values = Scratch(summary.sparkSession, "values").table(sound(summary, m), m)
-        got = suggest_one(values.select((100.0 - F.col("v")).alias("v")) if more else values)
-        if more and got["recommended"] is not None:
-            got["recommended"] = round(100.0 - got["recommended"], 3)
-            got["methods"] = {k: v if v is None else 100.0 - v for k, v in got["methods"].items()}
-        out[m] = got | {"direction": "higher" if more else "lower"}
-    n = summary.agg(F.count("*").alias("n"), F.count_if(F.col("match_type") == "NO_MATCH").alias("m")).first() if "match_type" in summary.columns else None
-    rec = {m: v["recommended"] for m, v in out.items()}
-    return {"metrics": out, "recommended": rec, "params": {LIMIT_NAMES[m]: v for m, v in rec.items() if m in LIMIT_NAMES and v is not None}, "n_total": n.n if n else summary.count(), "n_nomatch": n.m if n else None}
-
-
-def threshold_report(found: dict) -> str:
-    rows = [f"{m}: {v['recommended']} ({v['direction']} is better; {v['n']} values; {v['rationale']})" for m, v in found["metrics"].items()]
-    return "\n".join([*rows, f"{found['n_total']} rows, {found['n_nomatch']} without a match"])
 
+def check_network(edges: DataFrame, tolerances: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0), reach: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """(one row of figures on gaps from each endpoint to the nearest other one, degenerate edges with the reason).
 
-def check_network(edges: DataFrame, tolerances: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0, 2.0), reach: float = 50.0) -> tuple[DataFrame, DataFrame]:
-    """(one row of endpoint-gap figures, degenerate edges with the reason)."""
+    Percentiles are of gaps above 0, at whatever distance; `reach` is only where the search begins. Edges without two
+    vertices have no endpoints.
+    """
     ends = edges.where(F.size("pts") > 1).select(F.posexplode(F.array(F.element_at("pts", 1), F.element_at("pts", -1))).alias("k", "p"), "id")
     ends = ends.select(F.concat_ws(":", F.col("id").cast("string"), F.col("k").cast("string")).alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    gap = nearest_other(ends, reach)
-    near = [F.count_if((F.col("gap") > 1e-9) & (F.col("gap") <= t)).alias("near_" + str(t).replace(".", "_")) for t in tolerances]
-    figures = gap.agg(F.count("*").alias("n_endpoints"), F.count_if(F.col("gap") <= 1e-9).alias("exact_shared"), *near, *(F.percentile("gap", p / 100).alias(f"gap_p{p}") for p in (50, 90, 95, 99)))
-    same = F.size(F.filter(G.segments(F.col("pts")), lambda s: (s["a"]["x"] == s["b"]["x"]) & (s["a"]["y"] == s["b"]["y"])))
-    why = F.when(G.length(F.col("pts")) == 0, "zero_length").when(same > 0, F.concat(same.cast("string"), F.lit("_duplicate_vertices")))
-    return figures, edges.select("id", why.alias("reason")).where("reason is not null")
+    gap = nearest_other(Scratch(edges.sparkSession, "ends").table(ends, "ends"), reach)
+    apart = F.when(F.col("gap") > 1e-9, F.col("gap"))
+    near = [F.count_if(apart <= t).alias("near_" + f"{t:g}".replace(".", "_")) for t in tolerances]
+    figures = gap.agg(F.count("*").alias("n_endpoints"), F.count_if(F.col("gap") <= 1e-9).alias("exact_shared"), *near, *(F.percentile(apart, p / 100).alias(f"gap_p{p}") for p in (50, 75, 90, 95)))
+    steps = F.transform(G.segments(F.col("pts")), lambda s: G.distance(s["a"], s["b"]))
+    same = F.size(F.filter(steps, lambda d: d < 1e-9))
+    none = F.coalesce((F.size("pts") < 2) | (G.length(F.col("pts")) == 0), F.lit(True))
+    why = F.when(none, "zero_length").when(same > 0, F.concat(same.cast("string"), F.lit("_duplicate_vertices")))
+    bad = edges.select("id", why.alias("reason"))
+    counts = bad.agg(F.count("*").alias("n_edges"), F.count("reason").alias("n_degenerate"))
+    figures = counts.withColumn("k", F.lit(1)).join(figures.withColumn("k", F.lit(1)), "k").drop("k")
+    return figures, bad.where("reason is not null")
 
 
 def diagnose(evaluated: DataFrame, results: DataFrame, max_angle: float, min_overlap: float) -> DataFrame:

@@ -10,41 +10,46 @@ from roadweave.plans.scratch import Scratch
 STRATEGIES = ("all", "best_per_source", "best_per_dest", "one_to_one")
 
 
-def _top(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_k = 1").drop("_k")
-
-
 def one_to_one(rows: DataFrame, score: str) -> DataFrame:
     """Greedy assignment in the order (score, source_id, dest_id), in rounds.
 
     In each round every pair that is the first of both its source and its destination is taken; what shares an end with
-    a taken pair goes. This equals taking pairs one by one in order. Rounds end when nothing is left.
+    a taken pair goes. This equals taking pairs one by one in order. Rounds end when nothing is left; a round's rest takes
+    the place of the one before.
     """
     scratch = Scratch(rows.sparkSession, "assign")
-    left, taken, step = scratch.table(rows, "open-0"), None, 0
+    left, step, taken = scratch.table(rows, "open-0"), 0, []
     while not left.isEmpty():
         order = [score, "source_id", "dest_id"]
         w = left.withColumn("_s", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
         w = w.withColumn("_d", F.row_number().over(Window.partitionBy("dest_id").orderBy(*order)))
         now = scratch.table(w.where("_s = 1 and _d = 1").drop("_s", "_d"), f"taken-{step}")
-        taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select("source_id"), "source_id", "left_anti").join(now.select("dest_id"), "dest_id", "left_anti")
+        taken.append(f"taken-{step}")
+        rest = left.join(now.select("source_id"), "source_id", "left_anti").join(now.select("dest_id"), "dest_id", "left_anti")
+        left = scratch.table(rest, f"open-{step + 1}")
+        scratch.drop(f"open-{step}")
         step += 1
-        left = scratch.table(left, f"open-{step}")
-    return taken if taken is not None else rows.limit(0)
+    return scratch.read(rows.schema, *taken) if taken else rows.limit(0)
 
 
 def resolve(results: DataFrame, strategy: str = "best_per_source") -> DataFrame:
-    """Matches by a strategy; match_type and rank stay as they were, and sources left without any become NO_MATCH."""
+    """Matches by a strategy; match_type and rank stay as they were, and sources left without any become NO_MATCH.
+
+    Every strategy but one_to_one reads the results once, by windows.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     score = "dtw_distance" if "dtw_distance" in results.columns else "distance_m"
-    matched = results.where(F.col("dest_id").isNotNull())
-    kept = {
-        "all": lambda: matched,
-        "best_per_source": lambda: _top(matched, "source_id", [score, "dest_id"]),
-        "best_per_dest": lambda: _top(matched, "dest_id", [score, "source_id"]),
-        "one_to_one": lambda: one_to_one(matched, score),
-    }[strategy]()
-    lost = results.select("source_id").distinct().join(kept.select("source_id").distinct(), "source_id", "left_anti")
-    return kept.unionByName(lost.withColumn("match_type", F.lit("NO_MATCH")), allowMissingColumns=True).select(*results.columns)
+    lost, source = F.col("dest_id").isNull(), Window.partitionBy("source_id")
+    if strategy == "one_to_one":
+        written = Scratch(results.sparkSession, "results").table(results, "results")
+        kept = one_to_one(written.where(~lost), score)
+        ids = written.select("source_id").distinct()
+        out = ids.join(kept, "source_id", "left")
+        return out.withColumn("match_type", F.when(lost, "NO_MATCH").otherwise(F.col("match_type"))).select(*results.columns)
+    first = {"all": ~lost, "best_per_source": ~lost & (F.row_number().over(source.orderBy(lost, score, "dest_id")) == 1), "best_per_dest": ~lost & (F.row_number().over(Window.partitionBy("dest_id").orderBy(score, "source_id")) == 1)}
+    rows = results.withColumn("_kept", first[strategy])
+    rows = rows.withColumn("_any", F.max("_kept").over(source)).withColumn("_k", F.row_number().over(source.orderBy(F.desc("_kept"), score, "dest_id")))
+    rows = rows.where(F.col("_kept") | (~F.col("_any") & (F.col("_k") == 1)))
+    blank = {c: F.when(F.col("_kept"), F.col(c)) for c in results.columns if c not in ("source_id", "match_type")}
+    return rows.select(*(blank.get(c, F.col(c)).alias(c) for c in results.columns if c != "match_type"), F.when(F.col("_kept"), F.col("match_type")).otherwise("NO_MATCH").alias("match_type")).select(*results.columns)

@@ -14,6 +14,7 @@ from roadweave.functions import dtw, route
 from roadweave.operators.spatial import within_join
 from roadweave.plans.scratch import Scratch, kernel_parts
 
+#: Names of the output columns.
 EDGE = "dest_id {id}, seq int, direction string, edge_match_dist_avg double, edge_match_dist_max double, edge_match_dist_min double, edge_a_len double, edge_cover_pct double, edge_matched_len double, edge_b_len double, edge_b_used_pct double, edge_bearing_diff double, n_points int"
 WHOLE = ("dtw_distance", "max_dtw_distance", "min_dtw_distance", "bearing_diff", "part_drift", "part_bearing_diff", "overlap_pct", "matched_len", "route_geom_wkt")
 SUMMARY = ("source_id", "n_edges", "dest_ids", *WHOLE, "match_type")
@@ -69,7 +70,7 @@ def match_routes(a: DataFrame, b: DataFrame, parameters: RouteParameters | None
     n = F.size("edges").cast("long")
     e = found.select("source_id", F.col("dtw_distance").alias("route_match_dist"), n.alias("n_edges"), F.explode("edges").alias("e"))
     long = e.select("source_id", "e.*", "route_match_dist", "n_edges").select(*LONG)
-    summary = found.select("source_id", n.alias("n_edges"), F.transform("edges", lambda x: x["dest_id"]).alias("dest_ids"), *WHOLE, F.when(n > 1, "1:N_SPLIT").otherwise("1:1").alias("match_type"))
+    summary = found.select("source_id", n.alias("n_edges"), F.transform("edges", lambda x: x["dest_id"]).alias("dest_ids"), *WHOLE, F.when(n > 1, "1:N_ROUTE").otherwise("1:1").alias("match_type"))
     lost = a.select(F.col("id").alias("source_id")).distinct().join(found.select("source_id"), "source_id", "left_anti")
     lost = lost.select("source_id", F.lit(0).cast("long").alias("n_edges"), F.lit("NO_MATCH").alias("match_type"))
     return long, summary.unionByName(lost, allowMissingColumns=True).select(*SUMMARY)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
+from roadweave.plans.scratch import Scratch
 
 
 def _box(pts: Column) -> tuple[Column, Column, Column, Column]:
@@ -16,28 +17,45 @@ def _box(pts: Column) -> tuple[Column, Column, Column, Column]:
 def _cells(df: DataFrame, side: str, grow: float, cell: float) -> DataFrame:
     x0, y0, x1, y1 = _box(F.col("pts"))
     at = lambda v: F.floor(v / cell).cast("long")
-    df = df.where(F.size("pts") > 0).select(F.col("id").alias(f"id_{side}"), F.col("pts").alias(f"pts_{side}"), at(x0 - grow).alias(f"x_{side}"), at(y0 - grow).alias(f"y_{side}"), at(x1 + grow).alias("_x1"), at(y1 + grow).alias("_y1"))
-    df = df.withColumn("gx", F.explode(F.sequence(f"x_{side}", "_x1"))).withColumn("gy", F.explode(F.sequence(f"y_{side}", "_y1")))
-    return df.drop("_x1", "_y1")
+    df = df.where(F.size("pts") > 0).select(F.col("id").alias(f"id_{side}"), F.col("pts").alias(f"pts_{side}"), (x0 - grow).alias(f"x0_{side}"), (y0 - grow).alias(f"y0_{side}"), (x1 + grow).alias(f"x1_{side}"), (y1 + grow).alias(f"y1_{side}"))
+    df = df.withColumn(f"x_{side}", at(F.col(f"x0_{side}"))).withColumn(f"y_{side}", at(F.col(f"y0_{side}")))
+    return df.withColumn("gx", F.explode(F.sequence(f"x_{side}", at(F.col(f"x1_{side}"))))).withColumn("gy", F.explode(F.sequence(f"y_{side}", at(F.col(f"y1_{side}")))))
 
 
 def within_join(a: DataFrame, b: DataFrame, radius: float, cell: float | None = None, exact: bool = True) -> DataFrame:
     """(id_a, pts_a, id_b, pts_b) of lines or points at most `radius` apart.
 
-    Boxes are listed by the cells that they touch, a's grown by the radius, and meet by cell. A pair that shares several
-    cells is kept in the first only (the larger of the two lower corners), so no distinct is needed. Cells should be about
-    as large as an edge; a crowded cell is an ordinary skewed join key, which adaptive execution splits.
+    Boxes are listed by the cells that they touch, a's grown by the radius, and meet by cell; only pairs whose boxes
+    overlap are measured. A pair that shares several cells is kept in the first only (the larger of the two lower corners),
+    so no distinct is needed. Cells should be about as large as an edge; a crowded cell is an ordinary skewed join key,
+    which adaptive execution splits.
     """
     cell = cell or max(4 * radius, 100.0)
     pairs = _cells(a, "a", radius, cell).join(_cells(b, "b", 0.0, cell), ["gx", "gy"])
     pairs = pairs.where((F.col("gx") == F.greatest("x_a", "x_b")) & (F.col("gy") == F.greatest("y_a", "y_b")))
+    pairs = pairs.where((F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a")) & (F.col("y0_a") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a")))
     pairs = pairs.select("id_a", "pts_a", "id_b", "pts_b")
     return pairs.where(G.line_distance(F.col("pts_a"), F.col("pts_b")) <= radius) if exact else pairs
 
 
-def nearest_other(points: DataFrame, reach: float) -> DataFrame:
-    """(id, gap): distance of each (id, x, y) to the nearest other row, null beyond `reach`."""
-    p = points.select("id", F.array(G.point(F.col("x"), F.col("y"))).alias("pts"))
-    near = within_join(p, p, reach, cell=max(reach, 1e-6)).where("id_a <> id_b")
-    gap = near.groupBy("id_a").agg(F.min(G.distance(F.col("pts_a")[0], F.col("pts_b")[0])).alias("gap"))
-    return points.select("id").join(gap, F.col("id") == F.col("id_a"), "left").select("id", "gap")
+def nearest_other(points: DataFrame, reach: float = 50.0) -> DataFrame:
+    """(id, gap): distance of each (id, x, y) to the nearest other row, null only for a lone row.
+
+    Rows that share their place are 0 apart and need no join. The rest look within `reach`, and those that find nothing
+    within four times as much, until all have one: few rows are left by then, and each meets the places around it only.
+    """
+    scratch = Scratch(points.sparkSession, "nearest")
+    places = scratch.table(points.groupBy("x", "y").agg(F.count("*").alias("n")), "places")
+    spots = places.select(F.struct("x", "y").alias("id"), F.array(G.point(F.col("x"), F.col("y"))).alias("pts"))
+    left, found, step, alone = places.where("n = 1").select("x", "y"), [places.where("n > 1").select("x", "y", F.lit(0.0).alias("gap"))], 0, places.limit(2).count() < 2
+    while not alone and not left.isEmpty():
+        mine = left.select(F.struct("x", "y").alias("id"), F.array(G.point(F.col("x"), F.col("y"))).alias("pts"))
+        d = G.distance(F.col("pts_a")[0], F.col("pts_b")[0])
+        near = within_join(mine, spots, reach, cell=max(reach, 1e-6)).where("id_a <> id_b").groupBy("id_a").agg(F.min(d).alias("gap"))
+        near = scratch.table(left.join(near.select("id_a.x", "id_a.y", "gap"), ["x", "y"], "left"), f"near-{step}")
+        found.append(near.where("gap is not null"))
+        left, reach, step = near.where("gap is null").select("x", "y"), 4 * reach, step + 1
+    gaps = found[0]
+    for more in found[1:]:
+        gaps = gaps.unionByName(more)
+    return points.join(gaps, ["x", "y"], "left").select("id", "gap")

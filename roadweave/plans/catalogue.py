@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
-from roadweave.operators import dag, pairs, perturb, quality, resolve, routes, spatial
+from roadweave.operators import dag, pairs, perturb, quality, resolve, routes, spatial, thresholds
 from roadweave.operators import points as snap
 from roadweave.plans.scratch import Scratch
 from roadweave.sources import derived, edges

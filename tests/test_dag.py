@@ -58,19 +58,26 @@ def test_equals_brute_force(shape):
             assert got == pytest.approx(want)
 
 
-def test_shifted_chain_collapses_unless_stalls_cost():
-    a, _ = dag.net({k: (2 * k, 0) for k in range(11)}, [(k, k + 1) for k in range(10)])
-    b, _ = dag.net({k: (2 * k + 9, 0.5) for k in range(11)}, [(k, k + 1) for k in range(10)])
-    stalls = lambda pairs: 11 - len({v for _, v in pairs})
-    assert stalls(dag.match(a, b, 15, 1, 1)[1]) >= 4
-    assert dag.match(a, b, 15, 1, 8)[1] == {(k, k) for k in range(11)}
+def test_stalls_follow_their_price():
+    """A chain along a street that begins later: free stalls gather at its start, dear ones spread out; costs as by brute force."""
+    n = 5
+    a, _ = dag.net({k: (3.0 * k, 0) for k in range(n)}, [(k, k + 1) for k in range(n - 1)])
+    b, _ = dag.net({k: (3.0 * k + 6.5, 1.0) for k in range(n)}, [(k, k + 1) for k in range(n - 1)])
+    stalls = []
+    for beta in (1.0, 2.0, 9.0):
+        cost, pairs = dag.match(a, b, 14, 1, beta)
+        assert cost == pytest.approx(brute(a, b, 14, 1, beta))
+        stalls.append(n - len({v for _, v in pairs}))
+    assert stalls[0] > 0 == stalls[-1] and stalls == sorted(stalls, reverse=True)
 
 
 def test_private_exits_are_refused():
-    a, _ = dag.net({"J": (0, 0), "b1": (5, 1), "b2": (5, -1)}, [("J", "b1"), ("J", "b2")])
-    b, _ = dag.net({"p0": (0, 1), "p1": (5, 1), "q0": (0, -1), "q1": (5, -1)}, [("p0", "p1"), ("q0", "q1")])
-    with pytest.raises(ValueError, match="no valid matching"):
-        dag.match(a, b, 1.5)
+    """Each way out of a fork has a street of its own, and the streets don't meet."""
+    a, _ = dag.net({"fork": (1, 3), "left": (4, 7), "right": (8, 3)}, [("fork", "left"), ("fork", "right")])
+    b, _ = dag.net({0: (0.4, 3.6), 1: (3.5, 7.5), 2: (1.5, 2.2), 3: (8, 2.2)}, [(0, 1), (2, 3)])
+    assert brute(a, b, 1.3, 1.0, 1.0) == float("inf")
+    with pytest.raises(dag.NoMatching, match="no valid matching"):
+        dag.match(a, b, 1.3)
 
 
 def test_cycle_and_size():
@@ -86,8 +93,19 @@ def test_cycle_and_size():
     y, _ = dag.net({k: (p[0], p[1] + 0.4) for k, p in places.items()}, arcs)
     cost, pairs = dag.match(x, y, 6)
     assert cost == pytest.approx(0.4 * len(places)) and len(pairs) == len(places)
-    with pytest.raises(dag.TooLarge):
-        dag.match(x, y, 6, most_rows=3)
+    with pytest.raises(dag.TooSlow):
+        dag.match(x, y, 6, max_seconds=0.0)
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_bounded_rows_change_nothing(shape):
+    places, arcs = SHAPES[shape]
+    a, _ = dag.net(places, arcs)
+    b, _ = dag.net({k: (x + 0.7, y - 0.3) for k, (x, y) in places.items()}, arcs)
+    whole = dag.match(a, b, 9.0, 0.7, 1.4)
+    for most in (1, 4, 12):
+        cost, pairs = dag.match(a, b, 9.0, 0.7, 1.4, most_rows=most)
+        assert cost == pytest.approx(whole[0]) and not any(dag.broken_rules(pairs, a, b))
 
 
 def tables(spark, a, b, **more):
@@ -96,25 +114,80 @@ def tables(spark, a, b, **more):
 
 
 def test_parts(spark):
-    t = tables(spark, {"a": [(0, 0), (40, 0)]}, {"b1": [(0, 2), (20, 2)], "b2": [(20, 2), (40, 2)]})
+    t = tables(spark, {"a": [(5, 5), (5, 65)]}, {"b1": [(8, 5), (8, 35)], "b2": [(8, 35), (8, 65)]})
     p = sorted(t["parts"], key=lambda r: r.part)
-    assert [(r.dest_id, r.part_type, r.n_a_arcs) for r in p] == [("b1", "match", 4), ("b2", "match", 4)]
-    assert sum(r.a_pct for r in p) == pytest.approx(100) and all(abs(r.drift_m - 2) < 0.5 for r in p)
+    assert [(r.dest_id, r.part_type, r.n_a_arcs, r.a_from_m, r.a_to_m) for r in p] == [("b1", "match", 6, 0, 30), ("b2", "match", 6, 30, 60)]
+    assert sum(r.a_pct for r in p) == pytest.approx(100) and all(abs(r.drift_m - 3) < 0.5 for r in p)
     assert [(r.source_id, r.dest_ids, r.n_parts, r.match_type) for r in t["summary"]] == [("a", "b1;b2", 2, "1:N_ROUTE")]
-    t = tables(spark, {"a": [(-10, 0), (50, 0)]}, {"b": [(0, 2), (40, 2)]})
+    t = tables(spark, {"a": [(0, -15), (0, 75)]}, {"b": [(3, 0), (3, 60)]}, max_distance=20.0)
     p = sorted(t["parts"], key=lambda r: r.part)
-    assert [r.part_type for r in p] == ["head", "match", "tail"] and sum(r.a_len_m for r in p) == pytest.approx(60)
-    assert t["summary"][0].a_head_m == pytest.approx(10, abs=5) and t["summary"][0].a_tail_m == pytest.approx(10, abs=5)
-    t = tables(spark, {"a": [(10, 0), (30, 0)]}, {"b": [(0, 2), (40, 2)]})
-    assert len(t["parts"]) == 1 and t["parts"][0].b_head_m == pytest.approx(10, abs=2.5)
+    assert [r.part_type for r in p] == ["head", "match", "tail"] and sum(r.a_len_m for r in p) == pytest.approx(90)
+    assert t["summary"][0].a_head_m == pytest.approx(15, abs=5) and t["summary"][0].a_tail_m == pytest.approx(15, abs=5)
+    t = tables(spark, {"a": [(0, 20), (0, 50)]}, {"b": [(3, 0), (3, 60)]})
+    assert len(t["parts"]) == 1 and t["parts"][0].b_head_m == pytest.approx(20, abs=2.5)
+
+
+def plain_parts(rows):
+    """The same stretches, walked through one by one, from rows (a_seq, place, dest, b_seq, a_from, a_to)."""
+    rows = sorted(rows)
+    cells = [r[2:4] for r in rows]
+    kind = ["match"] * len(rows)
+    if len(set(cells)) > 1:
+        lead = next(k for k, c in enumerate(cells) if c != cells[0])
+        trail = len(rows) - next(k for k, c in enumerate(reversed(cells)) if c != cells[-1])
+        for k in range(len(rows)):
+            if k < lead and rows[k][0] != rows[lead - 1][0]:
+                kind[k] = "head"
+            elif k >= trail and rows[k][0] != rows[trail][0]:
+                kind[k] = "tail"
+    out, cursor = [], rows[0][4]
+    for (k, dest), group in itertools.groupby(zip(kind, rows, strict=True), lambda x: (x[0], x[1][2])):
+        group = [r for _, r in group]
+        to = max([cursor, *(r[5] for r in group)])
+        out.append((len(out) + 1, k, dest, cursor, to, len(group), len({r[0] for r in group}), len({r[3] for r in group})))
+        cursor = to
+    return out
+
+
+def test_stretches_equal_a_walk(spark):
+    draw = random.Random(5)
+    rows, want = [], {}
+    for road in range(60):
+        own, dest, seq = [], draw.randint(0, 3), draw.randint(0, 5)
+        for a_seq in range(draw.randint(1, 9)):
+            for place in range(draw.choice([1, 1, 1, 2, 3])):
+                if place or draw.random() < 0.4:
+                    seq += 1
+                    if draw.random() < 0.4:
+                        dest, seq = draw.randint(0, 3), draw.randint(0, 5)
+                own.append((a_seq, place, dest, seq, 5.0 * a_seq, 5.0 * a_seq + 5.0))
+        rows += [(road, d, a, p, s, 1.0, 2.0, f, t, 45.0, 5.0 * s, 5.0 * s + 5, 60.0) for a, p, d, s, f, t in own]
+        want[road] = plain_parts(own)
+    df = spark.createDataFrame(rows, op.PAIR.format(a="long", b="long")).repartition(3)
+    got = {k: sorted((r.part, r.part_type, r.dest_id, r.a_from_m, r.a_to_m, r.n_pairs, r.n_a_arcs, r.n_b_arcs) for r in g) for k, g in itertools.groupby(sorted(op.stretches(df).collect(), key=lambda r: r.source_id), lambda r: r.source_id)}
+    assert got == want and any(k[1] == "head" for v in want.values() for k in v)
+
+
+def test_rules_as_joins(spark):
+    draw = random.Random(11)
+    found = set()
+    for shape, (places, arcs) in SHAPES.items():
+        a, _ = dag.net(places, arcs)
+        for _ in range(3):
+            pairs = {(u, v) for u in range(len(places)) for v in range(len(places)) if draw.random() < 0.4} or {(0, 0)}
+            want = {(u, v, rule) for rule, bad in zip(("step_back", "unfed", "stuck"), dag.broken_rules(pairs, a, a), strict=True) for u, v in bad}
+            steps = spark.createDataFrame([(u, v) for u, vs in enumerate(a.after) for v in vs], "tail long, head long")
+            got = op.check_rules(spark.createDataFrame(sorted(pairs), "u long, v long"), steps, steps)
+            assert {tuple(r) for r in got.collect()} == want, shape
+            found |= {r for *_, r in want}
+    assert found == {"step_back", "unfed", "stuck"}
 
 
 def test_network(spark):
-    a = {"a_stem": [(0, 0), (30, 0)], "a_up": [(30, 0), (55, 12)], "a_dn": [(30, 0), (55, -12)], "a_up2": [(55, 12), (80, 0)], "a_dn2": [(55, -12), (80, 0)], "a_out": [(80, 0), (110, 0)], "a_far": [(0, 900), (9, 900)]}
-    b = {"b_stem": [(0, 3), (28, 3)], "b_up": [(28, 3), (55, 15), (80, 3)], "b_dn": [(28, 3), (55, -9), (80, 3)], "b_out": [(80, 3), (110, 3)]}
-    t = tables(spark, a, b, max_distance=15.0, alpha=0.5, beta=1.5)
-    s = {r.source_id: r for r in t["summary"]}
-    assert s["a_stem"].dest_ids.split(";")[0] == "b_stem" and s["a_out"].dest_ids.split(";")[-1] == "b_out"
-    assert "b_up" in s["a_up"].dest_ids and "b_up" in s["a_up2"].dest_ids and "b_dn" in s["a_dn"].dest_ids and "b_dn" in s["a_dn2"].dest_ids
-    assert all(r.avg_dist_m < 6 for r in s.values())
-    assert [r.sources for r in t["errors"]] == [["a_far"]]
+    """A street that forks around a block and joins again, drawn with other cuts on the other side; exact targets."""
+    a = {"in": [(0, 0), (0, 40)], "west1": [(0, 40), (-18, 70)], "west2": [(-18, 70), (0, 100)], "east1": [(0, 40), (18, 70)], "east2": [(18, 70), (0, 100)], "out": [(0, 100), (0, 140)], "lone": [(700, 0), (700, 9)]}
+    b = {1: [(2, 0), (2, 40)], 2: [(2, 40), (-16, 70), (2, 100)], 3: [(2, 40), (20, 70), (2, 100)], 4: [(2, 100), (2, 140)]}
+    t = tables(spark, a, b, max_distance=12.0, alpha=0.8, beta=1.2)
+    assert {r.source_id: r.dest_ids for r in t["summary"]} == {"in": "1", "west1": "2", "west2": "2", "east1": "3", "east2": "3", "out": "4"}
+    assert all(r.avg_dist_m < 4 for r in t["summary"])
+    assert [r.sources for r in t["errors"]] == [["lone"]] and [r.n_sources for r in t["costs"]] == [6]

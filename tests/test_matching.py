@@ -13,8 +13,10 @@ from roadweave.sources import edges
 
 from .conftest import lines
 
-A = {"A1": [(51.4, 35.7), (51.4, 35.705)], "A2": [(51.5, 35.8), (51.5, 35.805)]}
-B = {"B1": [(51.4001, 35.7), (51.4001, 35.7025)], "B2": [(51.4001, 35.7025), (51.4001, 35.705)], "B3": [(51.4001, 35.705), (51.4001, 35.7)], "B4": [(51.6, 35.9), (51.6, 35.905)]}
+#: A street of about 600 m in two directions, and another far off, in degrees of zone 33 north.
+A = {"main": [(15.2, 58.4), (15.2, 58.4054)], "far": [(15.35, 58.45), (15.35, 58.4552)]}
+B = {"low": [(15.20015, 58.4), (15.20015, 58.4027)], "high": [(15.20015, 58.4027), (15.20015, 58.4054)], "down": [(15.20015, 58.4054), (15.20015, 58.4)], "other": [(15.6, 58.6), (15.6, 58.606)]}
+ZONE = 32633
 
 
 def slow_warp(a, b):
@@ -95,24 +97,47 @@ def test_reversed_lines_agree_undirected():
 
 
 def test_edge_pairs(spark):
-    a, b = lines(spark, A, 32639), lines(spark, B, 32639)
+    a, b = lines(spark, A, ZONE), lines(spark, B, ZONE)
     m = pairs.match(a, b, 20.0)
     rows = m.collect()
-    assert {(r.source_id, r.dest_id) for r in rows} == {("A1", "B1"), ("A1", "B2"), ("A1", "B3"), ("A2", None)}
+    assert {(r.source_id, r.dest_id) for r in rows} == {("main", "low"), ("main", "high"), ("main", "down"), ("far", None)}
     assert len([r for r in rows if r["rank"] == 1]) == 1
-    gated = [r for r in pairs.match(a, b, 20.0, max_angle=90.0).collect() if r.source_id == "A1"]
-    assert {r.dest_id for r in gated} == {"B1", "B2"}  # the opposite direction is out
-    lost = [r for r in rows if r.source_id == "A2"][0]
+    gated = [r for r in pairs.match(a, b, 20.0, max_angle=90.0).collect() if r.source_id == "main"]
+    assert {r.dest_id for r in gated} == {"low", "high"}  # the opposite direction is out
+    lost = [r for r in rows if r.source_id == "far"][0]
     assert lost.match_type == "NO_MATCH" and lost.dtw_distance is None and lost["rank"] is None
     best = resolve.resolve(m, "best_per_source").collect()
-    assert sorted((r.source_id, r["rank"]) for r in best) == [("A1", 1), ("A2", None)]
+    assert sorted((r.source_id, r["rank"]) for r in best) == [("far", None), ("main", 1)]
     one = [r for r in resolve.resolve(m, "one_to_one").collect() if r.dest_id]
     assert len({r.dest_id for r in one}) == len(one) == 1
-    assert {(r.source_id, r.dest_id) for r in resolve.resolve(m, "best_per_dest").collect() if r.dest_id} == {("A1", "B1"), ("A1", "B2"), ("A1", "B3")}
+    assert {(r.source_id, r.dest_id) for r in resolve.resolve(m, "best_per_dest").collect() if r.dest_id} == {("main", "low"), ("main", "high"), ("main", "down")}
     assert resolve.resolve(m, "all").count() == 4
     with pytest.raises(ValueError):
         resolve.resolve(m, "some")
-    assert [r.dest_id for r in pairs.unmatched_destinations(m, b).collect()] == ["B4"]
+    assert [r.dest_id for r in pairs.unmatched_destinations(m, b).collect()] == ["other"]
+
+
+def test_each_answer_warps_once(spark):
+    """One kernel and, but for the candidates, one join in the plan of every decision."""
+    a, b = lines(spark, A, ZONE), lines(spark, B, ZONE)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for strategy in ("all", "best_per_source", "best_per_dest"):
+        p = plan(resolve.resolve(pairs.match(a, b, 20.0), strategy))
+        assert p.count("MapInArrow") == 1 and p.count("Join ") == 2
+        p = plan(resolve.resolve(points.match_points(a, b, 20.0), strategy))
+        assert p.count("Join ") == 2
+
+
+def test_decisions_equal_plain_ones(spark):
+    draw = random.Random(6)
+    rows = [(s, d, float(draw.randint(1, 6)), k, "x") for s in range(40) for k, d in enumerate(draw.sample(range(18), draw.randint(0, 4)))]
+    rows += [(s, None, None, None, "NO_MATCH") for s in range(40) if s not in {r[0] for r in rows}]
+    df = spark.createDataFrame(rows, "source_id long, dest_id long, dtw_distance double, rank long, match_type string")
+    ok = [r for r in rows if r[1] is not None]
+    by = {"all": ok, "best_per_source": [min((r for r in ok if r[0] == s), key=lambda r: (r[2], r[1])) for s in {r[0] for r in ok}], "best_per_dest": [min((r for r in ok if r[1] == d), key=lambda r: (r[2], r[0])) for d in {r[1] for r in ok}]}
+    for strategy, kept in by.items():
+        lost = [(s, None, None, None, "NO_MATCH") for s in {r[0] for r in rows} - {r[0] for r in kept}]
+        assert sorted(map(repr, map(tuple, resolve.resolve(df, strategy).collect()))) == sorted(map(repr, [*kept, *lost]))
 
 
 def test_one_to_one_equals_greedy(spark):
@@ -127,33 +152,57 @@ def test_one_to_one_equals_greedy(spark):
 
 
 def test_symmetric(spark):
-    a = lines(spark, {"A_full": [(51.4, 35.7), (51.4, 35.705)], "A_long": [(51.41, 35.7), (51.41, 35.705)], "A_par": [(51.43, 35.7), (51.43, 35.705)]}, 32639)
-    b = lines(spark, {"B_full": [(51.4001, 35.7), (51.4001, 35.705)], "B_h1": [(51.4101, 35.7), (51.4101, 35.7025)], "B_h2": [(51.4101, 35.7025), (51.4101, 35.705)], "B_par": [(51.4301, 35.70497), (51.4301, 35.709)]}, 32639)
+    """One street with one twin, one with two halves, one that only touches the end of another."""
+    a = lines(spark, {"twin": [(15.2, 58.4), (15.2, 58.4054)], "halved": [(15.22, 58.4), (15.22, 58.4054)], "touch": [(15.26, 58.4), (15.26, 58.4054)]}, ZONE)
+    b = lines(spark, {"t": [(15.20015, 58.4054), (15.20015, 58.4)], "h1": [(15.22015, 58.4), (15.22015, 58.4027)], "h2": [(15.22015, 58.4027), (15.22015, 58.4054)], "past": [(15.26015, 58.40537), (15.26015, 58.41)]}, ZONE)
     rows = {(r.a_id, r.b_id): r for r in pairs.match_symmetric(a, b, 25.0, max_dtw=12.0).collect()}
-    assert set(rows) == {("A_full", "B_full"), ("A_long", "B_h1"), ("A_long", "B_h2")}
-    assert (rows["A_full", "B_full"].relation, rows["A_full", "B_full"].cardinality) == ("1:1", "1:1")
-    assert {(rows["A_long", k].relation, rows["A_long", k].cardinality) for k in ("B_h1", "B_h2")} == {("split", "1:N_SPLIT")}
+    assert set(rows) == {("twin", "t"), ("halved", "h1"), ("halved", "h2")}
+    assert (rows["twin", "t"].relation, rows["twin", "t"].cardinality) == ("1:1", "1:1")
+    assert {(rows["halved", k].relation, rows["halved", k].cardinality) for k in ("h1", "h2")} == {("split", "1:N_SPLIT")}
     assert all(r.matched_len_m >= 5 for r in rows.values())
 
 
+def test_both_ways_equal_each_way(spark):
+    draw = random.Random(3)
+    line = lambda: [(draw.uniform(0, 60), draw.uniform(0, 20)) for _ in range(draw.randint(1, 4))]
+    x, y = lines(spark, {k: line() for k in range(30)}), lines(spark, {k: line() for k in range(30)})
+    c = spatial.within_join(x, y, 15.0).persist()
+    both = {(r.a_id, r.b_id): r for r in pairs.evaluate_both_ways(c).collect()}
+    there = {(r.id_a, r.id_b): r for r in pairs.evaluate(c, True).collect()}
+    back = {(r.id_b, r.id_a): r for r in pairs.evaluate(c.selectExpr("id_b id_a", "pts_b pts_a", "id_a id_b", "pts_a pts_b"), True).collect()}
+    assert both.keys() == there.keys() == back.keys() and len(both) > 100
+    for k, r in both.items():
+        assert (r.da, r.turn, r.ov_ab, r.ma) == (there[k].dtw_distance, there[k].bearing_diff, there[k].overlap_pct, there[k].matched_len)
+        assert (r.db, r.ov_ba, r.mb) == (back[k].dtw_distance, back[k].overlap_pct, back[k].matched_len)
+
+
 def test_points(spark):
-    mx, my, lon, lat = 1 / (111320 * math.cos(math.radians(59.3))), 1 / 111320, 17.9, 59.3
-    to = lambda rows: {k: [(lon + x * mx, lat + y * my) for x, y in v] for k, v in rows.items()}
-    p = lines(spark, to({"s1": [(50, 2)], "s2": [(25, -6)], "s3": [(50, 200)], "s4": [(120, 1)]}), 3006)
-    e = lines(spark, to({"e_north": [(0, 0), (100, 0)], "e_south": [(100, -8), (0, -8)], "e_far": [(0, 500), (100, 500)]}), 3006)
-    m = points.match_points(p, e, 25.0)
+    """Points beside two carriageways that run in opposite directions, by compass and metres."""
+    p = lines(spark, {1: [(3, 40)], 2: [(9, 130)], 3: [(400, 40)], 4: [(0.5, 214)], 5: [(0, 0)]})
+    e = lines(spark, {"up": [(0, 0), (0, 200)], "down": [(12, 200), (12, 0)], "remote": [(900, 0), (900, 200)]})
+    m = points.match_points(p, e, 20.0)
     by = {(r.source_id, r.dest_id): r for r in m.collect()}
-    n = by["s1", "e_north"]
-    assert 1.5 < n.distance_m < 2.5 and 45 < n.position_pct < 55 and 75 < n.edge_bearing_deg < 105 and n.match_type == "1:N_CANDIDATES"
-    assert 255 < by["s2", "e_south"].edge_bearing_deg < 285 and 70 < by["s2", "e_south"].position_pct < 80
-    assert by["s4", "e_north"].position_pct > 99 and 18 < by["s4", "e_north"].distance_m < 22
-    assert by["s3", None].match_type == "NO_MATCH"
+    n = by[1, "up"]
+    assert (n.distance_m, n.position_pct, n.edge_bearing_deg, n.match_type, n["rank"]) == (3.0, 20.0, 0.0, "1:N_CANDIDATES", 1)
+    assert (by[2, "down"].edge_bearing_deg, by[2, "down"].position_pct) == (180.0, 35.0)
+    assert by[4, "up"].position_pct == 100.0 and by[4, "up"].distance_m == pytest.approx(math.hypot(0.5, 14)) and by[4, "up"].snap_wkt == "POINT (0.0 200.0)"
+    assert by[3, None].match_type == "NO_MATCH" and by[3, None]["rank"] is None and by[5, "up"].distance_m == 0.0
     one = {r.source_id: r.dest_id for r in resolve.resolve(m, "one_to_one").collect()}
-    assert one == {"s1": "e_north", "s2": "e_south", "s3": None, "s4": None}
-    none = points.match_points(p.where("id = 's3'"), e, 25.0)
+    assert one == {5: "up", 2: "down", 1: None, 3: None, 4: None}
+    none = points.match_points(p.where("id = 3"), e, 20.0)
     assert none.columns == list(points.COLUMNS) and [r.match_type for r in none.collect()] == ["NO_MATCH"]
 
 
+def test_nearest_other_equals_all_pairs(spark):
+    draw = random.Random(8)
+    xy = [(draw.gauss(0, 30), draw.gauss(0, 30)) for _ in range(60)] + [(4000.0, 4000.0), (-90000.0, 7.0), (5.0, 5.0), (5.0, 5.0)]
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(xy)], "id long, x double, y double")
+    got = {r.id: r.gap for r in spatial.nearest_other(df, 3.0).collect()}
+    want = {k: min(math.dist(p, q) for j, q in enumerate(xy) if j != k) for k, p in enumerate(xy)}
+    assert got == pytest.approx(want)
+    assert [r.gap for r in spatial.nearest_other(df.limit(1), 3.0).collect()] == [None] and spatial.nearest_other(df.limit(0), 3.0).count() == 0
+
+
 def test_within_join_equals_all_pairs(spark):
     draw = random.Random(7)
     line = lambda: [(draw.uniform(-300, 300), draw.uniform(-300, 300)) for _ in range(draw.randint(1, 4))]
