@@ -192,8 +192,8 @@ def interior(units: list) -> list[int]:
     return list(range(lead - 1, len(units) - trail + 1))
 
 
-def match_route(a, edges: list[tuple], snap: float = 0.75, step: float | None = 10.0, emission: str = "point", bearing_weight: float = 0.0, alpha: float = 1.0, beta: float = 1.0, trim: float = 0.0, least_gap: float | None = None) -> dict | None:
-    """The best connected route of B-edges for one A-edge: its edges with metrics, and metrics of the whole; None if there is none."""
+def cheapest(a, edges: list[tuple], snap: float = 0.75, step: float | None = 10.0, emission: str = "point", bearing_weight: float = 0.0, alpha: float = 1.0, beta: float = 1.0, least_gap: float | None = None) -> tuple[np.ndarray, Graph, Table] | None:
+    """(A's places, the local graph, the filled table), or None where A or the graph has no length."""
     by_segment = emission in ("segment", "midpoint")
     if emission not in ("point", "segment", "midpoint"):
         raise ValueError(f"unknown emission {emission!r}")
@@ -210,13 +210,27 @@ def match_route(a, edges: list[tuple], snap: float = 0.75, step: float | None =
     else:
         e = np.hypot(p[:, None, 0] - g.xy[None, :, 0], p[:, None, 1] - g.xy[None, :, 1])
         t = fill(e, np.ones(len(g.xy), bool), g.arcs[:, 0], g.arcs[:, 1], alpha, beta)
-    if t is None or not t.path:
-        return None
+    return None if t is None or not t.path else (p, g, t)
+
+
+def match_route(a, edges: list[tuple], snap: float = 0.75, step: float | None = 10.0, emission: str = "point", bearing_weight: float = 0.0, alpha: float = 1.0, beta: float = 1.0, trim: float = 0.0, least_gap: float | None = None, debug: bool = False) -> dict | None:
+    """The best connected route of B-edges for one A-edge: its edges with metrics, and metrics of the whole; None if there is none.
+
+    With `debug` the table of costs, the moves and the way are in it too, and where there is no route the reason.
+    """
+    by_segment = emission in ("segment", "midpoint")
+    got = cheapest(a, edges, snap, step, emission, bearing_weight, alpha, beta, least_gap)
+    if got is None:
+        return {"edges": [], "reason": "A or the edges near it have no length, or no way reaches A's end"} if debug else None
+    p, g, t = got
     if by_segment:
         pairs = [(t.path[0][0], int(g.arcs[t.path[0][1], 0]))] + [(i + 1, int(g.arcs[k, 1])) for i, k, _ in t.path]
     else:
         pairs = [(i, k) for i, k, _ in t.path]
-    return _describe(p, g, t, np.array(pairs), by_segment, trim)
+    out = _describe(p, g, t, np.array(pairs), by_segment, trim)
+    if debug:
+        out = (out or {"edges": [], "reason": "B is touched, never walked"}) | {"debug": {"final_cost": t.total, "D": t.cost, "move": t.move, "path": t.path, "places": p, "graph": g}}
+    return out
 
 
 def _by_segments(p: np.ndarray, g: Graph, weight: float, alpha: float, beta: float) -> Table | None:

@@ -138,4 +138,4 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     whole = whole.join(ends, "source_id", "left").withColumn("match_type", F.when(F.col("n_dest") > 1, "1:N_ROUTE").otherwise("1:1"))
     whole = whole.select("source_id", "dest_ids", "n_dest", "n_parts", "n_pairs", "avg_dist_m", "avg_bearing_diff", "a_head_m", "a_tail_m", "match_type")
     ok = found.where("error is null")
-    return {"long": long, "summary": whole, "parts": parts, "pairs": pairs, "costs": ok.select("component", "cost", F.size("sources").alias("n_sources")), "errors": found.where("error is not null").select("component", "sources", "error")}
+    return {"long": long, "summary": whole, "parts": parts, "pairs": pairs, "costs": ok.select("component", "cost", "sources"), "errors": found.where("error is not null").select("component", "sources", "error")}

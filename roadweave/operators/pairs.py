@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import dtw
 from roadweave.operators.components import connected_components
+from roadweave.operators.resolve import PLACES
 from roadweave.operators.spatial import within_join
 from roadweave.plans.scratch import Scratch
 
@@ -68,7 +69,7 @@ def reconcile(evaluated: DataFrame, max_angle: float = 180.0, min_overlap: float
     """Pairs that pass both gates, ranked by distance; all pairs of a source with several are 1:N_SPLIT."""
     by = Window.partitionBy("id_a")
     ok = evaluated.where((F.col("bearing_diff") <= max_angle) & (F.col("overlap_pct") >= min_overlap))
-    ok = ok.withColumn("rank", F.row_number().over(by.orderBy("dtw_distance", "id_b")).cast("long"))
+    ok = ok.withColumn("rank", F.row_number().over(by.orderBy(F.round("dtw_distance", PLACES), "id_b")).cast("long"))
     ok = ok.withColumn("match_type", F.when(F.count("*").over(by) > 1, "1:N_SPLIT").otherwise("1:1_SYMMETRIC"))
     return ok.withColumnRenamed("id_a", "source_id").withColumnRenamed("id_b", "dest_id").select(*COLUMNS)
 

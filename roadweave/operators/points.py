@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
+from roadweave.operators.resolve import PLACES
 from roadweave.operators.spatial import within_join
 
 #: Names of the output columns.
@@ -31,6 +32,6 @@ def match_points(points: DataFrame, edges: DataFrame, max_distance: float = 25.0
     near = points.select(F.col("id").alias("source_id")).distinct().join(snap_candidates(points, edges, max_distance), "source_id", "left")
     by = Window.partitionBy("source_id")
     lost = F.col("dest_id").isNull()
-    ranked = near.withColumn("rank", F.when(~lost, F.row_number().over(by.orderBy("distance_m", "dest_id"))).cast("long"))
+    ranked = near.withColumn("rank", F.when(~lost, F.row_number().over(by.orderBy(F.round("distance_m", PLACES), "dest_id"))).cast("long"))
     kind = F.when(lost, "NO_MATCH").when(F.count("*").over(by) > 1, "1:N_CANDIDATES").otherwise("1:1")
     return ranked.withColumn("match_type", kind).select(*COLUMNS)

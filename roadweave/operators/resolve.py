@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from roadweave.plans.scratch import Scratch
 
+#: Decimals of a metre to which scores are compared: equal lines in other places are equally far in spite of rounding errors.
+PLACES = 9
 STRATEGIES = ("all", "best_per_source", "best_per_dest", "one_to_one")
 
 
@@ -20,7 +22,7 @@ def one_to_one(rows: DataFrame, score: str) -> DataFrame:
     scratch = Scratch(rows.sparkSession, "assign")
     left, step, taken = scratch.table(rows, "open-0"), 0, []
     while not left.isEmpty():
-        order = [score, "source_id", "dest_id"]
+        order = [F.round(score, PLACES), "source_id", "dest_id"]
         w = left.withColumn("_s", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
         w = w.withColumn("_d", F.row_number().over(Window.partitionBy("dest_id").orderBy(*order)))
         now = scratch.table(w.where("_s = 1 and _d = 1").drop("_s", "_d"), f"taken-{step}")
@@ -40,16 +42,16 @@ def resolve(results: DataFrame, strategy: str = "best_per_source") -> DataFrame:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     score = "dtw_distance" if "dtw_distance" in results.columns else "distance_m"
-    lost, source = F.col("dest_id").isNull(), Window.partitionBy("source_id")
+    lost, source, by = F.col("dest_id").isNull(), Window.partitionBy("source_id"), F.round(score, PLACES)
     if strategy == "one_to_one":
         written = Scratch(results.sparkSession, "results").table(results, "results")
         kept = one_to_one(written.where(~lost), score)
         ids = written.select("source_id").distinct()
         out = ids.join(kept, "source_id", "left")
         return out.withColumn("match_type", F.when(lost, "NO_MATCH").otherwise(F.col("match_type"))).select(*results.columns)
-    first = {"all": ~lost, "best_per_source": ~lost & (F.row_number().over(source.orderBy(lost, score, "dest_id")) == 1), "best_per_dest": ~lost & (F.row_number().over(Window.partitionBy("dest_id").orderBy(score, "source_id")) == 1)}
+    first = {"all": ~lost, "best_per_source": ~lost & (F.row_number().over(source.orderBy(lost, by, "dest_id")) == 1), "best_per_dest": ~lost & (F.row_number().over(Window.partitionBy("dest_id").orderBy(by, "source_id")) == 1)}
     rows = results.withColumn("_kept", first[strategy])
-    rows = rows.withColumn("_any", F.max("_kept").over(source)).withColumn("_k", F.row_number().over(source.orderBy(F.desc("_kept"), score, "dest_id")))
+    rows = rows.withColumn("_any", F.max("_kept").over(source)).withColumn("_k", F.row_number().over(source.orderBy(F.desc("_kept"), by, "dest_id")))
     rows = rows.where(F.col("_kept") | (~F.col("_any") & (F.col("_k") == 1)))
     blank = {c: F.when(F.col("_kept"), F.col(c)) for c in results.columns if c not in ("source_id", "match_type")}
     return rows.select(*(blank.get(c, F.col(c)).alias(c) for c in results.columns if c != "match_type"), F.when(F.col("_kept"), F.col("match_type")).otherwise("NO_MATCH").alias("match_type")).select(*results.columns)

@@ -38,6 +38,12 @@ def _coordinates(cell) -> list[tuple[float, float]]:
     return [(p["x"], p["y"]) for p in cell]
 
 
+def near_edges(a: DataFrame, b: DataFrame, max_distance: float) -> DataFrame:
+    """(id_a, pts_a, near: the edges within the distance), a source in each row."""
+    near = within_join(a, b, max_distance)
+    return near.repartition(kernel_parts(a.sparkSession), "id_a").groupBy("id_a").agg(F.min("pts_a").alias("pts_a"), F.collect_list(F.struct("id_b", "pts_b")).alias("near"))
+
+
 def match_routes(a: DataFrame, b: DataFrame, parameters: RouteParameters | None = None, **more) -> tuple[DataFrame, DataFrame]:
     """(long, summary): an edge of a route in each row; a source in each row, NO_MATCH where there is no route.
 
@@ -46,8 +52,7 @@ def match_routes(a: DataFrame, b: DataFrame, parameters: RouteParameters | None
     """
     q = parameters or RouteParameters(**more)
     kinds = {"a": dict(a.dtypes)["id"], "b": dict(b.dtypes)["id"]}
-    near = within_join(a, b, q.max_distance)
-    met = near.repartition(kernel_parts(a.sparkSession), "id_a").groupBy("id_a").agg(F.min("pts_a").alias("pts_a"), F.collect_list(F.struct("id_b", "pts_b")).alias("near"))
+    met = near_edges(a, b, q.max_distance)
     schema = f"source_id {kinds['a']}, edges array<struct<{EDGE.format(id=kinds['b']).replace(' ', ':').replace(',:', ',')}>>, dtw_distance double, max_dtw_distance double, min_dtw_distance double, bearing_diff double, part_drift double, part_bearing_diff double, overlap_pct long, matched_len double, route_geom_wkt string"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +81,24 @@ def match_routes(a: DataFrame, b: DataFrame, parameters: RouteParameters | None
     return long, summary.unionByName(lost, allowMissingColumns=True).select(*SUMMARY)
 
 
+def route_costs(a: DataFrame, b: DataFrame, parameters: RouteParameters | None = None, **more) -> DataFrame:
+    """(source_id, cost): the least cost of each source with edges near, whether or not its way is a route."""
+    q = parameters or RouteParameters(**more)
+    met = near_edges(a, b, q.max_distance)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            xy, bounds = dtw.vertices(batch.column("pts_a"))
+            costs = []
+            for k, near in enumerate(batch.column("near").to_pylist()):
+                edges = [(e["id_b"], np.array(_coordinates(e["pts_b"]))) for e in near]
+                t = route.cheapest(xy[bounds[k] : bounds[k + 1]], edges, q.snap, q.step, q.emission, q.bearing_weight, q.alpha, q.beta, q.least_gap)
+                costs.append(t[2].total if t else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id_a"), pa.array(costs, pa.float64())], names=["source_id", "cost"])
+
+    return met.mapInArrow(run, f"source_id {dict(a.dtypes)['id']}, cost double")
+
+
 def resolve_routes(summary: DataFrame, long: DataFrame | None = None, *, max_match_dist: float | None = None, max_bearing_diff: float | None = None, min_overlap_pct: float | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Routes beyond a limit become NO_MATCH, and their edges go; part_drift and part_bearing_diff stay."""
     fails = F.lit(False)

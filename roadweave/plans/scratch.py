@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark drop a write's shuffle files once it is done; the session's setting is put back."""
+    before = spark.conf.get(FREED)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
 class Scratch:
     """Tables written under the shared folder of spark.checkpoint.dir: they cut lineage and survive lost executors."""
 
@@ -22,7 +38,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with freed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def read(self, schema, *names: str) -> DataFrame:

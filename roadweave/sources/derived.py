@@ -55,3 +55,50 @@ bp AS (
 ), pt AS (
   SELECT event_id AS id, (event_id % 40) * 100 + value % 90.0::DOUBLE AS x, (event_id // 40) * 60 + (user_id % 13 - 6)::DOUBLE AS y FROM events
 )"""
+
+
+#: Streets of four kinds, chosen by a customer's key: part, then three vertices, about the corner of the key's block.
+#: A bend that the other side cuts in two, a cut that the other side lacks (and a stub at it), a fork, and a block with two ways round.
+A_SHAPES = {
+    0: [(0, 0, 0, 45, 7, 90, 0)],
+    1: [(0, 0, 0, 20, 2, 40, 3), (1, 40, 3, 66, 3, 90, 0)],
+    2: [(0, 0, 0, 15, 1, 30, 0), (1, 30, 0, 60, 10, 90, 14), (2, 30, 0, 60, -10, 90, -14)],
+    3: [(0, 0, 0, 8, 0, 15, 0), (1, 15, 0, 45, 12, 75, 0), (2, 15, 0, 45, -12, 75, 0), (3, 75, 0, 82, 0, 90, 0)],
+}
+B_SHAPES = {
+    0: [(0, 0, 0, 20, 4, 42, 6), (1, 42, 6, 70, 5, 90, 0)],
+    1: [(0, 0, 0, 40, 3, 90, 0), (1, 40, 3, 41, 12, 42, 22)],
+    2: [(0, 0, 0, 15, 0, 28, 0), (1, 28, 0, 45, 5, 60, 9), (2, 60, 9, 75, 12, 90, 14), (3, 28, 0, 60, -9, 90, -14)],
+    3: [(0, 0, 0, 7.3, 1, 14, 0), (1, 14, 0, 30, 7, 45, 11), (2, 45, 11, 60, 7, 76, 0), (3, 14, 0, 45, -11, 76, 0), (4, 76, 0, 83, 0, 90, 0)],
+}
+
+
+def _roads(spark: SparkSession, sf_dir: str, shapes: dict, dx, dy) -> DataFrame:
+    form = spark.createDataFrame([(k, *map(float, row)) for k, rows in shapes.items() for row in rows], "kind long, part double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    x, y = _corner("c_custkey")
+    at = lambda k: G.point(x + dx + F.col(f"x{k}"), y + dy + F.col(f"y{k}"))
+    keys = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 4).alias("kind"))
+    return keys.join(F.broadcast(form), "kind").select((F.col("c_custkey") * 10 + F.col("part").cast("long")).alias("id"), F.array(at(1), at(2), at(3)).alias("pts"))
+
+
+def a_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with junctions, forks and blocks, one network for each customer."""
+    return _roads(spark, sf_dir, A_SHAPES, F.lit(0.0), F.lit(0.0))
+
+
+def b_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streets drawn with other cuts, a little aside."""
+    return _roads(spark, sf_dir, B_SHAPES, (F.col("c_custkey") * 17 % 7 - 3) * 0.43 + 0.11, (F.col("c_custkey") * 31 % 11 - 5) * 0.37)
+
+
+def _values(shapes: dict) -> str:
+    return ", ".join("(" + ", ".join(map(str, (k, *row))) + ")" for k, rows in shapes.items() for row in rows)
+
+
+def _road_sql(shapes: dict, dx: str, dy: str) -> str:
+    at = ", ".join(f"((c_custkey % 40) * 100)::DOUBLE + {dx} + f.x{k} AS x{k}, ((c_custkey // 40) * 60)::DOUBLE + {dy} + f.y{k} AS y{k}" for k in (1, 2, 3))
+    return f"SELECT c_custkey AS o, c_custkey * 10 + part AS id, {at} FROM customer JOIN (VALUES {_values(shapes)}) f(kind, part, x1, y1, x2, y2, x3, y3) ON kind = c_custkey % 4"
+
+
+#: a_roads and b_roads in DuckDB.
+ROADS_SQL = f"ar AS ({_road_sql(A_SHAPES, '0', '0')}), br AS ({_road_sql(B_SHAPES, '(c_custkey * 17 % 7 - 3) * 0.43::DOUBLE + 0.11::DOUBLE', '(c_custkey * 31 % 11 - 5) * 0.37::DOUBLE')})"

@@ -190,4 +190,4 @@ def test_network(spark):
     t = tables(spark, a, b, max_distance=12.0, alpha=0.8, beta=1.2)
     assert {r.source_id: r.dest_ids for r in t["summary"]} == {"in": "1", "west1": "2", "west2": "2", "east1": "3", "east2": "3", "out": "4"}
     assert all(r.avg_dist_m < 4 for r in t["summary"])
-    assert [r.sources for r in t["errors"]] == [["lone"]] and [r.n_sources for r in t["costs"]] == [6]
+    assert [r.sources for r in t["errors"]] == [["lone"]] and [len(r.sources) for r in t["costs"]] == [6]
