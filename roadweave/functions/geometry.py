@@ -148,6 +148,29 @@ def transverse_mercator(lon: Column, lat: Column, srid: int) -> Column:
     return point(east + scale * radius * x, north + scale * radius * y)
 
 
+def from_transverse_mercator(x: Column, y: Column, srid: int) -> Column:
+    """Longitude and latitude of a place on the grid: the inverse series, to the fourth order too."""
+    ellipsoid, meridian, scale, east, north = projection_of(srid)
+    axis, f = ELLIPSOIDS[ellipsoid]
+    n = f / (2 - f)
+    e = math.sqrt(f * (2 - f))
+    radius = axis / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    xi, eta = (y - north) / (scale * radius), (x - east) / (scale * radius)
+    xi0 = xi - sum((b * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(series, 1)), F.lit(0.0))
+    eta0 = eta - sum((b * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(series, 1)), F.lit(0.0))
+    conformal = F.asinh(F.sin(xi0) / F.sqrt(F.sinh(eta0) * F.sinh(eta0) + F.cos(xi0) * F.cos(xi0)))
+    sine = F.tanh(conformal)
+    for _ in range(5):  # isometric latitude to geographic
+        sine = F.tanh(conformal + e * F.atanh(e * sine))
+    return point(meridian + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))), F.degrees(F.asin(sine)))
+
+
+def to_degrees(pts: Column, srid: int | None) -> Column:
+    """Vertices in metres of a grid to (longitude, latitude); None leaves them as they are."""
+    return pts if srid is None else F.transform(pts, lambda p: from_transverse_mercator(p["x"], p["y"], srid))
+
+
 def to_metres(pts: Column, srid: int | None, always_xy: bool = True) -> Column:
     """Vertices in degrees to metres of a grid; None leaves them as they are."""
     if srid is None:

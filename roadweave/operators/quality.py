@@ -39,18 +39,47 @@ def diagnose(evaluated: DataFrame, results: DataFrame, max_angle: float, min_ove
     return evaluated.join(got, "id_a", "left").withColumns({"angle_gate": say(F.col("bearing_diff") <= max_angle), "overlap_gate": say(F.col("overlap_pct") >= min_overlap), "is_match": F.coalesce(F.col("id_b") == F.col("matched_to"), F.lit(False))})
 
 
-def issues(pairs: DataFrame, unmatched: DataFrame, max_drift: float = 10.0, reviewed: DataFrame | None = None) -> DataFrame:
-    """(id, type, severity, summary, review): records of pairs and sources to look at; reviews are kept by id."""
-    key = lambda kind: F.concat_ws(":", F.lit(kind), F.col("a_id").cast("string"), F.col("b_id").cast("string"))
-    def of(rows: DataFrame, kind: str, severity: str, text) -> DataFrame:  # noqa: E306
-        return rows.select(key(kind).alias("id"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), text.alias("summary"))
-    found = of(pairs.where(F.col("bearing_diff") > 135), "oneway_direction_conflict", "high", F.concat(F.lit("directions differ by "), F.col("bearing_diff").cast("string")))
-    found = found.unionByName(of(pairs.where(F.col("dtw") > max_drift), "geometry_mismatch", "medium", F.concat(F.lit("mean distance "), F.round("dtw", 1).cast("string"))))
-    found = found.unionByName(of(pairs.where(F.col("cardinality") == "N:M_COMPLEX"), "cardinality_complex", "low", F.lit("several sources and destinations")))
-    lone = unmatched.select(F.concat(F.lit("unmatched_source:"), F.col("source_id").cast("string")).alias("id"), F.lit("unmatched_source").alias("type"), F.lit("medium").alias("severity"), F.lit("no match").alias("summary"))
-    found = found.unionByName(lone)
-    review = reviewed.select("id", "review") if reviewed is not None else None
-    return found.join(review, "id", "left") if review is not None else found.withColumn("review", F.lit(None).cast("string"))
+#: Kinds of issue, with their severity and what they say.
+KINDS = {
+    "oneway_direction_conflict": ("warning", "both sides run one way, in opposite directions"),
+    "unmatched_source": ("info", "no counterpart on the other side"),
+    "geometry_mismatch": ("warning", "matched, but farther apart than expected"),
+    "cardinality_complex": ("info", "part of a tangle of several sources and destinations"),
+}
+REVIEW = "struct<status:string,suggestion:map<string,string>,note:string>"
+
+
+def issues(pairs: DataFrame, unmatched: DataFrame, max_drift: float = 10.0, reviewed: DataFrame | None = None, raw_a: DataFrame | None = None, raw_b: DataFrame | None = None) -> DataFrame:
+    """(id, type, severity, summary, members, evidence, review): records of pairs and sources to look at.
+
+    members: of each side its id and, from raw_a and raw_b (id and any columns), the row as it was, as JSON. evidence: the
+    figures that the record rests on. review (struct of status, suggestion, note) is kept by id from `reviewed`; the rest is
+    made anew each time.
+    """
+    word = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+
+    def of(rows: DataFrame, kind: str, a, b, figures: tuple[str, ...]) -> DataFrame:
+        severity, says = KINDS[kind]
+        evidence = F.map_from_arrays(F.array(*map(F.lit, figures)), F.array(*map(word, figures))) if figures else F.lit(None).cast("map<string,string>")
+        return rows.select(F.concat_ws(":", F.lit(kind), a, b).alias("id"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(says).alias("summary"), a.alias("a"), b.alias("b"), evidence.alias("evidence"))
+
+    two = (word("a_id"), word("b_id"))
+    figures = tuple(c for c in ("dtw", "bearing_diff", "ov_ab", "ov_ba", "matched_len_m", "relation", "cardinality") if c in pairs.columns)
+    found = of(pairs.where(F.col("bearing_diff") > 135), "oneway_direction_conflict", *two, figures)
+    found = found.unionByName(of(pairs.where(F.col("dtw") > max_drift), "geometry_mismatch", *two, figures))
+    found = found.unionByName(of(pairs.where(F.col("cardinality") == "N:M_COMPLEX"), "cardinality_complex", *two, figures))
+    found = found.unionByName(of(unmatched, "unmatched_source", word("source_id"), none, ()))
+    for side, raw in (("a", raw_a), ("b", raw_b)):
+        if raw is None:
+            found = found.withColumn(f"raw_{side}", none)
+        else:
+            found = found.join(raw.select(word("id").alias(side), F.to_json(F.struct("*")).alias(f"raw_{side}")), side, "left")
+    member = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.col(side).alias("id"), F.col(f"raw_{side}").alias("raw")))
+    found = found.withColumn("members", F.struct(member("a").alias("a"), member("b").alias("b"))).drop("a", "b", "raw_a", "raw_b")
+    if reviewed is None:
+        return found.select("id", "type", "severity", "summary", "members", "evidence", F.lit(None).cast(REVIEW).alias("review"))
+    return found.join(reviewed.select("id", "review"), "id", "left").select("id", "type", "severity", "summary", "members", "evidence", "review")
 
 
 def pair_figures(spark: SparkSession, a: DataFrame, b: DataFrame, radius: float) -> DataFrame:

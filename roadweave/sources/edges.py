@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
+from roadweave.plans.scratch import Scratch
 
 
 def bind(df: DataFrame, id_col: str, geom: str | Column, *, srid: int | None = None, id_cast: str | None = None, kind: str = "LINESTRING", keep: tuple[str, ...] = (), always_xy: bool = True) -> DataFrame:
@@ -40,6 +41,40 @@ def directed(edges: DataFrame, oneway: str = "oneway") -> DataFrame:
     return both.withColumn("directed_id", F.concat_ws(":", F.col("original_edge_id").cast("string"), F.when(F.col("is_reverse"), "r").otherwise("f")))
 
 
+#: Tags that mean one direction, and kinds of junction that do.
+ONE_WAY, ROUND = ("yes", "true", "1", "-1"), ("roundabout", "circular")
+
+
+def is_oneway(tag: str | Column) -> Column:
+    """Whether a tag says that a road is open in one direction only; a null tag doesn't."""
+    return F.coalesce(F.lower((F.col(tag) if isinstance(tag, str) else tag).cast("string")).isin(*ONE_WAY), F.lit(False))
+
+
+def is_roundabout(junction: str | Column) -> Column:
+    return F.coalesce(F.lower((F.col(junction) if isinstance(junction, str) else junction).cast("string")).isin(*ROUND), F.lit(False))
+
+
+def one_direction(directed_edges: DataFrame, original: str = "original_edge_id") -> DataFrame:
+    """Rows whose original edge has a single direction."""
+    return directed_edges.join(directed_edges.groupBy(original).agg(F.count("*").alias("_n")).where("_n = 1").select(original), original, "left_semi")
+
+
+def two_directions(directed_edges: DataFrame, original: str = "original_edge_id", reverse: str = "is_reverse") -> DataFrame:
+    """One row, the one along the drawing, of each original edge with both directions."""
+    both = directed_edges.groupBy(original).agg(F.count("*").alias("_n")).where("_n = 2").select(original)
+    return directed_edges.join(both, original, "left_semi").where(F.lower(F.col(reverse).cast("string")) == "false")
+
+
+def numbered(directed_edges: DataFrame, order: tuple[str, ...] = ("original_edge_id", "is_reverse")) -> DataFrame:
+    """Adds directed_number, 1, 2, 3, ... in the given order: parts of a range-sorted table are counted first, so no task sorts all."""
+    rows = Scratch(directed_edges.sparkSession, "numbers").table(directed_edges.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "rows")
+    w = Window.partitionBy("_part").orderBy(*order)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    firsts = sizes.select("_part", before.alias("_before"))
+    return rows.withColumn("_k", F.row_number().over(w)).join(F.broadcast(firsts), "_part").withColumn("directed_number", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+
+
 def to_wkt_csv(edges: DataFrame, path: str) -> None:
     edges.withColumn("geometry", G.to_wkt(F.col("pts"))).drop("pts").write.mode("overwrite").option("header", True).csv(path)
 

@@ -249,6 +249,38 @@ def test_sources(spark, tmp_path):
     assert '"type":"Feature"' in edges.to_geojson_rows(e.where("id = 1")).first().feature
 
 
+def test_facade(spark):
+    from roadweave.matcher import Matcher
+
+    wkt = lambda rows: spark.createDataFrame([(k, "LINESTRING (" + ", ".join(f"{x} {y}" for x, y in v) + ")") for k, v in rows.items()], "edge_id string, geometry string")
+    m = Matcher.from_frames(wkt(A), wkt(B), id_a="edge_id", id_b="edge_id", utm_srid=ZONE)
+    tight = m.set_parameters(max_distance=20.0, max_angle=90.0)
+    assert (m.max_distance, tight.max_distance) == (25.0, 20.0)
+    assert {r.dest_id for r in tight.match().collect()} == {"low", "high", None} and m.match().count() == 4
+    long, summary = tight.match_routes()
+    assert {r.source_id: r.match_type for r in tight.resolve_routes(summary, long, max_match_dist=15.0)[0].collect()} == {"main": "1:N_ROUTE", "far": "NO_MATCH"}
+    assert m.validate_b_geometry()[0].first().n_endpoints == 8
+
+
+def test_one_way_rows(spark):
+    rows = spark.createDataFrame([(1, "Yes", "x"), (2, "no", "Roundabout"), (3, None, None), (4, "-1", "circular")], "id long, oneway string, junction string")
+    assert [(r.o, r.j) for r in rows.select("id", edges.is_oneway("oneway").alias("o"), edges.is_roundabout("junction").alias("j")).orderBy("id").collect()] == [(True, False), (False, True), (False, False), (True, True)]
+    e = lines(spark, {1: [(0, 0), (1, 0)], 2: [(0, 0), (2, 0)], 3: [(0, 0), (3, 0)]}).join(rows.select("id", F.col("oneway")), "id").withColumn("oneway", F.when(F.col("id") == 2, "no").otherwise("yes"))
+    d = edges.directed(e)
+    assert sorted(r.original_edge_id for r in edges.one_direction(d).collect()) == [1, 3]
+    assert [(r.original_edge_id, r.is_reverse) for r in edges.two_directions(d).collect()] == [(2, False)]
+    assert [(r.directed_number, r.original_edge_id, r.is_reverse) for r in edges.numbered(d).orderBy("directed_number").collect()] == [(1, 1, False), (2, 2, False), (3, 2, True), (4, 3, False)]
+
+
+def test_inverse_projection(spark):
+    draw = random.Random(1)
+    for srid, lon in ((3006, 15.0), (32633, 15.0), (32720, -63.0)):
+        places = [(lon + draw.uniform(-3, 3), draw.uniform(1, 70) * (-1 if srid > 32700 else 1)) for _ in range(50)]
+        df = spark.createDataFrame(places, "lon double, lat double").withColumn("m", G.transverse_mercator(F.col("lon"), F.col("lat"), srid))
+        for r in df.select("lon", "lat", G.from_transverse_mercator(F.col("m.x"), F.col("m.y"), srid).alias("d")).collect():
+            assert (r.d.x, r.d.y) == pytest.approx((r.lon, r.lat), abs=1e-8)
+
+
 def test_projection(spark):
     # On the central meridian the easting is the false easting; a degree of latitude is about 111 km.
     r = spark.range(1).select(G.transverse_mercator(F.lit(15.0), F.lit(60.0), 3006).alias("p"), G.transverse_mercator(F.lit(15.0), F.lit(61.0), 3006).alias("q"), G.transverse_mercator(F.lit(51.4), F.lit(35.7), 32639).alias("t")).first()
