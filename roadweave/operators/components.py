@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         scratch.drop(f"labels-{step - 1}", f"least-{step}")
         now = _total(jumped)
         if now == total:
+            scratch.drop("edges")
             return jumped.select("node", F.col("c").alias("component"))
         labels, total = jumped, now
 

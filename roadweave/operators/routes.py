@@ -122,8 +122,28 @@ def validation_report(summary: DataFrame, long: DataFrame) -> DataFrame:
     """One row of figures about a run."""
     ok = F.col("match_type") != "NO_MATCH"
     s = summary.agg(
-        F.count_if(ok).alias("matched"), F.count_if(~ok).alias("no_match"), F.percentile("overlap_pct", 0.5).alias("median_overlap"), F.avg("overlap_pct").alias("mean_overlap"),
+        F.count_if(ok).alias("matched"), F.count_if(~ok).alias("no_match"), F.percentile("overlap_pct", 0.5).alias("median_overlap"), F.avg("overlap_pct").alias("mean_overlap"), F.count_if(F.col("overlap_pct") < 95).alias("covered_below_95"),
         F.percentile("dtw_distance", 0.5).alias("median_drift"), F.percentile("dtw_distance", 0.9).alias("p90_drift"), F.count_if(F.col("dtw_distance") > 10).alias("drift_over_10"), F.count_if(F.col("dtw_distance") > 25).alias("drift_over_25"),
     )
-    u = edge_usage(long).agg(F.count_if(F.col("used_pct") < 95).alias("used_below_95"), F.count_if(F.col("used_pct") > 110).alias("used_over_110"), F.count_if(F.col("n_sources") > 1).alias("contested"))
+    u = edge_usage(long).agg(F.percentile("used_pct", 0.5).alias("median_usage"), F.count_if(F.col("used_pct") < 95).alias("used_below_95"), F.count_if(F.col("used_pct") > 110).alias("used_over_110"), F.count_if(F.col("n_sources") > 1).alias("contested"))
     return s.withColumn("k", F.lit(1)).join(u.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def worst(summary: DataFrame, column: str = "dtw_distance", k: int = 10, largest: bool = True) -> DataFrame:
+    """The k matched sources with the largest (or least) value of a column, for a report; ties by id."""
+    by = F.desc(column) if largest else F.asc(column)
+    return summary.where((F.col("match_type") != "NO_MATCH") & F.col(column).isNotNull()).orderBy(by, "source_id").limit(k)
+
+
+def swept_routes(a: DataFrame, b: DataFrame, grids: dict[str, list[float]], parameters: RouteParameters | None = None, **more) -> DataFrame:
+    """(id, family, magnitude, dest_ids, base_ids): the routes of every perturbed copy of every edge, beside the edge's own.
+
+    All copies are matched in one run; `perturb.first_change` says from which magnitude on a route changes or is lost.
+    """
+    from roadweave.operators.perturb import sweep
+
+    name = F.concat_ws("|", F.col("id").cast("string"), "family", F.col("magnitude").cast("string"))
+    copies = Scratch(a.sparkSession, "sweep").table(sweep(a, grids).withColumn("copy", name), "copies")
+    found = match_routes(copies.select(F.col("copy").alias("id"), "pts"), b, parameters, **more)[1].select(F.col("source_id").alias("copy"), "dest_ids")
+    own = match_routes(a, b, parameters, **more)[1].select(F.col("source_id").alias("id"), F.col("dest_ids").alias("base_ids"))
+    return copies.select("id", "family", "magnitude", "copy").join(found, "copy").join(own, "id").select("id", "family", "magnitude", "dest_ids", "base_ids")

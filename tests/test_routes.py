@@ -133,4 +133,22 @@ def test_tables(spark):
     same, kept = routes.resolve_routes(summary, long, max_match_dist=5.0, min_overlap_pct=50)
     assert kept.count() == 4 and {r.source_id for r in same.collect() if r.dest_ids} == {1, 4}
     report = routes.validation_report(summary, long).first()
-    assert (report.matched, report.no_match, report.contested) == (2, 2, 1)
+    assert (report.matched, report.no_match, report.contested, report.covered_below_95) == (2, 2, 1, 0) and report.median_usage == 100
+    assert [r.source_id for r in routes.worst(summary, k=1, largest=False).collect()] == [min(s.values(), key=lambda r: r.dtw_distance or 1e9).source_id]
+
+
+def test_sweep(spark):
+    from roadweave.operators.perturb import first_change
+
+    a, b = lines(spark, {1: STREET, 2: [(10, 8), (10, 27)]}), lines(spark, {11: CUT["p"], 12: CUT["q"], 13: CUT["r"]})
+    got = routes.swept_routes(a, b, {"shift": [1, 3, 40], "crop": [0.7]}, snap=0.5, step=2)
+    rows = {(r.id, r.family, r.magnitude): (r.dest_ids, r.base_ids) for r in got.collect()}
+    assert len(rows) == 8 and rows[1, "shift", 1.0] == ([11, 12, 13], [11, 12, 13]) and rows[1, "shift", 40.0] == (None, [11, 12, 13]) and rows[1, "crop", 0.7] == ([12], [11, 12, 13])
+    first = {(r.id, r.family): (r.changed_at, r.lost_at) for r in first_change(got).collect()}
+    assert first[1, "shift"] == (40.0, 40.0) and first[1, "crop"] == (0.7, None)
+
+
+def test_debug_tables():
+    r = go(STREET, CUT, debug=True)
+    assert r["debug"]["final_cost"] == r["cost"] and r["debug"]["D"].shape[0] == len(r["debug"]["places"]) and names(r) == names(go(STREET, CUT))
+    assert go(STREET[::-1], CUT, debug=True)["reason"] == "B is touched, never walked" and "no length" in go([(0, 0)], CUT, debug=True)["reason"]
