@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from roadweave.log import get_logger
 from roadweave.operators import dag, pairs, points, quality, resolve, routes, thresholds
 from roadweave.sources import edges
+from roadweave.sources.geopackage import read_geopackage
 
 log = get_logger("matcher")
 
@@ -38,6 +39,10 @@ class Matcher:
     def from_geojson(cls, spark: SparkSession, path_a: str, path_b: str, *, id_a: str = "edge_id", id_b: str = "edge_id", utm_srid: int | None = None, id_cast: str | None = "bigint", **parameters) -> Matcher:
         return cls(*(edges.read_geojson(spark, p, i, srid=utm_srid, id_cast=id_cast) for p, i in ((path_a, id_a), (path_b, id_b))), **parameters)
 
+    @classmethod
+    def from_geopackage(cls, spark: SparkSession, path_a: str, path_b: str, *, id_a: str = "edge_id", id_b: str = "edge_id", layer_a: str | None = None, layer_b: str | None = None, utm_srid: int | None = None, id_cast: str | None = "bigint", **parameters) -> Matcher:
+        return cls(*(read_geopackage(spark, p, i, layer=n, srid=utm_srid, id_cast=id_cast) for p, i, n in ((path_a, id_a, layer_a), (path_b, id_b, layer_b))), **parameters)
+
     def set_parameters(self, **parameters) -> Matcher:
         log.info("parameters: %s", parameters)
         return replace(self, **parameters)

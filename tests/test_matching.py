@@ -249,6 +249,30 @@ def test_sources(spark, tmp_path):
     assert '"type":"Feature"' in edges.to_geojson_rows(e.where("id = 1")).first().feature
 
 
+def test_geopackage(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    from roadweave.sources.geopackage import read_geopackage
+
+    def blob(points, kind=2, order="<", envelope=0, width=2):
+        head = b"GP\0" + bytes([(envelope << 1) | (order == "<")]) + struct.pack(order + "i", 4326) + b"\0" * {0: 0, 1: 32}[envelope]
+        body = b"".join(struct.pack(order + "d" * width, *p) for p in points)
+        return head + bytes([order == "<"]) + struct.pack(order + "I", kind) + (struct.pack(order + "I", len(points)) if kind % 1000 != 1 else b"") + body
+
+    con = sqlite3.connect(tmp_path / "roads.gpkg")
+    con.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    con.execute("INSERT INTO gpkg_geometry_columns VALUES ('roads', 'the geom')")
+    con.execute('CREATE TABLE roads (fid INTEGER, "the geom" BLOB, name TEXT)')
+    rows = [(1, blob([(1, 2), (3, 4)]), "x"), (2, blob([(1, 2, 9), (5, 6, 9)], kind=1002, order=">", envelope=1, width=3), None), (3, blob([(7, 8)], kind=1), "point"), (4, None, "none")]
+    con.executemany("INSERT INTO roads VALUES (?, ?, ?)", rows)
+    con.commit()
+    con.close()
+    got = {r.id: (r.pts and [(p.x, p.y) for p in r.pts], r.name) for r in read_geopackage(spark, str(tmp_path / "roads.gpkg"), "fid", keep=("name",)).collect()}
+    assert got == {1: ([(1, 2), (3, 4)], "x"), 2: ([(1, 2), (5, 6)], None), 3: (None, "point"), 4: (None, "none")}
+    assert [r.id for r in read_geopackage(spark, str(tmp_path / "roads.gpkg"), "fid", layer="roads", kind="POINT").where("pts is not null").collect()] == [3]
+
+
 def test_facade(spark):
     from roadweave.matcher import Matcher
 
