@@ -188,7 +188,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, tile: int = TILE) -> D
     members = scratch.table(v.select("vec_id", "vector"), "members")
     reps = members.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
     reps = v.where("vector is not null").join(reps, ["vector", "vec_id"]).dropDuplicates(["vector"])
-    rep = F.xxhash64("vector")  # names a distinct vector
+    rep = F.monotonically_increasing_id()  # names a distinct vector, from this table's writing on
     reps = scratch.table(reps.select(rep.alias("rep"), "vector", "vec_id", "n", "x", F.size("x").alias("size"), F.xxhash64("label").alias("salt")), "reps")
     codes = scratch.table(reps.select("rep", "x", "size", "salt").mapInArrow(hashed, "rep long, codes array<long>"), "codes")
     places = codes.select("rep", F.explode(F.array_distinct("codes")).alias("bucket"))
