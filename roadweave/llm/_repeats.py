@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.plans.scratch import freed
+
 from ._kit import Batches, Scratch, batches, mixed, pieces
 
 #: Bytes of text that a worker gathers before it sends packets.
 STRETCH = 12 << 20
 #: Buckets of hashes for each partition, so that partitions come out alike.
 FINER = 8
-FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A null doc_id, last in order.
 LAST = 2**63 - 1
 MARKS = "dest int, keys binary, counts binary, at binary"
@@ -34,10 +35,7 @@ def parts_of(spark) -> int:
 
 
 class TextTable:
-    """Distinct (doc_id, text) rows, bucketed by (doc_id, h); the table goes with the block that it is made for.
-
-    Shuffle files of finished writes are freed as the work goes on (a setting of Spark's, which is put back at the end).
-    """
+    """Distinct (doc_id, text) rows, bucketed by (doc_id, h); the table goes with the block that it is made for."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.spark, self.scratch, self.n = docs.sparkSession, scratch, parts_of(docs.sparkSession)
@@ -46,11 +44,10 @@ class TextTable:
         self.name = f"roadweave_texts_{uuid.uuid4().hex}"
 
     def __enter__(self) -> TextTable:
-        self.before = self.spark.conf.get(FREED)
-        self.spark.conf.set(FREED, "true")
         try:
             dealt = self.rows.repartition(self.n, "doc_id", "h")
-            dealt.write.option("path", f"{self.scratch.base}/texts").option("compression", "zstd").bucketBy(self.n, "doc_id", "h").sortBy("doc_id", "h").saveAsTable(self.name)
+            with freed(self.spark):
+                dealt.write.option("path", f"{self.scratch.base}/texts").option("compression", "zstd").bucketBy(self.n, "doc_id", "h").sortBy("doc_id", "h").saveAsTable(self.name)
             self.table = self.spark.table(self.name)
         except BaseException:
             self.__exit__()
@@ -58,7 +55,6 @@ class TextTable:
         return self
 
     def __exit__(self, *error) -> None:
-        self.spark.conf.set(FREED, self.before)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.scratch.drop("texts")
 
@@ -145,7 +141,7 @@ def gathered(marks: DataFrame, n: int, width: int = 1) -> DataFrame:
     return marks.repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(run, "doc_id long, h long, marks binary")
 
 
-#: kind 0: entries of a bucket of hashes; kind 1: places that are settled already, bucket being their part.
+#: kind 0: entries of a bucket of hashes; kind 1: places that are settled already, bucket being their part; kind 2: entries of another sort.
 PACKET = "bucket int, kind int, at binary, docs binary, hashes binary, checks binary, own binary"
 PACKET_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("at", "docs", "hashes", "checks", "own"))])
 
@@ -163,21 +159,25 @@ def add_settled(rows: dict[str, list], marks: dict[str, list]) -> None:
 def packets(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, keys: np.ndarray, n: int, settled: dict) -> pa.RecordBatch:
     """Entries (document, place, hash, check, whether the stretch holds it twice), and places that are settled already."""
     rows: dict[str, list] = {f.name: [] for f in PACKET_ARROW}
-    for b, k in by_bucket(bucket_of(hashes, FINER * n)):
-        used, local = np.unique(doc[k], return_inverse=True)
-        add(rows, b, 0, at[k].astype(np.int32).tobytes(), keys[used].tobytes(), hashes[k].tobytes(), checks[k].tobytes() if checks is not None else b"", (local.astype(np.int32) << 1 | multi[k]).astype(np.int32).tobytes())
+    add_entries(rows, 0, doc, at, hashes, checks, multi, keys, n)
     add_settled(rows, settled)
     return batches(rows, PACKET_ARROW)
 
 
+def add_entries(rows: dict[str, list], kind: int, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, keys: np.ndarray, n: int) -> None:
+    for b, k in by_bucket(bucket_of(hashes, FINER * n)):
+        used, local = np.unique(doc[k], return_inverse=True)
+        add(rows, b, kind, at[k].astype(np.int32).tobytes(), keys[used].tobytes(), hashes[k].tobytes(), checks[k].tobytes() if checks is not None else b"", (local.astype(np.int32) << 1 | multi[k]).astype(np.int32).tobytes())
+
+
 def grouped_packets(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], pa.RecordBatch | None]]:
-    """The packets of each bucket of a partition sorted by bucket, and settled rows, as rows of MARKS, as they come."""
+    """The packets (not of kind 1) of each bucket of a partition sorted by bucket, and settled rows, as rows of MARKS, as they come."""
     held, bucket = [], None
     for b in parts:
         done = b.filter(pa.compute.equal(b.column("kind"), 1)) if b.num_rows else b
         if done.num_rows:
             yield [], pa.RecordBatch.from_arrays([done.column(c) for c in ("bucket", "docs", "own", "at")], schema=MARKS_ARROW)
-        for r in b.filter(pa.compute.equal(b.column("kind"), 0)).to_pylist():
+        for r in b.filter(pa.compute.not_equal(b.column("kind"), 1)).to_pylist():
             if r["bucket"] != bucket and held:
                 yield held, None
                 held = []
@@ -199,8 +199,12 @@ def unpacked(held: list[dict]) -> dict[str, np.ndarray]:
     return out
 
 
-def exchange(rows: DataFrame, n: int, resolve: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
-    """Rows of MARKS from packets: resolve says which entries of a bucket are marked."""
+#: The part of rows that tell of hot hashes: `at` has the hashes, `counts` how often they occur.
+HOT_ROWS = -1
+
+
+def exchange(rows: DataFrame, n: int, resolve: Callable[[dict[str, np.ndarray]], np.ndarray], hot: int | None = None) -> DataFrame:
+    """Rows of MARKS from packets: resolve says which entries of a bucket are marked. With `hot`, checks are counts, and hashes that occur more often are told too."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         for held, done in grouped_packets(parts):
@@ -209,6 +213,11 @@ def exchange(rows: DataFrame, n: int, resolve: Callable[[dict[str, np.ndarray]],
                 continue
             e = unpacked(held)
             hit = resolve(e)
+            if hot is not None:
+                own, which = np.unique(e["hash"], return_inverse=True)
+                total = np.bincount(which, weights=e["check"]).astype(np.int64)
+                if (total > hot).any():
+                    yield batches({"dest": [HOT_ROWS], "keys": [b""], "counts": [total[total > hot].tobytes()], "at": [own[total > hot].tobytes()]}, MARKS_ARROW)
             if hit.any():
                 # copies of a key in several packets are one document
                 keys, doc = np.unique(e["key"], axis=0, return_inverse=True)
@@ -219,19 +228,23 @@ def exchange(rows: DataFrame, n: int, resolve: Callable[[dict[str, np.ndarray]],
 
 def twice(e: dict[str, np.ndarray]) -> np.ndarray:
     """Entries whose hash occurs elsewhere."""
-    order = np.argsort(e["hash"], kind="stable")
-    h = e["hash"][order]
-    same = h[1:] == h[:-1]
-    hit = np.zeros(len(h), bool)
+    return elsewhere(e["hash"]) & ~e["multi"]  # those are settled where they were found
+
+
+def elsewhere(*keys: np.ndarray) -> np.ndarray:
+    """Entries whose keys all occur elsewhere too."""
+    order = np.lexsort(keys)
+    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    hit = np.zeros(len(order), bool)
     hit[1:] |= same
     hit[:-1] |= same
-    out = np.zeros(len(h), bool)
+    out = np.zeros(len(order), bool)
     out[order] = hit
-    return out & ~e["multi"]  # those are settled where they were found
+    return out
 
 
-def repeated_anchors(texts: DataFrame, n: int, anchors: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(doc_id, h, marks): the anchor places whose hash occurs twice or more in the corpus."""
+def repeated_anchors(texts: DataFrame, n: int, anchors: Callable[[bytes], tuple[np.ndarray, np.ndarray]], hot: int | None = None) -> DataFrame:
+    """Rows of MARKS: the anchor places whose hash occurs twice or more in the corpus; with `hot`, rows of hot hashes too."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         for ids, hs, raw, _ in stretches(parts):
@@ -250,9 +263,22 @@ def repeated_anchors(texts: DataFrame, n: int, anchors: Callable[[bytes], tuple[
             keys = np.array([ids, hs], np.int64).T
             settled = marks_of(doc[order[many]], at[order[many]], keys, n)
             k = order[new]
-            yield packets(doc[k], at[k], hashes[k], None, many[new].astype(np.int32), keys, n, settled)
+            counts = None if hot is None else np.minimum(size, 2**32 - 1).astype(np.uint32)
+            yield packets(doc[k], at[k], hashes[k], counts, many[new].astype(np.int32), keys, n, settled)
+
+    return exchange(texts.mapInArrow(run, PACKET), n, twice, hot)
+
+
+def hot_hashes(marks: DataFrame, most: int) -> np.ndarray:
+    """The sorted hashes that rows of MARKS tell of, the `most` commonest."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        for b in parts:
+            for at, counts in zip(b.column("at").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                yield batches({"hash": np.frombuffer(at, np.int64), "n": np.frombuffer(counts, np.int64)}, pa.schema([("hash", pa.int64()), ("n", pa.int64())]))
 
-    return gathered(exchange(texts.mapInArrow(run, PACKET), n, twice), n)
+    told = marks.where(F.col("dest") == HOT_ROWS).select("at", "counts").mapInArrow(run, "hash long, n long")
+    return np.sort(told.orderBy(F.desc("n"), "hash").limit(most).select("hash").toArrow().column("hash").to_numpy().view(np.uint64))
 
 
 def marked(places: bytes, size: int) -> np.ndarray:

@@ -118,7 +118,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         first = known.groupBy("text_sha").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("text_sha", "f.doc_id", "f.h")
         firsts = scratch.table(known.where(F.col("n_words") >= window).join(first, ["text_sha", "doc_id", "h"]).select("doc_id", "h").distinct(), "firsts")
         reps = t.table.join(firsts, ["doc_id", "h"])
-        anchors = scratch.table(repeated_anchors(reps, t.n, cover_anchors(window)), "anchors")
+        anchors = scratch.table(gathered(repeated_anchors(reps, t.n, cover_anchors(window)), t.n), "anchors")
         windows = candidate_windows(t.table.join(anchors, ["doc_id", "h"]), t.n, window)
         marks = scratch.table(gathered(exchange(windows, t.n, later), t.n), "marks")
         trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, cut_sha string").distinct(), "trimmed")

@@ -10,7 +10,9 @@ sequence, as files would be; a collection holds at most about COLLECTION bytes,
 own disk is used. A window repeats if its suffix shares `width` symbols with a neighbour.
 
 Scale: see _repeats. Segments of one minimizer are bounded by the distinct contexts of one gram; equal ones are
-settled within a stretch of documents and sent once. A group above COLLECTION bytes is cut by the minimizer of its
+settled within a stretch of documents and sent once. A minimizer that occurs more than HOT times (boilerplate shorter than a
+window, with other neighbours each time) is not gathered: its windows are dealt one by one, by 96-bit hashes of their bytes.
+The commonest MOST_HOT such minimizers are sent to the workers. A group above COLLECTION bytes is cut by the minimizer of its
 windows' first half, then of their second, and so on (every window stays with its equals).
 
 Defined results: null and empty texts have no bytes; texts shorter than `width` keep all; matches never cross documents;
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kit import Batches, Scratch, batches, mixed, pieces, sliding_min_index, window_hashes
-from ._repeats import FINER, LAST, MARKS, MARKS_ARROW, PACKET, PACKET_ARROW, TextTable, add, add_settled, bucket_of, by_bucket, gathered, grouped_packets, marked, marks_of, repeated_anchors, stretches
+from ._repeats import FINER, HOT_ROWS, LAST, MARKS, MARKS_ARROW, PACKET, PACKET_ARROW, TextTable, add, add_entries, add_settled, bucket_of, by_bucket, elsewhere, gathered, grouped_packets, hot_hashes, marked, marks_of, repeated_anchors, stretches, unpacked
 
 #: Bytes of strings that are sorted together, and from which a single minimizer's segments are cut anew.
 TOGETHER = 48 << 10
 COLLECTION = 1 << 20
 #: Times that a large collection is cut anew.
 DEEPEST = 8
+#: Occurrences of a minimizer from which its windows are dealt one by one (more in a corpus of over 10 TB), and minimizers that are dealt so.
+HOT, MOST_HOT = 100_000, 2_000_000
 
 
 def minimizers(text: bytes, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -192,16 +196,25 @@ def packed(groups: list[list[bytes]]) -> Iterator[list[bytes]]:
         yield held
 
 
-def candidate_segments(texts: DataFrame, n: int, width: int) -> DataFrame:
-    """Packets of the segments whose minimizer occurs twice; in `hashes` their bytes, in `checks` their lengths."""
+def candidate_segments(texts: DataFrame, n: int, width: int, hot: np.ndarray | None = None) -> DataFrame:
+    """Packets of the segments whose minimizer occurs twice; in `hashes` their bytes, in `checks` their lengths. Of hot minimizers packets of kind 2, of single windows."""
+    sent = texts.sparkSession.sparkContext.broadcast(np.empty(0, np.uint64) if hot is None else hot)  # at most MOST_HOT numbers
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        hot = sent.value
         for ids, hs, raw, (marks,) in stretches(parts, ("marks",)):
             found: dict[bytes, list[tuple[int, int]]] = {}
             bucket: dict[bytes, int] = {}
+            single: list[tuple[np.ndarray, ...]] = []
             for d, (t, m) in enumerate(zip(raw, marks, strict=True)):
                 at, h = minimizers(t, width)
                 twice = marked(m, len(h))
+                if len(hot) and len(at):
+                    k = np.minimum(np.searchsorted(hot, h[at]), len(hot) - 1)
+                    own = np.flatnonzero((hot[k] == h[at]) & twice[at])
+                    if len(own):
+                        twice[at[own]] = False
+                        single.append((np.full(len(own), d), own, *window_names(t, width, own)))
                 for a, b in segments(at):
                     if twice[at[a]]:
                         s = t[a : b + width - 1]
@@ -213,7 +226,15 @@ def candidate_segments(texts: DataFrame, n: int, width: int) -> DataFrame:
             keys = list(found)
             rows: dict[str, list] = {f.name: [] for f in PACKET_ARROW}
             key_of = np.array([ids, hs], np.int64).T
-            add_settled(rows, marks_of(*ranges([(d, a, a + len(s) - width + 1) for s, own in found.items() if len(own) > 1 for d, a in own]), key_of, n))
+            settled = [(d, a, a + len(s) - width + 1) for s, own in found.items() if len(own) > 1 for d, a in own]
+            if single:
+                doc, at, name, check = map(np.concatenate, zip(*single, strict=True))
+                again = elsewhere(check, name)
+                settled += [(d, a, a + 1) for d, a in zip(doc[again].tolist(), at[again].tolist(), strict=True)]
+                order = np.lexsort((check, name))
+                new = order[np.append(True, (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1]))]
+                add_entries(rows, 2, doc[new], at[new], name[new], check[new], again[new].astype(np.int32), key_of, n)
+            add_settled(rows, marks_of(*ranges(settled), key_of, n))
             h = np.array([bucket[s] for s in keys], np.uint64)
             for b, k in by_bucket(bucket_of(h, FINER * n)):
                 part = [keys[x] for x in k]
@@ -224,6 +245,14 @@ def candidate_segments(texts: DataFrame, n: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, PACKET)
 
 
+def window_names(text: bytes, width: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that tell the windows at these places apart."""
+    symbols = np.frombuffer(text, np.uint8).astype(np.uint64)
+    one = mixed(window_hashes(mixed(symbols + np.uint64(1 << 32)), width)[at])
+    other = mixed(window_hashes(mixed(symbols + np.uint64(1 << 33)), width, 0xC2B2AE3D27D4EB4F)[at])
+    return one, (other >> np.uint64(32)).astype(np.uint32)
+
+
 def ranges(found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Documents, and (start, end) of ranges of windows."""
     r = np.array(found, np.int64).reshape(-1, 3)
@@ -238,6 +267,13 @@ def settle_segments(rows: DataFrame, n: int, width: int) -> DataFrame:
             if done is not None:
                 yield done
                 continue
+            if lone := [r for r in held if r["kind"] == 2]:
+                e = unpacked(lone)
+                hit = elsewhere(e["check"], e["hash"]) & ~e["multi"]
+                keys, doc = np.unique(e["key"], axis=0, return_inverse=True)
+                at = e["at"][hit].astype(np.int64)
+                yield batches(marks_of(doc.ravel()[e["doc"][hit]], np.stack((at, at + 1), axis=1), keys, n), MARKS_ARROW)
+                held = [r for r in held if r["kind"] != 2]
             owners: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
             sure: set[bytes] = set()
             groups: dict[int, set[bytes]] = defaultdict(set)
@@ -306,11 +342,14 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
         texts = scratch.table(texts, "distinct")
         single = texts.where("copies = 1").select("doc_id", "h").withColumn("single", F.lit(True))
         reps = t.table.join(texts.select("doc_id", "h"), ["doc_id", "h"])  # a copied text takes part once, for what others share with it
-        anchors = scratch.table(repeated_anchors(reps, t.n, minimizer_anchors(width)), "anchors")
-        found = settle_segments(candidate_segments(t.table.join(anchors, ["doc_id", "h"]), t.n, width), t.n, width)
+        often = max(HOT, (known.agg(F.sum("n_bytes")).first()[0] or 0) // (width // 4) // MOST_HOT)  # a minimizer comes about every quarter of a width
+        places = scratch.table(repeated_anchors(reps, t.n, minimizer_anchors(width), often), "places")
+        anchors = scratch.table(gathered(places.where(F.col("dest") != HOT_ROWS), t.n), "anchors")
+        hot = hot_hashes(places, MOST_HOT)
+        found = settle_segments(candidate_segments(t.table.join(anchors, ["doc_id", "h"]), t.n, width, hot), t.n, width)
         marks = scratch.table(gathered(found, t.n, 2).join(single.drop("single"), ["doc_id", "h"]), "marks")
         trimmed = scratch.table(t.table.join(marks, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, cut long, spans long, cut_sha string").distinct(), "trimmed")
-    scratch.drop("anchors", "marks")
+    scratch.drop("places", "anchors", "marks")
     whole = known.join(single, ["doc_id", "h"], "left").join(trimmed, ["doc_id", "h"], "left")
     gone = (F.col("n_bytes") >= width) & F.col("single").isNull()  # another text equals it
     return whole.select(

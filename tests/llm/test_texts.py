@@ -230,6 +230,23 @@ def test_byte_strings(spark, tmp_path):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [2, 8, 100_000])
+def test_one_minimizer_in_a_third_of_documents(spark, tmp_path, monkeypatch, hot):
+    """Boilerplate shorter than a window, with other neighbours each time, some of them equal; minimizers dealt window by window or not."""
+    draw = random.Random(13)
+    letters = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    stock, sides = letters(170), [letters(60) for _ in range(4)]
+    rows = [(k, letters(90) + (draw.choice(sides) + stock + draw.choice(sides) if k % 3 == 0 else letters(200)) + letters(90), "s") for k in range(90)]
+    rows += [(90, rows[0][1][40:], "s"), (91, rows[3][1], "s"), (92, stock + stock, "s")]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    save(docs(spark, rows), tmp_path)
+    raw = {i: t.encode() for i, t, _ in rows}
+    gone = removed(raw, 200, False)
+    want = {i: (len(b), int(gone[i].sum()), int((np.diff(np.concatenate(([0], gone[i].astype(int)))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone[i]])).hexdigest()) for i, b in raw.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()} == want
+    assert sum(n > 0 for _, n, _, _ in want.values()) > 10
+
+
 def test_null_ids_and_repeated_rows(spark, tmp_path):
     save(docs(spark, [(None, PROSE, "s"), (None, SHARED, "s"), (1, PROSE, "s"), (1, PROSE, "s"), (2, None, "s")]), tmp_path)
     assert {n: QUERIES[n](spark, str(tmp_path)).count() for n in ("op5_suffix_dedup", "op6_substring_dedup", "op7_minhash_dedup", "op9_token_counts")} == dict.fromkeys(("op5_suffix_dedup", "op6_substring_dedup", "op7_minhash_dedup", "op9_token_counts"), 5)
