@@ -9,13 +9,13 @@ score: an alignment of score S is a first match and steps from each match to the
 sides adds 2, one that passes a single word on one or both sides adds 1, any other adds nothing or less. So its steps of
 the first two kinds are word pairs at distance 1 or 2 on both sides whose weights sum to S - 2 at least, within 3 words for
 each word of the item less S, and begin at different places of the item. A first pass counts in how many documents each
-pair occurs. The commonest places of an item, as many as could not make up the sum together, are left out: what is left,
+pair of neighbours occurs. The commonest places of an item, as many as could not make up the sum together, are left out: what is left,
 its rare pairs, are the item's seeds, and every document that scores `least` holds one of them. Documents with a seed have
 all their pairs with the item summed, and the stretches that reach the sum are aligned, however many documents or items
 share a pair. No pair of a document and an item that scores `least` is left out.
 
 Scale: texts are read in place, twice for each block of the test set, and never shuffled; only counts are. The test set is
-sent to the workers in blocks of at most BLOCK words, with two counts a word. Every document yields at most a row for each
+sent to the workers in blocks of at most BLOCK words. Every document yields at most a row for each
 item that it holds.
 
 Defined results: null and empty texts and items hold nothing; items shorter than SHORT words are no evidence inside other
@@ -25,13 +25,11 @@ extra columns are ignored (decontaminated keeps them); an empty table on either
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,41 +38,49 @@ from ._kit import MIX, Batches, Scratch, batches, id_text, pieces
 
 SHORT = 4
 BLOCK = 1 << 20
-#: Bounds of what is looked at together: words of texts, cells of documents by items, links of word pairs to items.
-WORDS, CELLS, LINKS = 100_000, 1 << 22, 1 << 21
+#: Bounds of what is looked at together: bytes of texts, cells of documents by items, links of word pairs to items.
+SIZE, CELLS, LINKS = 1 << 20, 1 << 22, 1 << 21
 MATCH, OFF = 2, 1
-TOKEN = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, score double, start_word int, end_word int"
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 
 
-#: Stands for every word that no item has.
-OTHER = (0,)
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """Normalised words: lower-cased runs of letters, digits and underscores.
 
-
-class Normal(dict):
-    """Raw word -> numbers of its normalised words (none, one or several); emptied when full.
-
-    Words that no item has are one, OTHER: they match nothing anyhow.
+    (pieces between blanks, which of them hold anything else, the words of those, where each text's pieces end).
     """
-
-    def __init__(self, vocabulary: dict[str, tuple[int]], most: int = 800_000):
-        super().__init__()
-        self.most, self.vocabulary = most, vocabulary
-
-    def __missing__(self, raw: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        low = raw.lower()
-        if low.isalnum():
-            out = self.vocabulary.get(low, OTHER)
-        else:
-            out = tuple(h for w in TOKEN.findall(low) for h in self.vocabulary.get(w, OTHER))
-        self[raw] = out
-        return out
-
-    def of(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
+    lists = pa.compute.ascii_split_whitespace(pa.compute.utf8_lower(texts))
+    flat = lists.flatten()
+    odd = ~pa.compute.utf8_is_alnum(flat).to_numpy(zero_copy_only=False)
+    spaced = pa.compute.replace_substring_regex(flat.filter(pa.array(odd)), pattern=r"[^\pL\pN_]+", replacement=" ")
+    return flat, odd, pa.compute.split_pattern(pa.compute.utf8_trim(spaced, " "), " "), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+class Vocabulary:
+    """Numbers of the words that items have, from 1; 0 stands for every other word, which matches nothing anyhow."""
+
+    def __init__(self, words: list[str]):
+        self.words = pa.array(words, pa.string())
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        return pa.compute.fill_null(pa.compute.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The numbers of each text's words."""
+        flat, odd, parts, ends = words_of(texts)
+        out = self.numbers(flat)
+        at = np.flatnonzero(odd)
+        if len(at):
+            several = parts.flatten()
+            real = pa.compute.binary_length(several).to_numpy(zero_copy_only=False) > 0
+            owner = np.repeat(at, parts.value_lengths().to_numpy(zero_copy_only=False))[real]
+            size = np.ones(len(out), np.int64)
+            size[at] = np.bincount(owner, minlength=len(out))[at]
+            ends = np.concatenate(([0], np.cumsum(size)))[ends]
+            out = np.repeat(np.where(odd, -1, out), size)
+            out[out < 0] = self.numbers(several)[real]
+        return np.split(out, ends[:-1]) if len(ends) else []
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -105,7 +111,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class TestSet:
     """A block of items: words as numbers from 1, and the sorted word pairs with the items that hold them."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], vocabulary: dict[str, tuple[int]], least: float):
+    def __init__(self, ids: list[int], words: list[np.ndarray], vocabulary: Vocabulary, least: float):
         self.ids, self.words, self.vocabulary = ids, words, vocabulary
         size = np.array(list(map(len, words)), np.int64)
         self.least = np.where(size < SHORT, max(1.0, least), least)
@@ -133,30 +139,24 @@ class TestSet:
         self.maybe = np.zeros(1 << 22, bool)  # by hashed bits: most pairs of a text end here
         self.maybe[bits(self.keys)] = True
 
-    @cached_property
-    def normal(self) -> Normal:
-        """Kept by a worker for its later batches."""
-        return Normal(self.vocabulary)
-
     def choose_seeds(self, documents: np.ndarray) -> None:
-        """Leaves out the commonest places of each item, as many as can't reach its need; documents: of each pair * 3 + distance."""
+        """Leaves out the commonest places of each item, as many as can't reach its need; documents: of each pair of neighbours."""
         self.seeds[:] = False
         for w, need in zip(self.words, self.need, strict=True):
             n = len(w)
             if n == 1:
                 self.seeds[3 * np.searchsorted(self.keys, w << 32)] = True
                 continue
-            first = 3 * np.searchsorted(self.keys, (w[:-1] << 32) | w[1:])
-            second = np.append(3 * np.searchsorted(self.keys, (w[:-2] << 32) | w[2:]), -1)  # the last place has none
-            codes = np.stack([first + 1, first + 2, np.where(second < 0, first + 1, second + 1), np.where(second < 0, first + 2, second + 2)])
-            common = documents[codes].sum(0)
-            rare = np.argsort(common, kind="stable")[: n - 1 - (int(need) - 1) // MATCH]
-            self.seeds[codes[:, rare].ravel()] = True
-
-    def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            first = np.searchsorted(self.keys, (w[:-1] << 32) | w[1:])
+            second = np.append(np.searchsorted(self.keys, (w[:-2] << 32) | w[2:]), first[-1])  # the last place has none
+            rare = np.argsort(documents[first], kind="stable")[: n - 1 - (int(need) - 1) // MATCH]
+            for k in (first[rare], second[rare]):
+                self.seeds[3 * k + 1] = self.seeds[3 * k + 2] = True
+
+    def hits(self, flat: np.ndarray, distances: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places in the text, numbers of the pairs that begin there, their distances), by place."""
         at, number, far = [], [], []
-        for d in self.distances:
+        for d in distances:
             p = np.flatnonzero((flat[: len(flat) - d] > 0) & (flat[d:] > 0))
             key = (flat[p] << 32) | (flat[p + d] if d else 0)
             near = self.maybe[bits(key)]
@@ -190,23 +190,23 @@ class TestSet:
             lo = hi
         return np.flatnonzero(total.reshape(texts, -1) >= self.need)
 
-    def placed(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    def placed(self, texts: list[np.ndarray], distances: list[int]) -> tuple[np.ndarray, ...]:
         """The hits of several texts: (text, place, pair, distance), and where each text's begin."""
         flat = np.concatenate([x for t in texts for x in (t, np.zeros(2, np.int64))])  # no pair lies across texts
         begins = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
-        at, number, far = self.hits(flat)
+        at, number, far = self.hits(flat, distances)
         edge = np.searchsorted(at, begins)
         text = np.repeat(np.arange(len(texts)), np.diff(edge))
         return text, at - begins[text], number, far, edge
 
     def counted(self, texts: list[np.ndarray]) -> np.ndarray:
-        """In how many of the texts each pair * 3 + distance occurs."""
-        text, _, number, far, _ = self.placed(texts)
-        return np.bincount(np.unique((text * len(self.keys) + number) * 3 + far) % (3 * len(self.keys)), minlength=3 * len(self.keys))
+        """In how many of the texts each pair occurs side by side."""
+        text, _, number, _, _ = self.placed(texts, [1])
+        return np.bincount(np.unique(text * len(self.keys) + number) % len(self.keys), minlength=len(self.keys))
 
     def found(self, texts: list[np.ndarray]) -> list[tuple]:
         """(number of the text, item_id, share, start, end) of each text and item that it holds."""
-        text, at, number, far, edge = self.placed(texts)
+        text, at, number, far, edge = self.placed(texts, self.distances)
         out = []
         for cell in self.reaching(text, number, far, len(texts)).tolist():
             x, i = divmod(cell, len(self.ids))
@@ -241,55 +241,60 @@ def bits(key: np.ndarray) -> np.ndarray:
 
 def blocks(items: DataFrame, least: float) -> Iterator[TestSet]:
     """The test set in blocks of at most BLOCK words; items without words hold nothing."""
-    ids, words, vocabulary, size = [], [], {}, 0
+
+    def block(rows: list[tuple[int, str]]) -> TestSet | None:
+        texts = pa.array([t for _, t in rows], pa.string())
+        flat, odd, parts, _ = words_of(texts)
+        every = pa.compute.unique(pa.concat_arrays([flat.filter(pa.array(~odd)), parts.flatten()])).to_pylist()
+        vocabulary = Vocabulary([w for w in every if w])
+        held_ = [(i, w) for (i, _), w in zip(rows, vocabulary.of(texts), strict=True) if len(w)]
+        return TestSet([i for i, _ in held_], [w for _, w in held_], vocabulary, least) if held_ else None
+
+    rows, size = [], 0
     for r in items.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).orderBy("i", "t").toLocalIterator():
-        w = [x for raw in r.t.split() for x in TOKEN.findall(raw.lower())]
-        if not w:
-            continue
-        if ids and size + len(w) > BLOCK:
-            yield TestSet(ids, words, vocabulary, least)
-            ids, words, vocabulary, size = [], [], {}, 0
-        ids.append(r.i)
-        words.append(np.array([vocabulary.setdefault(x, (len(vocabulary) + 1,))[0] for x in w], np.int64))
-        size += len(w)
-    if ids:
-        yield TestSet(ids, words, vocabulary, least)
-
-
-def gathered(t: TestSet, texts: list[str], normal: Normal) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The normalised texts, some at a time, after the number of the first."""
-    part, first, size = [], 0, 0
-    for k, text in enumerate(texts):
-        part.append(normal.of(text or ""))
-        size += len(part[-1])
-        if size >= WORDS or (len(part) + 1) * len(t.ids) > CELLS or k == len(texts) - 1:
-            yield first, part
-            part, first, size = [], k + 1, 0
-
-
-def held(t: TestSet, texts: list[str], normal: Normal) -> Iterator[tuple]:
+        n = len(r.t) // 2 + 1  # words at most
+        if rows and size + n > BLOCK:
+            if t := block(rows):
+                yield t
+            rows, size = [], 0
+        rows.append((r.i, r.t))
+        size += n
+    if rows and (t := block(rows)):
+        yield t
+
+
+def gathered(t: TestSet, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The normalised texts, some at a time, after the number of the first; null is the empty text."""
+    rows = pa.RecordBatch.from_arrays([pa.compute.fill_null(texts, "")], names=["text"])
+    first = 0
+    for b in pieces(iter([rows]), size=SIZE, rows=max(1, CELLS // len(t.ids))):
+        yield first, t.vocabulary.of(b.column("text"))
+        first += b.num_rows
+
+
+def held(t: TestSet, texts: pa.Array) -> Iterator[tuple]:
     """`found` of a batch's texts."""
-    for first, part in gathered(t, texts, normal):
+    for first, part in gathered(t, texts):
         yield from ((first + x, *rest) for x, *rest in t.found(part))
 
 
 def with_seeds(docs: DataFrame, block: TestSet) -> TestSet:
-    """Counts the documents of each pair in the cluster; at most six counts for each word of a block come back."""
+    """Counts the documents of each pair in the cluster; at most two counts for each word of a block come back."""
     spark = docs.sparkSession
     test = spark.sparkContext.broadcast(block)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
-        t, normal = test.value, test.value.normal
-        total = np.zeros(3 * len(t.keys), np.int64)
-        for b in pieces(parts):
-            for _, part in gathered(t, b.column("text").to_pylist(), normal):
+        t = test.value
+        total = np.zeros(len(t.keys), np.int64)
+        for b in parts:
+            for _, part in gathered(t, b.column("text")):
                 total += t.counted(part)
         code = np.flatnonzero(total)
         yield batches({"code": code, "n": total[code]}, pa.schema([("code", pa.int64()), ("n", pa.int64())]))
 
     counts = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     got = Scratch(spark, "seeds").table(counts, "counts").toArrow()
-    documents = np.zeros(3 * len(block.keys), np.int64)
+    documents = np.zeros(len(block.keys), np.int64)
     documents[got.column("code").to_numpy()] = got.column("n").to_numpy()
     block.choose_seeds(documents)
     return block
@@ -304,10 +309,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataF
         test = spark.sparkContext.broadcast(with_seeds(texts, block))
 
         def run(parts: Iterator[pa.RecordBatch], test=test) -> Batches:
-            t, normal = test.value, test.value.normal
-            for b in pieces(parts):
+            for b in parts:
                 ids = b.column("doc_id").to_pylist()
-                rows = [(ids[x], *rest) for x, *rest in held(t, b.column("text").to_pylist(), normal)]
+                rows = [(ids[x], *rest) for x, *rest in held(test.value, b.column("text"))]
                 yield batches({f.name: [x[k] for x in rows] for k, f in enumerate(FOUND_ARROW)}, FOUND_ARROW)
 
         part = texts.mapInArrow(run, FOUND)
@@ -330,7 +334,7 @@ def holding(test: Broadcast):
 
     def holds(texts: pa.Array) -> pa.Array:
         hit = np.zeros(len(texts), bool)
-        hit[[x for x, *_ in held(test.value, texts.to_pylist(), test.value.normal)]] = True
+        hit[[x for x, *_ in held(test.value, texts)]] = True
         return pa.array(hit)
 
     return holds
