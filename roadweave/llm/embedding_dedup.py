@@ -12,7 +12,7 @@ their number, as exact link counts ask for; what is written stays linear for eac
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label,
 link with nothing (0 links, a component of their own); vectors of different lengths never link; rows that repeat an id
-count as vectors; a null id is left out of components (component null, kept false); extra columns are ignored; an empty
+count as vectors; vectors without an id take part and come last (their component is null if all its ids are, kept is false); extra columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -31,6 +31,8 @@ from ._kit import Batches, Scratch, batches, mixed
 
 TABLES, HASHES, PROBES = 6, 2, 2
 TILE = 1024
+#: Stands for a null vec_id, last in order.
+LAST = 2**63 - 1
 PAIRS = 1 << 16
 
 
@@ -181,7 +183,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, tile: int = TILE) -> D
     """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("string").alias("label"))
+    v = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("string").alias("label"))
     big = F.array_max(F.transform("x", F.abs))
     sound = F.col("label").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda c: c.isNull()) & (big > 0) & (big < float("inf")) & ~F.exists("x", F.isnan)
     v = v.withColumn("vector", F.when(F.coalesce(sound, F.lit(False)), F.md5(F.concat_ws("|", "label", F.array_join(F.transform("x", lambda c: (c + 0.0).cast("string")), ",")))))
@@ -201,11 +203,12 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, tile: int = TILE) -> D
     blocks = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
     found = scratch.table(blocks.mapInArrow(grouped(least), "rep long, links long, root long").where("links > 0 or root <> rep"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    ids = reps.select("rep", "vec_id")
-    edges = found.where("root <> rep").select("rep", "root").distinct()
-    edges = edges.join(ids.select("rep", F.col("vec_id").alias("u")), "rep").join(ids.select(F.col("rep").alias("root"), F.col("vec_id").alias("v")), "root").select("u", "v")
-    parts = connected_components(edges)
-    whole = reps.select("vector", "vec_id", "n", "rep").join(links, "rep", "left").join(parts, F.col("vec_id") == F.col("node"), "left")
-    whole = whole.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    # Components are of distinct vectors, so an id that has several keeps the links of each.
+    parts = connected_components(found.where("root <> rep").select("rep", "root").distinct(), "rep", "root")
+    whole = reps.select("vector", "vec_id", "n", "rep").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    whole = scratch.table(whole.select("vector", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "named")
+    names = whole.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    whole = whole.join(names, "component").select("vector", "n_links", "component_id")
     out = members.join(scratch.table(whole, "whole"), "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = out.select(F.nullif("vec_id", F.lit(LAST)).alias("vec_id"), "n_links", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

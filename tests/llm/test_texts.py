@@ -168,6 +168,9 @@ def test_vectors(spark, tmp_path):
         out = embedding_dedup.link_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), tile=tile).collect()
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == {i: (len(links[i]), root[i], root[i] == i) for i in links}
     assert QUERIES["op3_embedding_dedup"](spark, str(tmp_path)).count() == len(rows)
+    few = [(None, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (4, [2.0, 0.0], 0), (None, [0.0, 1.0], 0), (5, [1.0, 0.01], 0), (5, [1.0, 0.01], 0), (6, None, 0), (None, None, None), (7, [3.0, 4.0], 0), (7, [-3.0, 4.0], 0), (8, [3.0, 4.01], 0), (9, [-3.0, 4.01], 0)]
+    odd = spark.createDataFrame([(*r, 1, "x") for r in few], "vec_id long, embedding array<double>, label int, rep int, vector string")
+    assert Counter(map(tuple, embedding_dedup.link_vectors(odd).collect())) == Counter([(None, 4, 4, False)] * 2 + [(4, 4, 4, True), (None, 0, None, False)] + [(5, 4, 4, False)] * 2 + [(6, 0, 6, True), (None, 0, None, False)] + [(7, 1, 7, True)] * 2 + [(8, 1, 7, False), (9, 1, 7, False)])
 
 
 def test_column_wise_order():
