@@ -55,6 +55,30 @@ kept AS (SELECT word.doc_id, string_agg(t, ' ' ORDER BY i) AS s FROM word LEFT J
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP5 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS p FROM d)),
+rep AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+run AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM rep)),
+span AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY r, g),
+cut AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed FROM span GROUP BY r),
+part AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS s, a AS e FROM span UNION ALL SELECT r, 1000000000000, max(b), NULL FROM span GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * s + 1, CASE WHEN e IS NULL THEN length(h) ELSE 2 * (e - s) END), '' ORDER BY a) AS k FROM part JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
+
+OP7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{W}') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + 4], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS p FROM w WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+pair AS (SELECT a, b FROM both JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT doc_id AS n, doc_id AS r FROM w UNION SELECT l.a, reach.r FROM reach JOIN link l ON l.b = reach.n),
+comp AS (SELECT n, min(r) AS c FROM reach GROUP BY n)
+SELECT doc_id, c AS class_id, doc_id = c AS kept FROM w JOIN comp ON n = doc_id
+""".replace("both", "shared")
+
 #: The kinds, in order, with pattern, group judged and least length.
 KINDS = (
     ("assign", "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -75,4 +99,4 @@ found AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FI
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found USING (row)
 """
 
-ORACLE_SQL = {"op1_source_mixing": OP1, "op3_embedding_dedup": OP3, "op6_substring_dedup": OP6, "op8_secret_scans": OP8}
+ORACLE_SQL = {"op1_source_mixing": OP1, "op3_embedding_dedup": OP3, "op5_suffix_dedup": OP5, "op7_minhash_dedup": OP7, "op6_substring_dedup": OP6, "op8_secret_scans": OP8}
