@@ -120,29 +120,35 @@ def class_moments(rows: DataFrame) -> dict[int, np.ndarray]:
     return {c: m.reshape(D + 1, D + 1) for c, m in out.items()}
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, keep: list[str], name: str, temperature: float) -> DataFrame:
-    """The columns `keep` of docs and each row's score: they are written once with the statistics, and never shuffled."""
-    at = fresh(docs, "statistics")
-    rows = Scratch(docs.sparkSession, "quality").table(with_statistics(docs, at).select(*keep, at), "statistics")
+def fit(statistics_: DataFrame, labels: DataFrame) -> Discriminant | None:
+    """From rows (doc_id, x) of all documents; labelled ones outside the held-out fold count."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
     known = known.where(~held_out(F.col("doc_id")))
-    x = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(at).alias("x"))
-    model = fit_discriminant(class_moments(x.join(known, "doc_id").select("label", "x")))
+    return fit_discriminant(class_moments(statistics_.join(known, "doc_id").select("label", "x")))
 
+
+def written_statistics(docs: DataFrame) -> DataFrame:
+    x = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "x").drop("text")
+    return Scratch(docs.sparkSession, "quality").table(x, "statistics")
+
+
+def scoring(model: Discriminant | None, temperature: float):
     def score(x: pa.Array) -> pa.Array:
         v = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
         return pa.array(model.scores(v, temperature) if model else np.full(len(v), 0.5))
 
-    return rows.withColumn(name, F.arrow_udf(score, "double")(F.col(at))).drop(at)
+    return F.arrow_udf(score, "double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, temperature: float = 4.0) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
-    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, ["doc_id"], "score", temperature)
+    x = written_statistics(docs)
+    scored = x.select("doc_id", scoring(fit(x, labels), temperature)("x").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, temperature: float = 4.0) -> DataFrame:
-    """The rows of docs, with all their columns, whose predicted quality is 1."""
-    name = fresh(docs, "score")
-    return with_scores(docs, labels, docs.columns, name, temperature).where(F.col(name) >= threshold).drop(name)
+    """The rows of docs, with all their columns, whose predicted quality is 1; no text is shuffled or written, each is read twice."""
+    x, score = fresh(docs, "statistics"), fresh(docs, "score")
+    model = fit(written_statistics(docs), labels)
+    return with_statistics(docs, x).withColumn(score, scoring(model, temperature)(F.col(x))).where(F.col(score) >= threshold).select(*docs.columns)
