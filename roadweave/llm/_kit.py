@@ -50,13 +50,6 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the documents (doc_id, key) of rows; a null doc_id equals a null one, other texts of an id stay."""
-    key, i, k = fresh(docs, "_key"), fresh(docs, "_other_id"), fresh(docs, "_other_key")
-    rows = rows.select(F.col("doc_id").alias(i), F.col("key").alias(k))
-    return docs.withColumn(key, text_key()).join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)), "left_anti").drop(key)
-
-
 class WordHashes(dict):
     """word -> 64-bit hash, filled on a miss; emptied when it holds `most` words, so its memory is bounded."""
 

@@ -33,12 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.components import connected_components
 
-from ._kit import Batches, Scratch, WordHashes, batches, fresh, id_text, mixed, pieces, text_key, window_hashes, without
+from ._kit import Batches, Scratch, WordHashes, batches, fresh, id_text, mixed, pieces, text_key, window_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -327,13 +327,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8, weights: str = "set") -> DataFrame:
-    """The rows of docs, with all their columns, that are kept; of repeated rows (doc_id and text) the first by its other columns."""
+    """The rows of docs, with all their columns, that are kept; of repeated rows (doc_id and text) the first by its other columns.
+
+    Texts move once, by (doc_id, key), to meet what is known of them; repeated rows are told apart where they then lie.
+    """
     scratch = Scratch(docs.sparkSession, "one")
     seen = near_duplicates(docs, least, weights).groupBy("doc_id", "key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     seen = scratch.table(seen.where("not kept or n > 1"), "seen")
-    key, i, k = fresh(docs, "_key"), fresh(docs, "_one_id"), fresh(docs, "_one_key")
-    again = seen.where("kept").select(F.col("doc_id").alias(i), F.col("key").alias(k))
-    again = docs.withColumn(key, text_key()).join(again, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)))
-    whole = F.struct(*(F.col(c) for c in docs.columns))
-    again = again.groupBy(i, k).agg(F.min_by(whole, F.to_json(whole)).alias(key)).select(f"{key}.*")
-    return without(docs, seen).unionByName(again)
+    i, key, kept, n, place = (fresh(docs, c) for c in ("_one_id", "_one_key", "_one_kept", "_one_n", "_one_place"))
+    known = seen.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(i), F.col("key").alias(key), F.col("kept").alias(kept), F.col("n").alias(n))
+    rows = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: text_key()}).join(known.hint("merge"), [i, key], "left")
+    order = F.when(F.col(n) > 1, F.to_json(F.struct(*(F.col(c) for c in docs.columns))))
+    rows = rows.where(F.coalesce(kept, F.lit(True))).withColumn(place, F.row_number().over(Window.partitionBy(i, key).orderBy(order)))
+    return rows.where(F.col(place) == 1).select(*docs.columns)
