@@ -22,8 +22,8 @@ from ._kit import Batches, Scratch, batches, mixed, pieces
 
 #: Bytes of text that a worker gathers before it sends packets.
 STRETCH = 12 << 20
-#: Buckets of hashes for each partition, so that partitions come out alike.
-FINER = 8
+#: Buckets of hashes for each partition, so that partitions come out alike; more would make more and smaller packets.
+FINER = 4
 #: A null doc_id, last in order.
 LAST = 2**63 - 1
 MARKS = "dest int, keys binary, counts binary, at binary"
