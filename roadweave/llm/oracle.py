@@ -99,4 +99,35 @@ found AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FI
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found USING (row)
 """
 
-ORACLE_SQL = {"op1_source_mixing": OP1, "op3_embedding_dedup": OP3, "op5_suffix_dedup": OP5, "op7_minhash_dedup": OP7, "op6_substring_dedup": OP6, "op8_secret_scans": OP8}
+OP11 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.r AS ar, a.id AS anchor_id, b.r AS br, b.id AS id, a.label = b.label AS alike, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.id % 100 = 0),
+pos AS (SELECT ar, anchor_id, br, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id NULLS LAST, br) <= 5),
+neg AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.id NULLS LAST, s.br)::INT AS rank FROM pos p JOIN s ON s.ar = p.ar AND NOT s.alike WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
+#: Control strings by their first character, and the marks about a turn's text.
+_LESS, _BRACKET = r"s>|/s>|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>", r"INST\]|/INST\]|TURN\]|/TURN\]"
+_MARKS = {"user": len("[INST] ") + len(" [/INST]"), "assistant": len("<s>") + len("</s>"), "system": len("<<SYS>>\n") + len("\n<</SYS>>")}
+_ESCAPED = lambda c: f"regexp_replace(regexp_replace({c}, '(<\\\\*)({_LESS})', '\\1\\\\\\2', 'g'), '(\\[\\\\*)({_BRACKET})', '\\1\\\\\\2', 'g')"
+OP12 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, k, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(k, role)),
+p AS (SELECT *, {_ESCAPED("text")} AS e, CASE role {" ".join(f"WHEN '{r}' THEN {n}" for r, n in _MARKS.items())} ELSE 14 + length(replace(replace({_ESCAPED("role")}, '%', '%25'), chr(10), '%0A')) END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, e)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, e) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(e) + marks)::BIGINT AS formatted_chars FROM p GROUP BY conv_id
+"""
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{W}') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, mask),
+o AS (SELECT '' AS s UNION ALL SELECT s || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(c) WHERE NOT contains(s, c)),
+st AS (SELECT s AS filter_order, k::INT AS step, 1 << (ascii(s[k]) - 65) AS bit, list_sum([0] || list_transform(range(1, k), lambda j: 1 << (ascii(s[j]) - 65)))::INT AS before FROM (SELECT s, unnest(range(1, 6)) AS k FROM o WHERE length(s) = 5)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & bit > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails, sum(g) FILTER (mask & bit > 0 AND mask & before = 0) AS good_lost, sum(x) FILTER (mask & bit > 0 AND mask & before = 0) AS toxic_lost FROM m, st GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
+"""
+
+ORACLE_SQL = {"op11_hard_negatives": OP11, "op12_chat_format": OP12, "op13_filter_audit": OP13, "op1_source_mixing": OP1, "op3_embedding_dedup": OP3, "op5_suffix_dedup": OP5, "op7_minhash_dedup": OP7, "op6_substring_dedup": OP6, "op8_secret_scans": OP8}

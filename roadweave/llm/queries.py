@@ -76,5 +76,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op3_embedding_dedup, op4_quality, op5_suffix_dedup, op6_substring_dedup, op7_minhash_dedup, op8_secret_scans, op9_token_counts, op10_decontamination)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
 
+    marred = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", marred), F.col("id") % 100 == 0)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import canonical_turns, format_turns, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, said, said)], "conv_id long, prompt string, completion string")  # told by its layout
+    turns = canonical_turns(table(spark, sf_dir, "conversations")).unionByName(canonical_turns(more))
+    return read_back(format_turns(turns))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity, op3_embedding_dedup, op4_quality, op5_suffix_dedup, op6_substring_dedup, op7_minhash_dedup, op8_secret_scans, op9_token_counts, op10_decontamination, op11_hard_negatives, op12_chat_format, op13_filter_audit)}
