@@ -168,6 +168,19 @@ def record_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     return out
 
 
+def _item(t: Each):
+    """What makes a turn of an item, in DataFrame functions."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    name, _, inner = t.text.partition("[].")
+
+    def turn(x: Column) -> Column:
+        role = F.coalesce(*(F.when(text(x[t.role]) == k, v) for k, v in t.roles.items()), text(x[t.role]))
+        said = F.array_join(F.transform(x[name], lambda p: text(p[inner])), "") if inner else x[name]
+        return F.struct(role.alias("role"), text(said).alias("text"))
+
+    return turn
+
+
 def _typed_turns(df: DataFrame, mapping: Mapping) -> Column:
     """Array of (role, text) of a typed row by its mapping, in DataFrame functions."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -180,11 +193,8 @@ def _typed_turns(df: DataFrame, mapping: Mapping) -> Column:
             one = F.array(pair(F.lit(t.role), said))
             parts.append(F.when(said != "", one).otherwise(F.filter(one, lambda _: F.lit(False))) if t.optional else one)
         elif isinstance(t, Each):
-            name, _, inner = t.text.partition("[].")
-            said = (lambda x, n=name, i=inner: text(F.array_join(F.transform(x[n], lambda p: text(p[i])), ""))) if inner else (lambda x, n=name: text(x[n]))
-            role = lambda x, t=t: F.coalesce(*(F.when(text(x[t.role]) == k, v) for k, v in t.roles.items()), text(x[t.role]))
             items = F.filter(F.col(t.items.removesuffix("[]")), lambda x: x.isNotNull())
-            parts.append(F.coalesce(F.transform(items, lambda x, role=role, said=said: pair(role(x), said(x))), F.array().cast("array<struct<role:string,text:string>>")))
+            parts.append(F.coalesce(F.transform(items, _item(t)), F.array().cast("array<struct<role:string,text:string>>")))
     return F.concat(*parts)
 
 
