@@ -7,9 +7,9 @@ late (redundant), and the sum of removals over all orders (the Shapley value tim
 
 Filters: A under 200 words; B under half of the words distinct; C over 2 % of the code points in A-Z; D holds one of
 #$%&*|; E the same text stands at a smaller doc_id somewhere in the table. A to D are told from each whole text where it is
-read; E from the least doc_id of each SHA-256, so only ids, masks and hashes are shuffled. Rows of one text are summed
-before they meet; the least id goes back by a join that adaptive execution can split, since only texts that occur twice
-take part. A part is never gathered: a task holds at most PARTS of them, and sends what it has when there are more.
+read, once; E from the least doc_id of each SHA-256, so only ids, masks and hashes are written and shuffled. Rows of one
+text are summed before they meet; the least id goes back by a join on the hash, which adaptive execution splits where one
+text has very many rows. A part is never gathered: a task holds at most PARTS of them, and sends what it has when there are more.
 
 Defined results: a null text is the empty text (fails A, nothing else unless repeated; 0 words are not under half distinct);
 a null source is part ''; a row without doc_id has no label and never fails E, as no id is smaller;
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, batches, id_text, pieces
+from ._kit import Batches, Scratch, batches, id_text, pieces
 
 FILTERS = "ABCDE"
 ORDERS = tuple("".join(p) for p in permutations(FILTERS))
@@ -68,7 +68,7 @@ def _judge(parts: Batches) -> Batches:
 def failures(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask) of every document; the lowest bit is A."""
     rows = id_text(docs.withColumn("part", F.coalesce(F.col("source").cast("string"), F.lit(""))), "part")
-    judged = rows.mapInArrow(_judge, "doc_id long, part string, mask int, hash binary")
+    judged = Scratch(docs.sparkSession, "audit").table(rows.mapInArrow(_judge, "doc_id long, part string, mask int, hash binary"), "judged")
     again = judged.groupBy("hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("hash", "least")
     late = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     return judged.join(again, "hash", "left").select("doc_id", "part", (F.col("mask") + F.when(late, 1 << 4).otherwise(0)).alias("mask"))
