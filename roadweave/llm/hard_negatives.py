@@ -9,7 +9,7 @@ tile. The best of all tiles are taken by Spark's own limited windows.
 Two products: the first meets panels of one label only and gives each anchor's positives; the second meets all rows and
 keeps, for each anchor and positive, the best rows of other labels in the positive's window of scores.
 
-Scale: labels with more than PANEL rows have panels of their own, others share panels by hash, so a label of any size is
+Scale: labels with more than PANEL / 4 rows have panels of their own, others share panels by hash, so a label of any size is
 many panels. An anchor panel is sent once to each row panel, never broadcast. Work and the bytes of tiles grow with
 anchors x rows, as all scores are asked for; a task holds two panels and a tile (4 MB at most as it is sent: the narrowest
 integers that hold it).
@@ -54,8 +54,8 @@ def quantised(vectors: DataFrame, steps: int = 256) -> DataFrame:
 def homes(rows: DataFrame, panel: int) -> DataFrame:
     """(label, home, parts): a label of many rows is at home alone, in several parts; others share homes of one part."""
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= panel).agg(F.sum("n")).first()[0] or 0
-    alone = F.col("n") > panel
+    alone = F.col("n") > panel // 4  # smaller ones fill a panel evenly
+    small = sizes.where(~alone).agg(F.sum("n")).first()[0] or 0
     shared = F.concat(F.lit("shared-"), F.pmod(F.xxhash64("label"), F.lit(max(1, math.ceil(small / panel)))).cast("string"))
     return sizes.select("label", F.when(alone, F.concat(F.lit("label-"), F.col("label").cast("string"))).otherwise(shared).alias("home"), F.when(alone, F.ceil(F.col("n") / panel)).otherwise(1).cast("long").alias("parts"))
 
