@@ -7,22 +7,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions import dtw, route
+from roadweave.functions import geometry as G
 from roadweave.operators.spatial import within_join
 from roadweave.plans.scratch import Scratch, kernel_parts
 
 #: Names of the output columns.
-EDGE = "dest_id {id}, seq int, direction string, edge_match_dist_avg double, edge_match_dist_max double, edge_match_dist_min double, edge_a_len double, edge_cover_pct double, edge_matched_len double, edge_b_len double, edge_b_used_pct double, edge_bearing_diff double, n_points int"
-WHOLE = ("dtw_distance", "max_dtw_distance", "min_dtw_distance", "bearing_diff", "part_drift", "part_bearing_diff", "overlap_pct", "matched_len", "route_geom_wkt")
+WHOLE = ("dtw_distance", "max_dtw_distance", "min_dtw_distance", "bearing_diff", "part_drift", "part_bearing_diff", "overlap_pct", "matched_len", "route_geom_wkt", "dp_cost")
 SUMMARY = ("source_id", "n_edges", "dest_ids", *WHOLE, "match_type")
-LONG = ("source_id", "dest_id", "seq", "direction", "edge_match_dist_avg", "edge_match_dist_max", "edge_match_dist_min", "edge_a_len", "edge_cover_pct", "edge_matched_len", "edge_b_len", "edge_b_used_pct", "edge_bearing_diff", "n_points", "route_match_dist", "n_edges")
+LONG = ("source_id", "dest_id", *route.MEMBER, "route_match_dist", "n_edges")
+KINDS = {"seq": "int", "direction": "string", "n_points": "int", "overlap_pct": "long", "route_geom_wkt": "string"}
+#: Sources that one numpy program takes at once.
+TOGETHER = 512
 
 
 @dataclass(frozen=True)
 class RouteParameters:
+    """max_turn: candidates whose bearing differs more from A's are left out (None: none are); stub_pct, stub_m: see describe."""
+
     max_distance: float = 25.0
     snap: float = 0.75
     step: float = 10.0
@@ -32,46 +37,102 @@ class RouteParameters:
     beta: float = 1.0
     trim: float = 0.0
     least_gap: float | None = None
+    max_turn: float | None = None
+    stub_pct: float = 0.0
+    stub_m: float = 0.0
+
+    @property
+    def costs(self) -> route.Emission:
+        return route.emission_of(self.emission, self.bearing_weight, self.alpha, self.beta)
+
+
+def heading_differs(a: Column, b: Column, limit: float) -> Column:
+    """Whether two lines head apart; a closed line has no heading."""
+    closed = lambda p: F.element_at(p, 1) == F.element_at(p, -1)
+    d = F.abs(G.line_bearing(a) - G.line_bearing(b))
+    return (F.least(d, 360.0 - d) > limit) & ~closed(a) & ~closed(b)
+
+
+def near_edges(a: DataFrame, b: DataFrame, q: RouteParameters) -> DataFrame:
+    """(id_a, pts_a, near: the edges within the distance, by id), a source in each row; b may have `twin`, the id of an edge's opposite."""
+    near = within_join(a.select("id", "pts"), b.select("id", "pts"), q.max_distance).where((F.size("pts_a") > 1) & (F.size("pts_b") > 1))
+    if q.max_turn is not None:
+        near = near.where(~heading_differs(F.col("pts_a"), F.col("pts_b"), q.max_turn))
+    twin = F.lit(None).cast(dict(b.dtypes)["id"])
+    if "twin" in b.columns:
+        near, twin = near.join(b.select(F.col("id").alias("id_b"), "twin"), "id_b"), F.col("twin")
+    edge = F.struct(F.col("id_b").cast("string").alias("name"), "id_b", "pts_b", twin.alias("twin"))  # by name, so that ties fall the same way each time
+    return near.repartition(kernel_parts(a.sparkSession), "id_a").groupBy("id_a").agg(F.min("pts_a").alias("pts_a"), F.array_sort(F.collect_list(edge)).alias("near"))
+
+
+def _twins(ids: pa.Array, twins: pa.Array, source: np.ndarray) -> np.ndarray | None:
+    """The place of each edge's opposite among its own source's edges, or -1."""
+    if twins.null_count == len(twins):
+        return None
+    names = pa.concat_arrays([ids, twins.cast(ids.type)]).dictionary_encode().indices.fill_null(-1).to_numpy()
+    n = np.int64(names.max() + 1)
+    own, want = source * n + names[: len(ids)], np.where(names[len(ids) :] < 0, -1, source * n + names[len(ids) :])
+    order = np.argsort(own, kind="stable")
+    at = np.minimum(np.searchsorted(own, want, sorter=order), len(order) - 1)
+    return np.where(own[order[at]] == want, order[at], -1)
+
+
+def _problems(parts: Iterator[pa.RecordBatch], q: RouteParameters) -> Iterator[tuple[pa.Array, pa.Array, route.Problem]]:
+    """(ids of the sources, ids of the edges, problem) of up to TOGETHER sources at a time."""
+    gap = route.gap_of(q.least_gap, q.step, q.costs)
+    for whole in parts:
+        for at in range(0, whole.num_rows, TOGETHER):
+            batch = whole.slice(at, TOGETHER)
+            near = batch.column("near")
+            flat = near.flatten()
+            xy_a, bounds_a = dtw.vertices(batch.column("pts_a"))
+            xy_b, bounds_b = dtw.vertices(flat.field("pts_b"))
+            edges = route.bounds_of(near.value_lengths().to_numpy())
+            ids = flat.field("id_b")
+            twins = _twins(ids, flat.field("twin"), np.repeat(np.arange(batch.num_rows), np.diff(edges)))
+            yield batch.column("id_a"), ids, route.problem(xy_a, bounds_a, xy_b, bounds_b, edges, q.snap, q.step, gap, twins)
+
+
+def _columns(of: str, names: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} {KINDS.get(c, 'double')}" if of == "row" else f"{c}:{KINDS.get(c, 'double')}" for c in names)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-
-def _coordinates(cell) -> list[tuple[float, float]]:
-    return [(p["x"], p["y"]) for p in cell]
+    return to_arrow_schema(_parse_datatype_string(schema))
 
 
-def near_edges(a: DataFrame, b: DataFrame, max_distance: float) -> DataFrame:
-    """(id_a, pts_a, near: the edges within the distance), a source in each row."""
-    near = within_join(a, b, max_distance)
-    return near.repartition(kernel_parts(a.sparkSession), "id_a").groupBy("id_a").agg(F.min("pts_a").alias("pts_a"), F.collect_list(F.struct("id_b", "pts_b")).alias("near"))
+def _members(kind: pa.DataType, ids: pa.Array, bounds: np.ndarray, members: dict) -> pa.Array:
+    """A list of members for each route."""
+    columns = {**members, "dest_id": ids.take(pa.array(members["edge"])), "direction": np.repeat("forward", len(members["edge"]))}
+    struct = pa.StructArray.from_arrays([v.cast(f.type) if isinstance(v := columns[f.name], pa.Array) else pa.array(v, f.type) for f in kind.value_type], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct, type=kind)
 
 
 def match_routes(a: DataFrame, b: DataFrame, parameters: RouteParameters | None = None, **more) -> tuple[DataFrame, DataFrame]:
     """(long, summary): an edge of a route in each row; a source in each row, NO_MATCH where there is no route.
 
-    The candidates of a source meet in one row by one shuffle on its id; a route is found in each row without another, and
-    both tables come from the written result. Each source sees only the edges near it, so a task holds a few at a time.
+    The candidates of a source meet in one row by one shuffle on its id; routes are found without another, and both tables
+    come from the written result. Each source sees only the edges near it, so a task holds a few at a time. A member lies
+    from edge_b_from_m to edge_b_to_m along its edge, the whole edge if it is neither first nor last. dp_cost is the sum that
+    was minimised; dtw_distance is the mean distance of the route.
     """
     q = parameters or RouteParameters(**more)
     kinds = {"a": dict(a.dtypes)["id"], "b": dict(b.dtypes)["id"]}
-    met = near_edges(a, b, q.max_distance)
-    schema = f"source_id {kinds['a']}, edges array<struct<{EDGE.format(id=kinds['b']).replace(' ', ':').replace(',:', ',')}>>, dtw_distance double, max_dtw_distance double, min_dtw_distance double, bearing_diff double, part_drift double, part_bearing_diff double, overlap_pct long, matched_len double, route_geom_wkt string"
+    schema = f"source_id {kinds['a']}, edges array<struct<dest_id:{kinds['b']},{_columns('struct', route.MEMBER)}>>, {_columns('row', WHOLE)}"
+    target = _arrow(schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            rows = []
-            xy, bounds = dtw.vertices(batch.column("pts_a"))
-            for k, (key, near) in enumerate(zip(batch.column("id_a").to_pylist(), batch.column("near").to_pylist(), strict=True)):
-                edges = [(e["id_b"], np.array(_coordinates(e["pts_b"]))) for e in near]
-                got = route.match_route(xy[bounds[k] : bounds[k + 1]], edges, q.snap, q.step, q.emission, q.bearing_weight, q.alpha, q.beta, q.trim, q.least_gap)
-                if got:
-                    rows.append({"source_id": key, "edges": got["edges"], **{c: got[c] for c in WHOLE}})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=target)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = to_arrow_schema(_parse_datatype_string(schema))
-    found = Scratch(a.sparkSession, "routes").table(met.mapInArrow(run, schema), "found")
+        for sources, ids, problem in _problems(parts, q):
+            ways = route.ways(problem, q.costs)
+            routes, bounds, members, whole = route.describe(problem, q.costs, ways, q.trim, q.stub_pct, q.stub_m)
+            if len(routes):
+                found = [sources.take(pa.array(ways.source[routes])), _members(target.field("edges").type, ids, bounds, members)]
+                yield pa.RecordBatch.from_arrays([*found, *(pa.array(whole[c], target.field(c).type) for c in WHOLE)], schema=target)
+
+    found = Scratch(a.sparkSession, "routes").table(near_edges(a, b, q).mapInArrow(run, schema), "found")
     n = F.size("edges").cast("long")
     e = found.select("source_id", F.col("dtw_distance").alias("route_match_dist"), n.alias("n_edges"), F.explode("edges").alias("e"))
     long = e.select("source_id", "e.*", "route_match_dist", "n_edges").select(*LONG)
@@ -84,19 +145,60 @@ def match_routes(a: DataFrame, b: DataFrame, parameters: RouteParameters | None
 def route_costs(a: DataFrame, b: DataFrame, parameters: RouteParameters | None = None, **more) -> DataFrame:
     """(source_id, cost): the least cost of each source with edges near, whether or not its way is a route."""
     q = parameters or RouteParameters(**more)
-    met = near_edges(a, b, q.max_distance)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            xy, bounds = dtw.vertices(batch.column("pts_a"))
-            costs = []
-            for k, near in enumerate(batch.column("near").to_pylist()):
-                edges = [(e["id_b"], np.array(_coordinates(e["pts_b"]))) for e in near]
-                t = route.cheapest(xy[bounds[k] : bounds[k + 1]], edges, q.snap, q.step, q.emission, q.bearing_weight, q.alpha, q.beta, q.least_gap)
-                costs.append(t[2].total if t else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id_a"), pa.array(costs, pa.float64())], names=["source_id", "cost"])
-
-    return met.mapInArrow(run, f"source_id {dict(a.dtypes)['id']}, cost double")
+        for sources, _, problem in _problems(parts, q):
+            ways = route.ways(problem, q.costs)
+            costs = np.full(len(sources), np.nan)
+            costs[ways.source] = ways.cost
+            yield pa.RecordBatch.from_arrays([sources, pa.array(costs, pa.float64(), from_pandas=True)], names=["source_id", "cost"])
+
+    return near_edges(a, b, q).mapInArrow(run, f"source_id {dict(a.dtypes)['id']}, cost double")
+
+
+def route_lattice(a: DataFrame, b: DataFrame, k_max: int = 8, parameters: RouteParameters | None = None, **more) -> DataFrame:
+    """The k cheapest different routes of each source, ranked from 0: (source_id, rank, dp_cost, drift_m, overlap_pct, bearing_diff, a_len, dest_ids, claims).
+
+    For each edge to begin on, the table is filled with its first row open there only, which gives the exact optimum for each
+    edge to end on; of ways with the same edges the cheapest counts. Rank 0 is match_routes' route. Routes that are the best
+    for no pair of ends aren't there: this is a cover, not a list of the k best of all. claims: (dest_id, seq, from_m, to_m),
+    the parts of B that a route uses; an edge may occur twice in one.
+    """
+    q = parameters or RouteParameters(**more)
+    kinds = {"a": dict(a.dtypes)["id"], "b": dict(b.dtypes)["id"]}
+    schema = f"source_id {kinds['a']}, rank int, dp_cost double, drift_m double, overlap_pct long, bearing_diff double, a_len double, claims array<struct<dest_id:{kinds['b']},seq:int,from_m:double,to_m:double>>"
+    target = _arrow(schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sources, ids, problem in _problems(parts, q):
+            ways = route.ways(problem, q.costs, each_entry=True)
+            routes, bounds, members, whole = route.describe(problem, q.costs, ways, q.trim, q.stub_pct, q.stub_m)
+            kept, ranks = different(ways.source[routes], bounds, members["edge"], k_max)
+            if len(kept):
+                size = np.diff(bounds)[kept]
+                pick = route.ranges(bounds[kept], size)
+                claims = {"edge": members["edge"][pick], "seq": members["seq"][pick], "from_m": members["edge_b_from_m"][pick], "to_m": members["edge_b_to_m"][pick]}
+                columns = {"rank": ranks, "dp_cost": whole["dp_cost"][kept], "drift_m": whole["dtw_distance"][kept], "overlap_pct": whole["overlap_pct"][kept], "bearing_diff": whole["bearing_diff"][kept], "a_len": whole["a_len"][kept]}
+                yield pa.RecordBatch.from_arrays([
+                    sources.take(pa.array(ways.source[routes][kept])), *(pa.array(v, target.field(c).type) for c, v in columns.items()), _members(target.field("claims").type, ids, route.bounds_of(size), claims),
+                ], schema=target)
+
+    found = near_edges(a, b, q).mapInArrow(run, schema)
+    return found.select("source_id", "rank", "dp_cost", "drift_m", "overlap_pct", "bearing_diff", "a_len", F.transform("claims", lambda c: c["dest_id"]).alias("dest_ids"), "claims")
+
+
+def different(source: np.ndarray, bounds: np.ndarray, edges: np.ndarray, k_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """(routes, ranks): of routes in order of source and cost, the first of each sequence of edges, at most k_max a source."""
+    kept, ranks, seen, now = [], [], set(), None
+    for k, s in enumerate(source.tolist()):
+        if s != now:
+            now, seen = s, set()
+        key = edges[bounds[k] : bounds[k + 1]].tobytes()
+        if key not in seen and len(seen) < k_max:
+            kept.append(k)
+            ranks.append(len(seen))
+            seen.add(key)
+    return np.array(kept, np.int64), np.array(ranks, np.int64)
 
 
 def resolve_routes(summary: DataFrame, long: DataFrame | None = None, *, max_match_dist: float | None = None, max_bearing_diff: float | None = None, min_overlap_pct: float | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -86,7 +86,7 @@ def test_costs_equal_brute_force():
     """Against plain Dijkstra over (A-point, vertex) states."""
     import heapq
 
-    from roadweave.functions.route import enriched, local_graph
+    from roadweave.functions.route import one_problem
 
     draw = np.random.default_rng(3)
     for _ in range(40):
@@ -94,13 +94,13 @@ def test_costs_equal_brute_force():
         b = [(k, np.cumsum(draw.uniform(-2, 9, (3, 2)), axis=0) + draw.uniform(-3, 3, 2)) for k in range(3)]
         alpha, beta = float(draw.uniform(0.3, 1)), float(draw.uniform(1, 4))
         r = match_route(a, b, snap=4.0, step=5, alpha=alpha, beta=beta)
-        g = local_graph(b, a, 4.0, 5)
-        p, _n = enriched(a, g.nodes, 5)
-        e = np.hypot(p[:, None, 0] - g.xy[None, :, 0], p[:, None, 1] - g.xy[None, :, 1])
-        after = [[] for _ in g.xy]
+        g = one_problem(a, b, 4.0, 5)[1]
+        p, xy = g.a.xy, g.b.xy
+        e = np.hypot(p[:, None, 0] - xy[None, :, 0], p[:, None, 1] - xy[None, :, 1])
+        after = [[] for _ in xy]
         for u, v in g.arcs.tolist():
             after[u].append(v)
-        best = {(0, v): e[0, v] for v in range(len(g.xy))}
+        best = {(0, v): e[0, v] for v in range(len(xy))}
         heap = [(c, k) for k, c in best.items()]
         heapq.heapify(heap)
         while heap:
@@ -114,7 +114,7 @@ def test_costs_equal_brute_force():
                 if c + d < best.get(k, np.inf):
                     best[k] = c + d
                     heapq.heappush(heap, (c + d, k))
-        want = min(best[len(p) - 1, v] for v in range(len(g.xy)))
+        want = min(best[len(p) - 1, v] for v in range(len(xy)))
         assert r is None or r["cost"] == pytest.approx(want)
 
 
