@@ -18,6 +18,8 @@ INF = float("inf")
 START, STAY, BOTH, RIDE = 0, 1, 2, 3
 STITCH = 0.5  # shorter arcs only connect
 SAME = 1e-9
+#: Decimals to which costs are compared.
+PLACES = 9
 #: Cells (steps x states) of tables that are filled at once; a source with more is filled alone.
 CELLS = 4_000_000
 
@@ -270,7 +272,7 @@ def ways(q: Problem, e: Emission, each_entry: bool = False, tables: list | None
     whole = Ways(*(np.concatenate([getattr(w, c) for w in out]) for c in ("source", "entry", "cost")), np.zeros(1, np.int64), *(np.concatenate([getattr(w, c) for w in out]) for c in ("row", "state", "move")))
     size = np.concatenate([np.diff(w.bounds) for w in out])
     begin = np.cumsum(size) - size
-    order = np.lexsort((whole.cost, whole.source))
+    order = np.lexsort((np.round(whole.cost, PLACES), whole.source))
     pick = ranges(begin[order], size[order])
     return Ways(whole.source[order], whole.entry[order], whole.cost[order], bounds_of(size[order]), whole.row[pick], whole.state[pick], whole.move[pick])
 
@@ -341,7 +343,7 @@ def _filled(q: Problem, e: Emission, source, entry, rows, bounds, owner, host, c
     cuts = np.flatnonzero(np.append(True, owner[state][1:] != owner[state][:-1])) if each_entry else mine[:-1]
     if each_entry:
         cuts = np.union1d(cuts, mine[:-1])  # an edge's states lie together
-    k = first_least(final, np.append(cuts, m))
+    k = first_least(np.round(final, PLACES), np.append(cuts, m))  # the first of equals in the order of edges
     whose = np.searchsorted(mine, k, "right") - 1
     fine = np.isfinite(final[k])
     k, whose = k[fine], whose[fine]

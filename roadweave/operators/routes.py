@@ -157,10 +157,10 @@ def route_costs(a: DataFrame, b: DataFrame, parameters: RouteParameters | None =
 
 
 def route_lattice(a: DataFrame, b: DataFrame, k_max: int = 8, parameters: RouteParameters | None = None, **more) -> DataFrame:
-    """The k cheapest different routes of each source, ranked from 0: (source_id, rank, dp_cost, drift_m, overlap_pct, bearing_diff, a_len, dest_ids, claims).
+    """The k cheapest different routes of each source, ranked from 0 (equal costs by their edges): (source_id, rank, dp_cost, drift_m, overlap_pct, bearing_diff, a_len, dest_ids, claims).
 
     For each edge to begin on, the table is filled with its first row open there only, which gives the exact optimum for each
-    edge to end on; of ways with the same edges the cheapest counts. Rank 0 is match_routes' route. Routes that are the best
+    edge to end on; of ways with the same edges the cheapest counts. Rank 0 is match_routes' route but for ties. Routes that are the best
     for no pair of ends aren't there: this is a cover, not a list of the k best of all. claims: (dest_id, seq, from_m, to_m),
     the parts of B that a route uses; an edge may occur twice in one.
     """
@@ -173,7 +173,7 @@ def route_lattice(a: DataFrame, b: DataFrame, k_max: int = 8, parameters: RouteP
         for sources, ids, problem in _problems(parts, q):
             ways = route.ways(problem, q.costs, each_entry=True)
             routes, bounds, members, whole = route.describe(problem, q.costs, ways, q.trim, q.stub_pct, q.stub_m)
-            kept, ranks = different(ways.source[routes], bounds, members["edge"], k_max)
+            kept, ranks = different(ways.source[routes], np.round(ways.cost[routes], route.PLACES), bounds, members["edge"], k_max)
             if len(kept):
                 size = np.diff(bounds)[kept]
                 pick = route.ranges(bounds[kept], size)
@@ -187,17 +187,18 @@ def route_lattice(a: DataFrame, b: DataFrame, k_max: int = 8, parameters: RouteP
     return found.select("source_id", "rank", "dp_cost", "drift_m", "overlap_pct", "bearing_diff", "a_len", F.transform("claims", lambda c: c["dest_id"]).alias("dest_ids"), "claims")
 
 
-def different(source: np.ndarray, bounds: np.ndarray, edges: np.ndarray, k_max: int) -> tuple[np.ndarray, np.ndarray]:
-    """(routes, ranks): of routes in order of source and cost, the first of each sequence of edges, at most k_max a source."""
+def different(source: np.ndarray, cost: np.ndarray, bounds: np.ndarray, edges: np.ndarray, k_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """(routes, ranks): of routes in order of source, the k cheapest different sequences of edges; equal costs by their edges."""
+    names = [tuple(edges[bounds[k] : bounds[k + 1]].tolist()) for k in range(len(source))]
+    order = sorted(range(len(source)), key=lambda k: (source[k], cost[k], names[k]))
     kept, ranks, seen, now = [], [], set(), None
-    for k, s in enumerate(source.tolist()):
-        if s != now:
-            now, seen = s, set()
-        key = edges[bounds[k] : bounds[k + 1]].tobytes()
-        if key not in seen and len(seen) < k_max:
+    for k in order:
+        if source[k] != now:
+            now, seen = source[k], set()
+        if names[k] not in seen and len(seen) < k_max:
             kept.append(k)
             ranks.append(len(seen))
-            seen.add(key)
+            seen.add(names[k])
     return np.array(kept, np.int64), np.array(ranks, np.int64)
 
 

@@ -299,6 +299,47 @@ def road_route_costs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(routes.route_costs(derived.a_roads(spark, d), derived.b_roads(spark, d), max_distance=RADIUS, step=ROUTE_STEP))
 
 
+#: Members of the cheapest ways: as ROUTE_COSTS, each state with the parts of edges that its way has used, and with the edge that it began on where that counts.
+def ways_sql(entry: str) -> str:
+    start = "b" if entry else "0"
+    base = ROUTE_COSTS[: ROUTE_COSTS.index("\nbf AS (") + 1].replace("SELECT id_a AS a, id_b AS b, i, x, y, max(i)", "SELECT id_a AS a, id_b AS b, i, pos, x, y, max(i)").replace("e AS (SELECT n.a, m.i AS s, n.b, n.i,", "e AS (SELECT n.a, m.i AS s, n.b, n.i, n.pos,")
+    grown = "CASE WHEN way[-1].b = e.b THEN way[1:len(way) - 1] || [{'b': e.b, 'f': way[-1].f, 't': e.pos}] ELSE way || [{'b': e.b, 'f': e.pos, 't': e.pos}] END"
+    return base + f"""bf AS (
+  SELECT a, {start} AS entry, s, b, i, c AS cost, [{{'b': b, 'f': pos, 't': pos}}] AS way, 0 AS step FROM e WHERE s = 0
+  UNION ALL
+  SELECT a, entry, s, b, i, min(cost), arg_min(way, cost), step FROM (
+    SELECT a, entry, s, b, i, cost, way, step + 1 AS step FROM bf WHERE step < 40
+    UNION ALL SELECT e.a, entry, e.s, e.b, e.i, cost + e.c, {grown}, step + 1 FROM bf JOIN e ON e.a = bf.a AND e.s = bf.s + 1 AND e.b = bf.b AND e.i = bf.i WHERE step < 40
+    UNION ALL SELECT e.a, entry, e.s, e.b, e.i, cost + e.c, {grown}, step + 1 FROM bf JOIN arc ON arc.a = bf.a AND arc.b = bf.b AND arc.i = bf.i JOIN e ON e.a = bf.a AND e.b = arc.b2 AND e.i = arc.i2 AND e.s IN (bf.s, bf.s + 1) WHERE step < 40) GROUP BY a, entry, s, b, i, step),
+done AS (SELECT a, entry, b AS leave, i, round(cost, 9) AS cost, way, list_filter(range(1, len(way) + 1), lambda k: way[k].t - way[k].f > 1e-9) AS walked FROM bf JOIN (SELECT a, max(i) AS z FROM m GROUP BY a) USING (a) WHERE s = z AND step = 40),
+route AS (SELECT a, entry, leave, cost, i, way[list_min(walked):list_max(walked)] AS way FROM (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY a{", entry, leave" if entry else ""} ORDER BY cost, leave::VARCHAR, i) = 1) WHERE len(walked) > 0)"""
+
+
+LATTICE = ways_sql("b") + """,
+alt AS (SELECT a, cost, way, list_transform(way, lambda x: x.b) AS ids, row_number() OVER (PARTITION BY a ORDER BY cost, list_transform(way, lambda x: x.b::VARCHAR)) - 1 AS rank FROM (SELECT * FROM route QUALIFY row_number() OVER (PARTITION BY a, list_transform(way, lambda x: x.b) ORDER BY cost, entry::VARCHAR, leave::VARCHAR) = 1))"""
+
+
+@query(ROAD_PAIRS + ways_sql("") + """
+SELECT a AS source_id, way[k].b AS dest_id, (k - 1)::INT AS seq, round(way[k].f, 6) AS edge_b_from_m, round(way[k].t, 6) AS edge_b_to_m, len(way) AS n_edges, round(cost, 4) AS dp_cost FROM (SELECT *, unnest(range(1, len(way) + 1)) AS k FROM route)""")
+def road_route_members(spark: SparkSession, d: str) -> DataFrame:
+    """Which part of each edge every route uses (Mode 1), with what the route costs."""
+    long, summary = routes.match_routes(derived.a_roads(spark, d), derived.b_roads(spark, d), max_distance=RADIUS, step=ROUTE_STEP)
+    return rounded(long.select("source_id", "dest_id", "seq", "edge_b_from_m", "edge_b_to_m", "n_edges").join(summary.select("source_id", F.round("dp_cost", 4).alias("dp_cost")), "source_id"))
+
+
+@query(ROAD_PAIRS + LATTICE + """
+SELECT a AS source_id, rank::INT AS rank, round(cost, 4) AS dp_cost, array_to_string(ids, ' ') AS dest_ids, array_to_string(list_transform(way, lambda x: round_even(x.f, 2)), ' ') AS from_m, array_to_string(list_transform(way, lambda x: round_even(x.t, 2)), ' ') AS to_m FROM alt WHERE rank < 8""")
+def road_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """The eight cheapest different routes of each source."""
+    alts = _lattice(spark, d)
+    said = lambda c: F.concat_ws(" ", F.transform("claims", lambda x: F.bround(x[c], 2).cast("string"))).alias(c)
+    return alts.select("source_id", "rank", F.round("dp_cost", 4).alias("dp_cost"), F.concat_ws(" ", F.transform("dest_ids", lambda x: x.cast("string"))).alias("dest_ids"), said("from_m"), said("to_m"))
+
+
+def _lattice(spark: SparkSession, d: str) -> DataFrame:
+    return routes.route_lattice(derived.a_roads(spark, d), derived.b_roads(spark, d), max_distance=RADIUS, step=ROUTE_STEP)
+
+
 @query()
 def road_routes(spark: SparkSession, d: str) -> DataFrame:
     return routes.match_routes(derived.a_roads(spark, d), derived.b_roads(spark, d), max_distance=RADIUS, step=10.0)[1]

@@ -86,7 +86,7 @@ def both_ways(t: str) -> str:
 
 
 def places(t: str, step: float, same: float = 1e-9) -> str:
-    """Of pairs {t}a, {t}b (p, k, x, y): {t}bq (p, i, x, y), each B line with the feet of A's vertices and even fill; {t}am (a, i, x, y), each A line with the feet of all its B vertices and fill.
+    """Of pairs {t}a, {t}b (p, k, x, y): {t}bq (p, i, pos, x, y), each B line with the feet of A's vertices and even fill; {t}am (a, i, pos, x, y), each A line with the feet of all its B vertices and fill.
 
     Needs ra (p, id_a, id_b).
     """
@@ -97,7 +97,7 @@ def places(t: str, step: float, same: float = 1e-9) -> str:
         return f"""
 {name}0 AS (SELECT {key}, s, x, y FROM (SELECT *, s - lag(s) {w} AS gap FROM ({rows})) WHERE gap IS NULL OR gap > {same}),
 {name}1 AS (SELECT *, greatest(1, coalesce(ceil((s2 - s) / {step}), 1))::BIGINT AS parts FROM (SELECT *, lead(s) {w} AS s2, lead(x) {w} AS x2, lead(y) {w} AS y2 FROM {name}0)),
-{name} AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY s, r) - 1 AS i, CASE WHEN r = 0 THEN x ELSE x + (x2 - x) * r / parts END AS x, CASE WHEN r = 0 THEN y ELSE y + (y2 - y) * r / parts END AS y FROM (SELECT *, unnest(range(parts)) AS r FROM {name}1))"""
+{name} AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY s, r) - 1 AS i, s + CASE WHEN r = 0 THEN 0 ELSE (s2 - s) * r / parts END AS pos, CASE WHEN r = 0 THEN x ELSE x + (x2 - x) * r / parts END AS x, CASE WHEN r = 0 THEN y ELSE y + (y2 - y) * r / parts END AS y FROM (SELECT *, unnest(range(parts)) AS r FROM {name}1))"""
 
     inside = lambda side: f"SELECT f.p, f.s, f.x, f.y FROM {t}{side}f f JOIN {t}{side}n z ON z.p = f.p WHERE f.s > {same} AND f.s < z.size - {same}"
     of_b = f"SELECT p, s, x, y FROM {t}bv UNION ALL {inside('b')}"
