@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import dtw, route
@@ -250,3 +250,15 @@ def swept_routes(a: DataFrame, b: DataFrame, grids: dict[str, list[float]], para
     found = match_routes(copies.select(F.col("copy").alias("id"), "pts"), b, parameters, **more)[1].select(F.col("source_id").alias("copy"), "dest_ids")
     own = match_routes(a, b, parameters, **more)[1].select(F.col("source_id").alias("id"), F.col("dest_ids").alias("base_ids"))
     return copies.select("id", "family", "magnitude", "copy").join(found, "copy").join(own, "id").select("id", "family", "magnitude", "dest_ids", "base_ids")
+
+
+def with_twins(b: DataFrame, decimals: int = 3) -> DataFrame:
+    """b with `twin`: the edge that runs the other way between the same ends, of the same length; null where there is none.
+
+    Parallel roads between two junctions differ in length. Where several edges fit, the n-th by id is the n-th one's twin.
+    """
+    end = lambda k: F.concat_ws(",", *(F.round(F.element_at("pts", k)[c], decimals).cast("string") for c in "xy"))
+    e = b.select("id", end(1).alias("_from"), end(-1).alias("_to"), F.round(G.length(F.col("pts")), decimals).alias("_size"))
+    e = e.withColumn("_nth", F.row_number().over(Window.partitionBy("_from", "_to", "_size").orderBy("id")))
+    back = e.where("_from <> _to").select(F.col("id").alias("twin"), F.col("_to").alias("_from"), F.col("_from").alias("_to"), "_size", "_nth")
+    return b.join(e.join(back, ["_from", "_to", "_size", "_nth"], "left").select("id", "twin"), "id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions import geometry as G
-from roadweave.operators import dag, pairs, perturb, quality, resolve, routes, spatial, thresholds
+from roadweave.operators import dag, pairs, perturb, quality, reconcile, resolve, routes, spatial, thresholds
 from roadweave.operators import points as snap
 from roadweave.plans import warping_sql
 from roadweave.plans.scratch import Scratch
@@ -340,6 +340,64 @@ def _lattice(spark: SparkSession, d: str) -> DataFrame:
     return routes.route_lattice(derived.a_roads(spark, d), derived.b_roads(spark, d), max_distance=RADIUS, step=ROUTE_STEP)
 
 
+#: Pieces of B between the ends of the parts that candidates use, and who may use those that several sources may.
+ATOMS = LATTICE + """,
+claim AS (SELECT a, rank, way[k].b AS b, way[k].f AS f, way[k].t AS t FROM (SELECT *, unnest(range(1, len(way) + 1)) AS k FROM alt WHERE rank < 8) WHERE way[k].t > way[k].f + 1e-9),
+piece AS (SELECT * FROM (SELECT b, f AS lo, lead(f) OVER (PARTITION BY b ORDER BY f) AS hi FROM (SELECT b, f FROM claim UNION SELECT b, t FROM claim)) WHERE hi > lo + 1e-9),
+atom AS (SELECT b, lo, any_value(hi) AS hi, count(DISTINCT a) AS sources, count(DISTINCT (a, rank)) AS candidates FROM piece JOIN claim USING (b) WHERE lo >= f - 1e-9 AND lo < t - 1e-9 GROUP BY b, lo HAVING count(DISTINCT a) > 1)"""
+
+
+@query(ROAD_PAIRS + ATOMS + " SELECT b AS dest_id, round(lo, 6) AS lo_m, round(hi - lo, 6) AS width_m, sources, candidates FROM atom")
+def road_claim_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of B that several sources may use, with how many."""
+    claims = Scratch(spark, "claims").table(reconcile.claims_of(_lattice(spark, d)), "claims")
+    shared = reconcile.covers(claims, reconcile.atoms_of(claims))
+    by = shared.groupBy("dest_id", "lo_m").agg(F.max("width").alias("width_m"), F.countDistinct("source_id").alias("sources"), F.count("*").alias("candidates"))
+    return rounded(by)
+
+
+@query(ROAD_PAIRS + ATOMS + """
+SELECT (SELECT count(DISTINCT a) FROM alt) AS sources, (SELECT count(*) FROM alt WHERE rank < 8) AS candidates, count(*) AS shared_atoms, round(sum(hi - lo), 3) AS shared_m, (SELECT count(DISTINCT a) FROM claim JOIN atom USING (b) WHERE lo >= f - 1e-9 AND lo < t - 1e-9) AS coupled FROM atom""")
+def road_lattice_figures(spark: SparkSession, d: str) -> DataFrame:
+    """How far candidates compete for B, before any is ruled out."""
+    alts = Scratch(spark, "lattice").table(_lattice(spark, d).select("source_id", "rank", "claims"), "lattice")
+    claims = Scratch(spark, "claims").table(reconcile.claims_of(alts), "claims")
+    shared = Scratch(spark, "covers").table(reconcile.covers(claims, reconcile.atoms_of(claims)), "covers")
+    n = alts.agg(F.countDistinct("source_id").alias("sources"), F.count("*").alias("candidates"))
+    atoms = shared.groupBy("dest_id", "lo_m").agg(F.max("width").alias("width")).agg(F.count("*").alias("shared_atoms"), F.round(F.sum("width"), 3).alias("shared_m"))
+    return reconcile.beside(n, atoms, shared.agg(F.countDistinct("source_id").alias("coupled")))
+
+
+TAU, MU = 12.0, 10.0
+
+
+@query()
+def road_probe(spark: SparkSession, d: str) -> DataFrame:
+    """How many sources are settled without a solve."""
+    return reconcile.probe(Scratch(spark, "lattice").table(_lattice(spark, d), "lattice"), TAU, MU)
+
+
+@query()
+def road_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The choice of least cost over all sources."""
+    return rounded(reconcile.choose(Scratch(spark, "lattice").table(_lattice(spark, d), "lattice"), TAU, MU)[0])
+
+
+@query()
+def road_twins(spark: SparkSession, d: str) -> DataFrame:
+    """Whether both ways of each street match both ways of the same street; every fifth edge of B runs one way only."""
+
+    def both(df: DataFrame, back) -> DataFrame:
+        ways = df.select((F.col("id") * 2).alias("id"), "pts").union(df.where(back).select((F.col("id") * 2 + 1).alias("id"), F.reverse("pts").alias("pts")))
+        return Scratch(spark, "ways").table(ways, "ways")
+
+    a, b = both(derived.a_roads(spark, d), F.lit(True)), both(derived.b_roads(spark, d), F.col("id") % 5 != 0)
+    b = Scratch(spark, "twins").table(routes.with_twins(b), "twins")
+    twin = F.col("id") + F.when(F.col("id") % 2 == 0, 1).otherwise(-1)
+    long = routes.match_routes(a, b, max_distance=RADIUS, step=ROUTE_STEP, max_turn=60.0)[0]
+    return rounded(reconcile.twin_consistency(long, a.select("id", twin.alias("twin")), b.select("id", "twin"))[0])
+
+
 @query()
 def road_routes(spark: SparkSession, d: str) -> DataFrame:
     return routes.match_routes(derived.a_roads(spark, d), derived.b_roads(spark, d), max_distance=RADIUS, step=10.0)[1]
