@@ -50,17 +50,23 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+#: Bytes (or letters) of a word up to which workers keep what they know of it; longer ones are worked out each time.
+KEPT_WORD = 64
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash, filled on a miss; emptied when it holds `most` words, so its memory is bounded."""
+    """word -> 64-bit hash, filled on a miss; emptied when it holds `most` words of at most KEPT_WORD bytes (about 75 MB)."""
 
     def __init__(self, most: int = 500_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= KEPT_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

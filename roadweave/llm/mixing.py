@@ -11,8 +11,9 @@ Scale: text is read once; then rows hold a few numbers. Sources are split into s
 most `most_shards`, then larger ones), so a source with a third of all rows is spread over many tasks. Tables over
 sources and shards are aggregated first; only those see a sort without a key (sources) or by source (shards).
 
-Defined results: a null text has size 0 and gives nothing; null sources form one source, the last; a null doc_id is kept
-and ordered as the text "null"; repeated rows are separate documents; columns beside doc_id, text and source are ignored;
+Defined results: a null text has size 0 and gives nothing; null sources form one source, the last; rows are drawn by doc_id
+(null as the text "null") and text, so rows without ids or with repeated ids are spread by their texts; only rows that repeat
+both stay together in one shard; repeated rows are separate documents; columns beside doc_id, text and source are ignored;
 an empty table gives an empty result. A source of fewer words than half a block may give none.
 """
 
@@ -68,7 +69,8 @@ def sainte_lague(rows: DataFrame, by: list[str], order: str, votes: Column, seat
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 1024, shard_words: int = 1 << 17, most_shards: int = 4096, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, shard, taken for each row."""
     spark = docs.sparkSession
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.md5(F.coalesce("text", F.lit(""))))), 1, 15), 16, 10).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), draw.alias("draw"))
     scratch = Scratch(spark, "mix")
     sized = scratch.table(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "sizes")

@@ -6,7 +6,7 @@ W = "[^\\x20\\x09-\\x0D]+"
 
 OP1 = f"""
 WITH sized AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS key, source, coalesce(len(regexp_extract_all(text, '{W}')), 0)::BIGINT AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS draw FROM documents
+  SELECT doc_id, coalesce('s' || source, 'n') AS key, source, coalesce(len(regexp_extract_all(text, '{W}')), 0)::BIGINT AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS draw FROM documents
 ), src AS (
   SELECT key, source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY key, source
 ), room AS (

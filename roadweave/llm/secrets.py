@@ -2,7 +2,8 @@
 
 Every version of a path is addressed by the SHA-256 of its content. The ledger holds one row for each (blob, rule version)
 pair that was scanned, with its findings; a scan reads only blobs that the ledger lacks under the present rules, one copy
-of each whatever the number of paths, and findings are joined back to all paths.
+of each whatever the number of paths, and findings are joined back to all paths. Spans and redacted texts take time in
+proportion to a text's length and its matches.
 
 Rules: leftmost non-overlapping matches of each kind, then a least length; the base kinds are assign, access and hex, and
 the further ones pem and hub only add spans. Offsets are code points, ends exclusive. A match's place comes from the
@@ -10,8 +11,9 @@ lengths of the pieces between matches (split) and of the matches themselves.
 
 A ledger may be kept at a path between runs (scan_and_keep); one without a path starts empty.
 
-Scale: one pass addresses the blobs; the text of one row for each blob moves once, by the unique key of its row, so a blob
-that a third of all rows share is scanned once and no key gathers its copies. Only blobs with findings join back.
+Scale: one pass addresses the blobs; the text of one row for each blob moves once, by its doc_id and blob, so a blob that a
+third of all rows share is scanned once and no key gathers its copies, as long as they have ids of their own (rows that
+repeat both, or have the same text and no id, all move and are scanned). Only blobs with findings join back.
 
 Defined results: null and empty texts have no findings; repeated rows and a null doc_id are kept; extra columns are
 ignored; an empty table gives an empty result.
@@ -19,7 +21,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._kit import Scratch, fresh
@@ -35,23 +37,19 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: Code points of the pieces that a text is cut into before parts of it are taken: a part of a whole text is sought from its start.
+PIECE = 1024
 
 
-def spans_of(text: Column, rank: int, kind: str, pattern: str, group: int, least: int, needs: str | None) -> Column:
-    """Spans (start, rank, end, kind) of one rule."""
+def matches_of(text: Column, rank: int, kind: str, pattern: str, group: int, least: int, needs: str | None) -> Column:
+    """A rule with its matches in order: the lengths of what lies before each, of the match, and of the part that is judged."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    size = F.transform(F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), F.transform(found, F.char_length).alias("own"), F.transform(judged, F.char_length).alias("judged")), lambda x: x)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + x["own"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((at + F.coalesce(x["own"], F.lit(0))).alias("at"), F.when(x["judged"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    spans = F.aggregate(size, start, step, lambda acc: acc["out"])
+    own = F.transform(found, F.char_length)
+    parts = F.arrays_zip(F.slice(F.transform(F.split(text, pattern, -1), F.char_length), F.lit(1), F.size(own)).alias("gap"), own.alias("own"), F.transform(judged, F.char_length).alias("judged"))
     has = text.contains(needs) if needs else text.rlike(pattern)
-    return F.when(has, spans).otherwise(F.array().cast(SPAN))
+    parts = F.when(has, parts).otherwise(F.array().cast("array<struct<gap:int,own:int,judged:int>>"))
+    return F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(least).alias("least"), parts.alias("parts"))
 
 
 def joined(spans: Column) -> Column:
@@ -59,9 +57,19 @@ def joined(spans: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """blob, spans of rows (blob, text)."""
-    every = F.concat(*(spans_of(F.col("text"), i, *r) for i, r in enumerate(rules)))
-    return blobs.select("blob", F.array_sort(every).alias("spans"))
+    """blob, spans of rows (blob, text), a row for each blob.
+
+    Texts leave nothing but lengths, which are written; the places of matches are their running sums. A list that grows in a
+    fold would be copied for every match.
+    """
+    sizes = blobs.select("blob", F.array(*(matches_of(F.col("text"), k, *r) for k, r in enumerate(rules))).alias("rules")).dropDuplicates(["blob"])
+    sizes = Scratch(blobs.sparkSession, "matches").table(sizes, "sizes")
+    rows = sizes.select("blob", F.explode("rules").alias("r")).select("blob", "r.rank", "r.kind", "r.least", F.posexplode("r.parts").alias("nth", "m"))
+    before = Window.partitionBy("blob", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.own")).over(before).cast("int")).where(F.col("m.judged") >= F.col("least"))
+    span = F.struct((F.col("end") - F.col("m.own")).alias("start"), "rank", "end", "kind")
+    spans = rows.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return sizes.select("blob").join(spans, "blob", "left").select("blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def address(docs: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def scan_history(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
     here = address(docs).alias("d").join(unseen.alias("u"), (F.col("d.doc_id").eqNullSafe(F.col("u.doc_id"))) & (F.col("d.blob") == F.col("u.blob")), "left_semi")
-    new = scratch.table(scan_blobs(here, rules).dropDuplicates(["blob"]).select("blob", F.lit(version).alias("rule_version"), "spans"), "new")
+    new = scratch.table(scan_blobs(here, rules).select("blob", F.lit(version).alias("rule_version"), "spans"), "new")
     hits = new.where(F.size("spans") > 0).select("blob", "spans")
     if ledger is not None:
         old = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).join(paths.select("blob").distinct(), "blob", "left_semi")
@@ -110,26 +118,35 @@ def scan_history(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     return found, new
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """(blob, spans: start, end) of rows (blob, spans), one for each blob: spans that overlap or touch as one, in order."""
+    rows = found.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    by = Window.partitionBy("blob").orderBy("start", "end")
+    until = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("run", F.sum(F.when(until.isNull() | (F.col("start") > until), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return rows.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with its (merged) spans replaced by a mark."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-        ).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-    )
-    starts = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    ends = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.char_length(text)))
-    kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(text, x["a"] + 1, x["b"] - x["a"]))
+    """The text with its merged spans replaced by a mark."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    gaps = F.arrays_zip(starts.alias("a"), F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text))).alias("b"))
+
+    def part(pieces: Column, g: Column) -> Column:
+        first = F.floor(g["a"] / PIECE).cast("int")
+        some = F.slice(pieces, first + 1, F.greatest(F.floor((g["b"] - 1) / PIECE).cast("int") - first + 1, F.lit(1)))
+        return F.when(g["b"] > g["a"], F.substring(F.array_join(some, ""), g["a"] % PIECE + 1, g["b"] - g["a"])).otherwise("")
+
+    cut = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))  # bound to a variable, so cut once
+    kept = F.flatten(F.transform(cut, lambda pieces: F.transform(gaps, lambda g: part(pieces, g))))
     return F.when(F.size(spans) > 0, F.array_join(kept, mark)).otherwise(text)
 
 
 def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs, with all their columns, after a scan: texts without their secrets, and n_chars, where there is one, counted anew."""
     blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
-    hits = scan_and_keep(docs, ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    hits = merged(scan_and_keep(docs, ledger).where(F.size("spans") > 0).dropDuplicates(["blob"]))
     hits = Scratch(docs.sparkSession, "redact").table(hits.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "hits")
     own = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     whole = docs.join(hits.hint("merge"), own == F.col(blob), "left")

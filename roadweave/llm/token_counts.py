@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._kit import Batches, batches, id_text, pieces
+from ._kit import KEPT_WORD, Batches, batches, id_text, pieces
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -179,7 +179,7 @@ class PieceTable:
 
 
 class Counter(dict):
-    """Pre-token -> tokens, at most CACHE of them."""
+    """Pre-token -> tokens, at most CACHE of them of at most KEPT_WORD letters each (about 200 MB); longer ones are counted each time."""
 
     def __bool__(self) -> bool:
         return True
@@ -190,13 +190,17 @@ class Counter(dict):
 
     def totals(self, texts: list[str]) -> list[int]:
         cut = [self.table.cuts(t) for t in texts]
-        new = list(set().union(*cut) - self.keys()) if cut else []
-        if len(self) + len(new) > CACHE:
+        met = set().union(*cut)
+        if len(self) + len(met) > CACHE:
             self.clear()
-            new = list(set().union(*cut))
+        new = list(met - self.keys())
         self.update(zip(new, self.table.count_many(new), strict=True))
         get = self.__getitem__
-        return [sum(map(get, c)) for c in cut]
+        out = [sum(map(get, c)) for c in cut]
+        for w in new:
+            if len(w) > KEPT_WORD:
+                del self[w]
+        return out
 
 
 #: One for each vocabulary file, kept by a worker for its later tasks; a lost worker fills its own anew.

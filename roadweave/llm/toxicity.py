@@ -2,13 +2,15 @@
 
 Terms of a text are its lower-cased words, without marks at their ends, and the words' first 3 to 6 and last 4 letters,
 hashed into BUCKETS. In a bounded sample of labelled rows the documents of each class that hold a bucket are counted in the
-cluster, and the KEEP buckets whose frequencies differ most between the classes (z of 3 at least) are kept; linear weights and FACTORS-dimensional factors are fitted to them by AdaGrad, so that pairs of terms
-have a weight of their own. The model is a table of at most KEEP rows, whatever the size of the corpus; every whole text
+cluster, and the KEEP buckets whose frequencies differ most between the classes (z of 3 at least) are kept. Words that say
+nothing alone may say much together, so of the PAIRED whole words that divide the sample most evenly all pairs are compared:
+where two words go together in one class but not in the other (z of PAIR_Z at least), both are kept too. Linear weights and
+FACTORS-dimensional factors are fitted to all of them by AdaGrad, so that pairs of terms have a weight of their own. The model is a table of at most KEEP rows, whatever the size of the corpus; every whole text
 of the corpus is scored in one pass without a shuffle.
 
 The sample: at most `fit_rows` labelled documents of each class, those with the smallest hash of doc_id. Rows of one label
 whose whole term sets are equal count once; everything else stays: near copies, and equal texts of different labels. What
-reaches the driver is bounded: KEEP buckets, and of each sampled document the kept buckets it holds, two bytes each.
+reaches the driver is bounded: KEEP buckets, and of each sampled document the kept and the PAIRED buckets it holds, two bytes each.
 
 Defined results: null and empty texts have no terms and get the score of the intercept; repeated rows give repeated rows;
 a null doc_id is kept, is not held out and has no label; without labelled rows of both classes every score is 0 and predicted 0; extra
@@ -26,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kit import Batches, Scratch, batches, id_text, pieces
+from ._kit import KEPT_WORD, Batches, Scratch, batches, id_text, pieces
 from .quality import held_out
 
 BUCKETS = 1 << 20
 KEEP = 4096
 FACTORS = 8
+#: Whole words whose pairs are compared, the words that this may add, and the z from which a pair counts.
+PAIRED, ADDED, PAIR_Z = 1024, 256, 6.0
 ENDS = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 
 
@@ -40,20 +44,22 @@ def word_terms(word: str) -> set[int]:
     if not w:
         return set()
     parts = {"w" + w, *(f"{n}" + w[:n] for n in (3, 4, 5, 6) if len(w) >= n), "e" + w[-4:]}
-    return {xxhash.xxh32_intdigest(p.encode()) % BUCKETS for p in parts}
+    return {2 * (xxhash.xxh32_intdigest(p.encode()) % (BUCKETS // 2)) + (p[0] != "w") for p in parts}  # whole words are even
 
 
 class Terms(dict):
-    """word -> what `of` makes of its terms; emptied when full."""
+    """word -> what `of` makes of its terms; emptied when full; long words are not kept."""
 
     def __init__(self, of, most: int = 400_000):
         super().__init__()
         self.of, self.most = of, most
 
     def __missing__(self, word: str):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.of(word_terms(word))
+        out = self.of(word_terms(word))
+        if len(word) <= KEPT_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -122,8 +128,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFr
     return id_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "label int, terms binary").distinct()  # at most 2 x fit_rows rows are sent
 
 
-def chosen_buckets(sample: DataFrame, keep: int = KEEP, least: int = 3, z: float = 3.0) -> np.ndarray:
-    """Sorted buckets whose document frequencies differ between the classes, the `keep` with the largest z."""
+def bucket_counts(sample: DataFrame) -> tuple[DataFrame, int, int]:
+    """((bucket, d0, d1): documents of each class that hold it, documents of class 0, of class 1)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         schema = pa.schema([("label", pa.int32()), ("bucket", pa.int32())])
@@ -133,18 +139,23 @@ def chosen_buckets(sample: DataFrame, keep: int = KEEP, least: int = 3, z: float
                 yield batches({"label": np.full(len(t), label, np.int32), "bucket": t}, schema)
 
     n = sample.agg(F.count_if(F.expr("label = 0")).alias("n0"), F.count_if(F.expr("label = 1")).alias("n1")).first()
-    if not n.n0 or not n.n1:
-        return np.empty(0, np.int64)
     df = sample.mapInArrow(run, "label int, bucket int").groupBy("bucket").agg(F.count_if(F.expr("label = 0")).alias("d0"), F.count_if(F.expr("label = 1")).alias("d1"))
-    p = (F.col("d0") + F.col("d1")) / (n.n0 + n.n1)
-    gap = F.abs(F.col("d1") / n.n1 - F.col("d0") / n.n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n.n0 + 1 / n.n1))
+    return df, n.n0, n.n1
+
+
+def chosen_buckets(sample: DataFrame, keep: int = KEEP - ADDED, least: int = 3, z: float = 3.0) -> np.ndarray:
+    """Sorted buckets whose document frequencies differ between the classes, the `keep` with the largest z."""
+    df, n0, n1 = bucket_counts(sample)
+    if not n0 or not n1:
+        return np.empty(0, np.int64)
+    p = (F.col("d0") + F.col("d1")) / (n0 + n1)
+    gap = F.abs(F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n0 + 1 / n1))
     best = df.where(F.col("d0") + F.col("d1") >= least).withColumn("z", gap).where(F.col("z") >= z).orderBy(F.desc("z"), "bucket").limit(keep)
     return np.sort(best.select("bucket").toArrow().column("bucket").to_numpy()).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int) -> FactorisationMachine | None:
-    sample = Scratch(docs.sparkSession, "toxicity").table(labelled_sample(docs, labels, fit_rows), "sample")
-    buckets = chosen_buckets(sample)
+def places_in(sample: DataFrame, buckets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each document of the sample which of these buckets it holds, and its label; in one order whatever order rows come in."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         for b in pieces(parts, "terms"):
@@ -152,8 +163,45 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int) -> FactorisationMachi
             yield batches({"label": b.column("label"), "places": [np.flatnonzero(f).astype(np.uint16).tobytes() for f in found]}, pa.schema([("label", pa.int32()), ("places", pa.binary())]))
 
     got = sample.mapInArrow(run, "label int, places binary").toArrow()
-    rows = sorted(zip(got.column("label").to_pylist(), got.column("places").to_pylist(), strict=True))  # the same model whatever order the rows come in
-    return fit_machine([np.frombuffer(p, np.uint16).astype(np.int64) for _, p in rows], np.array([y for y, _ in rows], np.int64), buckets)
+    rows = sorted(zip(got.column("label").to_pylist(), got.column("places").to_pylist(), strict=True))
+    return [np.frombuffer(p, np.uint16).astype(np.int64) for _, p in rows], np.array([y for y, _ in rows], np.int64)
+
+
+def paired_buckets(sample: DataFrame, paired: int = PAIRED, added: int = ADDED, z: float = PAIR_Z, expected: float = 5.0) -> np.ndarray:
+    """Sorted buckets of whole words that go together differently in the two classes, the `added` with the largest z.
+
+    Compared is the covariance of two words' presence in each class; pairs that chance would bring together less than
+    `expected` times in the smaller class don't count.
+    """
+    df, n0, n1 = bucket_counts(sample)
+    if not n0 or not n1:
+        return np.empty(0, np.int64)
+    held = F.col("d0") + F.col("d1")
+    common = df.where("bucket % 2 = 0").orderBy(F.desc(F.least(held, n0 + n1 - held)), "bucket").limit(paired)
+    words = np.sort(common.select("bucket").toArrow().column("bucket").to_numpy()).astype(np.int64)
+    rows, label = places_in(sample, words)
+    x = np.zeros((len(rows), len(words)), np.float32)
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    p = x.mean(0)
+    spread = np.outer(p * (1 - p), p * (1 - p)) * (1 / n0 + 1 / n1)
+    gap = np.zeros((len(words), len(words)))
+    for c, sign in ((0, -1.0), (1, 1.0)):
+        own = x[label == c]
+        q = own.mean(0)
+        gap += sign * (own.T @ own / len(own) - np.outer(q, q))
+    score = np.abs(gap) / np.sqrt(np.maximum(spread, 1e-12))
+    score[np.outer(p, p) * min(n0, n1) < expected] = 0
+    np.fill_diagonal(score, 0)
+    best = score.max(1, initial=0)
+    order = np.lexsort((words, -best))[:added]
+    return np.sort(words[order[best[order] >= z]])
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int) -> FactorisationMachine | None:
+    sample = Scratch(docs.sparkSession, "toxicity").table(labelled_sample(docs, labels, fit_rows), "sample")
+    buckets = np.union1d(chosen_buckets(sample), paired_buckets(sample))
+    return fit_machine(*places_in(sample, buckets), buckets)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 5000, threshold: float = 0.5) -> DataFrame:

@@ -235,3 +235,129 @@ def test_first_failures(mask):
     for k, order in enumerate(filter_audit.ORDERS):
         first = next((s for s, f in enumerate(order) if mask >> "ABCDE".index(f) & 1), 5)
         assert filter_audit.FIRST[mask, k] == first and "".join("ABCDE"[f] for f in filter_audit.AT[k]) == order
+
+
+# ---------------------------------------------------------------- mended operators
+
+
+def test_toxicity_of_pairs_that_say_nothing_alone(spark):
+    """Toxic: both of two words, or neither. Through the whole operator."""
+    from roadweave.llm import toxicity
+
+    draw = random.Random(9)
+    pool = [f"word{k}" for k in range(400)]
+    texts, label = [], []
+    for _ in range(3000):
+        both = draw.random() < 0.5, draw.random() < 0.5
+        words = draw.choices(pool, k=25) + [w for w, b in zip(("alpha", "bravo"), both, strict=True) if b]
+        draw.shuffle(words)
+        texts.append(" ".join(words))
+        label.append(int(both[0] == both[1]))
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    y = spark.createDataFrame([(k, v) for k, v in enumerate(label)], "doc_id long, toxic int")
+    rows = [r for r in toxicity.score_toxicity(d, y).collect() if r.held_out]
+    assert len(rows) > 400 and sum(r.predicted == label[r.doc_id] for r in rows) / len(rows) >= 0.95
+    sample = toxicity.labelled_sample(d, y, 5000)
+    assert set(toxicity.paired_buckets(sample)) >= {b for w in ("alpha", "bravo") for b in toxicity.word_terms(w) if b % 2 == 0}
+    assert not len(toxicity.paired_buckets(sample.where("label = 1")))
+
+
+def test_toxicity_scores_are_the_machine_on_every_text(spark):
+    """The whole query against terms and pairs counted one by one."""
+    from roadweave.llm import toxicity
+
+    draw = random.Random(2)
+    docs = [(k, " ".join(draw.choices(["Good", "day", "sir", "vile,", "scum!", "they", "are"], k=draw.randrange(12)))) for k in range(300)] + [(None, "vile"), (5, None), (7, ""), (900, "scum " * 200_000), (901, "x" * 5_000_000)]
+    labels = [(k, int("scum" in t and "they" in t)) for k, t in docs[:300]]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.fit(d, y, 5000)
+    place = {int(b): k for k, b in enumerate(m.buckets)}
+    got = sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.score_toxicity(d, y).collect())
+    want = []
+    for i, t in docs:
+        known = sorted({place[b] for w in set((t or "").lower().split()) for b in toxicity.word_terms(w) if b in place})
+        z = m.bias + sum(m.w[k] for k in known) + sum(float(m.v[a] @ m.v[b]) for n, a in enumerate(known) for b in known[n + 1 :])
+        want.append((i or -1, round(1 / (1 + np.exp(-z)), 9)))
+    assert [(i, pytest.approx(s)) for i, s in sorted(want)] == got
+
+
+def test_rows_without_ids_are_spread_over_shards(spark):
+    from roadweave.llm.mixing import mix_sources
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat_ws(" ", *(F.lit(w) for w in "a b c d e f g h i".split()), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    shards = mix_sources(df, shard_words=2000).groupBy("shard").count().collect()
+    assert len(shards) == 200 and max(r["count"] for r in shards) < 2 * 200
+    same_id = df.withColumn("doc_id", F.lit(1))
+    assert max(r["count"] for r in mix_sources(same_id, shard_words=2000).groupBy("shard").count().collect()) < 2 * 200
+
+
+def test_a_log_full_of_hashes(spark):
+    import time
+
+    from roadweave.llm import secrets
+
+    n = 30_000
+    text = "\n".join(f"{k:032x}" for k in range(n))
+    df = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, blob string")
+    began = time.time()
+    got = secrets.scan_and_keep(df, None).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("last"), F.element_at("spans", 7_000)["start"].alias("mid")).first()
+    assert (got.n, got.last, got.mid) == (n, len(text), 6_999 * 33) and time.time() - began < 30
+    clean = secrets.redacted(df).first().text
+    assert clean == "\n".join(["[SECRET]"] * n) and time.time() - began < 90
+
+
+def test_redaction_equals_slicing(spark):
+    from roadweave.llm import secrets
+
+    draw = random.Random(4)
+    rows = []
+    for k in range(60):
+        size = draw.choice([0, 5, 900, 1024, 1025, 5000])
+        text = "".join(draw.choice("ab𝄞é\n ") for _ in range(size))
+        spans = sorted((a, draw.randrange(3), min(size, a + draw.choice([1, 3, 40, 1500])), "k") for a in (draw.randrange(size) for _ in range(draw.choice([0, 1, 4, 30, 700]) if size else 0)))
+        rows.append((k, text, spans))
+    df = spark.createDataFrame(rows, f"blob long, text string, spans {secrets.SPAN}").repartition(3)
+    whole = df.drop("spans").join(secrets.merged(df), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    got = {r.blob: r.out for r in whole.select("blob", secrets.redact(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for k, text, spans in rows:
+        out, at, end = "", 0, None
+        for a, _, b, _ in spans:
+            if end is None or a > end:
+                out += text[at:a] + "[SECRET]"
+                end = b
+            end = max(end, b)
+            at = end
+        assert got[k] == out + text[at:]
+
+
+def test_workers_keep_no_long_words():
+    import xxhash
+
+    from roadweave.llm import _kit, token_counts, toxicity
+
+    cache = _kit.WordHashes()
+    words = [b"x" * 65, b"y", b"z" * 5_000_000]
+    assert [int(h) for h in cache.of(words)] == [xxhash.xxh64_intdigest(w) for w in words] and list(cache) == [b"y"]
+    terms = toxicity.Terms(tuple)
+    assert sorted(terms["a" * 100]) == sorted(toxicity.word_terms("a" * 100)) and not terms
+    table = type("T", (), {"cuts": staticmethod(str.split), "count_many": staticmethod(lambda ws: [len(w) for w in ws])})()
+    counter = token_counts.Counter(table)
+    assert counter.totals(["ab " + "漢" * 20_000, "ab", ""]) == [20_002, 2, 0] and dict(counter) == {"ab": 2}
+
+
+@pytest.mark.parametrize("name", ["op4_quality", "op5_suffix_dedup", "op6_substring_dedup", "op7_minhash_dedup", "op9_token_counts"])
+def test_unbroken_texts_of_megabytes(spark, tmp_path, name):
+    """Long texts without a blank, and one of very many words."""
+    rows = [(1, "漢字" * 800_000), (2, "QUJD" * 1_250_000), (3, "w " * 2_000_000), (4, "plain text"), (5, "漢字" * 800_000)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(out) == {1, 2, 3, 4, 5}
+    if name == "op9_token_counts":
+        assert [out[k].n_bytes for k in (1, 2, 3)] == [4_800_000, 5_000_000, 4_000_000] and out[1].n_tokens == out[5].n_tokens > 0
+    if name == "op5_suffix_dedup":
+        assert out[1].n_removed == 4_800_000 and out[3].n_removed == 4_000_000 and out[4].n_removed == 0
+    if name == "op6_substring_dedup":
+        assert (out[3].n_words, out[3].n_removed, out[1].n_words) == (2_000_000, 2_000_000 - 1, 1)
+    if name == "op7_minhash_dedup":
+        assert out[5].class_id == 1 and [out[k].kept for k in (1, 2, 3, 4, 5)] == [True, True, True, True, False]
