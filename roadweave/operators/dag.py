@@ -80,6 +80,45 @@ def check_rules(pairs: DataFrame, arcs_a: DataFrame, arcs_b: DataFrame) -> DataF
     return named(back, "step_back").unionByName(named(lacking("a1", "a0", "b1", "b0"), "unfed")).unionByName(named(lacking("a0", "a1", "b0", "b1"), "stuck"))
 
 
+def meetings(a: DataFrame, b: DataFrame, reach: float, decimals: int = 3) -> DataFrame:
+    """(component, a, b): the edges of each component of the source and the target edges within reach of it, in one row."""
+    placed = Scratch(a.sparkSession, "dag").table(components_of(a.where(F.size("pts") > 1), decimals), "placed")
+    near = within_join(placed.select(F.struct("component", "id").alias("id"), "pts"), b.select("id", "pts"), reach)
+    near = near.select(F.col("id_a.component").alias("component"), F.col("id_b").alias("id"), F.col("pts_b").alias("pts")).dropDuplicates(["component", "id", "pts"])
+    edge = F.struct("id", "pts")
+    own = placed.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("a"))
+    return own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left").repartition(kernel_parts(a.sparkSession))
+
+
+def _line(e: dict) -> tuple:
+    return e["id"], [(p["x"], p["y"]) for p in e["pts"]]
+
+
+def plan_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, bearing_weight: float = 2.0, step: float = 5.0, decimals: int = 3, k_min: int = 1, most_rows: int = 2_000_000) -> DataFrame:
+    """(component, n_edges, vertices, profile_rows, elimination_rows, engine): what matching each component may need, before any is matched.
+
+    The rows are bounds from the source's shape and the numbers of candidates; components without edges near, or with a
+    cycle, have no engine.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                got = {"component": row["component"], "n_edges": len(row["a"]), "vertices": None, "profile_rows": None, "elimination_rows": None, "engine": None}
+                rows.append(got)
+                try:
+                    x, y = (dag.segment_net([_line(e) for e in row[k] or ()], step, decimals) for k in "ab")
+                    dag.order_of(x)
+                    got |= dag.plan(x, dag.candidates(x, y, max_distance, bearing_weight, k_min), most_rows)
+                except ValueError:
+                    continue
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("component", pa.string()), ("n_edges", pa.int64()), ("vertices", pa.int64()), ("profile_rows", pa.float64()), ("elimination_rows", pa.float64()), ("engine", pa.string())])
+    return meetings(a, b, max_distance + step, decimals).mapInArrow(run, "component string, n_edges long, vertices long, profile_rows double, elimination_rows double, engine string")
+
+
 def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: float = 1.0, beta: float = 1.0, bearing_weight: float = 2.0, step: float = 5.0, decimals: int = 3, radii: tuple[float, ...] = (1.0,), k_min: int = 1, most_rows: int = 2_000_000, max_seconds: float | None = None) -> dict[str, DataFrame]:
     """{"long", "summary", "parts", "pairs", "costs", "errors"}: matches by edge pair, by source, by stretch and by segment, each component's cost, and components that have none.
 
@@ -88,18 +127,11 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     `most_rows` bounds a task's memory, not what is matched; `max_seconds`, if given, ends a component with an error.
     """
     kinds = {"a": dict(a.dtypes)["id"], "b": dict(b.dtypes)["id"]}
-    placed = Scratch(a.sparkSession, "dag").table(components_of(a.where(F.size("pts") > 1), decimals), "placed")
-    reach = max_distance * max(radii) + step
-    near = within_join(placed.select(F.struct("component", "id").alias("id"), "pts"), b.select("id", "pts"), reach)
-    near = near.select(F.col("id_a.component").alias("component"), F.col("id_b").alias("id"), F.col("pts_b").alias("pts")).dropDuplicates(["component", "id", "pts"])
-    edge = F.struct("id", "pts")
-    own = placed.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("a"))
-    met = own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left").repartition(kernel_parts(a.sparkSession))
+    met = meetings(a, b, max_distance * max(radii) + step, decimals)
     short = lambda s: s.format(**kinds).replace(", ", ",").replace(" ", ":")
     schema = f"component string, cost double, error string, sources array<{kinds['a']}>, pairs array<struct<{short(PAIR)}>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = lambda e: (e["id"], [(p["x"], p["y"]) for p in e["pts"]])
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
@@ -107,7 +139,7 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
                 rows.append(got)
                 for grow in radii if row["b"] else ():
                     try:
-                        x, y = dag.segment_net([line(e) for e in row["a"]], step, decimals), dag.segment_net([line(e) for e in row["b"]], step, decimals)
+                        x, y = dag.segment_net([_line(e) for e in row["a"]], step, decimals), dag.segment_net([_line(e) for e in row["b"]], step, decimals)
                         cost, runs = dag.match_runs(x, y, max_distance * grow, alpha, beta, bearing_weight, k_min, most_rows, max_seconds)
                     except ValueError as e:
                         got["error"] = f"{type(e).__name__}: {e}"

@@ -191,3 +191,92 @@ def test_network(spark):
     assert {r.source_id: r.dest_ids for r in t["summary"]} == {"in": "1", "west1": "2", "west2": "2", "east1": "3", "east2": "3", "out": "4"}
     assert all(r.avg_dist_m < 4 for r in t["summary"])
     assert [r.sources for r in t["errors"]] == [["lone"]] and [len(r.sources) for r in t["costs"]] == [6]
+
+
+# ---------------------------------------------------------------- engines
+
+
+def drawn(draw, n):
+    """A random acyclic network near a line, and a target that looks like it, with some arcs more or fewer."""
+    places = {k: (6.0 * k + draw.uniform(-2, 2), draw.uniform(-8, 8)) for k in range(n)}
+    arcs = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 4)) if draw.random() < 0.45]
+    moved = {k: (x + draw.uniform(-1, 1), y + draw.uniform(-1, 1)) for k, (x, y) in places.items()}
+    more = [*arcs, *((i, j) for i in range(n) for j in range(i + 1, min(n, i + 4)) if draw.random() < 0.3)]
+    return dag.net(places, arcs)[0], dag.net(moved, more)[0]
+
+
+def test_engines_agree_on_random_networks():
+    draw, matched = random.Random(21), 0
+    for k in range(120):
+        a, b = drawn(draw, draw.randint(2, 9))
+        alpha, beta = draw.choice([(1.0, 1.0), (0.5, 1.5), (1.0, 4.0), (0.7, 0.6)])
+        got = []
+        for engine in ("profiles", "elimination"):
+            try:
+                cost, runs = dag.match_runs(a, b, 14.0, alpha, beta, engine=engine)
+            except dag.NoMatching:
+                got.append(None)
+                continue
+            got.append(cost)
+            pairs = {(u, v) for u, run in enumerate(runs) for v in run}
+            assert not any(dag.broken_rules(pairs, a, b))
+            if beta >= 1:
+                assert cost == pytest.approx(dag.cost_of(pairs, a, b, dag.candidates(a, b, 14.0), alpha, beta))
+        assert got[0] == (None if got[1] is None else pytest.approx(got[1])), k
+        matched += got[0] is not None
+    assert matched > 40
+
+
+def test_a_narrow_beam_changes_nothing():
+    from roadweave.functions import profile
+
+    draw, cut = random.Random(5), 0
+    for _ in range(60):
+        a, b = drawn(draw, 10)
+        cost = dag.candidates(a, b, 16.0)
+        steps = profile.prepare(a.before, a.after, cost, lambda v, y: dag.runs_from(y, cost[v], b, 1.0)[0], b.before, 1.5)  # noqa: B023
+        wide, _, most = profile.solve(steps, a.after, beam=10**9)
+        narrow, ends, kept = profile.solve(steps, a.after, beam=2)
+        assert narrow == pytest.approx(wide) or narrow == wide
+        assert most <= profile.predicted_rows(a.before, a.after, [len(c) for c in cost])
+        cut += kept < most
+    assert cut > 5  # the bounds rule profiles out
+
+
+def test_plan_bounds_what_is_held():
+    draw = random.Random(8)
+    for _ in range(40):
+        a, b = drawn(draw, 8)
+        cost = dag.candidates(a, b, 14.0)
+        p = dag.plan(a, cost)
+        try:
+            want = dag.match_runs(a, b, 14.0, engine="elimination")[0]
+        except dag.NoMatching:
+            continue
+        assert p["engine"] == "profiles" and p["vertices"] == 8
+        assert dag.match_runs(a, b, 14.0, engine="elimination", most_rows=int(p["elimination_rows"]))[0] == pytest.approx(want)
+        assert dag.match_runs(a, b, 14.0, engine="profiles", most_rows=int(p["profile_rows"]))[0] == pytest.approx(want)
+    many = dag.net({k: (float(k), 0.0) for k in range(41)}, [(k, 40) for k in range(40)])[0]  # forty ways into one place
+    assert dag.plan(many, [dict.fromkeys(range(4), 1.0)] * 41)["profile_rows"] == 4.0**41
+
+
+def test_city_blocks():
+    """A grid of streets, drawn anew; elimination can't hold it."""
+    draw = random.Random(3)
+    places = {(i, j): (10.0 * i, 10.0 * j) for i in range(8) for j in range(8)}
+    arcs = [((i, j), (i + 1, j)) for i in range(7) for j in range(8)] + [((i, j), (i, j + 1)) for i in range(8) for j in range(7)]
+    a, _ = dag.net(places, arcs)
+    b, _ = dag.net({k: (x + draw.uniform(-2, 2), y + draw.uniform(-2, 2)) for k, (x, y) in places.items()}, arcs)
+    cost, pairs = dag.match(a, b, 12.0, max_seconds=30)
+    assert len(pairs) >= 64 and not any(dag.broken_rules(pairs, a, b)) and cost <= sum(c[k] for k, c in enumerate(dag.candidates(a, b, 12.0))) + 1e-9
+    assert cost == pytest.approx(dag.cost_of(pairs, a, b, dag.candidates(a, b, 12.0), 1.0, 1.0))
+    with pytest.raises((dag.TooSlow, dag.TooLarge)):
+        dag.match_runs(a, b, 12.0, most_rows=100_000, max_seconds=2.0, engine="elimination")
+
+
+def test_plans_of_components(spark):
+    a = {"in": [(0, 0), (0, 40)], "west": [(0, 40), (-18, 70), (0, 100)], "east": [(0, 40), (18, 70), (0, 100)], "lone": [(900, 0), (900, 50)], "round": [(2000, 0), (2040, 0), (2040, 40), (2000, 0)]}
+    b = {1: [(2, 0), (2, 40)], 2: [(2, 40), (-16, 70), (2, 100)], 3: [(2, 40), (20, 70), (2, 100)], 4: [(2000, 1), (2040, 1)]}
+    rows = {r.n_edges: r for r in op.plan_dag(lines(spark, a), lines(spark, b), max_distance=12.0).where("engine is not null").collect()}
+    assert set(rows) == {3} and rows[3].engine == "profiles" and rows[3].vertices > 20 and rows[3].profile_rows >= 1 and rows[3].elimination_rows >= 1
+    assert op.plan_dag(lines(spark, a), lines(spark, b), max_distance=12.0).count() == 3
