@@ -450,9 +450,23 @@ def road_dag(spark: SparkSession, d: str) -> DataFrame:
     return dag.match_dag(derived.a_roads(spark, d), derived.b_roads(spark, d), max_distance=12.0, step=15.0, bearing_weight=0.1)["summary"]
 
 
-@query()
+#: As DAG_COSTS, each state with its way; then the pairs of the cheapest way, by edge.
+DAG_WAYS = DAG_COSTS[: DAG_COSTS.index("\nbf AS (")] + """
+bf AS (
+  SELECT a, s, v, c AS cost, [{'s': s, 'v': v}] AS way, 0 AS step FROM e WHERE s = 0
+  UNION ALL
+  SELECT a, s, v, min(cost), arg_min(way, cost), step FROM (
+    SELECT a, s, v, cost, way, step + 1 AS step FROM bf WHERE step < 22
+    UNION ALL SELECT e.a, e.s, e.v, cost + e.c, way || [{'s': e.s, 'v': e.v}], step + 1 FROM bf JOIN e ON e.a = bf.a AND e.s = bf.s + 1 AND e.v = bf.v WHERE step < 22
+    UNION ALL SELECT e.a, e.s, e.v, cost + e.c, way || [{'s': e.s, 'v': e.v}], step + 1 FROM bf JOIN arc ON arc.v = bf.v JOIN e ON e.a = bf.a AND e.v = arc.w AND e.s IN (bf.s, bf.s + 1) WHERE step < 22) GROUP BY a, s, v, step),
+best AS (SELECT a, way FROM bf WHERE s = 5 AND step = 22 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(cost, 9), v) = 1),
+pr AS (SELECT w.a, b.id, w.x.s AS s, d.d, d.t FROM (SELECT a, unnest(way) AS x FROM best) w JOIN b ON b.v = w.x.v JOIN d ON d.a = w.a AND d.s = w.x.s AND d.v = w.x.v),
+long AS (SELECT a AS source_id, id AS dest_id, min(s) AS first, count(*) AS n_pairs, avg(d) AS avg_dist_m, avg(t) AS avg_bearing_diff FROM pr GROUP BY a, id)"""
+
+
+@query(DAG_WAYS + " SELECT source_id, dest_id, row_number() OVER (PARTITION BY source_id ORDER BY first, dest_id)::INT AS seq, n_pairs, round(avg_dist_m, 6) AS avg_dist_m, round(avg_bearing_diff, 6) AS avg_bearing_diff FROM long")
 def match_dag_long(spark: SparkSession, d: str) -> DataFrame:
-    return _dag(spark, d)["long"]
+    return rounded(_dag(spark, d)["long"])
 
 
 @query()
