@@ -275,8 +275,8 @@ def test_city_blocks():
 
 
 def test_plans_of_components(spark):
-    a = {"in": [(0, 0), (0, 40)], "west": [(0, 40), (-18, 70), (0, 100)], "east": [(0, 40), (18, 70), (0, 100)], "lone": [(900, 0), (900, 50)], "round": [(2000, 0), (2040, 0), (2040, 40), (2000, 0)]}
+    a = {"in": [(0, 0), (0, 40)], "west": [(0, 40), (-18, 70), (0, 100)], "east": [(0, 40), (18, 70), (0, 100)], "out": [(0, 100), (0, 120)], "lone": [(900, 0), (900, 50)], "round": [(2000, 0), (2040, 0), (2040, 40), (2000, 0)]}
     b = {1: [(2, 0), (2, 40)], 2: [(2, 40), (-16, 70), (2, 100)], 3: [(2, 40), (20, 70), (2, 100)], 4: [(2000, 1), (2040, 1)]}
     rows = {r.n_edges: r for r in op.plan_dag(lines(spark, a), lines(spark, b), max_distance=12.0).where("engine is not null").collect()}
-    assert set(rows) == {3} and rows[3].engine == "profiles" and rows[3].vertices > 20 and rows[3].profile_rows >= 1 and rows[3].elimination_rows >= 1
+    assert set(rows) == {4} and rows[4].engine == "profiles" and rows[4].vertices > 20 and rows[4].profile_rows >= 1 and rows[4].elimination_rows >= 1
     assert op.plan_dag(lines(spark, a), lines(spark, b), max_distance=12.0).count() == 3
