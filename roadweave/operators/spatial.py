@@ -22,6 +22,31 @@ def _cells(df: DataFrame, side: str, grow: float, cell: float) -> DataFrame:
     return df.withColumn("gx", F.explode(F.sequence(f"x_{side}", at(F.col(f"x1_{side}"))))).withColumn("gy", F.explode(F.sequence(f"y_{side}", at(F.col(f"y1_{side}")))))
 
 
+#: Cells of a line's box from which on lines are listed by the cells along them.
+BOX_CELLS = 64
+
+
+def line_cells(df: DataFrame, side: str, grow: float, cell: float) -> DataFrame:
+    """(id_{side}, gx, gy): the cells along each line and within `grow` of it, in proportion to its length."""
+    at = lambda v: F.floor(v / cell).cast("long")
+    p = F.col("pts")
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda k: F.struct(F.element_at(p, k).alias("p"), F.element_at(p, F.least(k + 1, F.size(p))).alias("q")))
+    s = df.where(F.size(p) > 0).select(F.col("id").alias(f"id_{side}"), F.explode(ends).alias("s")).select(f"id_{side}", "s.p", "s.q")
+    s = s.withColumn("n", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("q.x") - F.col("p.x")), F.abs(F.col("q.y") - F.col("p.y"))) / cell)))
+    s = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    along = lambda c, k: F.col(f"p.{c}") + (F.col(f"q.{c}") - F.col(f"p.{c}")) * k / F.col("n")
+    for c in "xy":
+        u, v = along(c, F.col("k")), along(c, F.col("k") + 1)
+        s = s.withColumn(f"{c}0", at(F.least(u, v) - grow)).withColumn(f"{c}1", at(F.greatest(u, v) + grow))
+    s = s.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1")))
+    return s.select(f"id_{side}", "gx", "gy").distinct()
+
+
+def _sprawls(df: DataFrame, grow: float, cell: float) -> bool:
+    x0, y0, x1, y1 = _box(F.col("pts"))
+    return not df.where((F.size("pts") > 0) & (((x1 - x0 + 2 * grow) / cell + 1) * ((y1 - y0 + 2 * grow) / cell + 1) > BOX_CELLS)).select("id").limit(1).isEmpty()
+
+
 def within_join(a: DataFrame, b: DataFrame, radius: float, cell: float | None = None, exact: bool = True) -> DataFrame:
     """(id_a, pts_a, id_b, pts_b) of lines or points at most `radius` apart.
 
@@ -29,8 +54,16 @@ def within_join(a: DataFrame, b: DataFrame, radius: float, cell: float | None =
     overlap are measured. A pair that shares several cells is kept in the first only (the larger of the two lower corners),
     so no distinct is needed. Cells should be about as large as an edge; a crowded cell is an ordinary skewed join key,
     which adaptive execution splits.
+
+    A long line's box touches cells by the square of its length. Where there is any line with a box of more than BOX_CELLS,
+    lines are listed by the cells along them instead, ids only; pairs are made distinct and get their geometry back.
     """
     cell = cell or max(4 * radius, 100.0)
+    if _sprawls(a, radius, cell) or _sprawls(b, 0.0, cell):
+        ids = line_cells(a, "a", radius, cell).join(line_cells(b, "b", 0.0, cell), ["gx", "gy"]).select("id_a", "id_b").distinct()
+        geometry = lambda df, side: df.select(F.col("id").alias(f"id_{side}"), F.col("pts").alias(f"pts_{side}"))
+        met = ids.join(geometry(a, "a"), "id_a").join(geometry(b, "b"), "id_b").select("id_a", "pts_a", "id_b", "pts_b")
+        return met.where(G.line_distance(F.col("pts_a"), F.col("pts_b")) <= radius) if exact else met
     pairs = _cells(a, "a", radius, cell).join(_cells(b, "b", 0.0, cell), ["gx", "gy"])
     pairs = pairs.where((F.col("gx") == F.greatest("x_a", "x_b")) & (F.col("gy") == F.greatest("y_a", "y_b")))
     pairs = pairs.where((F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a")) & (F.col("y0_a") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a")))

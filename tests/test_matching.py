@@ -318,3 +318,46 @@ def test_single_path(spark):
     rows = [("ok", [(0, 0), (5, 0)]), ("ok", [(5, 0), (9, 0)]), ("fork", [(0, 0), (5, 0)]), ("fork", [(5, 0), (9, 0)]), ("fork", [(5, 0), (5, 9)]), ("gap", [(0, 0), (5, 0)]), ("gap", [(50, 0), (60, 0)]), ("one", [(0, 0), (0, 0.1)])]
     df = spark.createDataFrame([(g, [{"x": float(x), "y": float(y)} for x, y in p]) for g, p in rows], f"group string, pts {G.LINE}")
     assert {r.group: r.valid for r in pairs.single_path(df).collect()} == {"ok": True, "fork": False, "gap": False, "one": True}
+
+
+def test_long_lines_are_listed_by_the_cells_along_them(spark):
+    from roadweave.operators import spatial
+
+    diagonal = {1: [(0, 0), (100_000, 100_000)]}
+    assert spatial.line_cells(lines(spark, diagonal), "a", 25.0, 100.0).count() < 10_000
+    draw = random.Random(4)
+    near = {k: [(x := draw.uniform(0, 100_000)) and (x + draw.uniform(-60, 60), x), (x + draw.uniform(-60, 60), x + 30)] for k in range(10, 200)}
+    road = {1: [(0, 0), (50_000, 50_000), (100_000, 100_000)], 2: [(5, 5)], 3: [(40_000, 0), (40_000, 90_000)], 4: [(-300, -300), (-200, -300)]}
+    got = {(r.id_a, r.id_b) for r in spatial.within_join(lines(spark, road), lines(spark, near), 25.0).collect()}
+
+    def apart(p, q):
+        from_point = lambda a, b, c: (lambda d, t: math.dist((a[0] + t * d[0], a[1] + t * d[1]), c))((d := (b[0] - a[0], b[1] - a[1])), max(0.0, min(1.0, ((c[0] - a[0]) * d[0] + (c[1] - a[1]) * d[1]) / ((d[0] ** 2 + d[1] ** 2) or 1.0))))
+        cross = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        best = math.inf
+        for a, b in zip(p, p[1:] or p, strict=False):
+            for c, d in zip(q, q[1:] or q, strict=False):
+                if cross(a, b, c) * cross(a, b, d) < 0 and cross(c, d, a) * cross(c, d, b) < 0:
+                    return 0.0
+                best = min(best, from_point(a, b, c), from_point(a, b, d), from_point(c, d, a), from_point(c, d, b))
+        return best
+
+    want = {(i, j) for i, p in road.items() for j, q in near.items() if apart(p, q) <= 25.0}
+    assert got == want and len(want) > 20
+    assert spatial.within_join(lines(spark, road), lines(spark, near), 25.0).columns == ["id_a", "pts_a", "id_b", "pts_b"]
+
+
+def test_chains_of_rising_scores_need_few_rounds(spark, monkeypatch):
+    n = 2000
+    rows = [(k, k, float(2 * k)) for k in range(n)] + [(k, k + 1, float(2 * k + 1)) for k in range(n)]
+    rows += [(10_000 + k, 10_000 + k % 7, float(k % 5)) for k in range(40)]
+    df = spark.createDataFrame(rows, "source_id long, dest_id long, distance_m double")
+    sources, dests, want = set(), set(), set()
+    for s, d, _ in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
+        if s not in sources and d not in dests:
+            sources.add(s)
+            dests.add(d)
+            want.add((s, d))
+    assert {(r.source_id, r.dest_id) for r in resolve.one_to_one(df, "distance_m").collect()} == want
+    monkeypatch.setattr(resolve, "COMPONENT", 30)  # larger ones go on in rounds
+    few = df.where("source_id >= 10000 or source_id < 12")
+    assert {(r.source_id, r.dest_id) for r in resolve.one_to_one(few, "distance_m").collect()} == {(s, d) for s, d in want if s >= 10_000 or s < 12}
