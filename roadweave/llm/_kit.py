@@ -55,9 +55,9 @@ KEPT_WORD = 64
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, filled on a miss; emptied when it holds `most` words of at most KEPT_WORD bytes (about 75 MB)."""
+    """word -> 64-bit hash, filled on a miss; emptied when it holds `most` words of at most KEPT_WORD bytes (about 30 MB)."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
