@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.operators.quantiles import quantiles
 from roadweave.plans.scratch import Scratch
 
 #: Metrics with their better direction and the limit that a recommendation is for; names of methods.
@@ -33,13 +34,14 @@ def counted(df: DataFrame, metric: str, mirrored: bool = False) -> DataFrame:
 def spread(values: DataFrame, *more: float) -> dict[str, float]:
     """Exact quantiles and moments of (v, n); more: further percentages."""
     q = [25, 50, 75, 90, 95, 97.5, 99, CAP, *more]
-    r = values.agg(F.sum("n").alias("n"), F.percentile("v", [p / 100 for p in q], F.col("n")).alias("q"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")).first()
+    r = values.agg(F.sum("n").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")).first()
     if not r.n:
         return {"n": 0}
-    out = {f"p{p:g}": v for p, v in zip(q, r.q, strict=True)} | {"n": r.n, "min": r.min, "max": r.max, "mean": r.mean}
+    out = {f"p{p:g}": v for p, v in zip(q, quantiles(values, [p / 100 for p in q]), strict=True)} | {"n": r.n, "min": r.min, "max": r.max, "mean": r.mean}
     off = F.col("v") - out["mean"]
-    r = values.agg(F.percentile(F.abs(F.col("v") - out["p50"]), 0.5, F.col("n")).alias("mad"), F.sum(off * off * F.col("n")).alias("s")).first()
-    return out | {"mad": r.mad, "std": math.sqrt(r.s / out["n"])}
+    square = values.agg(F.sum(off * off * F.col("n"))).first()[0]
+    mad = quantiles(values.select(F.abs(F.col("v") - out["p50"]).alias("v"), "n"), [0.5])[0]
+    return out | {"mad": mad, "std": math.sqrt(square / out["n"])}
 
 
 def mad_fence(s: dict[str, float], k: float = 3.0) -> float:
@@ -71,8 +73,7 @@ class Binned:
         self.total = self.n.sum()
         centre = (self.n * self.mean).sum() / self.total
         self.var = float((self.n * (self.mean - centre) ** 2 + self.inner).sum() / self.total)
-        r = self.rows.agg(F.percentile("v", [0.25, 0.5, 0.75], F.col("n")).alias("q")).first()
-        self.q1, self.median, self.q3 = r.q
+        self.q1, self.median, self.q3 = quantiles(self.rows, [0.25, 0.5, 0.75])
 
 
 def otsu(b: Binned) -> float | None:
