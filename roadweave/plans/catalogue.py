@@ -469,14 +469,27 @@ def match_dag_long(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_dag(spark, d)["long"])
 
 
-@query()
+#: Stretches of each source by the edge that it follows, from the cheapest ways; A-edges are cut every 15 m from 0.
+DAG_PARTS = DAG_WAYS + """,
+row AS (SELECT w.a, w.k, w.x.s AS s, w.x.v AS v, b.id, b.k AS piece, l.l / b.cuts AS size, l.l AS whole, d.d, d.t FROM (SELECT a, unnest(way) AS x, generate_subscripts(way, 1) AS k FROM best) w JOIN b ON b.v = w.x.v JOIN lb l ON l.id = b.id JOIN d ON d.a = w.a AND d.s = w.x.s AND d.v = w.x.v),
+over AS (SELECT *, min((v = v1)::INT) OVER (PARTITION BY a ORDER BY k) = 1 AS lead, min((v = v2)::INT) OVER (PARTITION BY a ORDER BY k DESC) = 1 AS trail FROM (SELECT *, first_value(v) OVER (PARTITION BY a ORDER BY k) AS v1, first_value(v) OVER (PARTITION BY a ORDER BY k DESC) AS v2 FROM row)),
+kinds AS (SELECT *, CASE WHEN lead AND NOT one AND s <> near THEN 'head' WHEN trail AND NOT one AND s <> far THEN 'tail' ELSE 'match' END AS kind FROM (SELECT *, bool_and(lead) OVER (PARTITION BY a) AS one, max(CASE WHEN lead THEN s END) OVER (PARTITION BY a) AS near, min(CASE WHEN trail THEN s END) OVER (PARTITION BY a) AS far FROM over)),
+isle AS (SELECT *, sum(new) OVER (PARTITION BY a ORDER BY k)::INT AS part FROM (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY a ORDER BY k) AND id = lag(id) OVER (PARTITION BY a ORDER BY k) THEN 0 ELSE 1 END AS new FROM kinds)),
+part AS (SELECT a, part, any_value(kind) AS kind, any_value(id) AS id, any_value(whole) AS whole, max(15.0::DOUBLE * s + 15) AS ends, count(*) AS n_pairs, count(DISTINCT s)::INT AS na, count(DISTINCT piece)::INT AS nb, avg(d) AS d, max(d) AS top, avg(t) AS t, min(piece * size) AS b0, max((piece + 1) * size) AS b1 FROM isle GROUP BY a, part),
+stretch AS (SELECT *, to_m - from_m AS len FROM (SELECT *, coalesce(lag(to_m) OVER (PARTITION BY a ORDER BY part), 0.0::DOUBLE) AS from_m FROM (SELECT *, max(ends) OVER (PARTITION BY a ORDER BY part) AS to_m FROM part)))"""
+
+
+@query(DAG_PARTS + """,
+own AS (SELECT a, count(*) FILTER (kind = 'match') AS n_parts, coalesce(sum(len) FILTER (kind = 'head'), 0.0::DOUBLE) AS head, coalesce(sum(len) FILTER (kind = 'tail'), 0.0::DOUBLE) AS tail FROM stretch GROUP BY a)
+SELECT source_id, string_agg(dest_id::VARCHAR, ';' ORDER BY first, dest_id) AS dest_ids, count(*) AS n_dest, any_value(n_parts) AS n_parts, sum(n_pairs)::BIGINT AS n_pairs, round(avg(avg_dist_m), 6) AS avg_dist_m, round(avg(avg_bearing_diff), 6) AS avg_bearing_diff, round(any_value(head), 6) AS a_head_m, round(any_value(tail), 6) AS a_tail_m, CASE WHEN count(*) > 1 THEN '1:N_ROUTE' ELSE '1:1' END AS match_type FROM long JOIN own ON own.a = long.source_id GROUP BY source_id""")
 def match_dag_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _dag(spark, d)["summary"]
+    return rounded(_dag(spark, d)["summary"])
 
 
 @query()
 def match_dag_parts(spark: SparkSession, d: str) -> DataFrame:
-    return _dag(spark, d)["parts"]
+    """Without a twin: where a target segment lies midway between two source segments, which of them it goes to is a tie."""
+    return rounded(_dag(spark, d)["parts"])
 
 
 @query(""", ends AS (SELECT id, 0 AS k, x1 AS x, y1 AS y FROM bp UNION ALL SELECT id, 1, x2, y2 FROM bp),
