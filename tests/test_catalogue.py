@@ -8,7 +8,7 @@ import pytest
 from roadweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("road_candidates", "road_edges", "road_edges_one_to_one", "road_symmetric", "road_route_costs", "match_dag_costs", "match_points_one_to_one", "distance_thresholds", "network_endpoints")
+NAMES = ("road_candidates", "road_edges", "road_edges_one_to_one", "road_symmetric", "road_route_costs", "road_route_members", "road_lattice", "road_claim_atoms", "road_lattice_figures", "match_dag_costs", "match_dag_long", "match_dag_summary", "match_points_one_to_one", "distance_thresholds", "network_endpoints")
 
 
 @pytest.fixture(scope="module")
