@@ -80,14 +80,17 @@ def check_rules(pairs: DataFrame, arcs_a: DataFrame, arcs_b: DataFrame) -> DataF
     return named(back, "step_back").unionByName(named(lacking("a1", "a0", "b1", "b0"), "unfed")).unionByName(named(lacking("a0", "a1", "b0", "b1"), "stuck"))
 
 
-def meetings(a: DataFrame, b: DataFrame, reach: float, decimals: int = 3) -> DataFrame:
+def placed_edges(a: DataFrame, decimals: int = 3) -> DataFrame:
+    return Scratch(a.sparkSession, "dag").table(components_of(a.where(F.size("pts") > 1), decimals), "placed")
+
+
+def meetings(placed: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     """(component, a, b): the edges of each component of the source and the target edges within reach of it, in one row."""
-    placed = Scratch(a.sparkSession, "dag").table(components_of(a.where(F.size("pts") > 1), decimals), "placed")
     near = within_join(placed.select(F.struct("component", "id").alias("id"), "pts"), b.select("id", "pts"), reach)
     near = near.select(F.col("id_a.component").alias("component"), F.col("id_b").alias("id"), F.col("pts_b").alias("pts")).dropDuplicates(["component", "id", "pts"])
     edge = F.struct("id", "pts")
     own = placed.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("a"))
-    return own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left").repartition(kernel_parts(a.sparkSession))
+    return own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left").repartition(kernel_parts(placed.sparkSession))
 
 
 def _line(e: dict) -> tuple:
@@ -116,30 +119,37 @@ def plan_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, bearing_wei
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("component", pa.string()), ("n_edges", pa.int64()), ("vertices", pa.int64()), ("profile_rows", pa.float64()), ("elimination_rows", pa.float64()), ("engine", pa.string())])
-    return meetings(a, b, max_distance + step, decimals).mapInArrow(run, "component string, n_edges long, vertices long, profile_rows double, elimination_rows double, engine string")
+    return meetings(placed_edges(a, decimals), b, max_distance + step).mapInArrow(run, "component string, n_edges long, vertices long, profile_rows double, elimination_rows double, engine string")
 
 
-def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: float = 1.0, beta: float = 1.0, bearing_weight: float = 2.0, step: float = 5.0, decimals: int = 3, radii: tuple[float, ...] = (1.0,), k_min: int = 1, most_rows: int = 2_000_000, max_seconds: float | None = None) -> dict[str, DataFrame]:
+def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: float = 1.0, beta: float = 1.0, bearing_weight: float = 2.0, step: float = 5.0, decimals: int = 3, radii: tuple[float, ...] = (1.0,), k_min: int = 1, most_rows: int = 2_000_000, max_seconds: float | None = None, any_distance: bool = False) -> dict[str, DataFrame]:
     """{"long", "summary", "parts", "pairs", "costs", "errors"}: matches by edge pair, by source, by stretch and by segment, each component's cost, and components that have none.
 
     A component meets the B-edges near it in one row; a component without a valid matching at `max_distance` is tried at
     that times each of `radii`, then reported. Components are independent, so the total cost is that of the whole network.
     `most_rows` bounds a task's memory, not what is matched; `max_seconds`, if given, ends a component with an error.
+
+    A source vertex without k_min targets within the radius takes the nearest k_min. They are sought among the edges within
+    the reach of its component; with `any_distance` components that may have nearer ones beyond it look again, four times
+    as far, until none has: then the nearest are the nearest at whatever distance, as long as there are k_min at all.
     """
     kinds = {"a": dict(a.dtypes)["id"], "b": dict(b.dtypes)["id"]}
-    met = meetings(a, b, max_distance * max(radii) + step, decimals)
+    placed, reach = placed_edges(a, decimals), max_distance * max(radii) + step
     short = lambda s: s.format(**kinds).replace(", ", ",").replace(" ", ":")
-    schema = f"component string, cost double, error string, sources array<{kinds['a']}>, pairs array<struct<{short(PAIR)}>>"
+    schema = f"component string, cost double, error string, far boolean, sources array<{kinds['a']}>, pairs array<struct<{short(PAIR)}>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], reach: float, look: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                got = {"component": row["component"], "cost": None, "error": "no edge is near", "sources": [e["id"] for e in row["a"]], "pairs": []}
+                got = {"component": row["component"], "cost": None, "error": "no edge is near", "far": look and not row["b"], "sources": [e["id"] for e in row["a"]], "pairs": []}
                 rows.append(got)
                 for grow in radii if row["b"] else ():
                     try:
                         x, y = dag.segment_net([_line(e) for e in row["a"]], step, decimals), dag.segment_net([_line(e) for e in row["b"]], step, decimals)
+                        if look and dag.farthest(x, y, k_min) > reach:  # an edge that wasn't met is farther than the reach
+                            got |= {"far": True}
+                            break
                         cost, runs = dag.match_runs(x, y, max_distance * grow, alpha, beta, bearing_weight, k_min, most_rows, max_seconds)
                     except ValueError as e:
                         got["error"] = f"{type(e).__name__}: {e}"
@@ -158,7 +168,21 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
-    found = Scratch(a.sparkSession, "dag").table(met.mapInArrow(run, schema), "found")
+    scratch = Scratch(a.sparkSession, "dag")
+    names = ["found-0"]
+    found = scratch.table(meetings(placed, b, reach).mapInArrow(lambda it, r=reach: run(it, r, any_distance), schema), "found-0")
+    if any_distance:
+        x0, y0, x1, y1 = (F.expr(f"{f}({f.replace('min', 'array_min').replace('max', 'array_max')}(transform(pts, p -> p.{c})))") for f, c in (("min", "x"), ("min", "y"), ("max", "x"), ("max", "y")))
+        corners = a.select("pts").union(b.select("pts")).where(F.size("pts") > 0).agg(x0, y0, x1, y1).first()
+        span = sum(corners[k + 2] - corners[k] for k in (0, 1)) if corners[0] is not None else 0.0  # nothing is farther apart
+        rest = found.where("far").select("component")
+        while not rest.isEmpty():
+            reach, look = 4 * reach, 4 * reach < span
+            more = meetings(placed.join(rest, "component"), b, reach)
+            names.append(f"found-{len(names)}")
+            more = scratch.table(more.mapInArrow(lambda it, r=reach, k=look: run(it, r, k), schema), names[-1])
+            rest = more.where("far").select("component")
+        found = scratch.read(found.schema, *names).where("not far")
     pairs = found.select(F.explode("pairs").alias("p")).select("p.*")
     parts = stretches(pairs)
     long = pairs.groupBy("source_id", "dest_id").agg(F.min("a_seq").alias("s"), F.count("*").alias("n_pairs"), F.avg("dist_m").alias("avg_dist_m"), F.avg("turn").alias("avg_bearing_diff"))

@@ -280,3 +280,18 @@ def test_plans_of_components(spark):
     rows = {r.n_edges: r for r in op.plan_dag(lines(spark, a), lines(spark, b), max_distance=12.0).where("engine is not null").collect()}
     assert set(rows) == {4} and rows[4].engine == "profiles" and rows[4].vertices > 20 and rows[4].profile_rows >= 1 and rows[4].elimination_rows >= 1
     assert op.plan_dag(lines(spark, a), lines(spark, b), max_distance=12.0).count() == 3
+
+
+def test_nearest_targets_at_any_distance(spark):
+    """A source far from all, and one without any."""
+    a = {"near": [(0, 0), (0, 40)], "far": [(3000, 0), (3000, 30)]}
+    b = {1: [(2, 0), (2, 40)], 2: [(2400, 0), (2400, 30)], 3: [(5000, 0), (5000, 30)]}
+    plain = tables(spark, a, b)
+    assert [s for r in plain["errors"] for s in r.sources].count("far") == 1
+    t = tables(spark, a, b, any_distance=True)
+    assert not t["errors"] and {r.source_id: r.dest_ids for r in t["summary"]} == {"near": "1", "far": "2"}
+    every = dag.segment_net(sorted(b.items()), 5.0)
+    for name, line in a.items():
+        want = dag.match_runs(dag.segment_net([(name, line)], 5.0), every, 10.0, weight=2.0)[0]
+        assert next(r.cost for r in t["costs"] if r.sources == [name]) == pytest.approx(want)
+    assert [r.sources for r in tables(spark, {"x": [(0, 0), (9, 0)]}, {}, any_distance=True)["errors"]] == [["x"]]
