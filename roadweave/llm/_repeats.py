@@ -24,6 +24,8 @@ from ._kit import Batches, Scratch, batches, mixed, pieces
 STRETCH = 12 << 20
 #: Buckets of hashes for each partition, so that partitions come out alike; more would make more and smaller packets.
 FINER = 4
+#: Marks that a worker gathers from its buckets before it sends them.
+TOGETHER = 1 << 20
 #: A null doc_id, last in order.
 LAST = 2**63 - 1
 MARKS = "dest int, keys binary, counts binary, at binary"
@@ -207,6 +209,7 @@ def exchange(rows: DataFrame, n: int, resolve: Callable[[dict[str, np.ndarray]],
     """Rows of MARKS from packets: resolve says which entries of a bucket are marked. With `hot`, checks are counts, and hashes that occur more often are told too."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for held, done in grouped_packets(parts):
             if done is not None:
                 yield done
@@ -219,9 +222,20 @@ def exchange(rows: DataFrame, n: int, resolve: Callable[[dict[str, np.ndarray]],
                 if (total > hot).any():
                     yield batches({"dest": [HOT_ROWS], "keys": [b""], "counts": [total[total > hot].tobytes()], "at": [own[total > hot].tobytes()]}, MARKS_ARROW)
             if hit.any():
-                # copies of a key in several packets are one document
-                keys, doc = np.unique(e["key"], axis=0, return_inverse=True)
-                yield batches(marks_of(doc.ravel()[e["doc"][hit]], e["at"][hit], keys, n), MARKS_ARROW)
+                used, doc = np.unique(e["doc"][hit], return_inverse=True)
+                waiting.append((e["key"][used], doc.ravel(), e["at"][hit]))
+                if sum(len(w[1]) for w in waiting) >= TOGETHER:
+                    yield sent(waiting)
+                    waiting.clear()
+        if waiting:
+            yield sent(waiting)
+
+    def sent(waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """The marks of several buckets, a row for each part that they go to; a key's copies in several packets are one document."""
+        before = np.cumsum([0, *(len(w[0]) for w in waiting)])
+        keys, doc = np.unique(np.concatenate([w[0] for w in waiting]), axis=0, return_inverse=True)
+        at = np.concatenate([w[1] + b for w, b in zip(waiting, before, strict=False)])
+        return batches(marks_of(doc.ravel()[at], np.concatenate([w[2] for w in waiting]), keys, n), MARKS_ARROW)
 
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS)
 
