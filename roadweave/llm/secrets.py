@@ -11,7 +11,7 @@ lengths of the pieces between matches (split) and of the matches themselves.
 
 A ledger may be kept at a path between runs (scan_and_keep); one without a path starts empty.
 
-Scale: one pass addresses the blobs; the text of one row for each blob moves once, by its doc_id and blob, so a blob that a
+Scale: one pass addresses the blobs; the text of one row for each blob moves once, unsorted, by its doc_id and blob, so a blob that a
 third of all rows share is scanned once and no key gathers its copies, as long as they have ids of their own (rows that
 repeat both, or have the same text and no id, all move and are scanned). Only blobs with findings join back.
 
@@ -41,15 +41,15 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 PIECE = 1024
 
 
-def matches_of(text: Column, rank: int, kind: str, pattern: str, group: int, least: int, needs: str | None) -> Column:
-    """A rule with its matches in order: the lengths of what lies before each, of the match, and of the part that is judged."""
+def matches_of(text: Column, rank: int, pattern: str, group: int, least: int, needs: str | None) -> Column:
+    """A rule's place with its matches in order: the lengths of what lies before each, of the match, and of the part that is judged."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     own = F.transform(found, F.char_length)
     parts = F.arrays_zip(F.slice(F.transform(F.split(text, pattern, -1), F.char_length), F.lit(1), F.size(own)).alias("gap"), own.alias("own"), F.transform(judged, F.char_length).alias("judged"))
     has = text.contains(needs) if needs else text.rlike(pattern)
     parts = F.when(has, parts).otherwise(F.array().cast("array<struct<gap:int,own:int,judged:int>>"))
-    return F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(least).alias("least"), parts.alias("parts"))
+    return F.struct(F.lit(rank).alias("rank"), F.lit(least).alias("least"), parts.alias("parts"))
 
 
 def joined(spans: Column) -> Column:
@@ -57,19 +57,20 @@ def joined(spans: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """blob, spans of rows (blob, text), a row for each blob.
+    """blob, spans of rows (blob, text), a row for each blob that has findings.
 
-    Texts leave nothing but lengths, which are written; the places of matches are their running sums. A list that grows in a
-    fold would be copied for every match.
+    Texts leave nothing but lengths, a row for each match, which move once; the places of matches are their running sums. A
+    list that grows in a fold would be copied for every match.
     """
-    sizes = blobs.select("blob", F.array(*(matches_of(F.col("text"), k, *r) for k, r in enumerate(rules))).alias("rules")).dropDuplicates(["blob"])
-    sizes = Scratch(blobs.sparkSession, "matches").table(sizes, "sizes")
-    rows = sizes.select("blob", F.explode("rules").alias("r")).select("blob", "r.rank", "r.kind", "r.least", F.posexplode("r.parts").alias("nth", "m"))
+    found = F.explode(F.array(*(matches_of(F.col("text"), k, *r) for k, (_, *r) in enumerate(rules))))
+    rows = blobs.select("blob", found.alias("r")).select("blob", "r.rank", "r.least", F.posexplode("r.parts").alias("nth", "m"))
+    rows = rows.select("blob", "rank", "nth", "m.gap", "m.own", (F.col("m.judged") >= F.col("least")).alias("kept"))
+    rows = rows.repartition("blob").dropDuplicates(["blob", "rank", "nth"])
     before = Window.partitionBy("blob", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.own")).over(before).cast("int")).where(F.col("m.judged") >= F.col("least"))
-    span = F.struct((F.col("end") - F.col("m.own")).alias("start"), "rank", "end", "kind")
-    spans = rows.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    return sizes.select("blob").join(spans, "blob", "left").select("blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("own")).over(before).cast("int")).where("kept")
+    kind = F.element_at(F.array(*(F.lit(r[0]) for r in rules)), F.col("rank") + 1)
+    span = F.struct((F.col("end") - F.col("own")).alias("start"), "rank", "end", kind.alias("kind"))
+    return rows.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def address(docs: DataFrame) -> DataFrame:
@@ -104,17 +105,19 @@ def scan_history(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     The findings are read from tables that are written here, so a ledger may grow afterwards.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    paths = scratch.table(address(docs).select("doc_id", "blob"), "paths")
+    paths = scratch.table(address(docs).select("doc_id", "blob").hint("rebalance"), "paths")  # few files, whatever the splits
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
-    here = address(docs).alias("d").join(unseen.alias("u"), (F.col("d.doc_id").eqNullSafe(F.col("u.doc_id"))) & (F.col("d.blob") == F.col("u.blob")), "left_semi")
-    new = scratch.table(scan_blobs(here, rules).select("blob", F.lit(version).alias("rule_version"), "spans"), "new")
-    hits = new.where(F.size("spans") > 0).select("blob", "spans")
+        unseen = scratch.table(unseen.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti"), "unseen")
+    # The short rows are hashed; texts stream past them and are not sorted.
+    here = address(docs).alias("d").join(unseen.alias("u").hint("shuffle_hash"), (F.col("d.doc_id").eqNullSafe(F.col("u.doc_id"))) & (F.col("d.blob") == F.col("u.blob")), "left_semi")
+    hits = scratch.table(scan_blobs(here, rules), "hits")
+    none = F.array().cast(SPAN)
+    new = unseen.join(hits, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", none).alias("spans"))
     if ledger is not None:
         old = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).join(paths.select("blob").distinct(), "blob", "left_semi")
         hits = hits.unionByName(scratch.table(old.dropDuplicates(["blob"]).select("blob", "spans"), "old"))
-    found = paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    found = paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
     return found, new
 
 

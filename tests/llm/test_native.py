@@ -118,6 +118,23 @@ def test_ledger_scans_only_unseen_blobs(spark):
     assert secrets.scan_history(more.limit(0))[0].count() == 0
 
 
+def test_scans_write_few_files_and_sort_no_texts(spark, monkeypatch):
+    plans, files, table = {}, {}, secrets.Scratch.table
+
+    def written(self, df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        out = table(self, df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(secrets.Scratch, "table", written)
+    rows = [(k, f"token=abcdefghijkl{k % 40} 0123456789abcdef", "s") for k in range(64)]
+    found, new = secrets.scan_history(docs(spark, rows).repartition(16))
+    assert sorted(files) == ["hits", "paths"] and sum(files.values()) <= 4
+    assert "ShuffledHashJoin" in plans["hits"] and "SortMergeJoin" not in plans["hits"]
+    assert new.count() == 40 and [len(r.spans) for r in found.collect()] == [2] * 64
+
+
 def test_redaction(spark):
     found, _ = secrets.scan_history(docs(spark, [(1, "a token=abcdefghijklmnop b 0123456789abcdef c", "s"), (2, "nothing", "s")]))
     t = docs(spark, [(1, "a token=abcdefghijklmnop b 0123456789abcdef c", "s"), (2, "nothing", "s")]).select("doc_id", "text").join(found, "doc_id")
