@@ -10,10 +10,10 @@ darts of a document are looked at, whatever its size.
 Bands of ROWS coordinates bring documents together. Copies of a shingle set are one class. In every band bucket each
 member is paired with the bucket's first class; pairs whose signatures agree enough (ESTIMATE) are verified by exact
 similarity on the shingles, and make components. Then classes of a bucket that are still in different components are
-paired and verified too. So a bucket of thousands of near copies costs a pair for each member, and no link that would join
-two components is left out.
+paired and verified too, but for pairs that others of their block have joined already. So a bucket of thousands of near copies
+costs a pair for each member and has fewer further links than members, and no link that would join two components is left out.
 
-Scale: no list of pairs within a group of near copies, no cap on buckets; a bucket above TILE members is dealt as pairs of
+Scale: no list of pairs or links within a group of near copies, no cap on buckets; a bucket above TILE members is dealt as pairs of
 tiles, and sketches of a byte for each coordinate are compared where they lie. The only quadratic case is a bucket with
 many documents that are pairwise not similar though ROWS coordinates agree.
 
@@ -215,17 +215,35 @@ def involved(least: float):
 
 
 def linked(least: float):
-    """The open pairs of blocks whose exact similarity is at least `least`; rows carry their shingles."""
+    """Pairs of parts of blocks that join them as all open pairs of exact similarity `least` would; rows carry their shingles.
+
+    A pair whose parts are already joined in its block decides nothing and isn't verified, so a block has fewer links than parts.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Batches:
         for key, t in by_block(parts):
-            cls, hashes, counts = (t.column(c).to_pylist() for c in ("class", "hashes", "counts"))
-            pairs = [(cls[x], cls[k]) for x, y in open_pairs(key, t, least) for k in y if alike(hashes[x], counts[x], hashes[k], counts[k], least)]
+            part, hashes, counts = (t.column(c).to_pylist() for c in ("part", "hashes", "counts"))
+            group = np.unique(np.array(part, object), return_inverse=True)[1]
+            pairs = []
+            for x, y in open_pairs(key, t, least):
+                y = y[group[y] != group[x]]
+                while len(y):
+                    k, y = y[0], y[1:]
+                    if alike(hashes[x], counts[x], hashes[k], counts[k], least):
+                        pairs.append((part[x], part[k]))
+                        group[group == group[k]] = group[x]
+                        y = y[group[y] != group[x]]
             yield batches({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, LINK)
 
     return run
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the components of `links` (a, b), where a class b has BANDS heads a at most: each with its least head, and that with the others."""
+    least = links.groupBy("b").agg(F.collect_set("a").alias("heads")).withColumn("a", F.array_min("heads"))
+    return least.select("a", F.explode(F.concat("heads", F.array("b"))).alias("b")).where("a <> b").distinct()
+
+
 def alike(ha: bytes, ca: bytes, hb: bytes, cb: bytes, least: float) -> bool:
     x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
     if not ca and not cb:
@@ -253,7 +271,7 @@ def shingle_sets(classes: DataFrame, firsts: DataFrame, texts: DataFrame, weight
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, least: float, weights: str, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of classes whose exact similarity is at least `least`."""
+    """Pairs of classes with the components of those pairs (a: a head, b) whose exact similarity is at least `least`."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Batches:
         for b in parts:
@@ -263,7 +281,7 @@ def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, least: float
     known = scratch.table(shingle_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), firsts, texts, weights), "sets-first")
     left, right = known.toDF("a", "ha", "ca"), known.toDF("b", "hb", "cb")
     found = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, PAIRS)
-    found = scratch.table(found.distinct(), "links-first")
+    found = scratch.table(stars(found), "links-first")
     scratch.drop("sets-first")
     return found
 
@@ -300,7 +318,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
     links = verified(first, firsts, texts, least, weights, scratch)
     parts = connected_components(links, "a", "b")
     # A head's pairs were tried. What else shares a bucket and is still apart is tried now; the largest part of a bucket
-    # meets the others, never itself. No row is made for a pair, only for a member of a block and for a link.
+    # meets the others, never itself. No row is made for a pair, only for a member of a block and for a link that joins parts.
     placed = crowded.where("class <> head").join(parts.withColumnRenamed("node", "class"), "class", "left").select("bucket", "n", "class", F.coalesce("component", "class").alias("part"))
     placed = scratch.table(placed, "placed")
     counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("m"))
@@ -311,11 +329,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, weights: str = "set") -
     full = placed.join(own, "class").select("bucket", "i", "j", "tile", "class", "part", "main", "size", "sketch", "bands")
     dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class")
     second = scratch.table(dealt(full).mapInArrow(involved(least), BLOCK), "second")
+    group = own.select("class", "first").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     if not second.isEmpty():
         known = scratch.table(shingle_sets(second.select("class"), firsts, texts, weights), "sets-second")
         more = dealt(second.join(known, "class").select(*second.columns, "hashes", "counts")).mapInArrow(linked(least), PAIRS)
-        parts = connected_components(links.union(scratch.table(more.distinct(), "links-second")), "a", "b")
-    group = own.select("class", "first").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "first", F.coalesce("component", "class").alias("component"))
+        whole = connected_components(scratch.table(more.distinct(), "links-second"), "a", "b").toDF("component", "whole")
+        group = group.join(whole, "component", "left").select("class", "first", F.coalesce("whole", "component").alias("component"))
     group = scratch.table(group, "groups")
     named = group.groupBy("component").agg(F.min("first").alias("name"))
     by_set = scratch.table(group.join(named, "component").select(F.col("class").alias("set"), "name"), "sets")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,6 +395,60 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert {r.class_id for r in out if r.doc_id == 3} == {1} and want[3, rows[3][1]] == (1, False)
 
 
+def roots(pairs, nodes):
+    root = {n: n for n in nodes}
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        root = {n: min(a, b) if r in (a, b) else r for n, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("spread", [0, 6, 12, 20])
+def test_links_of_a_block_are_a_forest(spread):
+    draw = np.random.default_rng(spread)
+    base = draw.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: 100 - k], draw.integers(0, 2**63, k, dtype=np.uint64)))) for k in draw.integers(0, spread + 1, 60)]
+    names = [bytes([k]) * 16 for k in range(60)]
+    part = [names[k - k % (2 if k < 20 else 1)] for k in range(60)]  # the first ones in pairs
+    sketch, bands = bytes(minhash_dedup.K), np.arange(minhash_dedup.BANDS).tobytes()
+    t = pa.RecordBatch.from_pydict({"bucket": [0] * 60, "i": [0] * 60, "j": [0] * 60, "tile": [0] * 60, "class": names, "part": part, "main": [part[0]] * 60, "size": [len(s) for s in sets], "sketch": [sketch] * 60, "bands": [bands] * 60, "hashes": [s.tobytes() for s in sets], "counts": [b""] * 60})
+    got = [(r["a"], r["b"]) for b in minhash_dedup.linked(0.8)(iter([t])) for r in b.to_pylist()]
+    every = [(part[x], part[y]) for x in range(60) for y in range(x) if minhash_dedup.alike(sets[x].tobytes(), b"", sets[y].tobytes(), b"", 0.8)]
+    assert roots(got, part) == roots(every, part) and len(got) < len(set(part)) < len(every)
+
+
+def test_heads_are_linked_once(spark):
+    draw = random.Random(3)
+    pairs = {(f"a{draw.randint(0, 30):02}", f"b{k}") for k in range(400) for _ in range(draw.randint(1, 3))}
+    got = [tuple(r) for r in minhash_dedup.stars(spark.createDataFrame(sorted(pairs), "a string, b string")).collect()]
+    nodes = {n for p in pairs for n in p}
+    assert roots(got, nodes) == roots(pairs, nodes) and len(got) <= 400 + 31 * 30 / 2
+
+
+def test_borderline_copies_make_few_links(spark, monkeypatch):
+    draw = random.Random(11)
+    base = [f"w{k}" for k in range(184)]
+
+    def copy(k):  # pairs of such copies are about as often below 0.8 as above
+        words = list(base)
+        for n, at in enumerate(draw.sample(range(5, 180), draw.choice([1, 2, 2, 3]))):
+            words[at] = f"x{k}-{n}"
+        return " ".join(words)
+
+    texts, counts, table = [copy(k) for k in range(150)], {}, minhash_dedup.Scratch.table
+
+    def written(self, df, name):
+        out = table(self, df, name)
+        counts[name] = counts.get(name, 0) + out.count() if name.startswith("links") else 0
+        return out
+
+    monkeypatch.setattr(minhash_dedup.Scratch, "table", written)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(180)} for t in texts]
+    want = roots([(x, y) for x in range(150) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])], range(150))
+    assert got == want and counts["links-first"] < 300 and counts.get("links-second", 0) < 150
+
+
 def test_near_duplicates_by_counts(spark):
     """Weighted signatures end to end: shingles that occur often count as often."""
     draw = random.Random(4)
