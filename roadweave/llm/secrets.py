@@ -152,7 +152,7 @@ def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]")
     hits = merged(scan_and_keep(docs, ledger).where(F.size("spans") > 0).dropDuplicates(["blob"]))
     hits = Scratch(docs.sparkSession, "redact").table(hits.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "hits")
     own = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    whole = docs.join(hits.hint("merge"), own == F.col(blob), "left")
+    whole = docs.join(hits.hint("shuffle_hash"), own == F.col(blob), "left")
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(spans), mark))
     new = {"text": text}
     if (kind := dict(docs.dtypes).get("n_chars")) is not None:

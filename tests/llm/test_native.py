@@ -135,6 +135,13 @@ def test_scans_write_few_files_and_sort_no_texts(spark, monkeypatch):
     assert new.count() == 40 and [len(r.spans) for r in found.collect()] == [2] * 64
 
 
+def test_redaction_sorts_no_texts(spark):
+    out = secrets.redacted(docs(spark, [(k, f"token=abcdefghijkl{k % 40} x" if k % 2 else "plain", "s") for k in range(64)]))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.text for r in out.collect()) == ["[SECRET] x"] * 32 + ["plain"] * 32
+
+
 def test_redaction(spark):
     found, _ = secrets.scan_history(docs(spark, [(1, "a token=abcdefghijklmnop b 0123456789abcdef c", "s"), (2, "nothing", "s")]))
     t = docs(spark, [(1, "a token=abcdefghijklmnop b 0123456789abcdef c", "s"), (2, "nothing", "s")]).select("doc_id", "text").join(found, "doc_id")
