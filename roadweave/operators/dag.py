@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions import batch as many
 from roadweave.functions import dag
 from roadweave.operators.components import connected_components
-from roadweave.operators.spatial import within_join
+from roadweave.operators.spatial import measured, within_join
 from roadweave.plans.scratch import Scratch, kernel_parts
 
 PAIR = "source_id {a}, dest_id {b}, a_seq int, place int, b_seq int, dist_m double, turn double, a_from double, a_to double, a_size double, b_from double, b_to double, b_size double"
@@ -21,9 +23,15 @@ PARTS = ("source_id", "part", "part_type", "dest_id", "a_from_m", "a_to_m", "a_l
 def components_of(a: DataFrame, decimals: int = 3) -> DataFrame:
     """Adds `component` to edges (id, pts): edges whose vertices meet (rounded alike) share one."""
     key = lambda p: F.concat_ws(",", F.round(p["x"], decimals).cast("string"), F.round(p["y"], decimals).cast("string"))
-    ends = a.withColumn("_u", key(F.col("pts")[0])).withColumn("_e", F.transform("pts", key))
-    parts = connected_components(ends.select("_u", F.explode("_e").alias("_v")), "_u", "_v")
-    return ends.join(parts, F.col("_u") == F.col("node")).drop("_u", "_e", "node")
+    ends = a.where(F.size("pts") > 0).withColumn("_u", F.array_min(F.transform("pts", key)))
+    # an edge goes by its least vertex; only vertices that edges of different names share join anything
+    met = ends.select("_u", F.explode(F.transform("pts", key)).alias("_v"))
+    shared = met.groupBy("_v").agg(F.min("_u").alias("_w"), F.max("_u").alias("_x")).where("_w <> _x").select("_v", "_w")
+    links = Scratch(a.sparkSession, "dag").table(met.join(shared, "_v").where("_u <> _w").select("_u", "_w").distinct(), "links")
+    if links.isEmpty():
+        return ends.withColumnRenamed("_u", "component")
+    parts = connected_components(links, "_u", "_w")
+    return ends.join(parts, F.col("_u") == F.col("node"), "left").withColumn("component", F.coalesce("component", "_u")).drop("_u", "node")
 
 
 def stretches(pairs: DataFrame) -> DataFrame:
@@ -86,17 +94,64 @@ def placed_edges(a: DataFrame, decimals: int = 3) -> DataFrame:
 
 def meetings(placed: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     """(component, a, b): the edges of each component of the source and the target edges within reach of it, in one row."""
-    near = within_join(placed.select(F.struct("component", "id").alias("id"), "pts"), b.select("id", "pts"), reach)
-    near = near.select(F.col("id_a.component").alias("component"), F.col("id_b").alias("id"), F.col("pts_b").alias("pts")).dropDuplicates(["component", "id", "pts"])
-    edge = F.struct("id", "pts")
-    own = placed.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("a"))
-    return own.join(near.groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("b")), "component", "left").repartition(kernel_parts(placed.sparkSession))
+    near = measured(within_join(placed.select(F.col("component").alias("id"), "pts"), b.select("id", "pts"), reach, exact=False), reach)
+    edge, parts = F.struct("id", "pts"), kernel_parts(placed.sparkSession)
+    near = near.select(F.col("id_a").alias("component"), F.col("id_b").alias("id"), F.col("pts_b").alias("pts")).repartition(parts, "component")
+    own = placed.repartition(parts, "component").groupBy("component").agg(F.array_sort(F.collect_list(edge)).alias("a"))
+    return own.join(near.groupBy("component").agg(F.array_sort(F.collect_set(edge)).alias("b")), "component", "left")
 
 
 def _line(e: dict) -> tuple:
     return e["id"], [(p["x"], p["y"]) for p in e["pts"]]
 
 
+#: Pairs of segments of both sides (estimated) of components that are taken together, and of one that is taken alone.
+TOGETHER, ALONE = 2_000_000, 200_000
+
+
+class _Side:
+    """The edges of a column (component by component) as arrays; `whole` tells rows that have all their numbers."""
+
+    def __init__(self, edges: pa.ListArray, step: float):
+        self.counts = edges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = edges.flatten()
+        self.ids, pts = flat.field("id"), flat.field("pts")
+        self.sizes = pts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        p = pts.flatten()
+        self.points = np.stack([p.field(k).to_numpy(zero_copy_only=False).astype(float) for k in "xy"], axis=1).reshape(-1, 2)
+        row = np.repeat(np.arange(len(edges)), self.counts)
+        line = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        add = lambda at, x=None: np.bincount(at, x, minlength=len(edges))
+        self.whole = (add(row[line], ~np.isfinite(self.points).all(1)) == 0) & (add(row, pts.is_null().to_numpy(zero_copy_only=False)) == 0)
+        d = np.where(line[1:] == line[:-1], np.hypot(*(self.points[1:] - self.points[:-1]).T), 0.0) if len(line) else np.zeros(0)
+        self.stations = add(row[line[1:]], d) / step + add(row[line]) + 2 * self.counts if len(line) else 2.0 * self.counts
+
+    def net(self, step: float, decimals: int) -> many.Nets:
+        names = self.ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return many.nets(self.counts, names, self.sizes, self.points, step, decimals)
+
+
+def _together(rows: pa.RecordBatch, least: int, reach: float, look: bool, radius: float, last: bool, alpha: float, beta: float, weight: float, step: float, decimals: int, most_rows: int, target: pa.Schema) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows of `match_dag`'s kernel for the components that are solved together, and which those are."""
+    a, b = (_Side(rows.column(k), step) for k in "ab")
+    x, y = a.net(step, decimals), b.net(step, decimals)
+    c = many.candidates(x, y, radius, weight, least, look)
+    s = many.solve(x, y, c, alpha, beta, most_rows)
+    done = (np.isfinite(s.cost) | (s.none & last)) & (c.farthest <= reach if look else True)
+    keep = done[s.owner]
+    own, u, v, place = s.owner[keep], s.u[keep], s.v[keep], s.place[keep]
+    turn = np.abs(x.bearing[u] - y.bearing[v]) % 360.0
+    (a_from, a_to, a_size), (b_from, b_to, b_size) = many.spans(x), many.spans(y)
+    pairs = [a.ids.take(pa.array(x.edge[u])), b.ids.take(pa.array(y.edge[v])), x.seq[u], place, y.seq[v], ((x.xy[u] - y.xy[v]) ** 2).sum(1) ** 0.5, np.minimum(turn, 360.0 - turn), a_from[u], a_to[u], a_size[u], b_from[v], b_to[v], b_size[v]]
+    kind = target.field("pairs").type.value_type
+    pairs = pa.StructArray.from_arrays([(p if isinstance(p, pa.Array) else pa.array(p)).cast(f.type) for p, f in zip(pairs, kind, strict=True)], fields=list(kind))
+    at = np.flatnonzero(done)
+    lists = lambda counts, values, name: pa.ListArray.from_arrays(pa.array(many.starts(counts).astype(np.int32)), values).cast(target.field(name).type)
+    ids = a.ids.take(pa.array(np.flatnonzero(np.repeat(done, a.counts))))
+    columns = [rows.column("component").take(pa.array(at)), pa.array(s.cost[at], mask=s.none[at]), pa.array(np.full(len(at), f"NoMatching: {dag.NOTHING}", object), mask=~s.none[at], type=pa.string()), pa.array(np.zeros(len(at), bool)), lists(a.counts[at], ids, "sources"), lists(np.bincount(own, minlength=len(done))[at], pairs, "pairs")]
+    return pa.RecordBatch.from_arrays([k.cast(f.type) for k, f in zip(columns, target, strict=True)], schema=target), done
+
+
 def plan_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, bearing_weight: float = 2.0, step: float = 5.0, decimals: int = 3, k_min: int = 1, most_rows: int = 2_000_000) -> DataFrame:
     """(component, n_edges, vertices, profile_rows, elimination_rows, engine): what matching each component may need, before any is matched.
 
@@ -139,6 +194,20 @@ def match_dag(a: DataFrame, b: DataFrame, max_distance: float = 20.0, alpha: flo
     schema = f"component string, cost double, error string, far boolean, sources array<{kinds['a']}>, pairs array<struct<{short(PAIR)}>>"
 
     def run(batches: Iterator[pa.RecordBatch], reach: float, look: bool) -> Iterator[pa.RecordBatch]:
+        """Components that are alike are solved together, the others one by one."""
+        for batch in batches:
+            sides = [_Side(batch.column(k), step) for k in "ab"]
+            work = sides[0].stations * sides[1].stations
+            light = np.flatnonzero(sides[0].whole & sides[1].whole & (work <= ALONE) & (sides[1].counts > 0)) if max_seconds is None else np.zeros(0, np.int64)
+            alone = np.ones(batch.num_rows, bool)
+            group = np.cumsum(work[light]) // TOGETHER
+            for part in np.split(light, np.flatnonzero(np.diff(group)) + 1) if len(light) else ():
+                solved, done = _together(batch.take(pa.array(part)), k_min, reach, look, max_distance * radii[0], len(radii) == 1, alpha, beta, bearing_weight, step, decimals, most_rows, target)
+                alone[part[done]] = False
+                yield solved
+            yield from one_by_one([batch.filter(pa.array(alone))] if alone.any() else [], reach, look)
+
+    def one_by_one(batches: Iterable[pa.RecordBatch], reach: float, look: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
