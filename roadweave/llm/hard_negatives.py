@@ -2,17 +2,21 @@
 
 Scores of a stated query set (the anchors) against all rows are a product of two integer matrices. Rows are dealt into
 panels of about PANEL rows, anchors into panels of about ANCHORS; each panel is cut into `depth` chunks of dimensions. An
-anchor panel and a row panel meet once for each chunk and give a partial tile of int64 scores; the partial tiles of a pair
-of panels are added by a shuffle on the pair, and a whole tile is reduced at once to its best rows, so no score outlives its
-tile. The best of all tiles are taken by Spark's own limited windows.
+anchor panel and a row panel meet once for each chunk and give a partial tile of scores; the partial tiles of a pair of
+panels are added, and a whole tile is reduced at once to its best rows, so no score outlives its tile. Panels meet at places
+for a group of anchor panels and a group of row panels, all chunks of both, so that the partial tiles of a pair are made,
+and added, in one task, and only rows that are still among the best leave it. Vectors of more than WIDE dimensions would
+fill such a task: their chunks meet one by one, and their partial tiles are added by a shuffle on the pair. The best of all
+tiles are taken by Spark's own limited windows.
 
 Two products: the first meets panels of one label only and gives each anchor's positives; the second meets all rows and
 keeps, for each anchor and positive, the best rows of other labels in the positive's window of scores.
 
 Scale: labels with more than PANEL / 4 rows have panels of their own, others share panels by hash, so a label of any size is
-many panels. An anchor panel is sent once to each row panel, never broadcast. Work and the bytes of tiles grow with
-anchors x rows, as all scores are asked for; a task holds two panels and a tile (4 MB at most as it is sent: the narrowest
-integers that hold it).
+many panels. Nothing is broadcast: an anchor panel is sent once to each group of row panels (GROUP bytes), a row panel once
+to each group of anchor panels. Work grows with anchors x rows, as all scores are asked for; of most scores it is a product
+and two comparisons: a score counts only from the worst of the best so far on, which tightens as panels go by. A task holds
+a group of each side, a tile, and the best rows of a panel's anchors.
 
 Defined results: rows with a null label, a null vector, or a null or non-finite component take no part; rows without vec_id
 are no anchors, keep their label and come last among equal scores; repeated ids are rows of their own (an anchor leaves out
@@ -37,6 +41,8 @@ from roadweave.plans.scratch import kernel_parts
 from ._kit import Batches, Scratch
 
 PANEL, ANCHORS = 2048, 512
+#: Bytes of a group of row panels, anchor panels in a group, dimensions up to which all chunks of a pair meet in one task.
+GROUP, ANCHOR_GROUP, WIDE = 24 << 20, 32, 4096
 #: Fixed values of the score windows, in hundredths of the positive's score.
 LOW, SCALE, HIGH = 30, 100, 90
 #: Score of rows that aren't eligible; below every score.
@@ -210,6 +216,142 @@ def _best_in_windows(k: int) -> Callable:
     return reduce
 
 
+class _Best:
+    """The first k rows of each pair (an anchor and what it asks for), in order: score, then id, rows without one last, then row."""
+
+    def __init__(self, pairs: int, k: int, low: np.ndarray):
+        self.k, self.low = k, low  # the least score that still counts
+        self.pair, self.score, self.unnamed, self.id, self.row = (np.zeros(0, np.int64) for _ in range(5))
+        self.more: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, pair: np.ndarray, score: np.ndarray, unnamed: np.ndarray, ids: np.ndarray, row: np.ndarray) -> None:
+        """Rows wait until they are a fair part of what is held; until then `low` says a little less than it could."""
+        self.more.append((pair, score, unnamed, ids, row))
+        self.waiting += len(pair)
+        if 4 * self.waiting > max(len(self.pair), 1024):
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        new = [np.concatenate([a, *b]).astype(np.int64) for a, *b in zip((self.pair, self.score, self.unnamed, self.id, self.row), *self.more, strict=True)]
+        self.more, self.waiting = [], 0
+        order = np.lexsort((new[4], new[3], new[2], -new[1], new[0]))
+        own = new[0][order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        rank = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+        self.pair, self.score, self.unnamed, self.id, self.row = (x[order[rank < self.k]] for x in new)
+        last = order[rank == self.k - 1]
+        self.low[new[0][last]] = np.maximum(self.low[new[0][last]], new[1][last])
+
+
+def scores(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sum of the partial tiles of all chunks, exact: in the narrowest kind that holds every sum of magnitudes."""
+    most = sum(x.shape[1] * int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) for x, y in zip(a, b, strict=True))
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    whole = np.zeros((len(a[0]), len(b[0])), kind)
+    for x, y in zip(a, b, strict=True):
+        whole += x.astype(kind) @ y.astype(kind).T
+    return whole
+
+
+#: Rows of a panel after which the best so far are looked at again, while they are few.
+SLICES = (64, 256, 1024)
+
+
+def _whole_panels(table: pa.Table) -> list[dict]:
+    """Panels with their chunks side by side."""
+    found: dict[tuple, dict] = {}
+    for k in range(table.num_rows):
+        x = {c: table[c][k].as_py() for c in table.column_names}
+        p = found.setdefault((x["home"], x["part"]), {"chunks": {}} | {c: np.frombuffer(x[c], np.int8 if c == "unnamed" else np.int64) for c in ("rows", "ids", "unnamed", "labels", "wanted")})
+        p["chunks"][x["chunk"]] = (x["panel"], x["width"])
+    return list(found.values())
+
+
+def _chunks(panel: dict) -> list[np.ndarray]:
+    """The numbers of each chunk, in the narrow integers that they came in."""
+    n = len(panel["rows"])
+    return [np.frombuffer(b, np.int8)[1:].view(f"<i{b[0]}").reshape(n, width) if width else np.zeros((n, 0), np.int8) for b, width in (panel["chunks"][k] for k in sorted(panel["chunks"]))]
+
+
+def _best_of_groups(k: int, alike: bool) -> Callable:
+    """The first k rows of each anchor (`alike`: of its label), or of each anchor and positive, among a group of row panels."""
+
+    def reduce(key: tuple, anchors: pa.Table, rows: pa.Table) -> pa.Table:
+        blocks = [(p, _chunks(p)) for p in _whole_panels(rows)]
+        out = []
+        for n in _whole_panels(anchors):
+            of = len(n["rows"])
+            if alike:
+                anchor, positive, positive_score = np.arange(of), np.zeros(of, np.int64), np.zeros(of, np.int64)
+                top, low = np.full(of, np.iinfo(np.int64).max), np.full(of, NEVER + 1)
+            else:
+                w, at, per = n["wanted"], 0, []
+                while at < len(w):
+                    per.append(int(w[at]))
+                    at += 1 + 2 * per[-1]
+                per = np.array(per, np.int64)
+                anchor = np.repeat(np.arange(of), per)
+                pairs = np.delete(w, np.cumsum(1 + 2 * per) - 1 - 2 * per).reshape(-1, 2)
+                positive_score, positive = pairs[:, 0], pairs[:, 1]
+                top, low = (HIGH * positive_score) // SCALE, -((-LOW * positive_score) // SCALE)  # whole scores at most and at least
+            best, a = _Best(len(anchor), k, low.copy()), _chunks(n)
+            begin = np.searchsorted(anchor, np.arange(of + 1))
+            asks = np.flatnonzero(np.diff(begin))
+            least, upper = np.zeros(of, np.int64), np.zeros(of, np.int64)
+            if len(asks):
+                upper[asks] = np.maximum.reduceat(top, begin[asks])
+            for p, b in blocks:
+                use = asks  # a panel of one label is met only by anchors that it can answer
+                if len(p["labels"]) and (p["labels"] == p["labels"][0]).all():
+                    use = asks[(n["labels"][asks] == p["labels"][0]) == alike]
+                if not len(use):
+                    continue
+                mine = [x[use] for x in a]
+                cut = [0, *(x for x in SLICES if x < len(p["rows"])), len(p["rows"])] if len(best.score) < k * len(anchor) else [0, len(p["rows"])]
+                for f, e in zip(cut, cut[1:], strict=False):
+                    s = scores(mine, [x[f:e] for x in b])
+                    least[asks] = np.minimum.reduceat(best.low, begin[asks])
+                    hold = (lambda v: v.astype(s.dtype)) if s.dtype == np.int64 else (lambda v, m=2 ** (24 if s.dtype == np.float32 else 53): np.clip(v, -m, m).astype(s.dtype))  # noqa: B023
+                    i, j = np.divmod(np.flatnonzero((s >= hold(least[use])[:, None]) & (s <= hold(upper[use])[:, None])), e - f)
+                    own, there = use[i], f + j
+                    same = n["labels"][own] == p["labels"][there]
+                    keep = same & (n["rows"][own] != p["rows"][there]) if alike else ~same
+                    i, j, own, there = i[keep], j[keep], own[keep], there[keep]
+                    score = s[i, j].astype(np.int64)
+                    each = (begin[1:] - begin[:-1])[own]
+                    pair = np.repeat(begin[:-1][own], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+                    score, there = np.repeat(score, each), np.repeat(there, each)
+                    keep = (score >= best.low[pair]) & (score <= top[pair])
+                    pair, score, there = pair[keep], score[keep], there[keep]
+                    best.add(pair, score, p["unnamed"][there], p["ids"][there], p["rows"][there])
+            best.settle()
+            own = anchor[best.pair]
+            out.append(pa.table({
+                "anchor_row": n["rows"][own], "anchor_id": n["ids"][own], "positive_row": positive[best.pair], "positive_score": positive_score[best.pair],
+                "row": best.row, "id": pa.array(best.id, mask=best.unnamed > 0), "score": best.score,
+            }))
+        return pa.concat_tables(out) if out else arrow_schema(FOUND).empty_table()
+
+    return reduce
+
+
+def _met(anchors: DataFrame, rows: DataFrame, reduce: Callable) -> DataFrame:
+    """Groups of anchor panels and of row panels that meet (columns `meet` and `group`), each pair in one task."""
+    parts = kernel_parts(anchors.sparkSession)
+    names = ["meet", "group", *(c.split()[0] for c in PANELS.split(", "))]
+    a, b = (x.select(*(F.col(c).alias(c) for c in names)).repartition(parts, "meet", "group").groupBy("meet", "group") for x in (anchors, rows))
+    return a.cogroup(b).applyInArrow(reduce, FOUND)
+
+
+def _groups(panels: int, dimensions: int, panel: int, others: int, parts: int) -> int:
+    """Groups of row panels: GROUP bytes in each at most (two bytes a number), and enough of them for all tasks."""
+    fits = max(1, GROUP // max(1, 2 * dimensions * panel))
+    return max(1, math.ceil(panels / fits), min(panels, math.ceil(2 * parts / max(1, others))))
+
+
 def _added(partial: DataFrame, reduce: Callable) -> DataFrame:
     """Partial tiles added by a shuffle on their pair of panels, and reduced."""
     pair = ["a_home", "a_part", "home", "part"]
@@ -222,7 +364,7 @@ def _best(found: DataFrame, k: int, *by: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives: int = 10, depth: int = 2, panel: int = PANEL, per_anchor_panel: int = ANCHORS) -> DataFrame:
+def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives: int = 10, depth: int = 2, panel: int = PANEL, per_anchor_panel: int = ANCHORS, wide: int = WIDE) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of vectors (vec_id, label, embedding).
 
     is_anchor: a condition on `id` that tells the anchors. Ranks count the negatives of an anchor and positive from 1.
@@ -235,21 +377,39 @@ def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negative
     part = lambda n: F.pmod(F.xxhash64("row"), n)
     at_home = rows.join(home, "label").withColumn("part", part(F.col("parts")))
     blocks = scratch.table(panels(at_home, d, depth), "panels")
-    n_panels = blocks.where("chunk = 0").count()
+    n_panels, tasks = blocks.where("chunk = 0").count(), kernel_parts(spark)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
 
     anchors = at_home.where(is_anchor).drop("part", "parts")
     n = scratch.table(anchors.groupBy("home").agg(F.ceil(F.count("*") / per_anchor_panel).alias("cut")), "anchor-homes")
     of_label = panels(anchors.join(n, "home").withColumn("part", part(F.col("cut"))), d, depth)
     within = home.groupBy("home").agg(F.first("parts").alias("parts"))
-    meet = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.concat_ws("/", "home", k.cast("string"))))
-    alike = _added(partial_tiles(of_label.join(within, "home").withColumn("meet", meet), blocks.withColumn("meet", F.concat_ws("/", "home", F.col("part").cast("string")))), _best_alike(n_positives))
+    if d <= wide:
+        # a home's row panels in groups, its anchor panels in groups; each group of the one meets each of the other
+        most = _groups(n_panels, d, panel, 1, tasks)
+        sizes = within.join(n, "home").select("home", F.least("parts", F.ceil(F.col("parts") * most / max(1, n_panels))).alias("of_rows"), F.ceil(F.col("cut") / ANCHOR_GROUP).alias("of_anchors"))
+        named = lambda k: F.concat_ws("/", "home", k.cast("string"))
+        left = of_label.join(sizes, "home").withColumn("group", F.pmod("part", "of_anchors")).withColumn("meet", F.explode(F.transform(upto(F.col("of_rows")), named)))
+        right = blocks.join(sizes, "home").withColumn("meet", named(F.pmod("part", "of_rows"))).withColumn("group", F.explode(upto(F.col("of_anchors"))))
+        alike = _met(left, right, _best_of_groups(n_positives, True))
+    else:
+        meet = F.explode(F.transform(upto(F.col("parts")), lambda k: F.concat_ws("/", "home", k.cast("string"))))
+        alike = _added(partial_tiles(of_label.join(within, "home").withColumn("meet", meet), blocks.withColumn("meet", F.concat_ws("/", "home", F.col("part").cast("string")))), _best_alike(n_positives))
     positives = scratch.table(_best(alike, n_positives, "anchor_row"), "positives")
 
     wanted = positives.groupBy("anchor_row").agg(F.collect_list(F.struct("score", "row")).alias("wanted"))
     groups = max(1, math.ceil(wanted.count() / per_anchor_panel))
     asked = rows.join(wanted, F.col("row") == F.col("anchor_row")).select("row", "id", "label", "q", "wanted", F.lit("all").alias("home"), part(F.lit(groups)).alias("part"))
-    asked = panels(asked, d, depth).withColumn("meet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n_panels) - 1).cast("long"))))
-    other = _added(partial_tiles(asked, blocks.withColumn("meet", F.pmod(F.xxhash64("home", "part"), F.lit(max(1, n_panels))))), _best_in_windows(n_negatives))
+    asked = panels(asked, d, depth)
+    if d <= wide:
+        of_anchors = math.ceil(groups / ANCHOR_GROUP)
+        of_rows = _groups(n_panels, d, panel, of_anchors, tasks)
+        left = asked.withColumn("group", F.pmod("part", F.lit(of_anchors))).withColumn("meet", F.explode(upto(F.lit(of_rows))))
+        right = blocks.withColumn("meet", F.pmod(F.xxhash64("home", "part"), F.lit(of_rows))).withColumn("group", F.explode(upto(F.lit(of_anchors))))
+        other = _met(left, right, _best_of_groups(n_negatives, False))
+    else:
+        asked = asked.withColumn("meet", F.explode(upto(F.lit(max(1, n_panels)))))
+        other = _added(partial_tiles(asked, blocks.withColumn("meet", F.pmod(F.xxhash64("home", "part"), F.lit(max(1, n_panels))))), _best_in_windows(n_negatives))
     best = _best(other, n_negatives, "anchor_row", "positive_row")
     ids = positives.select("anchor_row", F.col("row").alias("positive_row"), F.col("id").alias("positive_id"))
     return best.join(ids, ["anchor_row", "positive_row"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
