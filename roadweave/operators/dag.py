@@ -42,21 +42,19 @@ def stretches(pairs: DataFrame) -> DataFrame:
     the tail. What is left falls into islands of one target edge. Stretches lie end to end from the first matched segment on.
     """
     way = Window.partitionBy("source_id").orderBy("a_seq", "place")
-    back = Window.partitionBy("source_id").orderBy(F.desc("a_seq"), F.desc("place"))
     whole = Window.partitionBy("source_id")
-    cell = F.struct("dest_id", "b_seq")
-    p = pairs.withColumn("cell", cell)
-    p = p.withColumn("lead", F.max((F.col("cell") != F.first("cell").over(way)).cast("int")).over(way) == 0)
-    p = p.withColumn("trail", F.max((F.col("cell") != F.first("cell").over(back)).cast("int")).over(back) == 0)
-    one = F.min(F.col("lead").cast("int")).over(whole) == 1  # a single target segment: nothing overhangs
-    p = p.withColumn("head", F.col("lead") & ~one & (F.col("a_seq") != F.max(F.when(F.col("lead"), F.col("a_seq"))).over(whole)))
-    p = p.withColumn("tail", F.col("trail") & ~one & (F.col("a_seq") != F.min(F.when(F.col("trail"), F.col("a_seq"))).over(whole)))
+    turns = lambda *c: F.coalesce(F.struct(*c) != F.lag(F.struct(*c)).over(way), F.lit(False))
+    p = pairs.withColumn("_turn", turns("dest_id", "b_seq").cast("int")).withColumn("_next", turns("a_seq").cast("int"))
+    p = p.withColumn("_turns", F.sum("_turn").over(way)).withColumn("_all", F.sum("_turn").over(whole))
+    lead, trail, one = F.col("_turns") == 0, F.col("_turns") == F.col("_all"), F.col("_all") == 0  # one target segment: nothing overhangs
+    p = p.withColumn("_near", F.max(F.when(lead, F.col("a_seq"))).over(whole)).withColumn("_far", F.min(F.when(trail, F.col("a_seq"))).over(whole))
+    p = p.withColumn("head", lead & ~one & (F.col("a_seq") != F.col("_near"))).withColumn("tail", trail & ~one & (F.col("a_seq") != F.col("_far")))
     p = p.withColumn("part_type", F.when(F.col("head"), "head").when(F.col("tail"), "tail").otherwise("match"))
     mine = F.struct("part_type", "dest_id")
     p = p.withColumn("new", F.coalesce(mine != F.lag(mine).over(way), F.lit(True)).cast("int"))
     p = p.withColumn("part", F.sum("new").over(way).cast("int")).withColumn("begins", F.first("a_from").over(way))
     s = p.groupBy("source_id", "part").agg(
-        *(F.first(c).alias(c) for c in ("part_type", "dest_id", "begins", "a_size", "b_size")), F.max("a_to").alias("ends"), F.count("*").cast("int").alias("n_pairs"), F.countDistinct("a_seq").cast("int").alias("n_a_arcs"), F.countDistinct("b_seq").cast("int").alias("n_b_arcs"),
+        *(F.first(c).alias(c) for c in ("part_type", "dest_id", "begins", "a_size", "b_size")), F.max("a_to").alias("ends"), F.count("*").cast("int").alias("n_pairs"), F.sum(F.greatest("new", "_next")).cast("int").alias("n_a_arcs"), F.countDistinct("b_seq").cast("int").alias("n_b_arcs"),
         F.avg("dist_m").alias("drift_m"), F.max("dist_m").alias("drift_max_m"), F.avg("turn").alias("bearing_diff_deg"), F.min("b_from").alias("b_from_m"), F.max("b_to").alias("b_to_m"),
     )
     along = Window.partitionBy("source_id").orderBy("part")

@@ -107,3 +107,10 @@ def test_components_by_shared_vertices(spark):
     want = a.join(every, key(F.col("pts")[0]) == F.col("node")).select("id", "component")
     got = op.components_of(a).select("id", "component")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.select("component").distinct().count() > 20
+
+
+def test_stretches_take_one_order(spark):
+    """Rows are sorted once by the order of travel for their windows, and not tripled to count different segments."""
+    a, b = {k: [(0, 500 * k), (40, 500 * k)] for k in range(4)}, {k: [(20 * (k % 2), 500 * (k // 2) + 1), (20 * (k % 2) + 20, 500 * (k // 2) + 1)] for k in range(8)}
+    plan = op.match_dag(lines(spark, a), lines(spark, b), max_distance=10.0, step=10.0)["parts"]._jdf.queryExecution().executedPlan().toString()
+    assert "a_seq#" in plan and "DESC" not in plan and "Expand" not in plan
