@@ -114,3 +114,16 @@ def test_stretches_take_one_order(spark):
     a, b = {k: [(0, 500 * k), (40, 500 * k)] for k in range(4)}, {k: [(20 * (k % 2), 500 * (k // 2) + 1), (20 * (k % 2) + 20, 500 * (k // 2) + 1)] for k in range(8)}
     plan = op.match_dag(lines(spark, a), lines(spark, b), max_distance=10.0, step=10.0)["parts"]._jdf.queryExecution().executedPlan().toString()
     assert "a_seq#" in plan and "DESC" not in plan and "Expand" not in plan
+
+
+def test_one_shape_at_any_place():
+    """Streets with a fork or a block have one shape wherever they lie, however their coordinates round."""
+    draw = random.Random(3)
+    for kind in (2, 3):
+        comps = []
+        for _ in range(40):
+            x, y = draw.uniform(-1e5, 1e5), draw.uniform(-1e5, 1e5)
+            comps.append([[(int(s[0]), [(s[1 + k] + x + d, s[2 + k] + y + d) for k in (0, 2, 4)]) for s in shapes[kind]] for shapes, d in ((derived.A_SHAPES, 0.0), (derived.B_SHAPES, 0.3))])
+        a, b = nets(comps, 0, 15.0), nets(comps, 1, 15.0)
+        s = batch.solve(a, b, batch.candidates(a, b, 12.0, 0.1, 1), 1.0, 1.0, 2_000_000)
+        assert np.isfinite(s.cost).sum() >= 36
